@@ -4,23 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import minhash, suffixes
+from corpusloom.llm import bpe, minhash, mixing, suffixes, toxicity
 from corpusloom.llm.work import written
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return minhash.deduplicated(docs, words=5, percent=80)
 
 
-def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes in strings of 100 that start earlier in the corpus go."""
     return suffixes.without_repeats(docs, least=100)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("near_dedup", near_dedup), ("suffix_dedup", repeats)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of the sources takes it."""
+    return mixing.mixed(docs, weights=[1, 2, 3], most=3)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token digests of every row of the mix."""
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", drop_repeats),
+    ("mixing", mix),
+    ("bpe", encode),
+]
 
 #: SQL can't express the stages: their tests hold each one against a brute-force version.
 ORACLE_SQL = None
