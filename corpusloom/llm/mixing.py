@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .work import written
+
 #: Cells of a source: the one at which the budget ends is put in order, the others are summed.
 CELLS = 4096
 
@@ -57,38 +59,51 @@ def targets(sizes: DataFrame, weights: list[int], most: int = 3) -> DataFrame:
 
 
 def mixture(docs: DataFrame, weights: list[int] | None = None, most: int = 3, salt: str = "mix") -> DataFrame:
-    """Every row of docs with size, source_size, target, copies and taken (the words the mix takes, repeats counted).
+    """Every row of docs with size, source_size, target, copies (whole ones), part and taken.
 
     docs has doc_id, text and source; its other columns are dropped. Each source first gives as many complete epochs
     as fit its target; what is left is sampled without replacement by quality: documents in order of their keys, as
-    long as they fit, and the one at the edge if that brings the source nearer. So a source misses its target by half
-    of that document at most, and no document is taken more than `most` times. Null texts have size 0 and are never
-    short of words to give; null is a source of its own. Keys depend on doc_id alone: reruns agree. Rows that share
-    a doc_id are put in order by their size, and equal rows are taken alike only if all of them fit. An empty table
-    gives an empty result.
+    long as they fit, and of the one at the edge the words that still fit (part). taken is what the mix takes of a
+    document in words, repeats counted; a source's taken words miss its target by less than one. Null texts have size
+    0; the null source is one of its own. Keys depend on doc_id alone: reruns agree. Rows that share a doc_id are put
+    in order by their size. An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), (-F.log(_uniform(salt)) / quality(F.col("text"))).alias("_key"))
     rows = rows.withColumn("_cell", F.least(F.lit(CELLS - 1), F.floor((1 - F.exp(-F.col("_key"))) * CELLS)).cast("int"))
+    rows = written(rows)  # texts are measured once
     cells = rows.groupBy("source", "_cell").agg(F.sum("size").alias("_sum"))
     goal = targets(cells.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights or [1, 2, 3], most)
     goal = goal.withColumn("_epochs", F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0)).cast("long"))
-    goal = goal.withColumn("_left", F.col("target") - F.col("_epochs") * F.col("source_size"))
+    goal = goal.withColumn("_left", F.round(F.col("target") - F.col("_epochs") * F.col("source_size")).cast("long"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     running = cells.withColumn("_before", F.sum("_sum").over(W.partitionBy("source").orderBy("_cell")) - F.col("_sum")).withColumnRenamed("source", "_s")
     edge = goal.join(running, same("source", "_s"), "left").where("_before <= _left").groupBy("source", "source_size", "target", "_epochs", "_left").agg(F.max(F.struct("_cell", "_before")).alias("_edge"))
     edge = edge.select(F.col("source").alias("_s"), "source_size", "target", "_epochs", "_left", F.col("_edge._cell").alias("_last"), F.col("_edge._before").alias("_sofar"))
     placed = rows.join(edge, same("source", "_s"))
-    inside = placed.where("_cell = _last")
     order = W.partitionBy("_s").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    upto = F.col("_sofar") + F.sum("size").over(order)
-    inside = inside.withColumn("_more", (upto - F.col("size") / 2 <= F.col("_left")) & (F.col("_left") > 0))
-    others = placed.where("_cell <> _last").withColumn("_more", F.col("_cell") < F.col("_last"))
-    copies = F.col("_epochs") + F.col("_more").cast("long")
-    return others.unionByName(inside).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    before = F.col("_sofar") + F.sum("size").over(order) - F.col("size")
+    inside = placed.where("_cell = _last").withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left") - before)))
+    others = placed.where("_cell <> _last").withColumn("part", F.when(F.col("_cell") < F.col("_last"), F.col("size")).otherwise(F.lit(0)).cast("long"))
+    return others.unionByName(inside).select("doc_id", "source", "size", "source_size", "target", F.col("_epochs").alias("copies"), "part", (F.col("_epochs") * F.col("size") + F.col("part")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: list[int] | None = None, most: int = 3, salt: str = "mix") -> DataFrame:
-    """docs with each row as often as the mix takes it; columns as they were."""
-    take = mixture(docs, weights, most, salt).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    """docs with each row as often as the mix takes it; columns as they were, n_chars (if there) counted anew.
+
+    Of the one document at the edge of a source's budget, the last copy is cut after the words that still fit.
+    """
+    take = mixture(docs, weights, most, salt).groupBy("doc_id").agg(F.max(F.struct("copies", "part", "size")).alias("_take"))
     rows = docs.join(take.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    whole = (F.col("_take.part") == F.col("_take.size")) & (F.col("_take.size") > 0)
+    cut = (F.col("_take.part") > 0) & ~whole
+    copies = F.col("_take.copies") + F.when(F.col("_take.part") > 0, 1).otherwise(0)
+    rows = rows.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    # each piece is a word with the blanks after it; blanks that open the text are a piece of their own
+    pieces = F.split(F.col("text"), "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])")
+    opening = F.when(F.rlike("text", F.lit("^[\\x20\\x09-\\x0D]")), 1).otherwise(0)
+    short = F.array_join(F.slice(pieces, F.lit(1), (F.col("_take.part") + opening).cast("int")), "")
+    last = cut & (F.col("_copy") == copies)
+    rows = rows.withColumn("text", F.when(last, short).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(last, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
