@@ -22,7 +22,7 @@ from .hashing import prefix_sums, span_hashes
 BUCKETS = 1 << 18
 #: Weight of the prior in tokens, least z-score and log-odds of a token that counts (a language or a subject that is
 #: more common among toxic documents moves its words less), and what every other token costs.
-PRIOR, LEAST_Z, LEAST_ODDS, COST = 1000.0, 3.0, 1.5, 0.05
+PRIOR, LEAST_Z, LEAST_ODDS, COST = 1000.0, 3.5, 1.5, 0.05
 #: At most so many labelled training rows are used, those with the smallest hashes.
 SAMPLE = 20_000
 _RANGES = 16
@@ -134,13 +134,19 @@ def _adding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_scores(counts: np.ndarray) -> np.ndarray:
-    """Log-odds of each hashed token with the corpus as Dirichlet prior, where the z-score is large; else the cost."""
+    """Log-odds of each hashed token with the corpus as Dirichlet prior, where they are significant; else the cost.
+
+    Significance is the signed root of the likelihood ratio between one rate for both kinds and one for each.
+    """
     every, toxic, clean = counts.astype(float)
-    alpha = PRIOR * (every + 0.5) / (every.sum() + 0.5 * BUCKETS)
+    alpha = 0.1 + PRIOR * (every + 0.5) / (every.sum() + 0.5 * BUCKETS)
     x, y = toxic + alpha, clean + alpha
     n, m = toxic.sum() + PRIOR, clean.sum() + PRIOR
     odds = np.log(x / (n - x)) - np.log(y / (m - y))
-    z = odds / np.sqrt(1 / x + 1 / y)
+    both = toxic + clean
+    share = toxic.sum() / max(1.0, toxic.sum() + clean.sum())
+    part = lambda seen, due: seen * np.log(np.maximum(seen, 1e-9) / np.maximum(due, 1e-9))
+    z = np.sqrt(np.maximum(0.0, 2 * (part(toxic, both * share) + part(clean, both * (1 - share)))))
     return np.where((z >= LEAST_Z) & (odds >= LEAST_ODDS) & (toxic >= 3), odds, -COST)
 
 
