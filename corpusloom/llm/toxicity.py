@@ -50,6 +50,7 @@ class Model:
     score: np.ndarray  # of each hashed token
     rate: float  # lambda of the extreme-value law
     size: float  # log K
+    least: float  # rate times the smallest positive token score
     slope: float
     shift: float
 
@@ -83,11 +84,14 @@ def evidence(score: np.ndarray, model: Model) -> tuple[float, list[tuple[int, in
     """
     segments = maximal_segments(score)
     edge = model.size + np.log(max(1, len(score)))
-    if not segments:
-        return -edge, []
-    marks = [(model.rate * s - edge, a, b) for a, b, s in segments]
-    good = [(a, b, e) for e, a, b in marks if e > 0]
-    return (sum(e for _, _, e in good), good) if good else (max(marks)[0], [])
+    marks = [(model.rate * s - edge, a, b) for a, b, s in maximal_segments(score)]
+    return combined([e for e, _, _ in marks], model.least), [(a, b, e) for e, a, b in marks if e > 0]
+
+
+def combined(marks: list[float], least: float) -> float:
+    """One document's evidence from its segments' significances; a text without any has a fixed one."""
+    good = [e for e in marks if e > 0]
+    return sum(good) if good else max([-least, *marks])
 
 
 def _pieces(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -185,17 +189,30 @@ def _segments_of(shared):
     return run
 
 
+def _curve(x):
+    """Evidence on the scale of the logistic curve: beyond 20 more of it says no more."""
+    return np.clip(x, -20.0, 20.0) / 10
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a one-dimensional logistic curve, with a small pull towards (1, 0)."""
-    w = np.array([1.0, 0.0])
-    a = np.stack([x, np.ones_like(x)], axis=1)
+    """Slope and shift of a one-dimensional logistic curve, with a small pull to (1, 0); Newton steps are halved till they gain."""
+    a = np.stack([_curve(x), np.ones_like(x)], axis=1)
+    pull = np.array([1.0, 0.0])
+
+    def loss(w: np.ndarray) -> float:
+        t = a @ w
+        return float((np.logaddexp(0, t) - y * t).sum() + 0.5 * ((w - pull) ** 2).sum())
+
+    w = pull.copy()
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - y) + 0.01 * (w - [1.0, 0.0])
-        hess = (a * (p * (1 - p))[:, None]).T @ a + 0.01 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        w = w - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        p = 1 / (1 + np.exp(-(a @ w)))
+        grad = a.T @ (p - y) + (w - pull)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.eye(2), grad)
+        size = 1.0
+        while loss(w - size * step) > loss(w) and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return max(float(w[0]), 1e-3), float(w[1])
 
@@ -235,20 +252,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n = np.array([max(1, r.n) for r in seen], dtype=float)
     best = np.array([r.best for r in seen])
     clean = y == 0
-    size = float(np.log(clean.sum()) - np.log((n[clean] * np.exp(-rate * best[clean])).sum())) if clean.any() else 0.0
-    model = Model(score, rate, size, 1.0, 0.0)
+    # K from how many clean documents reach the least positive score: count = K * sum(n) * exp(-rate * score)
+    least = rate * float(score[score > 0].min()) if (score > 0).any() else 1.0
+    size = float(np.log((best[clean] > 0).sum() + 0.5) - np.log(max(1.0, n[clean].sum())) + least)
     share = float(y.mean()) if len(y) else 0.5
     if len(y) == 0 or not 0 < share < 1:
         share = min(max(share, 1e-3), 1 - 1e-3)
-        return Model(score, rate, size, 1e-9, float(np.log(share / (1 - share))))
-    x = np.array([_summed([rate * s for s in r.sums], size + np.log(max(1, r.n))) for r in seen])
-    model.slope, model.shift = _logistic(x, y)
-    return model
-
-
-def _summed(marks: list[float], edge: float) -> float:
-    good = [m - edge for m in marks if m > edge]
-    return sum(good) if good else max(marks, default=0.0) - edge
+        return Model(score, rate, size, least, 1e-9, float(np.log(share / (1 - share))))
+    x = np.array([combined([rate * s - size - np.log(max(1, r.n)) for s in r.sums], least) for r in seen])
+    return Model(score, rate, size, least, *_logistic(x, y))
 
 
 def _scoring(shared):
@@ -262,7 +274,7 @@ def _scoring(shared):
                 base = np.cumsum([0] + [len(t) + 1 for t in texts])
                 for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
                     x, found = evidence(s[a:b], model)
-                    score.append(float(1 / (1 + np.exp(-np.clip(model.slope * x + model.shift, -700, 700)))))
+                    score.append(float(1 / (1 + np.exp(-(model.slope * _curve(x) + model.shift)))))
                     passages.append([{"start": int(start[a + p] - base[i]), "end": int(end[a + q - 1] - base[i]), "evidence": float(e)} for p, q, e in found])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("evidence", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(passages, kind)], ["doc_id", "score", "passages"])
