@@ -38,29 +38,38 @@ class Index:
         #: Each vector's place in each sorted array: it lies in a window if its place does.
         self.rank = np.empty(places.shape, dtype=np.uint16)
         np.put_along_axis(self.rank, order, np.arange(n, dtype=np.uint16)[None, :], axis=1)
-        self.width = 0.3
-
-    def windows(self, at: np.ndarray, width: float) -> np.ndarray:
-        """In how many windows round the query's projections each vector lies."""
-        left = np.array([np.searchsorted(p, x) for p, x in zip(self.places, at - width)])
-        right = np.array([np.searchsorted(p, x) for p, x in zip(self.places, at + width)])
-        inside = (self.rank - left.astype(np.uint16)[:, None]) < (right - left).astype(np.uint16)[:, None]
-        # a window over a whole array of 65536 would wrap; blocks are smaller
-        return inside.view(np.uint8).sum(axis=0, dtype=np.uint8)
-
-    def search(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Numbers of the vectors to verify: at least k, and as many as the verified share asks for."""
+
+    def edges(self, at: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+        """First place and number of places in the window round each query's (column's) projections."""
+        left = np.array([p.searchsorted(x) for p, x in zip(self.places, at - width)])
+        right = np.array([p.searchsorted(x) for p, x in zip(self.places, at + width)])
+        return left.astype(np.uint16), (right - left).astype(np.uint16)
+
+    def inside(self, left: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The vectors that lie in enough of one query's windows."""
+        # places before the window wrap round to large numbers
+        hits = ((self.rank - left[:, None]) < size[:, None]).view(np.uint8).sum(axis=0, dtype=np.uint8)
+        return np.flatnonzero(hits >= int(np.ceil(COLLIDE * PROJECTIONS)))
+
+    def search(self, queries: np.ndarray, k: int) -> Iterator[np.ndarray]:
+        """Numbers of the vectors to verify for each query: at least k, and as many as the verified share asks for.
+
+        All queries start with the width that was enough for the one before; windows grow for those that find less.
+        """
         n = len(self.vectors)
         want = min(n, max(4 * k, int(VERIFIED * n)))
-        at = self.axes[:, :-1] @ (query / np.sqrt((query**2).sum()))
-        need = int(np.ceil(COLLIDE * PROJECTIONS))
-        width = self.width / GROWTH  # a little less than the query before needed
-        while True:
-            found = np.flatnonzero(self.windows(at, width) >= need)
-            if len(found) >= want:
-                self.width = width if len(found) < 1.2 * want else width / GROWTH
-                return found
-            width *= GROWTH if len(found) * 2 > want else GROWTH**4
+        at = self.axes[:, :-1] @ (queries / np.sqrt((queries**2).sum(axis=1))[:, None]).T
+        width = 0.3
+        while len(self.inside(*(e[:, 0] for e in self.edges(at[:, :1], width)))) < want:
+            width *= GROWTH
+        left, size = self.edges(at, width)
+        for q in range(at.shape[1]):
+            found, own = self.inside(left[:, q], size[:, q]), width
+            while len(found) < want:
+                own *= GROWTH if len(found) * 2 > want else GROWTH**4
+                found = self.inside(*(e[:, 0] for e in self.edges(at[:, q : q + 1], own)))
+            yield found
+
 
 def _search(k: int, norm: float):
     def run(key: tuple, block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -71,9 +80,8 @@ def _search(k: int, norm: float):
         ids = block["vec_id"].to_numpy()
         index = Index(vectors, norm)
         out: list[tuple[np.ndarray, ...]] = []
-        for own, q in zip(queries["vec_id"].to_numpy(), queries["v"].to_numpy()):
-            q = np.asarray(q, dtype=np.float64)
-            found = index.search(q, k + 1)
+        asked = np.stack(queries["v"].to_numpy()).astype(np.float64)
+        for own, q, found in zip(queries["vec_id"].to_numpy(), asked, index.search(asked, k + 1)):
             found = found[ids[found] != own]
             score = vectors[found] @ q
             best = np.lexsort((ids[found], -score))[:k]
