@@ -26,8 +26,12 @@ class Sizes:
     tail: int = 300
 
 
-_SOURCE = W.partitionBy("source_id").orderBy("pos")
-_SOFAR = _SOURCE.rowsBetween(W.unboundedPreceding, W.currentRow)
+def _source():
+    return W.partitionBy("source_id").orderBy("pos")
+
+
+def _sofar():
+    return _source().rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
 def contents_dictionary(lines: DataFrame, levels: list[str], blacklist: list[str] = ()) -> DataFrame:
@@ -40,7 +44,7 @@ def contents_dictionary(lines: DataFrame, levels: list[str], blacklist: list[str
         rows = rows.where(~F.col("key").isin(list(blacklist)))
     ancestors = []
     for i in range(1, len(levels)):
-        last = F.last(F.when(F.col("level") <= i, F.struct("level", "text")), ignorenulls=True).over(_SOURCE.rowsBetween(W.unboundedPreceding, -1))
+        last = F.last(F.when(F.col("level") <= i, F.struct("level", "text")), ignorenulls=True).over(_source().rowsBetween(W.unboundedPreceding, -1))
         ancestors.append(F.when((F.col("level") > i) & (last["level"] == i), last["text"]))
     return rows.withColumn("ancestors", F.array_compact(F.array(*ancestors)) if ancestors else F.array().cast("array<string>"))
 
@@ -52,7 +56,7 @@ def match_titles(titles: DataFrame, toc: DataFrame) -> DataFrame:
     of = toc.groupBy("source_id", "key").agg(F.array_sort(F.collect_list(entry)).alias("_of"))
     both = keyed.join(of, ["source_id", "key"], "left")
     sure = F.when(F.size("_of") == 1, F.get("_of", 0)["toc_title"])
-    above = F.last(sure, ignorenulls=True).over(_SOURCE.rowsBetween(W.unboundedPreceding, -1))
+    above = F.last(sure, ignorenulls=True).over(_source().rowsBetween(W.unboundedPreceding, -1))
     fits = F.filter("_of", lambda e: e["parent"].eqNullSafe(F.col("_above")))
     pick = F.coalesce(F.get(fits, 0), F.get(F.col("_of"), 0))
     return both.withColumn("_above", above).withColumn("match", pick).drop("_of", "_above")
@@ -76,7 +80,7 @@ def title_differences(toc: DataFrame, titles: DataFrame) -> DataFrame:
 def merge_split_titles(titles: DataFrame) -> DataFrame:
     """A bare chapter number takes the title after it along; the second is then dropped."""
     bare = lambda c: F.rlike(c, F.lit(r"^第[0-9一二三四五六七八九十百零]+[篇章节]$"))
-    rows = titles.withColumn("_next", F.lead("text").over(_SOURCE)).withColumn("_last", F.lag("text").over(_SOURCE))
+    rows = titles.withColumn("_next", F.lead("text").over(_source())).withColumn("_last", F.lag("text").over(_source()))
     return rows.where(~F.coalesce(bare(F.col("_last")), F.lit(False)) | bare(F.col("text"))).withColumn("text", F.when(bare(F.col("text")) & F.col("_next").isNotNull() & ~bare(F.col("_next")), F.concat_ws(" ", "text", "_next")).otherwise(F.col("text"))).drop("_next", "_last")
 
 
@@ -92,9 +96,9 @@ def choose_starts(candidates: DataFrame, blocks: DataFrame, least: int = 50) ->
     A signal is strong if it was rebuilt, merged or fuzzy, or exact with at least `least` characters to the next
     candidate; the last strong one wins, else the last that is no page header, else the last.
     """
-    upto = blocks.select("source_id", "pos", F.sum("len").over(_SOFAR).alias("_upto"))
+    upto = blocks.select("source_id", "pos", F.sum("len").over(_sofar()).alias("_upto"))
     rows = candidates.join(upto, ["source_id", "pos"], "left")
-    rows = rows.withColumn("gap", F.coalesce(F.lead("_upto").over(_SOURCE) - F.col("_upto"), F.lit(2**31)))
+    rows = rows.withColumn("gap", F.coalesce(F.lead("_upto").over(_source()) - F.col("_upto"), F.lit(2**31)))
     strong = F.col("action").isin("rebuilt", "merged", "fuzzy") | ((F.col("action") == "exact") & (F.col("gap") >= least))
     weight = F.when(strong, 2).when(F.col("action") != "page_header", 1).otherwise(0)
     return rows.groupBy("source_id", "key").agg(F.max(F.struct(weight.alias("weight"), "pos")).alias("_b")).select("source_id", "key", "_b.pos")
@@ -103,7 +107,7 @@ def choose_starts(candidates: DataFrame, blocks: DataFrame, least: int = 50) ->
 def assign_sections(blocks: DataFrame, starts: DataFrame) -> DataFrame:
     """Blocks from the first section on, with the section they stand in. starts: source_id, pos, section."""
     rows = blocks.join(starts.select("source_id", "pos", F.col("section").alias("_s")), ["source_id", "pos"], "left")
-    return rows.withColumn("section", F.last("_s", ignorenulls=True).over(_SOFAR)).drop("_s").where("section is not null")
+    return rows.withColumn("section", F.last("_s", ignorenulls=True).over(_sofar())).drop("_s").where("section is not null")
 
 
 def truncate_body(blocks: DataFrame, end: str, references: str) -> DataFrame:
@@ -128,10 +132,10 @@ def absorb_short(sections: DataFrame, least: int = 500, levels: tuple[int, ...]
 
     sections: source_id, pos, level, len. Adds group, the pos of the section that takes them in.
     """
-    last = F.lead("pos").over(_SOURCE).isNull()
+    last = F.lead("pos").over(_source()).isNull()
     deepest = F.max("level").over(W.partitionBy("source_id"))
     short = (F.col("len") < least) & F.col("level").isin(*levels) & (F.col("level") < deepest) & ~last
-    after = F.first(F.when(~F.col("_short"), F.col("pos")), ignorenulls=True).over(_SOURCE.rowsBetween(W.currentRow, W.unboundedFollowing))
+    after = F.first(F.when(~F.col("_short"), F.col("pos")), ignorenulls=True).over(_source().rowsBetween(W.currentRow, W.unboundedFollowing))
     return sections.withColumn("_short", short).withColumn("group", after).drop("_short")
 
 

@@ -125,8 +125,9 @@ def throttle(events: DataFrame, limit: int, window_s: float) -> DataFrame:
     return events.select("key", "event_id", "ts").groupBy("key").applyInPandas(run, _ADMITTED)
 
 
-def throttle_stream(events: DataFrame, limit: int, window_s: float) -> DataFrame:
-    """The same for a stream: the state of a key is the times of its accepted events, and it ends with the window.
+def throttle_stream(events: DataFrame, limit: int, window_s: float, late: str = "10 minutes") -> DataFrame:
+    """The same for a stream: the state of a key is the times of its accepted events, and it goes once the watermark
+    has passed the window of the last one.
 
     Events of a key are decided in the order of their times within a micro-batch; a late one sees the state as it is.
     """
@@ -140,10 +141,11 @@ def throttle_stream(events: DataFrame, limit: int, window_s: float) -> DataFrame
         held = list(state.get[0]) if state.exists else []
         done, held = _admit((rows["ts"].astype("datetime64[ns]").astype("int64") / 1e9).tolist(), limit, window_s, held)
         state.update((held,))
-        state.setTimeoutDuration(int(window_s * 1000))
+        state.setTimeoutTimestamp(max(int((held[-1] + window_s) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield rows[["key", "event_id", "ts"]].assign(accepted=[a for a, _ in done], retry_after=pd.array([r for _, r in done], dtype="Int32"))
 
-    return events.select("key", "event_id", "ts").groupBy("key").applyInPandasWithState(run, _ADMITTED, "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.select("key", "event_id", "ts").withWatermark("ts", late)
+    return rows.groupBy("key").applyInPandasWithState(run, _ADMITTED, "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def fold_dialogue(turns: DataFrame) -> DataFrame:
