@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import mix, prefix_sums, span_hashes
-from .work import written
+from .suffixes import BLOB, _batch, _dealt, _spread, _unblob
+from .work import partitions, written
 
 BANDS, ROWS = 30, 5
 #: Fewer equal bytes of the 150 than this put a pair over six standard deviations under a similarity of 0.8.
@@ -199,6 +200,79 @@ def _alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, equal int")
 
 
+#: A shingle that at most so many documents have is rare: the pairs that share it are counted one by one.
+RARE = 8
+
+
+def _owned(words: int, buckets: int):
+    """Shingle hashes of each document with its number and component, dealt by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in _pieces(batch.column(1), 1 << 21):
+                h, bounds = shingles(texts, words)
+                doc, component = (np.repeat(batch.column(i).slice(a, b - a).to_numpy(), np.diff(bounds)) for i in (0, 2))
+                yield _batch(list(_dealt(_spread(h.view(np.int64), buckets), 0, h, doc, component)))
+
+    return run
+
+
+def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rare shingles each document has (a, null, n), and how many two of different components share (a, b, n)."""
+    data: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for bucket, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            data.setdefault(bucket, []).append(x)
+    while data:
+        h, doc, component = _unblob(data.popitem()[1], "<u8", "<i8", "<i8")
+        order = np.lexsort((doc, h))
+        h, doc, component = h[order], doc[order], component[order]
+        head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, dtype=np.int64)
+        df = np.diff(np.concatenate((head, [len(h)])))
+        few = np.repeat(df <= RARE, df)
+        ids, n = np.unique(doc[few], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
+        h, doc, component = h[few], doc[few], component[few]
+        found = [np.empty((0, 2), dtype=np.int64)]
+        for step in range(1, RARE):  # each with the one so many places on, if they have the shingle in common
+            both = (h[step:] == h[:-step]) & (component[step:] != component[:-step])
+            found.append(np.stack((doc[:-step][both], doc[step:][both]), axis=1))
+        pairs, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
+
+
+def _partners(named: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs across the components of buckets that hold several, less those that can't be near.
+
+    Two documents of sizes n and s with c rare shingles in common and v, w frequent ones have at most min(v, w) + c
+    in common, and need p * (n + s) of them, where p = percent / (100 + percent). Pairs with a rare shingle in common
+    come from an index of the rare shingles, each of which has few documents. For pairs without one, c is 0: in most
+    families of edited copies that leaves those that weren't linked yet without any partner. Where partners are
+    left, the members outside a bucket's largest component ask for them in bins of size that satisfy both sides.
+    """
+    spark = docs.sparkSession
+    buckets = partitions(spark)
+    members = named.select("doc_id", "component").distinct()
+    texts = docs.join(members, "doc_id").select("doc_id", "text", "component")
+    counted = written(texts.mapInArrow(_owned(words, buckets), BLOB).repartitionById(buckets, "bucket").mapInArrow(_rare, "a long, b long, n long"))
+    rare = counted.where("b is null").groupBy(F.col("a").alias("doc_id")).agg(F.sum("n").alias("u"))
+    share = percent / (100.0 + percent)
+    sizes = members.join(reps.select("doc_id", F.col("n_shingles").alias("size")).distinct(), "doc_id").join(rare, "doc_id", "left")
+    frequent = F.col("size") - F.coalesce("u", F.lit(0))
+    sizes = written(sizes.select("doc_id", "size", frequent.alias("v"), F.floor(frequent / share - F.col("size") + 1e-6).alias("most"), F.ceil(F.col("size") * (percent / 100.0) - 1e-6).alias("fewest")))
+    end = lambda c: sizes.select(F.col("doc_id").alias(c), F.col("size").alias(f"size_{c}"), F.col("v").alias(f"v_{c}"))
+    shared = counted.where("b is not null").groupBy("a", "b").agg(F.sum("n").alias("c")).join(end("a"), "a").join(end("b"), "b")
+    shared = shared.where(F.least("v_a", "v_b") + F.col("c") >= share * (F.col("size_a") + F.col("size_b")) - 1e-6).select("a", "b")
+    rows = named.join(sizes.where("most >= fewest"), "doc_id")  # others have no partner without a rare shingle in common
+    held = named.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+    bin_of = lambda c: F.floor(F.log(c) / F.log(F.lit(1.02))).cast("int")
+    asking = rows.join(held, "bucket").where("component <> main").withColumn("bin", F.explode(F.sequence(bin_of(F.col("fewest")), bin_of(F.least(F.col("most"), F.floor(F.col("size") * (100.0 / percent) + 1e-6))))))
+    asked = rows.select("bucket", bin_of(F.col("size")).alias("bin"), F.col("doc_id").alias("other"), F.col("component").alias("theirs"), F.col("size").alias("s"), F.col("most").alias("m"))
+    near = (F.col("component") != F.col("theirs")) & (F.col("s") <= F.col("most")) & (F.col("size") <= F.col("m"))
+    both = asking.join(asked, ["bucket", "bin"]).where(near)
+    return both.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).unionByName(shared).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Groups of near-duplicate documents: doc_id, n_shingles, component_id, kept.
 
@@ -209,10 +283,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     An empty table gives an empty result.
 
     The banding finds a pair at exactly 0.8 with a probability of 1 - 7e-6, and nearer ones almost surely.
-    First each class is compared with the head (smallest id) of its buckets, nearest first; only buckets that
-    still hold several components are then searched across those components.
+    First each class is compared with the head (smallest id) of a bucket, the nearest head it has; then what is left
+    across components: other heads, and members of buckets that still hold several components.
     """
-    spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(docs.mapInArrow(_sign(words), SIGNED))
     keys = ["n_shingles", "k1", "k2"]
@@ -221,25 +294,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     reps = signed.join(classes.select(F.col("rep").alias("doc_id"), *keys), ["doc_id", *keys], "left_semi")
     band = written(reps.select("doc_id", F.explode("bands").alias("bucket")).distinct())
     head = band.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
-    pairs = band.join(head, "bucket").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    crowded = written(band.join(head, "bucket"))  # members of buckets with several
+    pairs = crowded.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     alike = written(_alike(pairs, reps))
     best = alike.groupBy("b").agg(F.max(F.struct("equal", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
     links = written(_confirmed(best, docs, words, percent))
     found = written(components(links))
-    rest = _across(alike.select("a", "b").join(best, ["a", "b"], "left_anti"), found)
-    more = written(_confirmed(rest, docs, words, percent))
-    links = links.union(more)
-    found = written(components(links))
-    # buckets that hold several components: pairs across them, so that no link is lost
-    named = band.join(found, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    others = _across(alike.select("a", "b").join(best, ["a", "b"], "left_anti"), found)
+    named = crowded.join(found, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     named = written(named.join(mixed, "bucket", "left_semi"))
-    other = named.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("other"))
-    cross = named.join(other, "bucket").where("component < other").select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
-    cross = cross.join(alike.select("a", "b"), ["a", "b"], "left_anti")
-    last = written(_confirmed(_alike(cross, reps).select("a", "b"), docs, words, percent))
-    if not last.isEmpty():
-        found = written(components(links.union(last)))
+    cross = _alike(_partners(named, reps, docs, words, percent).join(alike.select("a", "b"), ["a", "b"], "left_anti"), reps)
+    rest = written(others.select("a", "b").unionByName(cross.select("a", "b")).distinct())
+    late = written(_confirmed(rest, docs, words, percent))
+    name = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    if not late.isEmpty():  # links between components
+        between = late.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        above = written(components(between)).select(F.col("node").alias("component"), F.col("component").alias("above"))
+        singles = above.join(found.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("above").alias("component"))
+        found = written(found.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component")).union(singles))
     of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select(*keys, F.coalesce("component", "rep").alias("component_id"))
     out = member.join(of_class, keys, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
