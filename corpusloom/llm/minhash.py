@@ -201,7 +201,7 @@ def _alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 #: A shingle that at most so many documents have is rare: the pairs that share it are counted one by one.
-RARE = 8
+RARE = 20
 
 
 def _owned(words: int, buckets: int):
@@ -217,28 +217,50 @@ def _owned(words: int, buckets: int):
     return run
 
 
-def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many rare shingles each document has (a, null, n), and how many two of different components share (a, b, n)."""
+#: In place of a second document, where a row tells how many rare shingles one has.
+_NONE = np.iinfo(np.int64).min
+
+
+def _rare(buckets: int):
+    """How many rare shingles each document has, and how many two of different components share, dealt by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for bucket, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                data.setdefault(bucket, []).append(x)
+        while data:
+            h, doc, component = _unblob(data.popitem()[1], "<u8", "<i8", "<i8")
+            order = np.lexsort((doc, h))
+            h, doc, component = h[order], doc[order], component[order]
+            head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, dtype=np.int64)
+            df = np.diff(np.concatenate((head, [len(h)])))
+            few = np.repeat(df <= RARE, df)
+            h, doc, component = h[few], doc[few], component[few]
+            found = [np.stack((doc, np.full(len(doc), _NONE)), axis=1)]
+            for step in range(1, RARE):  # each with the one so many places on, if they have the shingle in common
+                both = (h[step:] == h[:-step]) & (component[step:] != component[:-step])
+                found.append(np.stack((doc[:-step][both], doc[step:][both]), axis=1))
+            pairs, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
+            yield _batch(list(_dealt(_spread(pairs[:, 0], buckets), 0, pairs[:, 0], pairs[:, 1], n)))
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (a, b, n) for each document (b is null) and pair."""
     data: dict[int, list[bytes]] = {}
     for batch in batches:
         for bucket, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
             data.setdefault(bucket, []).append(x)
     while data:
-        h, doc, component = _unblob(data.popitem()[1], "<u8", "<i8", "<i8")
-        order = np.lexsort((doc, h))
-        h, doc, component = h[order], doc[order], component[order]
-        head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, dtype=np.int64)
-        df = np.diff(np.concatenate((head, [len(h)])))
-        few = np.repeat(df <= RARE, df)
-        ids, n = np.unique(doc[few], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
-        h, doc, component = h[few], doc[few], component[few]
-        found = [np.empty((0, 2), dtype=np.int64)]
-        for step in range(1, RARE):  # each with the one so many places on, if they have the shingle in common
-            both = (h[step:] == h[:-step]) & (component[step:] != component[:-step])
-            found.append(np.stack((doc[:-step][both], doc[step:][both]), axis=1))
-        pairs, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
+        a, b, n = _unblob(data.popitem()[1], "<i8", "<i8", "<i8")
+        order = np.lexsort((b, a))
+        a, b, n = a[order], b[order], n[order]
+        head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, dtype=np.int64)
+        if len(head):
+            second = pa.array(b[head], pa.int64(), mask=b[head] == _NONE)
+            yield pa.RecordBatch.from_arrays([pa.array(a[head], pa.int64()), second, pa.array(np.add.reduceat(n, head), pa.int64())], ["a", "b", "n"])
 
 
 def _partners(named: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -254,7 +276,8 @@ def _partners(named: DataFrame, reps: DataFrame, docs: DataFrame, words: int, pe
     buckets = partitions(spark)
     members = named.select("doc_id", "component").distinct()
     texts = docs.join(members, "doc_id").select("doc_id", "text", "component")
-    counted = written(texts.mapInArrow(_owned(words, buckets), BLOB).repartitionById(buckets, "bucket").mapInArrow(_rare, "a long, b long, n long"))
+    counted = texts.mapInArrow(_owned(words, buckets), BLOB).repartitionById(buckets, "bucket").mapInArrow(_rare(buckets), BLOB)
+    counted = written(counted.repartitionById(buckets, "bucket").mapInArrow(_summed, "a long, b long, n long"))
     rare = counted.where("b is null").groupBy(F.col("a").alias("doc_id")).agg(F.sum("n").alias("u"))
     share = percent / (100.0 + percent)
     sizes = members.join(reps.select("doc_id", F.col("n_shingles").alias("size")).distinct(), "doc_id").join(rare, "doc_id", "left")
