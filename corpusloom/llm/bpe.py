@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .work import tidy
+
 END, LETTER, NUMBER, BLANK, WHITE, OTHER, SHORT, LONG = range(8)
 #: States: nothing open, in letters, in numbers, in other signs, after a blank, after other white space, in a
 #: contraction with one or two letters to come.
@@ -178,7 +180,7 @@ def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Ranks, the bytes of every id in one array, and a cache of merged pre-tokens that is emptied at `most` entries."""
 
-    def __init__(self, ranks_file: bytes, most: int = 400_000):
+    def __init__(self, ranks_file: bytes, most: int = 250_000):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks_file.splitlines() if line)}
         size = max(self.ranks.values()) + 1
         words = [b""] * size
@@ -238,7 +240,7 @@ def codec(ranks_file: bytes) -> Codec:
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64()))])
 
 
-def _runs(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+def _runs(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     size = at = 0
     for i, t in enumerate(texts):
         size += len(t)
@@ -300,9 +302,9 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
 
     docs has doc_id and text; other columns are ignored. Null and empty texts have no tokens. Rows are handled one by
     one, repeated ones too. The vocabulary (a file of base64 tokens and ranks on the driver, a few MB at most) is
-    broadcast; the cache of merges in a worker holds 400,000 pre-tokens and then starts anew.
+    broadcast; the cache of merges in a worker holds 250,000 pre-tokens and then starts anew.
     """
-    return _texts(docs).mapInArrow(_encoding(_shared(docs, ranks_path)), "doc_id long, ids array<int>, offsets array<long>")
+    return _texts(docs).mapInArrow(tidy(_encoding(_shared(docs, ranks_path))), "doc_id long, ids array<int>, offsets array<long>")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -322,4 +324,4 @@ def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
     """Encodes and decodes every text in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     shared = _shared(docs, ranks_path)
     first, then = _encoding(shared), _digesting(shared)
-    return _texts(docs).mapInArrow(lambda batches: then(first(batches)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _texts(docs).mapInArrow(tidy(lambda batches: then(first(batches))), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .hashing import mix, prefix_sums, span_hashes
 from .suffixes import BLOB, _batch, _dealt, _spread, _unblob
-from .work import partitions, written
+from .work import partitions, tidy, written
 
 BANDS, ROWS = 30, 5
 #: Fewer equal bytes of the 150 than this put a pair over six standard deviations under a similarity of 0.8.
@@ -159,7 +159,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     """Of pairs (a, b), those that the full texts confirm."""
     texts = docs.select("doc_id", "text")
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(_linked(words, percent), "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(_linked(words, percent)), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def _owned(words: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in _pieces(batch.column(1), 1 << 21):
+            for a, b, texts in _pieces(batch.column(1)):
                 h, bounds = shingles(texts, words)
                 doc, component = (np.repeat(batch.column(i).slice(a, b - a).to_numpy(), np.diff(bounds)) for i in (0, 2))
                 yield _batch(list(_dealt(_spread(h.view(np.int64), buckets), 0, h, doc, component)))
@@ -276,8 +276,8 @@ def _partners(named: DataFrame, reps: DataFrame, docs: DataFrame, words: int, pe
     buckets = partitions(spark)
     members = named.select("doc_id", "component").distinct()
     texts = docs.join(members, "doc_id").select("doc_id", "text", "component")
-    counted = texts.mapInArrow(_owned(words, buckets), BLOB).repartitionById(buckets, "bucket").mapInArrow(_rare(buckets), BLOB)
-    counted = written(counted.repartitionById(buckets, "bucket").mapInArrow(_summed, "a long, b long, n long"))
+    counted = texts.mapInArrow(tidy(_owned(words, buckets)), BLOB).repartitionById(buckets, "bucket").mapInArrow(tidy(_rare(buckets)), BLOB)
+    counted = written(counted.repartitionById(buckets, "bucket").mapInArrow(tidy(_summed), "a long, b long, n long"))
     rare = counted.where("b is null").groupBy(F.col("a").alias("doc_id")).agg(F.sum("n").alias("u"))
     share = percent / (100.0 + percent)
     sizes = members.join(reps.select("doc_id", F.col("n_shingles").alias("size")).distinct(), "doc_id").join(rare, "doc_id", "left")
@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     across components: other heads, and members of buckets that still hold several components.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(docs.mapInArrow(_sign(words), SIGNED))
+    signed = written(docs.mapInArrow(tidy(_sign(words)), SIGNED))
     keys = ["n_shingles", "k1", "k2"]
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep"))
     member = signed.select("doc_id", *keys)

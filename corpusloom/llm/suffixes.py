@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import mix, prefix_sums, span_hashes
-from .work import partitions, written
+from .work import partitions, tidy, written
 
 ANCHOR = 20
 #: Longer texts are cut into pieces of so many window starts.
@@ -173,7 +173,7 @@ _RUN = ("<i8", "<i8", "<u1")  # document, first window, windows
 _WANT = ("<i8", "<i8", "<u1", "<u8")  # and the anchor
 
 
-def _occurrences(least: int, buckets: int, flush: int = 1 << 20):
+def _occurrences(least: int, buckets: int, flush: int = 1 << 19):
     """Anchors of all windows, dealt by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +237,7 @@ def _segments(b: bytes, meta: list[np.ndarray]) -> bytes:
     return _blob(0, 0, *meta)[2] + b
 
 
-def _cut_out(least: int, buckets: int, flush: int = 16 << 20):
+def _cut_out(least: int, buckets: int, flush: int = 8 << 20):
     """The bytes of the stretches that were asked for, dealt by anchor; of crowded anchors, single windows dealt by their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -472,14 +472,14 @@ def repeated_spans(docs: DataFrame, least: int = 100, digest: bool = False) -> D
         raise ValueError("least must be from 28 to 274")
     buckets = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = docs.where("doc_id is not null").mapInArrow(_occurrences(least, buckets), BLOB)
-    found = written(dealt.repartitionById(buckets, "bucket").mapInArrow(_compared(buckets), BLOB))
-    texts = docs.mapInArrow(_packed(buckets), _MOVED)
+    dealt = docs.where("doc_id is not null").mapInArrow(tidy(_occurrences(least, buckets)), BLOB)
+    found = written(dealt.repartitionById(buckets, "bucket").mapInArrow(tidy(_compared(buckets)), BLOB))
+    texts = docs.mapInArrow(tidy(_packed(buckets)), _MOVED)
     wanted = _together(texts.where("doc_id is not null"), found.where(F.col("kind").isin(ASKED, CROWD)), buckets)
-    segments = wanted.mapInArrow(_cut_out(least, buckets), BLOB)
-    more = segments.repartitionById(buckets, "bucket").mapInArrow(_expanded(least, buckets), BLOB)
+    segments = wanted.mapInArrow(tidy(_cut_out(least, buckets)), BLOB)
+    more = segments.repartitionById(buckets, "bucket").mapInArrow(tidy(_expanded(least, buckets)), BLOB)
     runs = found.where(F.col("kind") == REMOVED).unionByName(more)
-    return _together(texts, runs, buckets).mapInArrow(_removed(least, digest), RESULT)
+    return _together(texts, runs, buckets).mapInArrow(tidy(_removed(least, digest)), RESULT)
 
 
 def without_repeats(docs: DataFrame, least: int = 100) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import prefix_sums, span_hashes
+from .work import tidy
 
 #: Tokens are counted under so many hashed values; what is sent to the driver has this size, whatever the corpus.
 BUCKETS = 1 << 18
@@ -239,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = {r.doc_id: int(r.toxic > 0) for r in own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()}
     sc = spark.sparkContext
-    rows = docs.mapInArrow(_counting(sc.broadcast(picked)), "bucket int, data binary").repartitionById(_RANGES, "bucket").mapInArrow(_adding, "bucket int, data binary").collect()
+    rows = docs.mapInArrow(tidy(_counting(sc.broadcast(picked))), "bucket int, data binary").repartitionById(_RANGES, "bucket").mapInArrow(tidy(_adding), "bucket int, data binary").collect()
     counts = np.zeros((3, BUCKETS), dtype=np.int64)
     for r in rows:
         wide = BUCKETS // _RANGES
@@ -289,7 +290,7 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     passage and get the score of no evidence. Repeated rows are scored one by one.
     """
     model = fit(docs, labels, sample)
-    out = _clean_docs(docs).mapInArrow(_scoring(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double, passages array<struct<start:long,end:long,evidence:double>>")
+    out = _clean_docs(docs).mapInArrow(tidy(_scoring(docs.sparkSession.sparkContext.broadcast(model))), "doc_id long, score double, passages array<struct<start:long,end:long,evidence:double>>")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
 
 
@@ -306,4 +307,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
             for out in score(iter([own])):
                 yield batch.filter(pa.array([x < 0.5 for x in out.column(1).to_pylist()]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a text table that a Python task looks at together.
+ROWS = 1000
+
 _local: list[str] = []
 
 
@@ -31,3 +37,18 @@ def written(df: DataFrame) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle width, from which bucket counts follow."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run over slices of at most ROWS rows; when the task ends, its worker, which stays, gives free memory back."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return inner
