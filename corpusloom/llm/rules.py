@@ -15,10 +15,9 @@ from .work import written
 
 #: Relative width of a bin, documents that a group needs for thresholds of its own, and spreads beyond the quartiles.
 GAMMA, LEAST_DOCS, SPREADS = 1.02, 100, 4.0
-#: Least upper limits: a uniform group, whose quartiles lie together, doesn't reject small deviations.
-FLOORS = {"word_length": 12.0, "symbols": 0.25, "dup_lines": 0.3, "repeats": 0.2}
-#: Only words can also be too short, below this at most.
-SHORT_WORDS = 2.5
+#: Least spread of each measure, so that a uniform group, whose quartiles lie together, doesn't reject small deviations;
+#: it is also at least one bin wide.
+LEAST_SPREAD = {"word_length": 0.1, "symbols": 0.02, "dup_lines": 0.03, "repeats": 0.02}
 
 _BLANK = "[\\x20\\x09-\\x0D]+"
 
@@ -79,6 +78,7 @@ def _quartiles(sketch: DataFrame, keys: list[str], mark: str) -> DataFrame:
 def thresholds(rows: DataFrame) -> DataFrame:
     """lang, source and for each measure the limits `<measure>_from` and `<measure>_to`.
 
+    The limits lie SPREADS spreads (the distance of the quartiles, LEAST_SPREAD at least) beyond the quartiles.
     A group with fewer than LEAST_DOCS documents uses its language's sketch, and a small language the whole corpus'.
     """
     sketch = written(sketches(rows))
@@ -89,10 +89,11 @@ def thresholds(rows: DataFrame) -> DataFrame:
     both = own.join(lang, same(F.col("lang"), F.col("_l")) & (F.col("measure") == F.col("_m"))).join(every, F.col("measure") == F.col("_n"))
     enough = lambda c: F.when(F.col(c)["n"] >= LEAST_DOCS, F.col(c))
     both = both.select("lang", "source", "measure", F.coalesce(enough("own"), enough("of_lang"), F.col("of_all")).alias("q"))
-    spread = F.col("q.high") - F.col("q.low")
-    limits = both.select("lang", "source", "measure", (F.col("q.low") - SPREADS * spread).alias("from_"), (F.col("q.high") + SPREADS * spread).alias("to_"))
+    least = F.create_map(*[F.lit(x) for pair in LEAST_SPREAD.items() for x in pair])[F.col("measure")]
+    spread = SPREADS * F.greatest(F.col("q.high") - F.col("q.low"), least, (GAMMA - 1) * F.col("q.high"))
+    limits = both.select("lang", "source", "measure", (F.col("q.low") - spread).alias("from_"), (F.col("q.high") + spread).alias("to_"))
     pick = lambda k, c: F.max(F.when(F.col("measure") == k, F.col(c)))
-    columns = [F.least(pick("word_length", "from_"), F.lit(SHORT_WORDS)).alias("word_length_from")] + [F.greatest(pick(k, "to_"), F.lit(v)).alias(f"{k}_to") for k, v in FLOORS.items()]
+    columns = [pick("word_length", "from_").alias("word_length_from")] + [pick(k, "to_").alias(f"{k}_to") for k in LEAST_SPREAD]
     return limits.groupBy("lang", "source").agg(*columns)
 
 

@@ -253,6 +253,22 @@ def test_thresholds_adapt_to_their_group(spark):
     assert not got[5000] and not got[5001]
 
 
+def test_limits_of_a_uniform_group_are_tighter_than_fixed_ones(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    text = lambda n: "\n".join(" ".join(word(n + rng.randint(-1, 1)) for _ in range(8)) for _ in range(8))
+    odd = {900: text(9), 901: text(3), 902: text(5).replace(" ", " # ", 8), 903: text(5) + "\nsame line\nsame line\nsame line", 904: text(5) + " once more the very same" * 2}
+    rows = [(i, text(5), "en", "plain") for i in range(200)] + [(i, t, "en", "plain") for i, t in odd.items()]
+    # a group in which one in two repeats lines keeps what the uniform one rejects
+    rows += [(2000 + i, text(5) + ("\nsame line" * 3 if i % 2 == 0 else ""), "en", "loose") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in rules.judged(df).collect()}
+    assert not any(got[i].base_failed for i in odd)
+    assert {i for i, r in got.items() if not r.kept} == set(odd)
+    limits = {r.source: r for r in rules.thresholds(rules.measured(df)).collect()}["plain"]
+    assert limits.word_length_to < 12 and limits.word_length_from > 2.5 and limits.symbols_to < 0.25 and limits.dup_lines_to < 0.3 and limits.repeats_to < 0.2
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="with-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">menu</a></li></ul></nav><div class="cookie-notice">accept</div>
 <div class=content><article><header><h1>Title &amp; more</h1></header><p>First <b>bold</b>
