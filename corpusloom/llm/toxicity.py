@@ -17,16 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import prefix_sums, span_hashes
-from .work import tidy
+from .work import tidy, written
 
-#: Tokens are counted under so many hashed values; what is sent to the driver has this size, whatever the corpus.
-BUCKETS = 1 << 18
 #: Weight of the prior in tokens, least z-score and log-odds of a token that counts (a language or a subject that is
 #: more common among toxic documents moves its words less), and what every other token costs.
 PRIOR, LEAST_Z, LEAST_ODDS, COST = 1000.0, 3.5, 1.5, 0.05
 #: At most so many labelled training rows are used, those with the smallest hashes.
 SAMPLE = 20_000
-_RANGES = 16
 
 #: ASCII letters in lower case; other bytes above 127 as they are; everything else ends a token.
 _FOLD = np.zeros(256, dtype=np.uint8)
@@ -36,25 +33,38 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed value, start and end (bytes in the joined texts) of each token, and each text's first token (one more)."""
+    """64-bit hash, start and end (bytes in the joined texts) of each token, and each text's first token (one more)."""
     data = _FOLD[np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)]
     inside = data > 0
     turn = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
     start, end = turn[0::2], turn[1::2]
     h = span_hashes(prefix_sums(data), start, end)
     edge = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return (h % np.uint64(BUCKETS)).astype(np.int64), start, end, np.searchsorted(start, edge)
+    return h.view(np.int64), start, end, np.searchsorted(start, edge)
 
 
 @dataclass
 class Model:
-    score: np.ndarray  # of each hashed token
+    keys: np.ndarray  # sorted hashes of the tokens with a positive score
+    values: np.ndarray  # their scores; every other token costs COST
     rate: float  # lambda of the extreme-value law
     size: float  # log K
     least: float  # rate times the smallest positive token score
     slope: float
     shift: float
 
+    def score(self, which: np.ndarray) -> np.ndarray:
+        at = _places(self.keys, which)
+        return np.where(at < len(self.keys), np.append(self.values, -COST)[at], -COST)
+
+
+def _places(keys: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Where each hash stands in the sorted keys; their number for one that isn't among them."""
+    if len(keys) == 0:
+        return np.zeros(len(which), dtype=np.int64)
+    at = np.searchsorted(keys, which)
+    return np.where(keys[np.minimum(at, len(keys) - 1)] == which, at, len(keys))
+
 
 def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments of a sequence (start, end, score), by Ruzzo and Tompa's scan over positive scores."""
@@ -109,50 +119,58 @@ def _pieces(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, l
 
 
 def _counting(shared):
+    """Toxic and clean labelled documents that hold each token, summed over each batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels: dict[int, int] = shared.value
-        counts = np.zeros((3, BUCKETS), dtype=np.int64)  # all, toxic, clean
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            kind = [labels[x] for x in batch.column(0).to_pylist()]
+            held: list[list[np.ndarray]] = [[], []]  # clean, toxic
             for a, b, texts in _pieces(batch.column(1)):
                 which, _, _, first = tokens(texts)
-                counts[0] += np.bincount(which, minlength=BUCKETS)
                 for i in range(a, b):
-                    if (label := labels.get(ids[i])) is not None:
-                        # once for each document: a word that one text repeats is no evidence
-                        counts[1 if label else 2][np.unique(which[first[i - a] : first[i - a + 1]])] += 1
-        wide = BUCKETS // _RANGES
-        rows = [counts[:, i * wide : (i + 1) * wide].tobytes() for i in range(_RANGES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_RANGES), pa.int32()), pa.array(rows, pa.binary())], ["bucket", "data"])
+                    # once for each document: a word that one text repeats is no evidence
+                    held[kind[i]].append(np.unique(which[first[i - a] : first[i - a + 1]]))
+            clean, toxic = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in held)
+            keys, place = np.unique(np.concatenate((clean, toxic)), return_inverse=True)
+            counts = [np.bincount(x, minlength=len(keys)) for x in (place[len(clean) :], place[: len(clean)])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, *counts)], ["token", "toxic", "clean"])
 
     return run
 
 
-def _adding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            have = np.frombuffer(x, dtype=np.int64)
-            total[i] = total[i] + have if i in total else have
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["bucket", "data"])
+def _occurring(shared):
+    """How often each of the sorted tokens occurs; one more row, with place -1, counts all tokens."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: np.ndarray = shared.value
+        counts, total = np.zeros(len(keys) + 1, dtype=np.int64), 0
+        for batch in batches:
+            for _, _, texts in _pieces(batch.column(1)):
+                which, _, _, _ = tokens(texts)
+                counts += np.bincount(_places(keys, which), minlength=len(keys) + 1)
+                total += len(which)
+        own = np.flatnonzero(counts[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(own, -1), pa.int64()), pa.array(np.append(counts[own], total), pa.int64())], ["place", "n"])
 
-def token_scores(counts: np.ndarray) -> np.ndarray:
-    """Log-odds of each hashed token with the corpus as Dirichlet prior, where they are significant; else the cost.
+    return run
 
-    Significance is the signed root of the likelihood ratio between one rate for both kinds and one for each.
-    """
-    every, toxic, clean = counts.astype(float)
-    alpha = 0.1 + PRIOR * (every + 0.5) / (every.sum() + 0.5 * BUCKETS)
-    x, y = toxic + alpha, clean + alpha
-    n, m = toxic.sum() + PRIOR, clean.sum() + PRIOR
-    odds = np.log(x / (n - x)) - np.log(y / (m - y))
+
+def significance(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
+    """Signed root of the likelihood ratio between one rate for both kinds and one for each."""
     both = toxic + clean
-    share = toxic.sum() / max(1.0, toxic.sum() + clean.sum())
+    share = n_toxic / max(1.0, n_toxic + n_clean)
     part = lambda seen, due: seen * np.log(np.maximum(seen, 1e-9) / np.maximum(due, 1e-9))
     z = np.sqrt(np.maximum(0.0, 2 * (part(toxic, both * share) + part(clean, both * (1 - share)))))
-    return np.where((z >= LEAST_Z) & (odds >= LEAST_ODDS) & (toxic >= 3), odds, -COST)
+    return np.where(toxic >= both * share, z, -z)
+
+
+def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, every: np.ndarray, total: float) -> np.ndarray:
+    """Log-odds of tokens with their shares of the corpus as Dirichlet prior."""
+    alpha = 0.1 + PRIOR * every / max(1.0, total)
+    x, y = toxic + alpha, clean + alpha
+    n, m = n_toxic + PRIOR, n_clean + PRIOR
+    return np.log(x / (n - x)) - np.log(y / (m - y))
 
 
 def _rate(score: np.ndarray, weight: np.ndarray) -> float:
@@ -174,12 +192,12 @@ def _segments_of(shared):
     """Number of tokens and best segment score of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score: np.ndarray = shared.value
+        model: Model = shared.value
         for batch in batches:
             n, best, sums = [], [], []
             for _, _, texts in _pieces(batch.column(1)):
                 which, _, _, first = tokens(texts)
-                s = score[which]
+                s = model.score(which)
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
                     found = [x[2] for x in maximal_segments(s[a:b])]
                     n.append(b - a)
@@ -230,7 +248,7 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from labels (doc_id, toxic) of documents that aren't held out, at most `sample` of them.
 
-    Corpus counts cover all documents. Null labels and labels of no document are skipped; of rows that share a doc_id,
+    Tokens are told apart by 64-bit hashes, and counts of the corpus cover all documents. Null labels and labels of no document are skipped; of rows that share a doc_id,
     toxic wins. With no labels of one kind no token scores, and every document gets the share of toxic labels
     (one half without labels).
     """
@@ -240,28 +258,38 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = {r.doc_id: int(r.toxic > 0) for r in own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()}
     sc = spark.sparkContext
-    rows = docs.mapInArrow(tidy(_counting(sc.broadcast(picked))), "bucket int, data binary").repartitionById(_RANGES, "bucket").mapInArrow(tidy(_adding), "bucket int, data binary").collect()
-    counts = np.zeros((3, BUCKETS), dtype=np.int64)
-    for r in rows:
-        wide = BUCKETS // _RANGES
-        counts[:, r.bucket * wide : (r.bucket + 1) * wide] = np.frombuffer(r.data, dtype=np.int64).reshape(3, wide)
-    score = token_scores(counts)
-    rate = _rate(score, counts[2])
-    ids = spark.createDataFrame([(k,) for k in picked], "doc_id long")
-    seen = docs.join(F.broadcast(ids), "doc_id").mapInArrow(_segments_of(sc.broadcast(score)), "doc_id long, n long, best double, sums array<double>").collect()
+    ids = F.broadcast(spark.createDataFrame([(k,) for k in picked], "doc_id long"))
+    own = docs.join(ids, "doc_id")
+    counts = written(own.mapInArrow(tidy(_counting(sc.broadcast(picked))), "token long, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    n_toxic, n_clean = (float(x or 0) for x in counts.agg(F.sum("toxic"), F.sum("clean")).first())
+    # only tokens of three toxic documents can score; of these, only the significant ones are counted in the corpus
+    found = counts.where("toxic >= 3").toArrow()
+    keys, toxic, clean = (found.column(c).to_numpy() for c in ("token", "toxic", "clean"))
+    good = np.flatnonzero(significance(toxic, clean, n_toxic, n_clean) >= LEAST_Z)
+    good = good[np.argsort(keys[good])]
+    keys, toxic, clean = keys[good], toxic[good], clean[good]
+    rows = docs.mapInArrow(tidy(_occurring(sc.broadcast(keys))), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    seen_in = {r.place: r.n for r in rows}
+    every = np.array([seen_in.get(i, 0) for i in range(len(keys))], dtype=float)
+    odds = log_odds(toxic, clean, n_toxic, n_clean, every, float(seen_in.get(-1, 0)))
+    good = odds >= LEAST_ODDS
+    keys, score, clean_of = keys[good], odds[good], clean[good]
+    rate = _rate(np.append(score, -COST), np.append(clean_of, n_clean - clean_of.sum()))
+    model = Model(keys, score, rate, 0.0, 0.0, 0.0, 0.0)
+    seen = own.mapInArrow(tidy(_segments_of(sc.broadcast(model))), "doc_id long, n long, best double, sums array<double>").collect()
     y = np.array([picked[r.doc_id] for r in seen], dtype=float)
     n = np.array([max(1, r.n) for r in seen], dtype=float)
     best = np.array([r.best for r in seen])
-    clean = y == 0
+    tame = y == 0
     # K from how many clean documents reach the least positive score: count = K * sum(n) * exp(-rate * score)
-    least = rate * float(score[score > 0].min()) if (score > 0).any() else 1.0
-    size = float(np.log((best[clean] > 0).sum() + 0.5) - np.log(max(1.0, n[clean].sum())) + least)
+    least = rate * float(score.min()) if len(score) else 1.0
+    size = float(np.log((best[tame] > 0).sum() + 0.5) - np.log(max(1.0, n[tame].sum())) + least)
     share = float(y.mean()) if len(y) else 0.5
     if len(y) == 0 or not 0 < share < 1:
         share = min(max(share, 1e-3), 1 - 1e-3)
-        return Model(score, rate, size, least, 1e-9, float(np.log(share / (1 - share))))
+        return Model(keys, score, rate, size, least, 1e-9, float(np.log(share / (1 - share))))
     x = np.array([combined([rate * s - size - np.log(max(1, r.n)) for s in r.sums], least) for r in seen])
-    return Model(score, rate, size, least, *_logistic(x, y))
+    return Model(keys, score, rate, size, least, *_logistic(x, y))
 
 
 def _scoring(shared):
@@ -271,7 +299,7 @@ def _scoring(shared):
             score, passages = [], []
             for _, _, texts in _pieces(batch.column(1)):
                 which, start, end, first = tokens(texts)
-                s = model.score[which]
+                s = model.score(which)
                 base = np.cumsum([0] + [len(t) + 1 for t in texts])
                 for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
                     x, found = evidence(s[a:b], model)

@@ -155,6 +155,24 @@ def test_toxicity_on_held_out_labels(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, t in truth.items() if not t} | {900, None}
 
 
+def test_rare_words_of_a_large_vocabulary_keep_their_own_counts(spark):
+    rng = random.Random(4)
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(5))
+    docs, labels = [], []
+    for i in range(600):  # words that no other document has: far more than 2 ** 18 in all
+        words = [name(i * 1000 + j) for j in range(1000)]
+        bad = i % 30 == 0
+        words += rng.choices(["vilest", "foulest"], k=8) if bad else []
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    own, _, _, _ = toxicity.tokens([b"vilest foulest"])
+    every = np.unique(toxicity.tokens([t.encode() for _, t in docs])[0])
+    assert len(every) == 600_002  # one for each word
+    assert (model.score(own) > 0).all() and set(every[model.score(every) > 0]) == set(own)
+
+
 def test_toxicity_without_labels(spark):
     d = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     lab = spark.createDataFrame([], "doc_id long, toxic int")
