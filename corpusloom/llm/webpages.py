@@ -2,8 +2,9 @@
 
 Pages of a host are merged into one tree of styled nodes (tag and class along the path). For every node the entropy
 of its presentation (the styles of its children) and of its content over the host's pages says how important it is:
-what looks and reads the same on every page is low. A page's text is what stands in it after branches of low
-importance, and those whose role says so (menus, footers, forms and the like), are removed.
+what looks and reads the same on every page is low, inside articles as well. A page's text is what
+stands in it after branches of low importance, and those whose role says so (menus, footers, forms and the like), are
+removed; article and main elements are a hint, which counts where one of them holds the larger part of what is left.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -22,6 +24,8 @@ from .work import written
 
 #: Importance below which a branch goes, pages that a node must be seen on, weight of content against presentation.
 LOW, LEAST_PAGES, CONTENT = 0.15, 8, 0.9
+#: The same for a branch with a doubtful class: one of the names below is a part of it.
+DOUBTFUL = 0.5
 #: Rows of low nodes up to which they are broadcast; more are joined by host.
 BROADCAST_ROWS = 50_000
 
@@ -33,7 +37,9 @@ _BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 #: Roles that are no article.
-_DROPPED = set("nav aside footer form button select datalist menu dialog object canvas audio video map fieldset head".split())
+_DROPPED = set("nav aside footer button select datalist menu dialog object canvas audio video map head".split())
+#: Roles, names and these elements too, unless what they hold says otherwise.
+_SOFT = {"form", "fieldset"}
 _ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar status".split())
 _NAMES = set(
     "nav navbar navigation menu breadcrumb breadcrumbs topbar masthead header footer sidebar aside ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies respond disqus discussion related recommended widget search toolbar pagination pager copyright legal skip".split()
@@ -41,46 +47,63 @@ _NAMES = set(
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _WITHIN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 _ROOTS = {"article", "main"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _BLANK = re.compile(r"\s+")
 
 
 class _Open:
-    __slots__ = ("tag", "path", "dropped", "inside", "styles", "text")
+    __slots__ = ("tag", "path", "dropped", "root", "soft", "link")
 
-    def __init__(self, tag: str, path: str, dropped: bool, inside: bool):
-        self.tag, self.path, self.dropped, self.inside = tag, path, dropped, inside
-        self.styles: list[str] = []
-        self.text: list[str] = []
+    def __init__(self, tag: str, path: str, dropped: bool, root: int, soft: tuple[int, ...], link: bool):
+        self.tag, self.path, self.dropped, self.root, self.soft, self.link = tag, path, dropped, root, soft, link
+
+
+class _Block:
+    __slots__ = ("path", "text", "root", "soft", "prose")
+
+    def __init__(self, path: tuple[str, ...], text: str, root: int, soft: tuple[int, ...], prose: int):
+        self.path, self.text, self.root, self.soft, self.prose = path, text, root, soft, prose
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] for m in _ATTRIBUTE.finditer(text)} if "=" in text else {}
 
 
-def _no_article(tag: str, own: dict[str, str], raw: str, inside: bool) -> bool:
-    """Whether an element's tag, role or names say that it is no part of an article."""
+def _no_article(tag: str, own: dict[str, str], raw: str, inside: bool) -> int:
+    """2 if an element's tag says that it is no part of an article, or it is hidden; 1 if its role or a whole name does."""
     if tag in _DROPPED or (tag == "header" and not inside):
-        return True
+        return 2
     if tag in ("html", "body") or tag in _ROOTS:
-        return False
+        return 0
     if not raw:
-        return False
-    if own.get("role", "").lower() in _ROLES or own.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"""=\s*("[^"]*"|'[^']*')""", "", raw)):
-        return True
+        return int(tag in _SOFT)
+    if own.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"""=\s*("[^"]*"|'[^']*')""", "", raw)):
+        return 2
     if "display:none" in own.get("style", "").replace(" ", ""):
-        return True
-    names = set(re.split(r"[^a-z]+", f"{own.get('class', '')} {own.get('id', '')}".lower()))
-    return bool(names & (_NAMES - {"header"} if inside else _NAMES))
+        return 2
+    names = set(own.get("class", "").lower().split())
+    if tag not in _HEADINGS:
+        names.add(own.get("id", "").lower())
+    return int(tag in _SOFT or own.get("role", "").lower() in _ROLES or bool(names & (_NAMES - {"header"} if inside else _NAMES)))
+
+
+@lru_cache(maxsize=10_000)
+def _doubtful(style: str) -> bool:
+    """Whether a part of an element's class is one of the names that say that it is no part of an article."""
+    tag, _, names = style.partition(".")
+    return tag not in _HEADINGS and bool(_NAMES & set(re.split(r"[^a-z]+", names.lower())))
 
 
 class Page:
-    """One pass over a page: its blocks of text in order, each with the path it stands in, and the nodes outside articles."""
+    """One pass over a page: its blocks of text in order, each with the path it stands in and the article it belongs to."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[tuple[str, ...], str, bool]] = []  # paths from the root, text, inside an article
-        self.nodes: list[tuple[str, str, str]] = []  # path, styles of the children, text
-        self.rooted = False
-        self._stack = [_Open("", "", False, False)]
+        self.blocks: list[_Block] = []
+        self._looks: dict[str, list[str]] = {}  # the styles of the children by path
+        self._roots = 0  # outermost article and main elements
+        self._soft: list[bool] = []  # elements that go for their role or name: whether they hold an article or main
+        self._stack = [_Open("", "", False, -1, (), False)]
+        self._link = 0  # characters of the run in links
         self._run: list[str] = []
         at = 0
         while (m := _TOKEN.search(source, at)) is not None:
@@ -100,20 +123,30 @@ class Page:
         while len(self._stack) > 1:
             self._close()
         self._flush()
+        size = sum(len(x.text) for x in self.blocks)
+        held = [0] * len(self._soft)
+        for x in self.blocks:
+            for i in x.soft:
+                held[i] += len(x.text)
+        # an element that holds an article, or most of the text of a page without any elsewhere, stays whatever its name
+        rooted = any(x.root >= 0 and not x.soft for x in self.blocks)
+        gone = {i for i, holds in enumerate(self._soft) if not holds and (rooted or 2 * held[i] <= size)}
+        self.blocks = [x for x in self.blocks if gone.isdisjoint(x.soft)]
 
     def _words(self, text: str) -> None:
         top = self._stack[-1]
         if text and not top.dropped:
             self._run.append(text)
+            if top.link:
+                self._link += len(text)
 
     def _flush(self) -> None:
         if self._run:
             text = _BLANK.sub(" ", entities.unescape("".join(self._run))).strip()
-            self._run = []
+            link, self._run, self._link = self._link, [], 0
             if text:
                 top = self._stack[-1]
-                top.text.append(text)
-                self.blocks.append((tuple(x.path for x in self._stack if x.path), text, top.inside))
+                self.blocks.append(_Block(tuple(x.path for x in self._stack if x.path), text, top.root, top.soft, max(0, len(text) - link)))
 
     def _start(self, tag: str, raw: str) -> None:
         if tag in _RAW:
@@ -137,13 +170,25 @@ class Page:
         own = _attributes(raw)
         top = self._stack[-1]
         style = f"{tag}.{'.'.join(sorted(own.get('class', '').split()))}"
-        top.styles.append(style)
-        inside = top.inside or tag in _ROOTS or own.get("role", "").lower() in ("main", "article")
-        dropped = top.dropped or _no_article(tag, own, raw, inside)
+        if top.path in self._looks:
+            self._looks[top.path].append(style)
+        opens = top.root < 0 and (tag in _ROOTS or own.get("role", "").lower() in ("main", "article"))
+        mark = _no_article(tag, own, raw, top.root >= 0 or opens)
+        dropped = top.dropped or mark == 2
+        root, soft = top.root, top.soft
+        if not dropped and opens:
+            root, self._roots = self._roots, self._roots + 1
+            for i in soft:
+                self._soft[i] = True
+        if not dropped and mark == 1:
+            self._flush()
+            soft = (*soft, len(self._soft))
+            self._soft.append(opens)
         if dropped and not top.dropped:
             self._flush()
-        self.rooted |= inside and not dropped
-        node = _Open(tag, f"{top.path}/{style}", dropped, inside)
+        node = _Open(tag, f"{top.path}/{style}", dropped, root, soft, top.link or tag == "a")
+        if tag in _BLOCK and not dropped:
+            self._looks.setdefault(node.path, [])
         self._stack.append(node)
 
     def _end(self, tag: str) -> None:
@@ -156,19 +201,36 @@ class Page:
 
     def _close(self) -> None:
         top = self._stack[-1]
-        if top.dropped or top.tag in _BLOCK:
+        if top.dropped or top.tag in _BLOCK or top.soft != self._stack[-2].soft:
             self._flush()
         self._stack.pop()
-        if not top.dropped and not top.inside and top.tag in _BLOCK:
-            self.nodes.append((top.path, " ".join(top.styles), "\n".join(top.text)))
-        if not top.dropped:
-            self._stack[-1].text.extend(top.text)
+
+    def nodes(self) -> Iterator[tuple[str, str, str]]:
+        """Path, styles of the children and text of each block node that holds text, once for each path."""
+        held: dict[str, list[str]] = {}
+        for x in self.blocks:
+            for path in dict.fromkeys(x.path):
+                if path in self._looks:
+                    held.setdefault(path, []).append(x.text)
+        for path, texts in held.items():
+            yield path, " ".join(self._looks[path]), "\n".join(texts)
 
     def text(self, low: set[int]) -> str:
-        """The blocks outside low branches; if the page has an article or main element, those inside it."""
-        own = [(path, t) for path, t, inside in self.blocks if inside or not self.rooted]
-        kept = [t for path, t in own if not low or self.rooted or not any(node_id(p) in low for p in path)]
-        return "\n".join(kept if kept or self.rooted else [t for _, t in own])
+        """The blocks outside low branches; only those in article or main elements if the largest of these holds at least
+        as much text as stands outside all of them (the text of links aside). Low branches that hold all the text of the
+        page, or of its articles, stay."""
+        high = [x for x in self.blocks if not low or not any(node_id(p) in low for p in x.path)]
+        sizes = Counter()
+        for x in high:
+            sizes[x.root] += len(x.text) if x.root >= 0 else x.prose
+        if low and not any(i >= 0 for i in sizes) and any(x.root >= 0 for x in self.blocks):
+            keep = set(map(id, high))
+            high = [x for x in self.blocks if x.root >= 0 or id(x) in keep]
+            sizes.update({i: sum(len(x.text) for x in high if x.root == i) for i in {x.root for x in high if x.root >= 0}})
+        outside = sizes.pop(-1, 0)
+        if sizes and max(sizes.values()) >= outside:
+            high = [x for x in high if x.root >= 0]
+        return "\n".join(x.text for x in high or self.blocks)
 
 
 def node_id(path: str) -> int:
@@ -185,23 +247,23 @@ def _merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter = Counter()
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for path, styles, text in Page(source or "").nodes:
-                node = node_id(path)
-                counts[host, node, 0, xxhash.xxh64_intdigest(styles) - (1 << 63)] += 1
-                counts[host, node, 1, xxhash.xxh64_intdigest(text) - (1 << 63)] += 1
+            for path, styles, text in Page(source or "").nodes():
+                node, doubt = node_id(path), 2 * _doubtful(path.rpartition("/")[2])
+                counts[host, node, doubt, xxhash.xxh64_intdigest(styles) - (1 << 63)] += 1
+                counts[host, node, doubt + 1, xxhash.xxh64_intdigest(text) - (1 << 63)] += 1
         columns = list(zip(*counts)) if counts else [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((*columns, list(counts.values())), (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["host", "node", "kind", "seen", "n"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, node, pages, importance of every block node outside articles, over all pages of each host."""
+    """host, node, pages, importance and doubtful (by its class) of every block node, over all pages of each host."""
     rows = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
     counts = rows.mapInArrow(_merging, "host string, node long, kind int, seen long, n long").groupBy("host", "node", "kind", "seen").agg(F.sum("n").alias("n"))
     n = F.sum("n")
     entropy = F.when(n > 1, (F.log(n) - F.sum(F.col("n") * F.log("n")) / n) / F.log(n)).otherwise(1.0)
     nodes = counts.groupBy("host", "node", "kind").agg(n.alias("n"), entropy.alias("h"))
-    both = nodes.groupBy("host", "node").agg(F.max("n").alias("pages"), F.max(F.when(F.col("kind") == 0, F.col("h"))).alias("look"), F.max(F.when(F.col("kind") == 1, F.col("h"))).alias("read"))
-    return both.select("host", "node", "pages", ((1 - CONTENT) * F.col("look") + CONTENT * F.col("read")).alias("importance"))
+    both = nodes.groupBy("host", "node").agg(F.max("n").alias("pages"), F.max(F.when(F.col("kind") % 2 == 0, F.col("h"))).alias("look"), F.max(F.when(F.col("kind") % 2 == 1, F.col("h"))).alias("read"), (F.max("kind") >= 2).alias("doubtful"))
+    return both.select("host", "node", "pages", ((1 - CONTENT) * F.col("look") + CONTENT * F.col("read")).alias("importance"), "doubtful")
 
 
 def _extracting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,12 +277,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page.
 
     pages has page_id, url and html; other columns are ignored. Blocks stand on lines of their own in page order,
-    white space in a block is one space, character references are decoded. If a page has an article or main element,
-    its text is what that holds, less what roles exclude; else it is the page less excluded roles and less branches
-    of low importance in the host's tree. If only branches of low importance hold text, they stay. Null and empty
+    white space in a block is one space, character references are decoded. A page's text is the page less excluded roles
+    and less branches of low importance in the host's tree; if an article or main element holds at least as much of it as
+    stands outside all of these, it is what they hold. If only branches of low importance hold text, they stay. An element
+    excluded by its role or name stays if it holds an article or main or, on a page without
+    article or main, most of the text. Null and empty
     pages have an empty text. Rows without url form the host "". Repeated rows get a row each.
     """
-    low = written(style_tree(pages).where((F.col("importance") < LOW) & (F.col("pages") >= LEAST_PAGES)).groupBy("host").agg(F.collect_set("node").alias("low"), F.count("*").alias("n")))
+    low = written(style_tree(pages).where((F.col("importance") < F.when(F.col("doubtful"), DOUBTFUL).otherwise(LOW)) & (F.col("pages") >= LEAST_PAGES)).groupBy("host").agg(F.collect_set("node").alias("low"), F.count("*").alias("n")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     size = low.agg(F.coalesce(F.sum("n"), F.lit(0)) + F.count("*")).first()[0]
     low = low.select("host", "low")

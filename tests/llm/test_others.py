@@ -310,3 +310,33 @@ def test_style_tree_drops_what_every_page_of_a_host_has(spark):
     got = {r.page_id: r.text for r in webpages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3] == "Title 3\nBody text number 3 of this page."
     assert got[100].startswith("Same words everywhere\nTitle 100")
+
+
+def extracted(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in webpages.main_text(df).collect()}
+
+
+def test_style_tree_works_inside_articles_and_articles_are_a_hint(spark):
+    words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    page = lambda i: f"<body><article><h1>Title {i}</h1><div class=line>Tell your friends</div><table><tr><td>0<td>0<td>{i}</table><p>{words(i, 30)}</p></article><div>{words(-i - 1, 5)}</div></body>"
+    teasers = lambda i: "".join(f"<article><p>Teaser {i} {j}</p></article>" for j in range(3))
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(12)]
+    rows += [(100 + i, f"http://b.example/{i}", f"<body><div class=text><p>{words(i, 40)}</p></div>{teasers(i)}</body>") for i in range(3)]
+    rows += [(200 + i, f"http://c.example/{i}", f"<body><article><p>The same article.</p></article><div>{words(i, 2)}</div></body>") for i in range(10)]
+    rows += [(300, "http://d.example/", "<body><article><ul>" + "<li>0" * 20 + "</ul></article></body>")]
+    got = extracted(spark, rows)
+    assert got[3] == f"Title 3\n0\n0\n3\n{words(3, 30)}"
+    assert words(1, 40) in got[101]
+    assert got[205] == "The same article."
+    assert got[300] == "\n".join("0" * 20)  # repeated on one page, which says nothing about the host
+
+
+def test_names_drop_whole_names_only_and_no_article(spark):
+    text = "Words of the article that is read. " * 5
+    article = f"<article><h2 id='related-work'>Related work</h2><h2 id=comments>On comments</h2><section id='social-impact'><p>Impact</p></section><div class='search-algorithm'>Search</div><p>{text}</p><div class=share>Share</div></article>"
+    want = f"Related work\nOn comments\nImpact\nSearch\n{text.strip()}"
+    rows = [(1, "http://a/", f"<body><div class='layout with-sidebar'>{article}</div></body>"), (2, "http://b/", f"<body><div class=sidebar>{article}</div></body>")]
+    rows += [(3, "http://c/", f"<body><form id=search><div><p>{text}</p></div></form><div class=ad>Buy</div></body>"), (4, "http://d/", f"<body><main>{text}<div id=comments><article>Nice</article></div></main></body>")]
+    rows += [(5, "http://e/", f"<body><div class=ad>{text}</div><article>Short.</article></body>")]
+    assert extracted(spark, rows) == {1: want, 2: want, 3: text.strip(), 4: text.strip(), 5: "Short."}
