@@ -351,8 +351,8 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each near-duplicate group, the one with the smallest doc_id; columns as they were.
 
-    Rows without doc_id stay. Of rows with one doc_id and equal text, one stays.
+    Rows without doc_id stay. Of rows with one doc_id and equal text, one stays; other texts under a doc_id that stays do too.
     """
     groups = near_duplicates(docs, words, percent).where("kept").select("doc_id").where("doc_id is not null").distinct()
-    kept = docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id is null"))
