@@ -308,7 +308,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     The banding finds a pair at exactly 0.8 with a probability of 1 - 7e-6, and nearer ones almost surely.
     First each class is compared with the head (smallest id) of a bucket, the nearest head it has; then what is left
     across components: other heads, and members of buckets that still hold several components.
+    They are made for a percent of 80 and more; a smaller one is refused.
     """
+    if percent < 80:
+        raise ValueError("bands and the sketch filter are made for percent >= 80: below, they would miss links")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(docs.mapInArrow(tidy(_sign(words)), SIGNED))
     keys = ["n_shingles", "k1", "k2"]

@@ -84,3 +84,8 @@ def test_different_texts_under_one_id_stay(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     df = spark.createDataFrame([(1, a), (1, a), (1, b), (2, a)], "doc_id long, text string")
     assert sorted(tuple(r) for r in minhash.deduplicated(df).collect()) == [(1, a), (1, b)]
+
+
+def test_a_percent_that_the_bands_would_miss_is_refused():
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(None, percent=50)
