@@ -1,14 +1,19 @@
 """Approximate nearest neighbours by collision counting with query-centred windows.
 
 Inner products become distances by one more component that gives all vectors the same length. Vectors lie in blocks
-of bounded size; a block holds one sorted array for each of a few dozen random projections. A query's windows grow
-round its own projections (virtual rehashing: the same arrays, wider windows); a vector that lies in enough windows is
-verified with its exact inner product, until enough vectors are verified and none nearer can be expected.
+of bounded size; a block holds one sorted array for each projection. A query's windows open round its own places in
+these arrays and widen by virtual rehashing (the same arrays, and only what a window gains is looked up). A vector
+collides with the query once for each window that it lies in. Those that collide in half of the windows are verified
+first; the distance of the k-th best of them says how often a vector as near as that must collide, and every vector
+over this threshold is verified. So the verified share follows the data: little where neighbours stand out, much where
+all vectors are nearly equally far, and nothing is capped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import erf, sqrt
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -16,75 +21,98 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Projections, share of them in which a vector must fall into the window, share of a block that is verified per
-#: query, and growth of a window from one virtual rehashing to the next.
-PROJECTIONS, COLLIDE, VERIFIED, GROWTH = 128, 0.5, 0.15, 1.06
+#: Projections; share of the windows in which a vector as near as the k-th found must lie at least, by their last width;
+#: standard deviations of its number of collisions that the threshold lies below the expected one; growth of a window
+#: from one virtual rehashing to the next.
+PROJECTIONS, INSIDE, BELOW, GROWTH = 128, 0.6, 1.2, 1.1
 #: Vectors in a block and queries that meet it at once.
-BLOCK, QUERIES = 8192, 512
+BLOCK, QUERIES = 1 << 14, 1 << 11
+#: In spaces of fewer dimensions axes are drawn independently, else they are orthogonal in groups.
+FEW = 24
+
+
+def _axes(dim: int, seed: int) -> np.ndarray:
+    """Directions whose projections of a vector are normal with its length as standard deviation."""
+    rng = np.random.default_rng(seed)
+    if dim < FEW:
+        return rng.standard_normal((PROJECTIONS, dim))
+    groups = [np.linalg.qr(rng.standard_normal((dim, dim)))[0].T * np.sqrt(dim) for _ in range(-(-PROJECTIONS // dim))]
+    return np.concatenate(groups)[:PROJECTIONS]
+
+
+def _shrunk(vectors: np.ndarray) -> np.ndarray:
+    """Vectors (rows) of any size at unit scale: divided by the largest component first, so that no square over- or underflows."""
+    top = np.abs(vectors).max(axis=1, keepdims=True)
+    small = vectors / np.where(top > 0, top, 1.0)
+    return small / np.maximum(np.sqrt((small**2).sum(axis=1, keepdims=True)), 1e-300)
 
 
 class Index:
     """Sorted projections of one block of vectors (unit length in one more dimension)."""
 
-    def __init__(self, vectors: np.ndarray, norm: float, seed: int = 1):
+    def __init__(self, vectors: np.ndarray, seed: int = 1):
         self.vectors = vectors
-        n, dim = vectors.shape
-        scaled = vectors / norm
-        rest = np.sqrt(np.maximum(0.0, 1.0 - (scaled**2).sum(axis=1)))
-        self.axes = np.random.default_rng(seed).standard_normal((PROJECTIONS, dim + 1))
-        places = self.axes @ np.concatenate((scaled, rest[:, None]), axis=1).T
-        order = np.argsort(places, axis=1)
-        self.places = np.take_along_axis(places, order, axis=1)
-        #: Each vector's place in each sorted array: it lies in a window if its place does.
-        self.rank = np.empty(places.shape, dtype=np.uint16)
-        np.put_along_axis(self.rank, order, np.arange(n, dtype=np.uint16)[None, :], axis=1)
-
-    def edges(self, at: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
-        """First place and number of places in the window round each query's (column's) projections."""
-        left = np.array([p.searchsorted(x) for p, x in zip(self.places, at - width)])
-        right = np.array([p.searchsorted(x) for p, x in zip(self.places, at + width)])
-        return left.astype(np.uint16), (right - left).astype(np.uint16)
-
-    def inside(self, left: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The vectors that lie in enough of one query's windows."""
-        # places before the window wrap round to large numbers
-        hits = ((self.rank - left[:, None]) < size[:, None]).view(np.uint8).sum(axis=0, dtype=np.uint8)
-        return np.flatnonzero(hits >= int(np.ceil(COLLIDE * PROJECTIONS)))
+        small = vectors / np.abs(vectors).max()
+        self.scaled = small / np.sqrt((small**2).sum(axis=1).max())
+        rest = np.sqrt(np.maximum(0.0, 1.0 - (self.scaled**2).sum(axis=1)))
+        self.axes = _axes(vectors.shape[1] + 1, seed)
+        places = self.axes @ np.concatenate((self.scaled, rest[:, None]), axis=1).T
+        self.order = np.argsort(places, axis=1).astype(np.int32)
+        self.places = np.take_along_axis(places, self.order, axis=1)
 
     def search(self, queries: np.ndarray, k: int) -> Iterator[np.ndarray]:
-        """Numbers of the vectors to verify for each query: at least k, and as many as the verified share asks for.
-
-        All queries start with the width that was enough for the one before; windows grow for those that find less.
-        """
-        n = len(self.vectors)
-        want = min(n, max(4 * k, int(VERIFIED * n)))
-        at = self.axes[:, :-1] @ (queries / np.sqrt((queries**2).sum(axis=1))[:, None]).T
-        width = 0.3
-        while len(self.inside(*(e[:, 0] for e in self.edges(at[:, :1], width)))) < want:
-            width *= GROWTH
-        left, size = self.edges(at, width)
+        """Numbers of the vectors to verify for each query: at least k (all, if there are fewer)."""
+        n, m = self.places.shape[1], PROJECTIONS
+        unit = _shrunk(queries)
+        at = self.axes[:, :-1] @ unit.T
+        some, begin = min(n, 4 * k), 0.05
         for q in range(at.shape[1]):
-            found, own = self.inside(left[:, q], size[:, q]), width
-            while len(found) < want:
-                own *= GROWTH if len(found) * 2 > want else GROWTH**4
-                found = self.inside(*(e[:, 0] for e in self.edges(at[:, q : q + 1], own)))
-            yield found
-
-
-def _search(k: int, norm: float):
+            counts, left, right = np.zeros(n, dtype=np.int64), None, None
+
+            def widen(width: float) -> None:
+                nonlocal counts, left, right
+                low = [p.searchsorted(x) for p, x in zip(self.places, at[:, q] - width)]
+                high = [p.searchsorted(x, side="right") for p, x in zip(self.places, at[:, q] + width)]
+                if left is None:
+                    gained = [o[a:b] for o, a, b in zip(self.order, low, high)]
+                else:
+                    gained = [o[a:b] for o, a, b in zip(self.order, low, left)] + [o[a:b] for o, a, b in zip(self.order, right, high)]
+                counts += np.bincount(np.concatenate(gained), minlength=n)
+                left, right = low, high
+
+            width, steps = begin, 0
+            widen(width)
+            while (counts >= m / 2).sum() < some:
+                width, steps = width * GROWTH, steps + 1
+                widen(width)
+            begin = width / GROWTH**2 if steps else width / GROWTH**4  # the next query starts a little below what this one needed
+            first = np.flatnonzero(counts >= m / 2)
+            close = self.scaled[first] @ unit[q]
+            far = sqrt(max(1e-12, 2 - 2 * float(np.sort(close)[::-1][min(k, len(close)) - 1])))
+            last = NormalDist().inv_cdf((1 + INSIDE) / 2) * far
+            if last > width:
+                width = last
+                widen(width)
+            share = erf(width / far / sqrt(2))
+            enough = m * share - BELOW * sqrt(m * share * (1 - share))
+            yield np.union1d(first, np.flatnonzero(counts >= enough))
+
+
+def _search(k: int):
     def run(key: tuple, block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         names = ["query_id", "vec_id", "score"]
         if block.empty or queries.empty:
             return pd.DataFrame({c: [] for c in names}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         vectors = np.stack(block["v"].to_numpy()).astype(np.float64)
         ids = block["vec_id"].to_numpy()
-        index = Index(vectors, norm)
+        index = Index(vectors)
         out: list[tuple[np.ndarray, ...]] = []
         asked = np.stack(queries["v"].to_numpy()).astype(np.float64)
         for own, q, found in zip(queries["vec_id"].to_numpy(), asked, index.search(asked, k + 1)):
             found = found[ids[found] != own]
-            score = vectors[found] @ q
-            best = np.lexsort((ids[found], -score))[:k]
+            with np.errstate(all="ignore"):
+                score = vectors[found] @ q
+            best = np.lexsort((ids[found], np.nan_to_num(-score, nan=np.inf, posinf=np.inf, neginf=-np.inf)))[:k]
             out.append((np.full(len(best), own), ids[found][best], score[best]))
         return pd.DataFrame(dict(zip(names, (np.concatenate(c) for c in zip(*out)))))
 
@@ -106,12 +134,13 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     with fewer candidates, all of them. Null and zero vectors and those with null or non-finite components take no
     part, nor do rows without vec_id; vectors of another length than the most common one don't either. Rows that share
     a vec_id count as one, the smallest vector. Every vector is indexed: there are as many blocks as the table needs, and
-    each block of queries meets each block of vectors. An empty table gives an empty result.
+    the stated queries meet all of them, block by block. A score that over- or underflows is what double precision
+    gives; one that isn't a number ranks last. An empty table gives an empty result.
     """
     rows = usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v"))
     size = F.size("v").alias("d")
-    head = rows.groupBy(size).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).orderBy(F.desc("n"), "d").first()
-    dim, n, norm = (head.d, head.n, float(np.sqrt(head.m))) if head else (0, 0, 1.0)
+    head = rows.groupBy(size).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    dim, n = (head.d, head.n) if head else (0, 0)
     rows = rows.where(F.size("v") == dim)
     blocks = max(1, -(-n // BLOCK))
     query = rows.where(F.col("vec_id") % every == 0)
@@ -120,6 +149,6 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     dealt = rows.withColumn("b", code(1, blocks)).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     asked = query.withColumn("p", code(2, parts)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = dealt.groupBy("b", "p").cogroup(asked.groupBy("b", "p"))
-    found = pairs.applyInPandas(_search(k, norm), "query_id long, vec_id long, score double")
+    found = pairs.applyInPandas(_search(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

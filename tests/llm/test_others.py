@@ -209,6 +209,40 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_the_given_vectors(spark, sf):
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    found = collections.defaultdict(set)
+    for r in neighbours.nearest(df).collect():
+        found[r.query_id].add(r.vec_id)
+    rows = df.select("vec_id", "embedding").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    hits = total = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = v @ v[i]
+        score[i] = -np.inf
+        hits += len(found[int(ids[i])] & set(ids[np.lexsort((ids, -score))[:20]].tolist()))
+        total += 20
+    assert hits / total >= 0.9
+
+
+@pytest.mark.parametrize("size", [1e-170, 1e-310, 1.0, 1e150])
+def test_neighbours_of_any_size(spark, size):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((300, 8))
+    v[::3] *= size
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(20, v[20].tolist()), (320, [0.5] * 7), (340, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {i: 20 for i in range(0, 300, 20)}
+
+
+def test_equal_vectors_are_ranked_by_id(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in neighbours.nearest(df, 20, 20).where("query_id = 0").orderBy("rank").collect()]
+    assert got == list(range(1, 21))
+
+
 def test_quality(spark):
     rng = random.Random(5)
     docs, labels = [], []
