@@ -2,13 +2,15 @@
 
 Every window of `least` bytes has an anchor: the smallest hashed 20-byte string in it. Equal windows have equal
 anchors, so windows can only repeat among the stretches around one anchor; anchors are dealt to buckets, and equal
-stretches (whole copies) fall together by their hash. What remains, different stretches around a common anchor, is
-laid end to end in small texts whose transform is expanded breadth first: intervals of ever longer strings give the
-common prefixes by increasing value, up to the threshold. Suffixes that are still together share a window.
+stretches (whole copies) fall together by a 128-bit cryptographic digest of their bytes. What remains, different
+stretches around a common anchor, is laid end to end in small texts whose transform is expanded breadth first:
+intervals of ever longer strings give the common prefixes by increasing value, up to the threshold. Suffixes that are
+still together share a window.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import mix, prefix_sums, span_hashes
-from .work import partitions, tidy, written
+from .work import BUCKETS, by_bucket, dealt, partitions, tidy, written
 
 ANCHOR = 20
 #: Longer texts are cut into pieces of so many window starts.
@@ -57,35 +59,45 @@ def anchors(b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return h[at[low]], low, np.diff(np.concatenate((low, [len(at)]))), at[low]
 
 
-def common_windows(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes of text by their first `least` bytes, and which of them share those with the one before.
-
-    text holds bytes plus one; a 0 ends each stretch, and no string across an end counts. Suffixes are put in order
-    by doubling, which gives the transform; then intervals are expanded backwards from the empty string, and each
-    value of the longest common prefix below `least` is found at its own level.
-    """
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """The suffixes of text in order, by doubling; after seven bytes only those that are still tied are sorted on."""
     n = len(text)
-    rank = text.astype(np.int64)
-    order, have = np.empty(0, dtype=np.int64), 1
     padded = np.zeros(n + 8, dtype=np.uint64)
     padded[:n] = text
     key = padded[:n].copy()
     for j in range(1, 7):  # seven bytes fit beside each other
         key = (key << _U(8)) | padded[j : n + j]
-    have = 7
+    order, have = np.argsort(key, kind="stable"), 7
+    place = np.arange(n)
+    rank = np.zeros(n + 1, dtype=np.int64)  # where a suffix's group begins; the empty suffix comes before all
+    rank[n] = -1
+    key = key[order]
     while True:
-        order = np.argsort(key, kind="stable" if n < 64 else None)
-        sorted_key = key[order]
-        group = np.cumsum(np.concatenate(([0], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64))))
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = group
-        if have >= least or group[-1] == n - 1:
-            break
-        step = min(have, least - have)
-        after = np.zeros(n, dtype=np.int64)
-        after[: n - step] = rank[step:] + 1
-        key = (rank.astype(np.uint64) << _U(32)) | after.astype(np.uint64)
-        have += step
+        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.concatenate((head, [len(key)])))
+        rank[order[place]] = np.repeat(place[head], size)
+        tied = np.repeat(size > 1, size)
+        place = place[tied]
+        if len(place) == 0:
+            return order
+        suffix = order[place]
+        key = (rank[suffix].astype(np.uint64) << _U(32)) | (rank[np.minimum(suffix + have, n)] + 1).astype(np.uint64)
+        by = np.argsort(key, kind="stable")
+        order[place] = suffix[by]
+        key = key[by]
+        have *= 2
+
+
+def common_windows(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of text that begin with `least` bytes of one stretch, in order, and which share these with the one before.
+
+    text holds bytes plus one; a 0 ends each stretch, and no string across an end counts. The order of the suffixes
+    gives the transform, and knows nothing of `least`. Intervals are then expanded backwards from the empty string,
+    breadth first, so that each value of the longest common prefix below `least` is found at its own level; places
+    that no interval has told apart at the last level share `least` bytes.
+    """
+    n = len(text)
+    order = suffix_order(text)
     before = text[order - 1]  # the transform; the first suffix has the last end before it
     forward = np.empty(n, dtype=np.int64)  # where each suffix's predecessor stands
     forward[np.argsort(before, kind="stable")] = np.arange(n)
@@ -168,7 +180,7 @@ def _spread(ids: np.ndarray, buckets: int) -> np.ndarray:
 
 
 STRETCHES, REMOVED, ASKED, CROWD, TEXT = 0, 1, 2, 3, 4
-_OCCURS = ("<u8", "<u8", "<i8", "<i8", "<u1")  # anchor, stretch, document, first window, windows
+_OCCURS = ("<u8", "<u8", "<u8", "<i8", "<i8", "<u1")  # anchor, digest of the stretch, document, first window, windows
 _RUN = ("<i8", "<i8", "<u1")  # document, first window, windows
 _WANT = ("<i8", "<i8", "<u1", "<u8")  # and the anchor
 
@@ -185,8 +197,10 @@ def _occurrences(least: int, buckets: int, flush: int = 1 << 19):
                 for at in range(0, max(0, len(whole) - least + 1), PIECE):
                     b = np.ascontiguousarray(whole[at : at + PIECE + least - 1])
                     h, low, n, place = anchors(b, least)
-                    stretch = span_hashes(prefix_sums(b), low, low + n + least - 1) + (place - low).astype(np.uint64)
-                    parts.append([h, stretch, np.full(len(h), doc, dtype=np.int64), low + at, n.astype(np.uint8)])
+                    view = memoryview(b)
+                    digest = b"".join([hashlib.blake2b(view[i:j], digest_size=16).digest() for i, j in zip(low.tolist(), (low + n + least - 1).tolist())])
+                    stretch = np.frombuffer(digest, dtype="<u8").reshape(-1, 2)
+                    parts.append([h, stretch[:, 0] + (place - low).astype(np.uint64), stretch[:, 1], np.full(len(h), doc, dtype=np.int64), low + at, n.astype(np.uint8)])
                     have += len(h)
                     if have >= flush:
                         c = [np.concatenate(p) for p in zip(*parts)]
@@ -203,24 +217,22 @@ def _compared(buckets: int):
     """Per anchor: later copies of a stretch are removed whole; first ones are asked for where stretches differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for bucket, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                data.setdefault(bucket, []).append(x)
-        while data:
-            anchor, stretch, doc, low, n = _unblob(data.popitem()[1], *_OCCURS)
+        for rows in by_bucket(batches):
+            columns = _unblob([x for r in rows for x in r.column(2).to_pylist()], *_OCCURS)
+            del rows
             # only anchors that occur again
-            order = np.argsort(anchor)
-            s = anchor[order]
+            order = np.argsort(columns[0])
+            s = columns[0][order]
             same = s[1:] == s[:-1]
             again = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
-            anchor, stretch, doc, low, n = (c[again] for c in (anchor, stretch, doc, low, n))
-            order = np.lexsort((low, doc, stretch, anchor))
-            anchor, stretch, doc, low, n = (c[order] for c in (anchor, stretch, doc, low, n))
+            columns = [c[again] for c in columns]
+            anchor, stretch, more, doc, low, n = columns
+            order = np.lexsort((low, doc, more, stretch, anchor))
+            anchor, stretch, more, doc, low, n = (c[order] for c in columns)
             if len(anchor) == 0:
                 continue
             new_anchor = np.concatenate(([True], anchor[1:] != anchor[:-1]))
-            first = new_anchor | np.concatenate(([True], stretch[1:] != stretch[:-1]))
+            first = new_anchor | np.concatenate(([True], (stretch[1:] != stretch[:-1]) | (more[1:] != more[:-1])))
             different = np.bincount(np.cumsum(new_anchor) - 1, weights=first)[np.cumsum(new_anchor) - 1]
             out = list(_dealt(_spread(doc[~first], buckets), REMOVED, doc[~first], low[~first], n[~first]))
             for kind, pick in ((ASKED, first & (different > 1) & (different <= CROWDED)), (CROWD, first & (different > CROWDED))):
@@ -244,6 +256,7 @@ def _cut_out(least: int, buckets: int, flush: int = 8 << 20):
         asked: list[bytes] = []
         crowd: list[bytes] = []
         table: tuple | None = None
+        current = None
         parts: list[tuple] = []
         size = 0
         windows: dict[bytes, tuple[int, int]] = {}
@@ -260,7 +273,9 @@ def _cut_out(least: int, buckets: int, flush: int = 8 << 20):
             return out
 
         for batch in batches:
-            for kind, doc, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            for bucket, kind, doc, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if bucket != current:
+                    current, table, asked, crowd = bucket, None, [], []
                 if kind != TEXT:
                     (asked if kind == ASKED else crowd).append(x.as_py())
                     continue
@@ -276,10 +291,10 @@ def _cut_out(least: int, buckets: int, flush: int = 8 << 20):
                 text = zstandard.decompress(x.as_py())
                 removed = []
                 to = _spread(table[3][lo:hi].view(np.int64), buckets).tolist()
-                for bucket, s, n, h, many in zip(to, *(c[lo:hi].tolist() for c in table[1:])):
+                for target, s, n, h, many in zip(to, *(c[lo:hi].tolist() for c in table[1:])):
                     if not many:
                         piece = text[s : s + n + least - 1]
-                        parts.append((bucket, doc, s, n, h, len(piece), piece))
+                        parts.append((target, doc, s, n, h, len(piece), piece))
                         size += len(piece)
                         continue
                     for at in range(s, s + n):
@@ -323,24 +338,20 @@ def _expanded(least: int, buckets: int):
     """Windows that occur earlier in another stretch, by expansion of the transform of a few anchors' stretches at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            out = []
-            for bucket, kind, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if kind == REMOVED:
-                    out.append((bucket, kind, x))
-                else:
-                    held.setdefault(bucket, []).append(x)
+        for rows in by_bucket(batches):
+            out, cols, pieces = [], [], []
+            for r in rows:
+                for bucket, kind, x in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), r.column(2).to_pylist()):
+                    if kind == REMOVED:
+                        out.append((bucket, kind, x))
+                        continue
+                    n = int(np.frombuffer(x, dtype=np.int64, count=1)[0])
+                    cols.append(_unblob([x], *_SEG))
+                    pieces.append(np.frombuffer(x, dtype=np.uint8, offset=8 + n * sum(np.dtype(k).itemsize for k in _SEG)))
             if out:
                 yield _batch(out)
-        while held:
-            cols, pieces = [], []
-            for x in held.popitem()[1]:
-                n = int(np.frombuffer(x, dtype=np.int64, count=1)[0])
-                own = _unblob([x], *_SEG)
-                cols.append(own)
-                body = np.frombuffer(x, dtype=np.uint8, offset=8 + n * sum(np.dtype(k).itemsize for k in _SEG))
-                pieces.append(body)
+            if not cols:
+                continue
             doc, low, count, key, size = (np.concatenate(c) for c in zip(*cols))
             flat = np.concatenate(pieces)
             start = np.concatenate(([0], np.cumsum(size.astype(np.int64))))[:-1]
@@ -398,16 +409,17 @@ RESULT = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept
 
 def _removed(least: int, digest: bool):
     """Each document's removed spans and remaining bytes (or their digest)."""
-    import hashlib
-
     names = ["doc_id", "n_bytes", "starts", "ends", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: list[bytes] = []
         table: list[np.ndarray] | None = None
+        current = None
         for batch in batches:
             rows: list[tuple] = []
-            for kind, doc, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            for bucket, kind, doc, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if bucket != current:
+                    current, table, blobs = bucket, None, []
                 if kind != TEXT:
                     blobs.append(x.as_py())
                     continue
@@ -451,10 +463,9 @@ def _packed(buckets: int):
 _MOVED = "bucket int, kind int, doc_id long, data binary"
 
 
-def _together(texts: DataFrame, blobs: DataFrame, buckets: int) -> DataFrame:
-    """Texts and what concerns them in one task for each bucket of documents, packed rows first."""
-    rows = blobs.select("bucket", "kind", F.lit(None).cast("long").alias("doc_id"), "data").unionByName(texts)
-    return rows.repartitionById(buckets, "bucket").sortWithinPartitions("kind")
+def _together(texts: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Texts and what concerns them, bucket of documents by bucket, packed rows first."""
+    return dealt(blobs.select("bucket", "kind", F.lit(None).cast("long").alias("doc_id"), "data").unionByName(texts), "kind")
 
 
 def repeated_spans(docs: DataFrame, least: int = 100, digest: bool = False) -> DataFrame:
@@ -470,35 +481,41 @@ def repeated_spans(docs: DataFrame, least: int = 100, digest: bool = False) -> D
     spark = docs.sparkSession
     if not 28 <= least < 255 + ANCHOR:
         raise ValueError("least must be from 28 to 274")
-    buckets = partitions(spark)
+    buckets = BUCKETS * partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = docs.where("doc_id is not null").mapInArrow(tidy(_occurrences(least, buckets)), BLOB)
-    found = written(dealt.repartitionById(buckets, "bucket").mapInArrow(tidy(_compared(buckets)), BLOB))
+    occurring = docs.where("doc_id is not null").mapInArrow(tidy(_occurrences(least, buckets)), BLOB)
+    found = written(dealt(occurring).mapInArrow(tidy(_compared(buckets)), BLOB))
     texts = docs.mapInArrow(tidy(_packed(buckets)), _MOVED)
-    wanted = _together(texts.where("doc_id is not null"), found.where(F.col("kind").isin(ASKED, CROWD)), buckets)
+    wanted = _together(texts.where("doc_id is not null"), found.where(F.col("kind").isin(ASKED, CROWD)))
     segments = wanted.mapInArrow(tidy(_cut_out(least, buckets)), BLOB)
-    more = segments.repartitionById(buckets, "bucket").mapInArrow(tidy(_expanded(least, buckets)), BLOB)
+    more = dealt(segments).mapInArrow(tidy(_expanded(least, buckets)), BLOB)
     runs = found.where(F.col("kind") == REMOVED).unionByName(more)
-    return _together(texts, runs, buckets).mapInArrow(tidy(_removed(least, digest)), RESULT)
+    return _together(texts, runs).mapInArrow(tidy(_removed(least, digest)), RESULT)
 
 
 def without_repeats(docs: DataFrame, least: int = 100) -> DataFrame:
     """docs with the repeated bytes taken out of text; columns as they were, n_chars (if there) counted anew.
 
     A cut can split a character of several bytes: such broken bytes at the edge of a cut are dropped with it. A
-    document of which nothing is left stays, with an empty text; a null text stays null.
+    document of which nothing is left stays, with an empty text; null and empty texts stay as they are, and so do rows
+    without doc_id. Rows that share a doc_id are judged as repeated_spans does; each keeps its row. Other columns pass
+    through, whatever their names. An empty table gives an empty result.
     """
-    out = repeated_spans(docs, least).mapInArrow(_decoded, "doc_id long, _left string, _changed boolean")
-    kept = docs.where("doc_id is not null").join(out.where("doc_id is not null and _changed").select("doc_id", "_left", "_changed"), "doc_id", "left")
-    text = F.when(F.col("_changed"), F.col("_left")).otherwise(F.col("text"))
-    kept = kept.withColumn("text", text)
+    out = repeated_spans(docs, least).mapInArrow(_decoded, "id long, left string, changed boolean")
+    out = out.where("id is not null and changed")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    if docs.schema["doc_id"].dataType.simpleString() != "bigint" or "text" not in docs.columns:
+        raise ValueError("docs must have a long doc_id and a text")
+    both = rows.join(out, F.col("key") == F.col("id"), "left")
+    changed, field = F.col("id").isNotNull(), lambda c: F.col("row").getField(c)
+    new = {"text": F.when(changed, F.col("left")).otherwise(field("text"))}
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("_changed"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+        new["n_chars"] = F.when(changed, F.length("left")).otherwise(field("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return both.select(*(new.get(c, field(c)).alias(c) for c in docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left = [x.decode("utf-8", "ignore") for x in batch.column(4).to_pylist()]
         changed = [bool(x) for x in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string()), pa.array(changed)], ["doc_id", "_left", "_changed"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string()), pa.array(changed, pa.bool_())], ["id", "left", "changed"])

@@ -7,8 +7,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of a text table that a Python task looks at together.
 ROWS = 1000
@@ -39,6 +41,34 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Buckets of packed rows for each task, which holds one of them in memory at a time.
+BUCKETS = 8
+
+
+def dealt(df: DataFrame, *order: str) -> DataFrame:
+    """df with the rows of each bucket (of BUCKETS for each task) one after another in one task, sorted by `order`."""
+    n = partitions(df.sparkSession)
+    return df.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket", *order)
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of one bucket after another; the bucket is the first column."""
+    have, rows = None, []
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(ids)]):
+            if a == b:
+                continue
+            if rows and ids[a] != have:
+                yield rows
+                rows = []
+            have = ids[a]
+            rows.append(batch.slice(a, b - a))
+    if rows:
+        yield rows
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run over slices of at most ROWS rows; when the task ends, its worker, which stays, gives free memory back."""
 

@@ -84,6 +84,30 @@ def test_expansion_finds_shared_windows():
         assert sorted(map(sorted, got)) == sorted(groups.values())
 
 
+def test_order_is_that_of_all_suffixes():
+    rng = np.random.default_rng(6)
+    for top in (2, 3, 200):
+        text = np.concatenate([np.concatenate((rng.integers(1, top + 1, rng.integers(1, 80)), [0])) for _ in range(8)] * 2).astype(np.uint8)
+        raw = text.tobytes()
+        assert suffixes.suffix_order(text).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+
+
+def test_clashing_names_pass_through(spark):
+    text = "".join(chr(97 + i * i % 26) for i in range(300))
+    df = spark.createDataFrame([(1, text, 1, True, "a", "b"), (2, text + "x", 2, False, "c", "d")], "doc_id long, text string, _left int, _changed boolean, id string, row string")
+    got = sorted(tuple(r) for r in suffixes.without_repeats(df).collect())
+    assert [r[2:] for r in got] == [(1, True, "a", "b"), (2, False, "c", "d")]
+    assert got[1][1] == "x"
+
+
+def test_very_long_text(spark, monkeypatch):
+    rng = random.Random(4)
+    body = "".join(rng.choice("abcdefgh ") for _ in range(400_000))
+    rows = [(1, body + "é" * 50), (2, "q" * 10 + body[100_000:100_300] + "r" + body[5:104]), (3, body)]
+    got = {r.doc_id: bytes(r.kept) for r in suffixes.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 100)
+
+
 def test_without_repeats_keeps_columns(spark):
     text = "".join(chr(97 + i * i % 26) for i in range(300)) + "é" * 60
     df = spark.createDataFrame([(1, text, len(text), "a"), (2, "head " + text, len(text) + 5, "b"), (3, None, None, "c"), (None, text, 1, "d")], "doc_id long, text string, n_chars long, kind string")
