@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .work import written
+
 _DIGESTED = "page_id long, url string, sha256 string, sha1 string, size long, packed binary"
 
 
@@ -65,15 +67,16 @@ def write_archive(pages: DataFrame, path: str, least: int = 0, date: str = "2024
     pages = pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html")
     digested = pages.mapInArrow(_digest, _DIGESTED)
     named = digested.select("page_id", "url", "sha256", "sha1", "size")
-    first = named.where("page_id is not null").groupBy("sha256").agg(F.min("page_id").alias("first"))
-    whole = named.join(first, "sha256", "left")
+    # written, so that the join can split the records of one common payload over tasks
+    first = written(named.groupBy("sha256").agg(F.min("page_id").alias("first")))
+    whole = named.join(first, "sha256")
     refers = F.when((F.col("size") >= least) & (F.col("first") != F.col("page_id")), F.col("first"))
     kind = F.when(refers.isNull(), F.lit("response")).otherwise(F.lit("revisit"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     headers = whole.select(_header(kind, page, F.col("url"), F.col("sha1"), F.col("size"), refers, date).alias("header"), "sha256", "url", "page_id")
     headers.write.parquet(f"{path}/headers")
     # a payload's bytes move once, if its record is the first of its digest
-    owner = digested.groupBy("sha256").agg(F.min(F.coalesce("page_id", F.lit(2**63 - 1))).alias("page_id"))
+    owner = first.select("sha256", F.coalesce("first", F.lit(2**63 - 1)).alias("page_id"))
     bodies = digested.select(F.coalesce("page_id", F.lit(2**63 - 1)).alias("page_id"), "sha256", "packed")
     bodies.join(owner, ["sha256", "page_id"], "left_semi").dropDuplicates(["sha256"]).select("sha256", "packed").write.option("compression", "none").parquet(f"{path}/payloads")
 
@@ -94,7 +97,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _field(name: str):
-    return F.regexp_extract("header", rf"(?m)^{name}: ([^\r\n]*)$", 1)
+    """A field of the header block; lines end with CR LF only, and no other kind of line end counts as one."""
+    return F.regexp_extract("header", rf"(?:^|\r\n){name}: ([^\r\n]*)\r\n", 1)
 
 
 def _parsed(headers: DataFrame) -> DataFrame:
