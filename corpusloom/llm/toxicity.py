@@ -67,35 +67,39 @@ def _places(keys: np.ndarray, which: np.ndarray) -> np.ndarray:
 
 
 def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments of a sequence (start, end, score), by Ruzzo and Tompa's scan over positive scores."""
+    """All maximal scoring segments of a sequence (start, end, score), by Ruzzo and Tompa's linear scan over positive scores.
+
+    Each candidate keeps a link to the nearest earlier one that begins at a smaller sum; searches follow the links, so
+    that no candidate is passed twice.
+    """
     spots = np.flatnonzero(score > 0)
     if len(spots) == 0:
         return []
     total = np.cumsum(score)
-    found: list[list] = []  # start, end, sum before, sum with
-    for i, after in zip(spots.tolist(), total[spots].tolist()):
-        own = [i, i + 1, after - float(score[i]), after]
+    found: list[tuple] = []  # start, end, sum before, sum with, link
+    for i, own, after in zip(spots.tolist(), score[spots].tolist(), total[spots].tolist()):
+        start, before, j = i, after - own, len(found) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= own[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= own[3]:
-                found.append(own)
+            while j >= 0 and found[j][2] >= before:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= after:
                 break
-            own = [found[j][0], own[1], found[j][2], own[3]]
+            start, _, before, _, link = found[j]
             del found[j:]
-    return [(a, b, r - q) for a, b, q, r in found]
+            j = link
+        found.append((start, i + 1, before, after, j))
+    return [(a, b, r - q) for a, b, q, r, _ in found]
 
 
-def evidence(score: np.ndarray, model: Model) -> tuple[float, list[tuple[int, int, float]]]:
-    """Summed significance of the segments that are significant (or of the best one), and those segments.
-
-    The significance of a segment of score s in n tokens is rate * s - log(K n), minus the log of the number of such
-    segments that chance gives.
-    """
-    segments = maximal_segments(score)
+def significances(score: np.ndarray, model: Model) -> list[tuple[float, int, int]]:
+    """Significance, start and end of each segment: rate * s - log(K n) for a score of s in n tokens, minus the log of the number of such segments that chance gives."""
     edge = model.size + np.log(max(1, len(score)))
-    marks = [(model.rate * s - edge, a, b) for a, b, s in maximal_segments(score)]
+    return [(model.rate * s - edge, a, b) for a, b, s in maximal_segments(score)]
+
+
+def evidence(score: np.ndarray, model: Model) -> tuple[float, list[tuple[int, int, float]]]:
+    """Summed significance of the segments that are significant (or of the best one), and those segments."""
+    marks = significances(score, model)
     return combined([e for e, _, _ in marks], model.least), [(a, b, e) for e, a, b in marks if e > 0]
 
 
@@ -189,25 +193,27 @@ def _rate(score: np.ndarray, weight: np.ndarray) -> float:
 
 
 def _segments_of(shared):
-    """Number of tokens and best segment score of each document."""
+    """Number of tokens, best segment score and evidence of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
-            n, best, sums = [], [], []
+            rows = []
             for _, _, texts in _pieces(batch.column(1)):
                 which, _, _, first = tokens(texts)
                 s = model.score(which)
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-                    found = [x[2] for x in maximal_segments(s[a:b])]
-                    n.append(b - a)
-                    best.append(max(found, default=0.0))
-                    sums.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(sums, pa.list_(pa.float64()))], ["doc_id", "n", "best", "sums"])
+                    best = max((x[2] for x in maximal_segments(s[a:b])), default=0.0)
+                    rows.append((b - a, best, evidence(s[a:b], model)[0]))
+            n, best, found = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(found, pa.float64())], ["doc_id", "n", "best", "evidence"])
 
     return run
 
 
+_SEEN = "doc_id long, n long, best double, evidence double"
+
+
 def _curve(x):
     """Evidence on the scale of the logistic curve: beyond 20 more of it says no more."""
     return np.clip(x, -20.0, 20.0) / 10
@@ -248,8 +254,8 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from labels (doc_id, toxic) of documents that aren't held out, at most `sample` of them.
 
-    Tokens are told apart by 64-bit hashes, and counts of the corpus cover all documents. Null labels and labels of no document are skipped; of rows that share a doc_id,
-    toxic wins. With no labels of one kind no token scores, and every document gets the share of toxic labels
+    Tokens are told apart by 64-bit hashes, and counts of the corpus cover all documents. Null labels and labels of no
+    document are skipped; of rows that share a doc_id, toxic wins. With no labels of one kind no token scores, and every document gets the share of toxic labels
     (one half without labels).
     """
     spark = docs.sparkSession
@@ -259,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     picked = {r.doc_id: int(r.toxic > 0) for r in own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()}
     sc = spark.sparkContext
     ids = F.broadcast(spark.createDataFrame([(k,) for k in picked], "doc_id long"))
-    own = docs.join(ids, "doc_id")
+    own = written(docs.join(ids, "doc_id"))  # the sample's texts, which three passes read
     counts = written(own.mapInArrow(tidy(_counting(sc.broadcast(picked))), "token long, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     n_toxic, n_clean = (float(x or 0) for x in counts.agg(F.sum("toxic"), F.sum("clean")).first())
     # only tokens of three toxic documents can score; of these, only the significant ones are counted in the corpus
@@ -276,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     keys, score, clean_of = keys[good], odds[good], clean[good]
     rate = _rate(np.append(score, -COST), np.append(clean_of, n_clean - clean_of.sum()))
     model = Model(keys, score, rate, 0.0, 0.0, 0.0, 0.0)
-    seen = own.mapInArrow(tidy(_segments_of(sc.broadcast(model))), "doc_id long, n long, best double, sums array<double>").collect()
+    seen = own.mapInArrow(tidy(_segments_of(sc.broadcast(model))), _SEEN).collect()  # a few numbers for each row of the sample
     y = np.array([picked[r.doc_id] for r in seen], dtype=float)
     n = np.array([max(1, r.n) for r in seen], dtype=float)
     best = np.array([r.best for r in seen])
@@ -288,7 +294,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if len(y) == 0 or not 0 < share < 1:
         share = min(max(share, 1e-3), 1 - 1e-3)
         return Model(keys, score, rate, size, least, 1e-9, float(np.log(share / (1 - share))))
-    x = np.array([combined([rate * s - size - np.log(max(1, r.n)) for s in r.sums], least) for r in seen])
+    model = Model(keys, score, rate, size, least, 0.0, 0.0)
+    seen = own.mapInArrow(tidy(_segments_of(sc.broadcast(model))), _SEEN).collect()
+    x, y = np.array([r.evidence for r in seen]), np.array([picked[r.doc_id] for r in seen], dtype=float)
     return Model(keys, score, rate, size, least, *_logistic(x, y))
 
 
