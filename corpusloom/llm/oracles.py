@@ -32,4 +32,37 @@ e AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS e
 r AS (SELECT s.doc_id, s.size, e.source_size, e.target, e.epochs, round(e.target - e.epochs * e.source_size)::BIGINT AS rest, sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id ROWS UNBOUNDED PRECEDING) - s.size AS before FROM s JOIN e ON s.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM r"""
 
-ORACLES: dict[str, str] = {"op1_minhash_near_dedup": NEAR_DUPLICATES, "op4_warc_archive": ARCHIVE, "op5_source_mixing": MIXTURE}
+_MEASURES = ("word_length", "symbols", "dup_lines", "repeats")
+_LEAST_SPREAD = (0.1, 0.02, 0.03, 0.02)
+
+
+def _drawn(k: str) -> str:
+    """A quartile drawn to the language's, and this to the corpus', by ten documents each."""
+    return f"(o.n * o.{k} + 10.0::DOUBLE * ((l.n * l.{k} + 10.0::DOUBLE * a.{k}) / (l.n + 10.0::DOUBLE))) / (o.n + 10.0::DOUBLE)"
+
+
+def _quartile(keys: str) -> str:
+    return f"""SELECT {keys}{"," if keys else ""} measure, arg_min(v, bin) FILTER (WHERE upto >= 0.25 * total) AS low, arg_min(v, bin) FILTER (WHERE upto >= 0.75 * total) AS high, max(total)::DOUBLE AS n FROM
+  (SELECT *, sum(n) OVER (PARTITION BY {keys}{"," if keys else ""} measure ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {keys}{"," if keys else ""} measure) AS total, CASE WHEN bin > -2000 THEN pow(1.02::DOUBLE, bin) * 2 / (1.02::DOUBLE + 1) ELSE 0 END AS v
+   FROM (SELECT {keys}{"," if keys else ""} measure, bin, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL"""
+
+
+RULES = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, {_WORD}) AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+base AS (SELECT id, doc_id, lang, source, len(words)::BIGINT AS n_words, coalesce(length(array_to_string(words, '')), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines FROM w),
+spots AS (SELECT id, i, array_to_string(words[i:i+4], ' ') AS win FROM (SELECT id, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+twice AS (SELECT id, i FROM (SELECT *, count(*) OVER (PARTITION BY id, win) AS c FROM spots) WHERE c > 1),
+covered AS (SELECT id, count(DISTINCT j)::BIGINT AS n FROM (SELECT id, unnest(range(i, i + 5)) AS j FROM twice) GROUP BY 1),
+m AS (SELECT b.*, coalesce(c.n, 0)::BIGINT AS n_repeat_words, n_words < 10 OR 100 * coalesce(c.n, 0) > 20 * n_words AS base_failed FROM base b LEFT JOIN covered c USING (id)),
+x AS (SELECT *, word_chars::DOUBLE / greatest(n_words, 1) AS word_length, n_symbols::DOUBLE / greatest(n_words, 1) AS symbols, n_dup_lines::DOUBLE / greatest(n_lines, 1) AS dup_lines, n_repeat_words::DOUBLE / greatest(n_words, 1) AS repeats FROM m),
+each AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {k} AS x FROM x WHERE NOT base_failed" for k in _MEASURES)}),
+sketch AS (SELECT lang, source, measure, CASE WHEN x > 0 THEN greatest(-1999, ceil(ln(x) / ln(1.02::DOUBLE))::INT) ELSE -2000 END AS bin, count(*) AS n FROM each GROUP BY ALL),
+own AS ({_quartile("lang, source")}), of_lang AS ({_quartile("lang")}), of_all AS ({_quartile("")}),
+q AS (SELECT o.lang, o.source, o.measure, {_drawn("low")} AS low, {_drawn("high")} AS high FROM own o JOIN of_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN of_all a ON o.measure = a.measure),
+spread AS (SELECT *, 4 * greatest(high - low, CASE measure {" ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in zip(_MEASURES, _LEAST_SPREAD))} END, 0.02::DOUBLE * high) AS s FROM q),
+lim AS (SELECT lang, source, max(CASE WHEN measure = 'word_length' THEN low - s END) AS wf, {", ".join(f"max(CASE WHEN measure = '{k}' THEN high + s END) AS {k}_to" for k in _MEASURES)} FROM spread GROUP BY ALL)
+SELECT x.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(word_length >= wf AND {" AND ".join(f"{k} <= {k}_to" for k in _MEASURES)}, true) AS kept
+FROM x LEFT JOIN lim ON x.lang IS NOT DISTINCT FROM lim.lang AND x.source IS NOT DISTINCT FROM lim.source"""
+
+ORACLES: dict[str, str] = {"op1_minhash_near_dedup": NEAR_DUPLICATES, "op4_warc_archive": ARCHIVE, "op5_source_mixing": MIXTURE, "op9_quality_rules": RULES}

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .work import written
 
-#: Relative width of a bin, documents that a group needs for thresholds of its own, and spreads beyond the quartiles.
-GAMMA, LEAST_DOCS, SPREADS = 1.02, 100, 4.0
+#: Relative width of a bin, documents that the quartiles of the level above count as, and spreads beyond the quartiles.
+GAMMA, ABOVE, SPREADS = 1.02, 10.0, 4.0
 #: Least spread of each measure, so that a uniform group, whose quartiles lie together, doesn't reject small deviations;
 #: it is also at least one bin wide.
 LEAST_SPREAD = {"word_length": 0.1, "symbols": 0.02, "dup_lines": 0.03, "repeats": 0.02}
@@ -78,8 +78,9 @@ def _quartiles(sketch: DataFrame, keys: list[str], mark: str) -> DataFrame:
 def thresholds(rows: DataFrame) -> DataFrame:
     """lang, source and for each measure the limits `<measure>_from` and `<measure>_to`.
 
-    The limits lie SPREADS spreads (the distance of the quartiles, LEAST_SPREAD at least) beyond the quartiles.
-    A group with fewer than LEAST_DOCS documents uses its language's sketch, and a small language the whole corpus'.
+    The limits lie SPREADS spreads (the distance of the quartiles, LEAST_SPREAD at least) beyond the quartiles. The
+    quartiles of a group are drawn to those of its language, and these to the whole corpus', as if ABOVE more documents
+    had the quartiles of the level above: little in a large group, much in a small one.
     """
     sketch = written(sketches(rows))
     same = lambda a, b: a.eqNullSafe(b)
@@ -87,8 +88,8 @@ def thresholds(rows: DataFrame) -> DataFrame:
     lang = _quartiles(sketch, ["lang"], "of_lang").withColumnsRenamed({"lang": "_l", "measure": "_m"})
     every = _quartiles(sketch, [], "of_all").withColumnRenamed("measure", "_n")
     both = own.join(lang, same(F.col("lang"), F.col("_l")) & (F.col("measure") == F.col("_m"))).join(every, F.col("measure") == F.col("_n"))
-    enough = lambda c: F.when(F.col(c)["n"] >= LEAST_DOCS, F.col(c))
-    both = both.select("lang", "source", "measure", F.coalesce(enough("own"), enough("of_lang"), F.col("of_all")).alias("q"))
+    drawn = lambda c, above, k: (F.col(f"{c}.n") * F.col(f"{c}.{k}") + ABOVE * above) / (F.col(f"{c}.n") + ABOVE)
+    both = both.select("lang", "source", "measure", F.struct(*(drawn("own", drawn("of_lang", F.col(f"of_all.{k}"), k), k).alias(k) for k in ("low", "high"))).alias("q"))
     least = F.create_map(*[F.lit(x) for pair in LEAST_SPREAD.items() for x in pair])[F.col("measure")]
     spread = SPREADS * F.greatest(F.col("q.high") - F.col("q.low"), least, (GAMMA - 1) * F.col("q.high"))
     limits = both.select("lang", "source", "measure", (F.col("q.low") - spread).alias("from_"), (F.col("q.high") + spread).alias("to_"))

@@ -3,9 +3,12 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
+import time
 import uuid
+import zlib
 
 import numpy as np
 import pytest
@@ -54,6 +57,44 @@ def test_small_payloads_are_responses_and_empty_archive(spark):
     assert warc.read_archive(spark, path + "e").count() == 0
 
 
+def test_urls_that_look_like_header_lines(spark):
+    signs = ["\u2028", "\u2029", "\u0085", "\x0b", "\x0c", "\r", "\n", "\r\n"]
+    rows = [(i, f"http://a/{sign}WARC-Refers-To: <urn:page:77>{sign}WARC-Payload-Digest: sha1:X{sign}WARC-Type: revisit{sign}", f"text {i}") for i, sign in enumerate(signs)]
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = {r.page_id: (r.url, r.record_type, r.refers_to) for r in warc.read_archive(spark, path).collect()}
+    assert got == {i: (re.sub("[\r\n]+", "", url), "response", None) for i, url, _ in rows}
+
+
+def test_very_long_payload(spark):
+    rows = [(2, "u", "x" * 5_000_000), (1, "v", "x" * 5_000_000), (3, "w", "x" * 4_999_999)]
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archive(spark, path).collect()}
+    assert got == {1: (5_000_000, "response", None), 2: (5_000_000, "revisit", 1), 3: (4_999_999, "response", None)}
+
+
+def test_mix_of_clashing_names_ties_and_repeated_ids(spark):
+    rows = [(i // 2, " ".join(f"w{i}x{j}" for j in range(10)), "ab"[i % 3 == 0], i, "keep", True, "t", "r") for i in range(60)]
+    rows += [(None, "no id at all", "a", -1, "keep", True, "t", "r"), (99, None, "b", -2, "keep", True, "t", "r"), (98, "long " * 200_000, "b", -3, "keep", True, "t", "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _id long, _copy string, _take boolean, take string, row string")
+    out = mixing.mixed(df, [1, 2], 3)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert {(r._copy, r._take, r.take, r.row) for r in got} == {("keep", True, "t", "r")}
+    by = {r[3]: r for r in rows}
+    assert all((r.text or "") == (by[r._id][1] or "")[: len(r.text or "")] for r in got)
+    plan = mixing.mixture(df, [1, 2], 3).collect()
+    want = collections.Counter()
+    for r in plan:
+        want[r.source] += r.taken
+    taken = collections.Counter()
+    for r in got:
+        taken[r.source] += len((r.text or "").split())
+    assert taken == want
+    assert mixing.mixed(df.limit(0)).count() == 0
+
+
 def fair(sizes, weights, most):
     """Targets by sharing the excess again and again."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
@@ -123,6 +164,37 @@ def test_maximal_segments():
         assert sorted(s for _, _, s in got) == pytest.approx(sorted(s for _, _, s in want))
 
 
+def test_segment_scan_is_linear():
+    rng = np.random.default_rng(3)
+    n = 1_000_000
+    for score in (np.full(n, 0.1), np.tile([1.0, -0.5], n // 2), np.tile([1.0, -1.5], n // 2), -np.abs(rng.normal(0, 1, n)) * (rng.random(n) < 0.5) + 0.3, np.linspace(2, 0.1, n) * np.tile([1, -1], n // 2)):
+        begin = time.process_time()
+        toxicity.maximal_segments(score)
+        assert time.process_time() - begin < 10  # a quadratic scan takes hours
+
+
+def test_scores_are_those_of_a_plain_version(spark):
+    docs, labels = toxic_corpus(150)
+    docs += [(500, "vile " * 30_000 + "x " * 100_000), (501, ""), (502, None), (7, docs[7][1])]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(d, lab)
+    got = sorted((r.doc_id, r.score, [(p.start, p.end) for p in r.passages]) for r in toxicity.scores(d, lab).collect())
+    want = []
+    for i, text in docs:
+        b = (text or "").encode()
+        spans = [m.span() for m in re.finditer(rb"[A-Za-z\x80-\xff]+", b)]
+        s = [float(model.score(toxicity.tokens([b[p:q]])[0])[0]) for p, q in spans] if len(spans) < 1000 else [float(model.score(toxicity.tokens([w])[0])[0]) for w in (b"vile", b"x") for _ in range(30_000 if w == b"vile" else 100_000)]
+        found = brute_segments(s) if len(s) < 1000 else [(0, 30_000, s[0] * 30_000)]
+        marks = [(model.rate * x - model.size - np.log(max(1, len(s))), p, q) for p, q, x in found]
+        good = [m for m in marks if m[0] > 0]
+        x = sum(m[0] for m in good) if good else max([-model.least, *(m[0] for m in marks)])
+        want.append((i, 1 / (1 + np.exp(-(model.slope * min(20.0, max(-20.0, x)) / 10 + model.shift))), sorted((spans[p][0], spans[q - 1][1]) for _, p, q in good)))
+    want.sort()
+    assert [(i, sorted(p)) for i, _, p in got] == [(i, p) for i, _, p in want]
+    assert [x for _, x, _ in got] == pytest.approx([x for _, x, _ in want])
+
+
 def toxic_corpus(n=400):
     rng = random.Random(9)
     vocab = [f"v{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
@@ -259,6 +331,54 @@ def test_quality(spark):
     assert quality.scores(df.limit(0), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
 
 
+def test_site_posteriors_are_those_of_a_plain_version(spark):
+    rng = random.Random(6)
+    docs, labels = [], []
+    for i in range(400):
+        good = rng.random() < (0.9 if i % 5 else 0.3)
+        text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(40)) if good else "BUY NOW!!! " * rng.randint(5, 20)
+        docs.append((i, text, None if i % 11 == 0 else f"s{i % 5}", f"p{i % 3}", 1))
+        if i % 2:
+            labels.append((i, int(good)))
+    docs += [(7, docs[7][1], "s2", "p1", 1), (None, "no id", "s1", None, 1), (800, None, "s1", "p1", 1), (801, "", None, None, 1), (802, "word " * 300_000, "lonely", "p", 1)]
+    labels += [(7, 0), (999, 1), (None, 1), (10, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, evidence int")
+    got = quality.scores(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert len(got) == len(docs)
+    trained = {}
+    for i, y in labels:
+        if i is not None and y is not None and zlib.crc32(str(i).encode()) % 5:
+            trained[i] = min(y, trained.get(i, 1))
+    evidence = collections.defaultdict(list)
+    for r in got:
+        evidence[r.doc_id].append(r)
+    site = lambda d: (d[2] or "", d[3] or "")
+    n, good = collections.Counter(), collections.Counter()
+    for d in docs:
+        x = evidence[d[0]][0].evidence
+        w = 1.0 if d[0] in trained else 0.1
+        for key in (site(d), site(d)[0], "all"):
+            n[key] += w
+            good[key] += trained[d[0]] if d[0] in trained else w / (1 + math.exp(-x))
+    mean = good["all"] / n["all"]
+
+    def strength(keys):
+        big = [k for k in keys if n[k] > 1]
+        beyond = sum((good[k] / n[k] - mean) ** 2 - mean * (1 - mean) / n[k] for k in big) / len(big)
+        return min(1e6, max(1.0, mean * (1 - mean) / beyond - 1)) if beyond > 0 else 1e6
+
+    hosts, paths = {site(d)[0] for d in docs}, {site(d) for d in docs}
+    k, m = strength(hosts), strength(paths)
+    logit = lambda p: math.log(p / (1 - p))
+    want = collections.defaultdict(list)
+    for d in docs:
+        host_rate = (good[site(d)[0]] + k * mean) / (n[site(d)[0]] + k)
+        path_rate = (good[site(d)] + m * host_rate) / (n[site(d)] + m)
+        want[d[0]].append((host_rate, path_rate, 1 / (1 + math.exp(-(evidence[d[0]][0].evidence + logit(path_rate) - logit(mean))))))
+    for i, rows in evidence.items():
+        assert sorted((r.host_rate, r.path_rate, r.score) for r in rows) == [pytest.approx(x) for x in sorted(want[i])]
+
+
 def test_sparse_sites_shrink_to_the_level_above(spark):
     groups = spark.createDataFrame([("a", 1000, 900.0), ("b", 1000, 100.0), ("c", 1000, 500.0)], "host string, n long, s double")
     assert quality._strength(groups, 0.5) < 10
