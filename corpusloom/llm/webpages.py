@@ -14,18 +14,20 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import written
+from .work import tidy, written
 
-#: Importance below which a branch goes, pages that a node must be seen on, weight of content against presentation.
-LOW, LEAST_PAGES, CONTENT = 0.15, 8, 0.9
+#: Importance below which a branch goes, pages of full importance that every node starts with (so that one seen on few
+#: pages stays), weight of content against presentation.
+LOW, UNSEEN, CONTENT = 0.15, 1.4, 0.9
 #: The same for a branch with a doubtful class: one of the names below is a part of it.
-DOUBTFUL = 0.5
+DOUBTFUL, UNSEEN_DOUBTFUL = 0.5, 8.0
 #: Rows of low nodes up to which they are broadcast; more are joined by host.
 BROADCAST_ROWS = 50_000
 
@@ -51,18 +53,34 @@ _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _BLANK = re.compile(r"\s+")
 
 
+#: Modulus and base of the rolling hash that names what a run of blocks says.
+_MOD, _BASE = (1 << 61) - 1, 0x1F3D5B79A3C5E7
+
+
 class _Open:
-    __slots__ = ("tag", "path", "dropped", "root", "soft", "link")
+    """An element that is open: its path's hash, the element it counts as (block elements), the article it is in, the
+    innermost element that goes for its role or name, and whether a link is open."""
+
+    __slots__ = ("tag", "path", "element", "dropped", "root", "soft", "link")
+
+    def __init__(self, tag: str, path: int, element: int, dropped: bool, root: int, soft: int, link: bool):
+        self.tag, self.path, self.element, self.dropped, self.root, self.soft, self.link = tag, path, element, dropped, root, soft, link
 
-    def __init__(self, tag: str, path: str, dropped: bool, root: int, soft: tuple[int, ...], link: bool):
-        self.tag, self.path, self.dropped, self.root, self.soft, self.link = tag, path, dropped, root, soft, link
+
+class _Element:
+    """A block element: its path's hash, the block element around it, and its blocks of text, from first to end."""
+
+    __slots__ = ("path", "around", "first", "end")
+
+    def __init__(self, path: int, around: int, first: int):
+        self.path, self.around, self.first, self.end = path, around, first, first
 
 
 class _Block:
-    __slots__ = ("path", "text", "root", "soft", "prose")
+    __slots__ = ("element", "text", "root", "soft", "prose")
 
-    def __init__(self, path: tuple[str, ...], text: str, root: int, soft: tuple[int, ...], prose: int):
-        self.path, self.text, self.root, self.soft, self.prose = path, text, root, soft, prose
+    def __init__(self, element: int, text: str, root: int, soft: int, prose: int):
+        self.element, self.text, self.root, self.soft, self.prose = element, text, root, soft, prose
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -94,15 +112,26 @@ def _doubtful(style: str) -> bool:
     return tag not in _HEADINGS and bool(_NAMES & set(re.split(r"[^a-z]+", names.lower())))
 
 
+def _self_closed(tag: str, raw: str) -> bool:
+    """Only foreign elements close themselves, and a slash that ends an unquoted attribute doesn't."""
+    return tag in ("svg", "math") and raw.endswith("/") and not re.search(r"""=\s*[^\s"'=]*/$""", raw)
+
+
 class Page:
-    """One pass over a page: its blocks of text in order, each with the path it stands in and the article it belongs to."""
+    """One pass over a page: its blocks of text in order, each with the element it stands in and the article it belongs to.
+
+    What the pass keeps grows with the page, not with its depth: elements and blocks point at what is around them.
+    """
 
     def __init__(self, source: str):
         self.blocks: list[_Block] = []
-        self._looks: dict[str, list[str]] = {}  # the styles of the children by path
+        self.elements: list[_Element] = []
+        self._looks: dict[int, int] = {}  # a hash of the styles of the children by path
+        self._styles: dict[int, str] = {}  # the last style of each path
         self._roots = 0  # outermost article and main elements
-        self._soft: list[bool] = []  # elements that go for their role or name: whether they hold an article or main
-        self._stack = [_Open("", "", False, -1, (), False)]
+        self._soft: list[list] = []  # elements that go for their role or name: the one around, whether it holds an article or main
+        self._stack = [_Open("", 0, -1, False, -1, -1, False)]
+        self._opened: Counter = Counter()
         self._link = 0  # characters of the run in links
         self._run: list[str] = []
         at = 0
@@ -116,22 +145,39 @@ class Page:
                 self._end(tag)
             else:
                 self._start(tag, m[3])
-                if tag in _RAW and not m[3].endswith("/"):
+                if tag in _RAW and not _self_closed(tag, m[3]):
                     close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
                     at = close.end() if close else len(source)
         self._words(source[at:])
         while len(self._stack) > 1:
             self._close()
         self._flush()
+        self._settle()
+
+    def _settle(self) -> None:
+        """Takes out the blocks of elements that go for their role or name.
+
+        One that holds an article, or most of the text of a page without any elsewhere, stays whatever its name.
+        """
         size = sum(len(x.text) for x in self.blocks)
         held = [0] * len(self._soft)
         for x in self.blocks:
-            for i in x.soft:
-                held[i] += len(x.text)
-        # an element that holds an article, or most of the text of a page without any elsewhere, stays whatever its name
-        rooted = any(x.root >= 0 and not x.soft for x in self.blocks)
-        gone = {i for i, holds in enumerate(self._soft) if not holds and (rooted or 2 * held[i] <= size)}
-        self.blocks = [x for x in self.blocks if gone.isdisjoint(x.soft)]
+            if x.soft >= 0:
+                held[x.soft] += len(x.text)
+        for i in range(len(self._soft) - 1, -1, -1):  # inner ones come after outer ones
+            around = self._soft[i][0]
+            if around >= 0:
+                held[around] += held[i]
+                self._soft[around][1] |= self._soft[i][1]
+        rooted = any(x.root >= 0 and x.soft < 0 for x in self.blocks)
+        gone: list[bool] = []
+        for i, (around, holds) in enumerate(self._soft):
+            gone.append((around >= 0 and gone[around]) or (not holds and (rooted or 2 * held[i] <= size)))
+        kept = [x.soft < 0 or not gone[x.soft] for x in self.blocks]
+        before = [0, *accumulate(kept)]
+        for e in self.elements:
+            e.first, e.end = before[e.first], before[e.end]
+        self.blocks = [x for x, k in zip(self.blocks, kept) if k]
 
     def _words(self, text: str) -> None:
         top = self._stack[-1]
@@ -146,7 +192,7 @@ class Page:
             link, self._run, self._link = self._link, [], 0
             if text:
                 top = self._stack[-1]
-                self.blocks.append(_Block(tuple(x.path for x in self._stack if x.path), text, top.root, top.soft, max(0, len(text) - link)))
+                self.blocks.append(_Block(top.element, text, top.root, top.soft, max(0, len(text) - link)))
 
     def _start(self, tag: str, raw: str) -> None:
         if tag in _RAW:
@@ -156,9 +202,9 @@ class Page:
             return
         if tag in _BLOCK:
             self._flush()
-            if any(x.tag == "p" for x in self._stack):
+            if self._opened["p"]:
                 self._end("p")
-            if tag in _CLOSES:
+            if tag in _CLOSES and any(self._opened[x] for x in _CLOSES[tag]):
                 for x in reversed(self._stack):
                     if x.tag in _WITHIN[tag]:
                         break
@@ -171,70 +217,86 @@ class Page:
         top = self._stack[-1]
         style = f"{tag}.{'.'.join(sorted(own.get('class', '').split()))}"
         if top.path in self._looks:
-            self._looks[top.path].append(style)
+            self._looks[top.path] = (self._looks[top.path] * _BASE + xxhash.xxh64_intdigest(style)) % _MOD
         opens = top.root < 0 and (tag in _ROOTS or own.get("role", "").lower() in ("main", "article"))
         mark = _no_article(tag, own, raw, top.root >= 0 or opens)
         dropped = top.dropped or mark == 2
         root, soft = top.root, top.soft
         if not dropped and opens:
             root, self._roots = self._roots, self._roots + 1
-            for i in soft:
-                self._soft[i] = True
+            if soft >= 0:
+                self._soft[soft][1] = True
         if not dropped and mark == 1:
             self._flush()
-            soft = (*soft, len(self._soft))
-            self._soft.append(opens)
+            self._soft.append([soft, opens])
+            soft = len(self._soft) - 1
         if dropped and not top.dropped:
             self._flush()
-        node = _Open(tag, f"{top.path}/{style}", dropped, root, soft, top.link or tag == "a")
+        path, element = xxhash.xxh64_intdigest(style, seed=top.path), top.element
         if tag in _BLOCK and not dropped:
-            self._looks.setdefault(node.path, [])
-        self._stack.append(node)
+            self._looks.setdefault(path, 0)
+            self._styles[path] = style
+            self.elements.append(_Element(path, element, len(self.blocks)))
+            element = len(self.elements) - 1
+        self._opened[tag] += 1
+        self._stack.append(_Open(tag, path, element, dropped, root, soft, top.link or tag == "a"))
 
     def _end(self, tag: str) -> None:
         if tag in _BLOCK:
             self._flush()
-        if any(x.tag == tag for x in self._stack):
+        if self._opened[tag]:
             while self._stack[-1].tag != tag:
                 self._close()
             self._close()
 
     def _close(self) -> None:
-        top = self._stack[-1]
-        if top.dropped or top.tag in _BLOCK or top.soft != self._stack[-2].soft:
+        top, around = self._stack[-1], self._stack[-2]
+        if top.dropped or top.tag in _BLOCK or top.soft != around.soft:
             self._flush()
         self._stack.pop()
+        self._opened[top.tag] -= 1
+        if top.element != around.element:
+            self.elements[top.element].end = len(self.blocks)
 
-    def nodes(self) -> Iterator[tuple[str, str, str]]:
-        """Path, styles of the children and text of each block node that holds text, once for each path."""
-        held: dict[str, list[str]] = {}
+    def nodes(self) -> Iterator[tuple[int, str, int, int]]:
+        """Path, last style, a hash of the styles of the children and one of the text of each block node that holds text, once for each path."""
+        sums, powers = [0], [1]
         for x in self.blocks:
-            for path in dict.fromkeys(x.path):
-                if path in self._looks:
-                    held.setdefault(path, []).append(x.text)
-        for path, texts in held.items():
-            yield path, " ".join(self._looks[path]), "\n".join(texts)
+            sums.append((sums[-1] * _BASE + xxhash.xxh64_intdigest(x.text)) % _MOD)
+            powers.append(powers[-1] * _BASE % _MOD)
+        said: dict[int, int] = {}
+        for e in self.elements:
+            if e.end > e.first:
+                own = (sums[e.end] - sums[e.first] * powers[e.end - e.first]) % _MOD
+                said[e.path] = (said.get(e.path, 1) * _BASE + own) % _MOD
+        for path, text in said.items():
+            yield path, self._styles[path], self._looks[path], text
 
     def text(self, low: set[int]) -> str:
         """The blocks outside low branches; only those in article or main elements if the largest of these holds at least
         as much text as stands outside all of them (the text of links aside). Low branches that hold all the text of the
         page, or of its articles, stay."""
-        high = [x for x in self.blocks if not low or not any(node_id(p) in low for p in x.path)]
+        gone: list[bool] = []
+        for e in self.elements:
+            gone.append((e.around >= 0 and gone[e.around]) or node_id(e.path) in low)
+        high = [x for x in self.blocks if x.element < 0 or not gone[x.element]]
         sizes = Counter()
         for x in high:
             sizes[x.root] += len(x.text) if x.root >= 0 else x.prose
         if low and not any(i >= 0 for i in sizes) and any(x.root >= 0 for x in self.blocks):
             keep = set(map(id, high))
             high = [x for x in self.blocks if x.root >= 0 or id(x) in keep]
-            sizes.update({i: sum(len(x.text) for x in high if x.root == i) for i in {x.root for x in high if x.root >= 0}})
+            for x in high:
+                if x.root >= 0:
+                    sizes[x.root] += len(x.text)
         outside = sizes.pop(-1, 0)
         if sizes and max(sizes.values()) >= outside:
             high = [x for x in high if x.root >= 0]
         return "\n".join(x.text for x in high or self.blocks)
 
 
-def node_id(path: str) -> int:
-    return xxhash.xxh64_intdigest(path) - (1 << 63)
+def node_id(path: int) -> int:
+    return path - (1 << 63)
 
 
 def host_of(url):
@@ -247,23 +309,29 @@ def _merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter = Counter()
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for path, styles, text in Page(source or "").nodes():
-                node, doubt = node_id(path), 2 * _doubtful(path.rpartition("/")[2])
-                counts[host, node, doubt, xxhash.xxh64_intdigest(styles) - (1 << 63)] += 1
-                counts[host, node, doubt + 1, xxhash.xxh64_intdigest(text) - (1 << 63)] += 1
+            for path, style, looks, text in Page(source or "").nodes():
+                node, doubt = node_id(path), 2 * _doubtful(style)
+                counts[host, node, doubt, looks] += 1
+                counts[host, node, doubt + 1, text] += 1
         columns = list(zip(*counts)) if counts else [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((*columns, list(counts.values())), (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["host", "node", "kind", "seen", "n"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, node, pages, importance and doubtful (by its class) of every block node, over all pages of each host."""
+    """host, node, pages, importance and doubtful (by its class) of every block node, over all pages of each host.
+
+    The importance is the weighted entropy of its looks and of its content over the pages that show it (from 0, all
+    alike, to 1, all different), drawn to 1 as if it stood on some more pages: UNSEEN, or UNSEEN_DOUBTFUL.
+    """
     rows = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
-    counts = rows.mapInArrow(_merging, "host string, node long, kind int, seen long, n long").groupBy("host", "node", "kind", "seen").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(_merging), "host string, node long, kind int, seen long, n long").groupBy("host", "node", "kind", "seen").agg(F.sum("n").alias("n"))
     n = F.sum("n")
     entropy = F.when(n > 1, (F.log(n) - F.sum(F.col("n") * F.log("n")) / n) / F.log(n)).otherwise(1.0)
     nodes = counts.groupBy("host", "node", "kind").agg(n.alias("n"), entropy.alias("h"))
     both = nodes.groupBy("host", "node").agg(F.max("n").alias("pages"), F.max(F.when(F.col("kind") % 2 == 0, F.col("h"))).alias("look"), F.max(F.when(F.col("kind") % 2 == 1, F.col("h"))).alias("read"), (F.max("kind") >= 2).alias("doubtful"))
-    return both.select("host", "node", "pages", ((1 - CONTENT) * F.col("look") + CONTENT * F.col("read")).alias("importance"), "doubtful")
+    unseen = F.when(F.col("doubtful"), UNSEEN_DOUBTFUL).otherwise(UNSEEN)
+    seen = (1 - CONTENT) * F.col("look") + CONTENT * F.col("read")
+    return both.select("host", "node", "pages", ((F.col("pages") * seen + unseen) / (F.col("pages") + unseen)).alias("importance"), "doubtful")
 
 
 def _extracting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,10 +352,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     article or main, most of the text. Null and empty
     pages have an empty text. Rows without url form the host "". Repeated rows get a row each.
     """
-    low = written(style_tree(pages).where((F.col("importance") < F.when(F.col("doubtful"), DOUBTFUL).otherwise(LOW)) & (F.col("pages") >= LEAST_PAGES)).groupBy("host").agg(F.collect_set("node").alias("low"), F.count("*").alias("n")))
+    low = written(style_tree(pages).where((F.col("importance") < F.when(F.col("doubtful"), DOUBTFUL).otherwise(LOW))).groupBy("host").agg(F.collect_set("node").alias("low"), F.count("*").alias("n")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     size = low.agg(F.coalesce(F.sum("n"), F.lit(0)) + F.count("*")).first()[0]
     low = low.select("host", "low")
     both = rows.withColumn("host", host_of(F.col("url"))).join(F.broadcast(low) if size <= BROADCAST_ROWS else low, "host", "left")
-    out = both.select("page_id", "url", "html", "low").mapInArrow(_extracting, "page_id long, url string, text string")
+    out = both.select("page_id", "url", "html", "low").mapInArrow(tidy(_extracting), "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

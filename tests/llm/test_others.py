@@ -494,3 +494,69 @@ def test_names_drop_whole_names_only_and_no_article(spark):
     rows += [(3, "http://c/", f"<body><form id=search><div><p>{text}</p></div></form><div class=ad>Buy</div></body>"), (4, "http://d/", f"<body><main>{text}<div id=comments><article>Nice</article></div></main></body>")]
     rows += [(5, "http://e/", f"<body><div class=ad>{text}</div><article>Short.</article></body>")]
     assert extracted(spark, rows) == {1: want, 2: want, 3: text.strip(), 4: text.strip(), 5: "Short."}
+
+
+def test_a_rooted_page_loses_a_branch_because_of_the_tree(spark):
+    words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    page = lambda i: f"<main><h1>T{i}</h1><div class=neutral><p>Written by the staff of this site.</p></div><p>{words(i, 20)}</p></main>"
+    many = extracted(spark, [(i, f"http://a/{i}", page(i)) for i in range(20)])
+    assert many[4] == f"T4\n{words(4, 20)}"
+    assert extracted(spark, [(4, "http://a/4", page(4))])[4] == f"T4\nWritten by the staff of this site.\n{words(4, 20)}"
+
+
+def test_names_and_attributes_that_are_no_boilerplate(spark):
+    rows = [(1, "http://a/", '<div class="container has-sidebar"><h1>T</h1><p>Real article text.</p></div>')]
+    rows += [(2, "http://b/", '<article><h1>T</h1><div class="post-body share-enabled"><p>Long text.</p></div></article>')]
+    rows += [(3, "http://c/", "<p>a</p><script src=/a/>var x=1;</script><p>b <svg a=1 /> c</p><svg data=x/>no</svg><style media=all/>p{}</style>d")]
+    assert extracted(spark, rows) == {1: "T\nReal article text.", 2: "T\nLong text.", 3: "a\nb c\nd"}
+
+
+@pytest.mark.parametrize("tag", ["div", "form", "b", "ul"])
+def test_deep_pages_take_linear_memory(tag):
+    import tracemalloc
+
+    used = []
+    for depth in (5_000, 20_000):
+        source = f"<{tag}>x" * depth + "</i>" * depth
+        tracemalloc.start()
+        page = webpages.Page(source)
+        n = len(list(page.nodes()))
+        text = page.text({webpages.node_id(e.path) for e in page.elements[2:3]})
+        used.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert text.replace("\n", "").startswith("x") and n <= depth
+    assert used[1] < 8 * used[0] and used[1] < 60_000_000
+
+
+def test_importance_is_that_of_plain_entropies(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        parts = "".join(f"<div class={c}><p>{rng.choice(texts)}</p>{rng.choice(['', '<hr><h2>x</h2>'])}</div>" for c, texts in (("a", ["same"]), ("b", ["one", "two"]), ("share-line", [f"n{k}" for k in range(40)])))
+        rows.append((i, f"http://{rng.choice(['h', 'g', 'lone%d' % i])}/{i}", f"<body>{parts}</body>"))
+    rows += [(100, None, "<body><div class=a>same</div></body>"), (101, "http://h/", None), (102, "http://h/", ""), rows[0]]
+    seen = collections.defaultdict(lambda: (collections.Counter(), collections.Counter()))
+    path = lambda *styles: __import__("functools").reduce(lambda h, x: __import__("xxhash").xxh64_intdigest(x, seed=h), styles, 0)
+    for _, url, html in rows:
+        host = re.match("http://([^/]*)", url)[1] if url else ""
+        for c in re.findall("<div class=([^>]*)>(.*?)</div>", html or ""):
+            where = webpages.node_id(path("body.", f"div.{c[0]}"))
+            seen[host, where][0][re.sub("[^<]*(<[^>]*>)[^<]*", r"\1", c[1])] += 1
+            seen[host, where][1][re.sub("<[^>]*>", "|", c[1])] += 1
+    entropy = lambda c: -sum(k / c.total() * math.log(k / c.total()) for k in c.values()) / math.log(c.total()) if c.total() > 1 else 1.0
+    got = {(r.host, r.node): r for r in webpages.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    doubt = webpages.node_id(path("body.", "div.share-line"))
+    assert seen
+    for key, (look, read) in seen.items():
+        n, unseen = look.total(), 8.0 if key[1] == doubt else 1.4
+        assert got[key].pages == n and got[key].doubtful == (key[1] == doubt)
+        assert got[key].importance == pytest.approx((n * (0.1 * entropy(look) + 0.9 * entropy(read)) + unseen) / (n + unseen))
+
+
+def test_very_long_page_and_repeated_rows(spark):
+    html = "<article>" + "".join(f"<p>Paragraph {i} of a long page.</p>" for i in range(30_000)) + "</article>"
+    rows = [(1, "http://a/", html), (1, "http://a/", html), (2, "http://b/", "y" * 3_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = webpages.main_text(df).collect()
+    assert sorted((r.page_id, r.n_chars) for r in got) == sorted([(1, len(got[0].text if got[0].page_id == 1 else got[1].text))] * 2 + [(2, 3_000_000)])
+    assert all(r.text.count("\n") == 29_999 for r in got if r.page_id == 1)
