@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,6 +36,62 @@ def joined_parts(*parts: Column) -> Column:
     return F.concat_ws("\n", *[F.when(F.trim(p) != "", p) for p in parts])
 
 
+def extract_block_text(blocks: DataFrame) -> DataFrame:
+    """blocks (block: type and content) with type and text by the type; null where there is no text or the type has none."""
+    c = F.col("block")["content"]
+    by_type = {
+        "title": text_of_items(c["title_content"]),
+        "paragraph": text_of_items(c["paragraph_content"]),
+        "list": render_list(c["list_type"], c["list_items"]),
+        "table": joined_parts(text_of_items(c["table_caption"]), c["html"], text_of_items(c["table_footnote"])),
+        "chart": joined_parts(text_of_items(c["chart_caption"]), c["content"]),
+        "equation_interline": c["math_content"],
+    }
+    text = F.lit(None).cast("string")
+    for kind, found in by_type.items():
+        text = F.when(F.col("block")["type"] == kind, found).otherwise(text)
+    return blocks.withColumn("type", F.col("block")["type"]).withColumn("text", F.nullif(text, F.lit("")))
+
+
+def strip_image_content(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """blocks without the machine-made content of images, and the snippets that went (source_id, page_idx, block_idx, snippet)."""
+    image = F.col("block")["type"] == "image"
+    gone = blocks.where(image & (F.length(F.col("block")["content"]["content"]) > 0)).select("source_id", "page_idx", "block_idx", F.col("block")["content"]["content"].alias("snippet"))
+    bare = F.when(image, F.col("block").withField("content.content", F.lit(None).cast("string"))).otherwise(F.col("block"))
+    return blocks.withColumn("block", bare), gone
+
+
+def media_raw_text(kind: Column, captions: Column, html: Column, footnotes: Column) -> Column:
+    """Captions, body (of tables only) and footnotes on lines, blank ones left out."""
+    some = lambda a: F.filter(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    body = F.when((kind == "table") & (F.trim(html) != ""), F.array(html)).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(some(captions), body, some(footnotes)), "\n")
+
+
+def build_media_records(manifest: DataFrame, enrichment: DataFrame, on: list[str]) -> DataFrame:
+    """Chunk records of media that have a good enrichment; charts count as figures, an unknown kind is an error.
+
+    manifest: source_id, heading_path, chunk_kind, page_idx, block_idx, caption, footnote, content and `on`; enrichment:
+    `on`, status, medical_statement, title, summary, hypothetical_questions.
+    """
+    from ..functions import ids
+    from ..functions.text import split_heading
+
+    kind = F.col("chunk_kind")
+    chunk_type = F.when(kind == "table", "table").when(kind.isin("figure", "chart"), "figure").otherwise(F.raise_error(F.concat(F.lit("unknown kind "), F.coalesce(kind, F.lit("null")))).cast("string"))
+    both = manifest.join(enrichment.where("status = 'ok'").drop("status"), on).withColumn("chunk_type", chunk_type)
+    both = both.withColumn("heading_path_id", ids.heading_path_id(split_heading(F.col("heading_path")))).withColumn("relative_chunk_index", ids.media_relative(F.col("chunk_type"), F.col("page_idx"), F.col("block_idx")))
+    both = both.withColumn("chunk_raw_text", media_raw_text(F.col("chunk_type"), F.col("caption"), F.col("content"), F.col("footnote")))
+    made = {
+        "chunk_id": ids.chunk_id(F.col("source_id"), F.col("heading_path_id"), F.col("relative_chunk_index")),
+        "parent_chunk_id": ids.chunk_id(F.col("source_id"), F.col("heading_path_id"), F.lit("parent")),
+        "content_hash": ids.media_content_hash(F.col("chunk_raw_text"), F.col("medical_statement")),
+        "embedding_status": F.lit("pending"),
+    }
+    same = ["source_id", "heading_path_id", "heading_path", "relative_chunk_index", "chunk_type", "chunk_raw_text", "medical_statement", "title", "summary", "hypothetical_questions"]
+    return both.select(*same, *[v.alias(k) for k, v in made.items()])
+
+
 def filter_block_types(blocks: DataFrame, types: tuple[str, ...] = TEXT_TYPES) -> DataFrame:
     return blocks.where(F.col("type").isin(*types))
 
@@ -114,24 +169,6 @@ def heading_paths(parents: DataFrame, overrides: DataFrame | None = None) -> Dat
     return out.join(o, ["source_id", "position"], "left").withColumn("heading_path", F.coalesce("_o", "heading_path")).drop("_o")
 
 
-def _crosspage(rows: pd.DataFrame, gap: int) -> pd.DataFrame:
-    """Tables of one heading and first row: a table without caption joins the open group if its page is near enough."""
-    rows = rows.sort_values(["page_idx", "block_idx"])
-    role, anchor, last, group = [], [], None, None
-    for r in rows.itertuples(index=False):
-        key = f"p{r.page_idx}-b{r.block_idx}"
-        follows = last is not None and not r.has_caption and 0 <= r.page_idx - last <= gap
-        group = group if follows else key
-        role.append("sibling" if follows else "single")
-        anchor.append(group)
-        last = r.page_idx
-    rows = rows.assign(merge_role=role, merge_group_id=anchor)
-    heads = set(rows.loc[rows.merge_role == "sibling", "merge_group_id"])
-    own = "p" + rows.page_idx.astype(str) + "-b" + rows.block_idx.astype(str)
-    rows.loc[(rows.merge_role == "single") & own.isin(heads), "merge_role"] = "anchor"
-    return rows
-
-
 def crosspage_siblings(tables: DataFrame, gap: int = 2) -> DataFrame:
     """Tables (source_id, heading_path, page_idx, block_idx, caption, content) with merge_role and merge_group_id.
 
@@ -140,11 +177,14 @@ def crosspage_siblings(tables: DataFrame, gap: int = 2) -> DataFrame:
     """
     first = F.array_join(F.transform(F.get(html_rows(F.col("content")), 0), lambda x: F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", ""), r"(?U)[\s$]+", "")), "\u0001")
     rows = tables.withColumn("header", F.coalesce(first, F.lit(""))).withColumn("has_caption", F.trim(F.array_join("caption", " ")) != "")
-    real, rest = rows.where("header <> ''"), rows.where("header = ''")
-    schema = rows.withColumn("merge_role", F.lit("")).withColumn("merge_group_id", F.lit("")).schema
-    merged = real.groupBy("source_id", "heading_path", "header").applyInPandas(lambda x: _crosspage(x, gap), schema)
-    single = rest.withColumn("merge_role", F.lit("single")).withColumn("merge_group_id", F.format_string("p%d-b%d", "page_idx", "block_idx"))
-    return merged.unionByName(single).drop("has_caption")
+    group = W.partitionBy("source_id", "heading_path", "header").orderBy("page_idx", "block_idx")
+    follows = (F.col("header") != "") & ~F.col("has_caption") & (F.col("page_idx") - F.lag("page_idx").over(group) <= gap)
+    rows = rows.withColumn("_follows", F.coalesce(follows, F.lit(False)))
+    rows = rows.withColumn("_island", F.sum((~F.col("_follows")).cast("int")).over(group))
+    island = W.partitionBy("source_id", "heading_path", "header", "_island")
+    role = F.when(F.col("_follows"), "sibling").when(F.count("*").over(island) > 1, "anchor").otherwise("single")
+    first = F.min(F.struct("page_idx", "block_idx")).over(island)
+    return rows.withColumn("merge_role", role).withColumn("merge_group_id", F.format_string("p%d-b%d", first["page_idx"], first["block_idx"])).drop("has_caption", "_follows", "_island")
 
 
 def resolve_anchor(tables: DataFrame) -> DataFrame:
@@ -191,10 +231,21 @@ def merge_panels(media: DataFrame) -> DataFrame:
     return rows.withColumn("merge_role", role).drop("_island", "_real", "_none", "_anchor", "_size")
 
 
-def route_media_work(manifest: DataFrame) -> DataFrame:
-    """What to do with each medium before enrichment: a sibling's body is in its anchor, orphans are skipped."""
+def route_media_work(manifest: DataFrame, extensions: DataFrame | None = None) -> DataFrame:
+    """What to do with each medium before enrichment: a duplicate's and a sibling's body is in its anchor, orphans are
+    skipped. With extensions (source_id, merge_group_id, extension) an anchor's content ends with its siblings' rows, and
+    with an image_path column an anchor's image_paths are those of its whole group, in order."""
     status = F.when(F.col("merge_role") == "duplicate", "duplicate_of_anchor").when(F.col("merge_role") == "sibling", "merged_into_anchor").when(F.col("heading_path").isNull(), "skip_orphan").otherwise("todo")
-    return manifest.withColumn("work", status)
+    out = manifest.withColumn("work", status)
+    anchor = F.col("merge_role") == "anchor"
+    if extensions is not None:
+        out = out.join(extensions, ["source_id", "merge_group_id"], "left")
+        out = out.withColumn("content", F.when(anchor & F.col("extension").isNotNull(), F.concat_ws("\n", F.coalesce("content", F.lit("")), "extension")).otherwise(F.col("content"))).drop("extension")
+    if "image_path" in manifest.columns:
+        group = W.partitionBy("source_id", "merge_group_id")
+        every = F.transform(F.array_sort(F.collect_list(F.struct("page_idx", "block_idx", "image_path")).over(group)), lambda x: x["image_path"])
+        out = out.withColumn("image_paths", F.when(anchor, every).otherwise(F.array("image_path")))
+    return out
 
 
 def validate_enrichment(rows: DataFrame) -> DataFrame:

@@ -96,3 +96,19 @@ def group_sizes(rows: DataFrame, key: str) -> DataFrame:
 def load_report(results: DataFrame) -> DataFrame:
     """Totals of a load by status: one source that fails is a row, not an error."""
     return results.groupBy("status").agg(F.count("*").alias("sources"), F.sum(F.coalesce("rows", F.lit(0))).alias("rows"))
+
+
+def trace_rows(states: DataFrame) -> DataFrame:
+    """Audit rows of final states: what was asked, found, kept and answered, tokens, latencies with their total, and the error.
+
+    states: session_id, user_id, patient_input, chief_complaint, confirmed, denied, candidates and reranked (arrays of
+    structs with source_chunk_id), final_response, failure, results, token_usage and latency_ms (maps), total_ms.
+    """
+    from ..functions.text import error_info
+
+    none = F.array().cast("array<string>")
+    intent = F.struct("chief_complaint", F.coalesce("confirmed", none).alias("confirmed_symptoms"), F.coalesce("denied", none).alias("denied_symptoms"))
+    usage = F.coalesce("token_usage", F.create_map(*[F.lit(x) for k in ("prompt_tokens", "completion_tokens", "total_tokens") for x in (k, 0)]).cast("map<string,bigint>"))
+    latency = F.map_concat(F.map_filter(F.coalesce("latency_ms", F.create_map().cast("map<string,double>")), lambda k, v: k != "total"), F.create_map(F.lit("total"), F.col("total_ms").cast("double")))
+    ids = F.array_compact(F.transform("reranked", lambda c: F.nullif(c["source_chunk_id"], F.lit(""))))
+    return states.select("session_id", "user_id", F.coalesce("patient_input", F.lit("")).alias("raw_query"), intent.alias("intent_result"), F.col("candidates").alias("retrieved_chunks"), F.col("reranked").alias("reranked_chunks"), F.coalesce("final_response", F.lit("")).alias("final_response"), usage.alias("token_usage"), latency.alias("latency_ms"), error_info(F.col("failure"), F.col("results")).alias("error_info"), F.coalesce(ids, none).alias("chunk_ids"))

@@ -42,17 +42,118 @@ def contents_dictionary(lines: DataFrame, levels: list[str], blacklist: list[str
     rows = lines.withColumn("level", level).where("level is not null").withColumn("key", strict_key(F.col("text")))
     if blacklist:
         rows = rows.where(~F.col("key").isin(list(blacklist)))
+    return with_ancestors(rows, len(levels))
+
+
+def with_ancestors(rows: DataFrame, levels: int) -> DataFrame:
+    """Entries (source_id, pos, level, text) with the titles above them: of each level the last before, if nothing higher came after it."""
     ancestors = []
-    for i in range(1, len(levels)):
+    for i in range(1, levels):
         last = F.last(F.when(F.col("level") <= i, F.struct("level", "text")), ignorenulls=True).over(_source().rowsBetween(W.unboundedPreceding, -1))
         ancestors.append(F.when((F.col("level") > i) & (last["level"] == i), last["text"]))
     return rows.withColumn("ancestors", F.array_compact(F.array(*ancestors)) if ancestors else F.array().cast("array<string>"))
 
 
+def apply_patches(entries: DataFrame, replace: DataFrame, insert: DataFrame, levels: int) -> DataFrame:
+    """Contents entries with corrected titles and entries put in after their anchors; ancestors are built anew.
+
+    entries: source_id, pos, level, text, key; replace: key, title; insert: anchor_key, level, title (after the first
+    entry of that key in each source). pos is counted anew.
+    """
+    fixed = entries.select("source_id", "pos", "level", "text", "key").join(replace.select("key", "title"), "key", "left").withColumn("text", F.coalesce("title", "text")).drop("title")
+    fixed = fixed.withColumn("key", strict_key(F.col("text"))).withColumn("_after", F.lit(0))
+    at = fixed.groupBy("source_id", "key").agg(F.min("pos").alias("pos"))
+    new = at.join(insert.select(F.col("anchor_key").alias("key"), "level", F.col("title").alias("text")), "key").select("source_id", "pos", "level", "text", strict_key(F.col("text")).alias("key"), F.lit(1).alias("_after"))
+    both = fixed.select(*new.columns).unionByName(new)
+    order = W.partitionBy("source_id").orderBy("pos", "_after", "text")
+    return with_ancestors(both.withColumn("pos", F.row_number().over(order) - 1).drop("_after"), levels)
+
+
+def title_candidates(blocks: DataFrame, toc: DataFrame, number: str = r"\s(\d+)$", part: str = r"^第[0-9一二三四五六七八九十百零]+[篇章节]\s*") -> DataFrame:
+    """Places where a contents entry may start (source_id, pos, key, action): titles as they are, merged with the next or
+    with a lost number put back, paragraphs that read like a contents line, and page headers (the first of each key).
+
+    blocks: source_id, pos, page, type, text; toc: source_id, key, text.
+    """
+    known = toc.select("source_id", "key").distinct()
+    titles = blocks.where(F.col("type") == "title").select("source_id", "pos", "text")
+    keyed = lambda rows, action: rows.select("source_id", "pos", strict_key(F.col("text")).alias("key"), F.lit(action).alias("action")).join(known, ["source_id", "key"], "left_semi")
+    same = keyed(titles, "exact")
+    merged = keyed(merge_split_titles(titles), "merged").join(same.select("source_id", "pos"), ["source_id", "pos"], "left_anti")
+    bare = toc.where(F.rlike("text", F.lit(part))).select("source_id", F.col("key").alias("_whole"), strict_key(F.regexp_replace("text", part, "")).alias("key")).groupBy("source_id", "key").agg(F.min("_whole").alias("_whole"))
+    loose = titles.select("source_id", "pos", strict_key(F.col("text")).alias("key")).join(known, ["source_id", "key"], "left_anti")
+    rebuilt = loose.join(bare, ["source_id", "key"]).select("source_id", "pos", F.col("_whole").alias("key"), F.lit("rebuilt").alias("action"))
+    lines = blocks.where((F.col("type") == "paragraph") & F.rlike(F.trim("text"), F.lit(number)))
+    mini = keyed(lines.select("source_id", "pos", F.regexp_replace(F.trim("text"), number, "").alias("text")), "contents_line")
+    headers = blocks.where(F.col("type") == "page_header").select("source_id", "pos", "page", strict_key(F.col("text")).alias("key")).join(known, ["source_id", "key"], "left_semi")
+    headers = header_fallback(headers).select("source_id", "pos", "key", F.lit("page_header").alias("action"))
+    out = same
+    for more in (merged, rebuilt, mini, headers):
+        out = out.unionByName(more)
+    return out
+
+
+def _apart(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns under their own names, told apart from those of a frame that df was made from."""
+    return df.select(*(F.col(c).alias(c) for c in columns))
+
+
+def _located(parents: pd.DataFrame, flat: pd.DataFrame, prefix: int) -> pd.DataFrame:
+    """Starts of one source's parents, each after the one before: on its page, a text that begins like its head; without a head the next text from its page on."""
+    flat = flat.sort_values("pos")
+    lines = [t.strip().replace("\n", " ") for t in flat["text"]]
+    rows = list(zip(flat["pos"].tolist(), flat["page"].tolist(), lines))
+    found, at = [], 0
+    parents = parents.sort_values("parent_idx")
+    for page, head in zip(parents["page"], parents["head"]):
+        begin = (head or "").strip().replace("\n", " ")[:prefix]
+        hit = next((i for i in range(at, len(rows)) if rows[i][2] and (rows[i][1] == page and rows[i][2].startswith(begin) if begin else rows[i][1] >= page)), None)
+        found.append(None if hit is None else rows[hit][0])
+        at = at if hit is None else hit + 1
+    start = pd.array(found, dtype="Int64")
+    return parents[["source_id", "parent_idx"]].assign(start=start)
+
+
+def locate_parents(parents: DataFrame, flat: DataFrame, prefix: int = 30) -> DataFrame:
+    """source_id, parent_idx, start and end (where the next one starts; null for the last) of parents in the flat sequence.
+
+    parents: source_id, parent_idx, page, head; flat: source_id, pos, page, text. A parent that isn't found has no start,
+    and doesn't move the search on.
+    """
+    kind = parents.schema["source_id"].dataType.simpleString()
+    pairs = parents.select("source_id", "parent_idx", "page", "head").groupBy("source_id").cogroup(_apart(flat, "source_id", "pos", "page", "text").groupBy("source_id"))
+    out = pairs.applyInPandas(lambda p, f: _located(p, f, prefix), f"source_id {kind}, parent_idx long, start long")
+    after = F.first("start", ignorenulls=True).over(W.partitionBy("source_id").orderBy("parent_idx").rowsBetween(1, W.unboundedFollowing))
+    return out.withColumn("end", after)
+
+
+def _aligned(parents: pd.DataFrame, sections: pd.DataFrame) -> pd.DataFrame:
+    parents, sections = parents.sort_values("pos"), sections.sort_values("pos")
+    known, own = list(zip(sections["level"], sections["title"])), list(zip(parents["level"], parents["title"]))
+    paths, found, j = sections["path"].tolist(), [], 0
+    for i, p in enumerate(own):
+        while j < len(known) and known[j] != p:
+            j += 1
+        found.append(paths[j] if j < len(known) else None)
+        if i + 1 == len(own) or own[i + 1] != p:
+            j += 1
+    return parents[["source_id", "pos"]].assign(section_path=found)
+
+
+def align_sections(parents: DataFrame, sections: DataFrame) -> DataFrame:
+    """source_id, pos and section_path of parents, matched to the ordered sections by level and title; sections that were absorbed are skipped.
+
+    parents: source_id, pos, level, title; sections: source_id, pos, level, title, path. Once no section is left, paths are null.
+    """
+    kind = parents.schema["source_id"].dataType.simpleString()
+    pairs = parents.select("source_id", "pos", "level", "title").groupBy("source_id").cogroup(_apart(sections, "source_id", "pos", "level", "title", "path").groupBy("source_id"))
+    return pairs.applyInPandas(_aligned, f"source_id {kind}, pos long, section_path string")
+
+
 def match_titles(titles: DataFrame, toc: DataFrame) -> DataFrame:
     """Title blocks with the contents entry of their key. Of several, the one whose parent is the nearest earlier match."""
     keyed = titles.withColumn("key", strict_key(F.col("text")))
-    entry = F.struct(F.col("pos").alias("toc_pos"), "level", F.col("text").alias("toc_title"), F.element_at("ancestors", -1).alias("parent"))
+    entry = F.struct(F.col("pos").alias("toc_pos"), "level", F.col("text").alias("toc_title"), F.try_element_at("ancestors", F.lit(-1)).alias("parent"))
     of = toc.groupBy("source_id", "key").agg(F.array_sort(F.collect_list(entry)).alias("_of"))
     both = keyed.join(of, ["source_id", "key"], "left")
     sure = F.when(F.size("_of") == 1, F.get("_of", 0)["toc_title"])
@@ -188,19 +289,24 @@ def merge_tiny(parents: DataFrame, least: int = 500) -> DataFrame:
 
 
 def _children(rows: pd.DataFrame, sizes: Sizes) -> pd.DataFrame:
-    rows = rows.sort_values("pos")
-    lengths = rows["len"].tolist()
-    if sum(lengths) <= sizes.whole:
-        return rows.assign(child=0)
-    child, out, size = 0, [], 0
-    for n in lengths:
-        nearer = abs(size + n - sizes.target) <= abs(size - sizes.target)
-        if size and size >= sizes.least and not nearer:
+    """The child of each block of one source's parents."""
+    rows = rows.sort_values(["parent", "pos"])
+    whole = rows.groupby("parent")["len"].transform("sum").tolist()
+    out, first, last, child, size = [], 0, object(), 0, 0
+
+    def close() -> None:
+        if child and size < sizes.tail:
+            out[first:] = [min(c, child - 1) for c in out[first:]]
+
+    for parent, n, total in zip(rows["parent"].tolist(), rows["len"].tolist(), whole):
+        if parent != last:
+            close()
+            first, last, child, size = len(out), parent, 0, 0
+        if total > sizes.whole and size >= max(1, sizes.least) and abs(size + n - sizes.target) > abs(size - sizes.target):
             child, size = child + 1, 0
         out.append(child)
         size += n
-    if child and size < sizes.tail:
-        out = [min(c, child - 1) for c in out]
+    close()
     return rows.assign(child=out)
 
 
@@ -211,7 +317,7 @@ def split_children(blocks: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     always while it is under the least size; a short last one joins the one before.
     """
     schema = blocks.withColumn("child", F.lit(0).cast("long")).schema
-    return blocks.groupBy("source_id", "parent").applyInPandas(lambda x: _children(x, sizes), schema)
+    return blocks.groupBy("source_id").applyInPandas(lambda x: _children(x, sizes), schema)
 
 
 def assemble_text(blocks: DataFrame, keys: list[str]) -> DataFrame:

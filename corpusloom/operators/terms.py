@@ -110,6 +110,11 @@ def term_share(terms: DataFrame, candidates: DataFrame) -> DataFrame:
     return p.withColumn("gain", gain)
 
 
+def ordered_terms(linked: DataFrame, *keys: str) -> DataFrame:
+    """Terms in the order of output: by keys, linked ones first, then by text."""
+    return linked.orderBy(*keys, F.col("linked").desc(), "text")
+
+
 def consume_evidence(items: DataFrame, findings: DataFrame) -> DataFrame:
     """Items as confirmed, denied or remaining by the findings (session_id, finding, positive); positive wins."""
     f = findings.groupBy("session_id", "finding").agg(F.max("positive").alias("positive"))
@@ -159,7 +164,7 @@ def sparse_queries(complaint: Column, scalars: list[Column], lists: list[Column]
     """Trimmed texts of at least `least` characters in order, each once."""
     empty = F.array().cast("array<string>")
     every = F.concat(F.array(complaint, *scalars), *[F.coalesce(x, empty) for x in lists])
-    return F.array_distinct(F.filter(F.transform(every, lambda x: F.trim(x)), lambda x: F.length(x) >= least))
+    return unique_ordered(F.filter(F.transform(every, lambda x: F.trim(x)), lambda x: F.length(x) >= least))
 
 
 def drop_negated(c: Column) -> Column:
@@ -167,6 +172,11 @@ def drop_negated(c: Column) -> Column:
     return ~F.rlike(c, F.lit(r"\(-\)|正常|阴性|未见|无异常"))
 
 
+def unique_ordered(c: Column) -> Column:
+    """Values in order, each once."""
+    return F.array_distinct(c)
+
+
 def valid_slots(chosen: Column, empty: Column, quota: int) -> Column:
     return F.slice(F.array_intersect(chosen, empty), 1, quota)
 

@@ -13,12 +13,18 @@ def latest(updates: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return updates.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def _only(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Updates with one row for each key; a job that meets a second one fails."""
+    n = F.count("*").over(W.partitionBy(*keys))
+    return updates.withColumn("_n", n).where(F.when(F.col("_n") == 1, True).otherwise(F.raise_error(F.lit("several updates for one key need an order")).cast("boolean"))).drop("_n")
+
+
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], now: Column, order: list[Column] | None = None) -> DataFrame:
     """target with the updates' rows in place of its own: created_at stays, updated_at becomes `now`.
 
-    Of several updates for a key the last by `order` counts. Rows whose content is the same as before are left alone.
+    Of several updates for a key the last by `order` counts; without an order, several are an error. Rows whose content is the same as before are left alone.
     """
-    fresh = latest(updates, keys, order) if order else updates.dropDuplicates(keys)
+    fresh = latest(updates, keys, order) if order else _only(updates, keys)
     content = [c for c in target.columns if c not in keys and c not in ("created_at", "updated_at")]
     old = target.select(*keys, F.struct(*target.columns).alias("_old"))
     new = fresh.select(*keys, F.struct(*[c for c in content if c in fresh.columns]).alias("_new"))
@@ -40,6 +46,18 @@ def orphans(chunks: DataFrame) -> DataFrame:
     return chunks.where("parent_chunk_id is not null").join(parents, "parent_chunk_id", "left_anti")
 
 
+def upsert_chunks(target: DataFrame, chunks: DataFrame, now: Column, order: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """target with the chunks in, by chunk_id, and those that now lack their parent."""
+    out = upsert(target, chunks, ["chunk_id"], now, order)
+    return out, orphans(out)
+
+
+def upsert_vectors(target: DataFrame, records: DataFrame, now: Column, dim: int, order: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """target with the vector records in, by id, and the records whose vector isn't of `dim` numbers, which stay out."""
+    good = F.coalesce(F.size("vector") == dim, F.lit(False))
+    return upsert(target, records.where(good), ["id"], now, order), records.where(~good)
+
+
 def apply_columns(chunks: DataFrame, found: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Columns of successful rows only."""
     good = found.where("status = 'ok'").select(key, F.struct(*columns).alias("_new"))

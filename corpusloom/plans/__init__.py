@@ -2,7 +2,7 @@
 
 
 def _load() -> None:
-    from . import content, operations, retrieval, selection  # noqa: F401
+    from . import content, layout, operations, retrieval, selection  # noqa: F401
 
 
 def queries() -> dict:
