@@ -6,11 +6,16 @@ text is joined to survivors only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine, question_index
+from .tables import is_small
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Rows of a query batch up to which it is broadcast.
@@ -18,56 +23,96 @@ QUERY_ROWS = 20_000
 
 
 def terms(text: Column) -> Column:
-    """Lower-cased runs of letters and digits; runs of Chinese characters as overlapping pairs (single ones alone)."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{IsHan}]+|[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0))
+    """Lower-cased runs of letters and digits, then runs of Chinese characters as overlapping pairs (single ones alone)."""
+    low = F.lower(text)
+    plain = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0))
+    runs = F.regexp_extract_all(low, F.lit(r"\p{IsHan}+"), F.lit(0))
     pairs = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda x: F.when(F.rlike(x, F.lit(r"^\p{IsHan}")), pairs(x)).otherwise(F.array(x))))
-
+    return F.when(F.rlike(text, F.lit(r"\p{IsHan}")), F.concat(plain, F.flatten(F.transform(runs, pairs)))).otherwise(plain)
 
-def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """term, doc_id, tf and doc_len of every document with terms."""
-    words = docs.where(F.length(text) > 0).select(F.col(doc_id).alias("doc_id"), terms(F.col(text)).alias("t")).where(F.size("t") > 0)
-    return words.select("doc_id", F.size("t").alias("doc_len"), F.explode("t").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
 
+def bm25_scores(queries: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", where: Column | None = None) -> DataFrame:
+    """Score of the documents for every (query_id, route_no, text) that shares a term with them.
 
-def bm25_scores(queries: DataFrame, index: DataFrame, n_docs: int, mean_len: float, doc_freq: DataFrame) -> DataFrame:
-    """Score of every document for every (query_id, route_no, text): terms of the queries select the postings first."""
+    Only the queries' terms are counted. Lengths and frequencies cover all documents with terms; `where` (a column of
+    docs) keeps documents out of the result, not out of the statistics.
+    """
+    words = docs.where(F.length(text) > 0).select(F.col(doc_id).alias("doc_id"), terms(F.col(text)).alias("t"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("_in")).where(F.size("t") > 0)
+    whole = words.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
     asked = queries.select("query_id", "route_no", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "route_no", "term").agg(F.count("*").alias("qtf"))
-    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(mean_len)))
-    hits = index.join(asked, "term").join(doc_freq, "term")
+    # the queries' terms bound the terms that are counted: one count of them says what may be broadcast
+    hint = F.broadcast if is_small(asked) else lambda df: df
+    vocabulary = asked.select("term").distinct()
+    tf = words.select("doc_id", "_in", F.size("t").alias("doc_len"), F.explode("t").alias("term")).join(hint(vocabulary), "term", "left_semi")
+    tf = tf.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"), F.first("_in").alias("_in"))
+    # reads all columns of tf, so that both come from one exchange
+    frequency = tf.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("doc_len") > 0) & F.col("_in").isNotNull()).alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("mean")))
+    hits = tf.join(hint(frequency), "term").where("_in").join(hint(asked), "term").crossJoin(F.broadcast(whole))
     return hits.groupBy("query_id", "route_no", "doc_id").agg(F.sum(part).alias("score"))
 
 
-def index_statistics(index: DataFrame) -> tuple[int, float]:
-    """Number and mean length of documents with terms."""
-    r = index.select("doc_id", "doc_len").distinct().agg(F.count("*").alias("n"), F.avg("doc_len").alias("mean")).first()
-    return int(r.n), float(r.mean or 1.0)
-
-
-def document_frequencies(index: DataFrame) -> DataFrame:
-    return index.groupBy("term").agg(F.count("*").alias("df"))
-
-
 def topk(hits: DataFrame, keys: list[str], k: int, item: str) -> DataFrame:
     """The k best of each key with rank; ties to the smaller item."""
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), item))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The k best documents of every route of every query."""
-    index = postings(docs, doc_id, text)
-    n, mean = index_statistics(index)
-    return topk(bm25_scores(queries, index, n, mean, document_frequencies(index)), ["query_id", "route_no"], k, "doc_id")
-
-
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """The k nearest vectors by cosine, exactly. queries: query_id, vector; vectors: id, vector and whatever `where` reads."""
-    rows = vectors if where is None else vectors.where(where)
-    q = queries.select("query_id", F.col("vector").alias("_q"))
-    q = F.broadcast(q) if q.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS else q
-    return topk(rows.crossJoin(q).select("query_id", "id", cosine(F.col("vector"), F.col("_q")).alias("score")), ["query_id"], k, "id")
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text", where: Column | None = None, digits: int = 9) -> DataFrame:
+    """The k best documents of every route of every query; scores are rounded, so that ties don't depend on the order of sums."""
+    scores = bm25_scores(queries, docs, doc_id, text, where).withColumn("score", F.round("score", digits))
+    return topk(scores, ["query_id", "route_no"], k, "doc_id")
+
+
+def _products(shared, k: int, digits: int, apart: bool):
+    """The k best of each query among a task's vectors: one matrix product for each batch, the best so far kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, matrix = shared.value
+        best_id = np.empty((len(asked), 0), dtype=np.int64)
+        best = np.empty((len(asked), 0))
+        size = np.sqrt((matrix**2).sum(axis=1))
+        for batch in batches:
+            flat = batch.column(1)
+            good = [i for i, v in enumerate(flat) if v.as_py() is not None and len(v) == matrix.shape[1]] if flat.null_count or len(flat.flatten()) != len(flat) * matrix.shape[1] else None
+            if good is not None:
+                batch = batch.take(pa.array(good, pa.int64()))
+            if batch.num_rows == 0:
+                continue
+            ids, v = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            score = np.round((matrix @ v.T) / np.maximum(size[:, None] * np.sqrt((v**2).sum(axis=1))[None], 1e-9), digits)
+            if apart:
+                score[asked[:, None] == ids[None]] = -np.inf
+            best = np.concatenate((best, score), axis=1)
+            best_id = np.concatenate((best_id, np.broadcast_to(ids, score.shape)), axis=1)
+            order = np.lexsort((best_id, -best), axis=1)[:, :k]
+            best, best_id = np.take_along_axis(best, order, axis=1), np.take_along_axis(best_id, order, axis=1)
+        found = best > -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, found.sum(axis=1)), pa.int64()), pa.array(best_id[found], pa.int64()), pa.array(best[found], pa.float64())], ["query_id", "id", "score"])
+
+    return run
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None, digits: int = 9, apart: bool = False) -> DataFrame:
+    """The k nearest vectors by cosine, exactly. queries: query_id, vector; vectors: id, vector and whatever `where` reads.
+
+    Ids are integers. Scores are rounded; ties go to the smaller id. With `apart` a query's own id is no answer. Up to
+    QUERY_ROWS queries are one matrix that every task multiplies with its batches of vectors; more queries are joined
+    to the vectors pair by pair.
+    """
+    rows = (vectors if where is None else vectors.where(where)).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where(F.exists("vector", lambda x: x.isNotNull()))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("_q")).where("_q is not null")
+    few = asked.limit(QUERY_ROWS + 1).collect()
+    if not few:
+        return rows.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    if len(few) <= QUERY_ROWS and len({len(r[1]) for r in few}) == 1:
+        shared = rows.sparkSession.sparkContext.broadcast((np.array([r[0] for r in few], dtype=np.int64), np.array([r[1] for r in few], dtype=np.float64)))
+        hits = rows.mapInArrow(_products(shared, k, digits, apart), "query_id long, id long, score double")
+    else:
+        hits = rows.crossJoin(asked).select("query_id", "id", F.round(cosine(F.col("vector"), F.col("_q")), digits).alias("score"))
+        hits = hits.where("query_id <> id") if apart else hits
+    return topk(hits, ["query_id"], k, "id")
 
 
 def union_routes(*routes: DataFrame) -> DataFrame:

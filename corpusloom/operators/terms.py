@@ -8,15 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import alias_record_id
 from ..functions.text import code_category, cosine
-
-#: Rows up to which a vocabulary or a mention batch is broadcast.
-SMALL_ROWS = 100_000
-
-
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is counted to be small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
+from .tables import small
 
 def load_vocabulary(rows: DataFrame, order: str) -> DataFrame:
     """code and name without nulls and blanks; the first row (by `order`) of each code."""

@@ -25,48 +25,38 @@ sparse AS (
   SELECT query_id, route_no, doc_id, score, row_number() OVER (PARTITION BY query_id, route_no ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scores)""".format(terms=_TERMS.format("text"))
 
 
-def _rounded(hits: DataFrame) -> DataFrame:
-    """Scores whose last digits don't depend on the order of sums."""
-    return hits.withColumn("score", F.round("score", 9))
-
-
-def _bm25(t: Tables, queries: DataFrame, k: int) -> DataFrame:
-    index = rt.postings(t.documents)
-    n, mean = rt.index_statistics(index)
-    return rt.topk(_rounded(rt.bm25_scores(queries, index, n, mean, rt.document_frequencies(index))), ["query_id", "route_no"], k, "doc_id")
-
-
 @query(f"""WITH {_POSTINGS}, queries AS (SELECT item_id AS query_id, 0 AS route_no, text FROM benchmark), {_SCORES}
 SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM sparse WHERE rank <= 10""")
 def bm25_topk(t: Tables) -> DataFrame:
     """RNK-02: the ten best documents of each benchmark item."""
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.lit(0).alias("route_no"), "text")
-    return _bm25(t, queries, 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    return rt.bm25_topk(queries, t.documents, 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 _ROUTES = """queries AS (
   SELECT item_id AS query_id, CAST(i AS INTEGER) AS route_no, trim(parts[i]) AS text
-  FROM (SELECT item_id, string_split(text, '.') AS parts FROM benchmark) CROSS JOIN (SELECT unnest(range(1, 4)) AS i) WHERE i <= len(parts) AND trim(parts[i]) <> '')"""
+  FROM (SELECT item_id, string_split(text, '.') AS parts, unnest(range(1, len(string_split(text, '.')) + 1)) AS i FROM benchmark) WHERE trim(parts[i]) <> '')"""
 
 
 def _routes(t: Tables) -> DataFrame:
-    """Up to three sparse routes of an item: its first sentences."""
-    parts = F.posexplode(F.slice(F.split("text", "\\."), 1, 3)).alias("i", "text")
+    """The sparse routes of an item: its sentences."""
+    parts = F.posexplode(F.split("text", "\\.")).alias("i", "text")
     return t.benchmark.select(F.col("item_id").alias("query_id"), parts).where(F.trim("text") != "").select("query_id", (F.col("i") + 1).alias("route_no"), F.trim("text").alias("text"))
 
 
+def _asked(t: Tables) -> DataFrame:
+    """Each item's own vector (ids pair items and documents with vectors)."""
+    return t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
 def _dense(t: Tables) -> DataFrame:
-    """Nearest vectors of each item's own vector (ids pair items and documents with vectors)."""
-    q = t.embeddings.join(F.broadcast(t.benchmark.select(F.col("item_id").alias("vec_id"))), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    q = F.broadcast(q)
-    hits = v.crossJoin(q.withColumnRenamed("vector", "_q")).select("query_id", "id", F.round(rt.cosine(F.col("vector"), F.col("_q")), 9).alias("score"))
-    return rt.topk(hits, ["query_id"], 20, "id")
+    """Nearest vectors of each item's own vector."""
+    return rt.dense_topk(_asked(t), t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 20)
 
 
 def _fused(t: Tables) -> DataFrame:
     dense = _dense(t).select("query_id", F.lit(0).alias("route_no"), F.lit("dense").alias("kind"), "rank", "id")
-    sparse = _bm25(t, _routes(t), 20).select("query_id", "route_no", F.lit("sparse").alias("kind"), "rank", F.col("doc_id").alias("id"))
+    sparse = rt.bm25_topk(_routes(t), t.documents, 20).select("query_id", "route_no", F.lit("sparse").alias("kind"), "rank", F.col("doc_id").alias("id"))
     return rt.rrf_fuse(rt.union_routes(dense, sparse))
 
 
@@ -88,6 +78,29 @@ def fused_topk(t: Tables) -> DataFrame:
     return best.select("query_id", "id", "rank", F.round("score", 6).alias("score"), "first_rank")
 
 
+@query(f"""WITH {_DENSE} SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM dense WHERE rank <= 20""")
+def dense_hits(t: Tables) -> DataFrame:
+    """RNK-01, FN-14: the twenty nearest vectors of each item."""
+    return _dense(t).select("query_id", "id", "rank")
+
+
+@query(f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COSINE}, 9) AS score FROM embeddings a JOIN benchmark i ON i.item_id = a.vec_id CROSS JOIN embeddings b WHERE b.label < 4 AND a.vec_id <> b.vec_id)
+SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM p QUALIFY rank <= 5""")
+def filtered_dense(t: Tables) -> DataFrame:
+    """FLT-12, RNK-01: the five nearest among the vectors that a filter lets through."""
+    of = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return rt.dense_topk(_asked(t), of, 5, F.col("label") < 4, apart=True).select("query_id", "id", "rank")
+
+
+@query(f"""WITH {_POSTINGS}, queries AS (SELECT item_id AS query_id, 0 AS route_no, text FROM benchmark), {_SCORES},
+kept AS (SELECT s.query_id, s.doc_id, s.score, row_number() OVER (PARTITION BY s.query_id ORDER BY round(s.score, 9) DESC, s.doc_id) AS r FROM scores s JOIN documents d USING (doc_id) WHERE d.lang = 'en')
+SELECT query_id, doc_id, CAST(r AS INTEGER) AS rank FROM kept WHERE r <= 10""")
+def filtered_bm25(t: Tables) -> DataFrame:
+    """FLT-12, RNK-02: the ten best English documents, by the statistics of all."""
+    queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.lit(0).alias("route_no"), "text")
+    return rt.bm25_topk(queries, t.documents, 10, where=F.col("lang") == "en").select("query_id", "doc_id", "rank")
+
+
 @query(f"""{_FUSED}
 SELECT query_id, source AS source_chunk_id, round(sum(score), 6) AS score, count(*) AS n_hits FROM fused JOIN documents ON doc_id = id GROUP BY ALL""")
 def vector_aggregation(t: Tables) -> DataFrame:
@@ -105,9 +118,11 @@ ranked AS (SELECT * FROM (SELECT case_id, item_id, CAST(greatest(0, 3 - abs(own
 
 def _ranked(t: Tables) -> DataFrame:
     """Judged rankings: an item's nearest vectors, graded by how near their labels are."""
-    q = F.broadcast(t.embeddings.join(F.broadcast(t.benchmark.select(F.col("item_id").alias("vec_id"))), "vec_id").select(F.col("vec_id").alias("case_id"), F.col("label").alias("own"), F.col("embedding").alias("_q")))
-    rows = t.embeddings.crossJoin(q).where("vec_id <> case_id").select("case_id", F.col("vec_id").alias("item_id"), F.greatest(F.lit(0), 3 - F.abs(F.col("own") - F.col("label"))).alias("grade"), F.round(rt.cosine(F.col("embedding"), F.col("_q")), 9).alias("score"))
-    return rt.topk(rows, ["case_id"], 50, "item_id").select("case_id", "item_id", "rank", F.col("grade").alias("score"))
+    of = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    best = rt.dense_topk(_asked(t), of, 50, apart=True)
+    label = lambda c, name: of.select(F.col("id").alias(c), F.col("label").alias(name))
+    both = best.join(label("id", "other"), "id").join(label("query_id", "own"), "query_id")
+    return both.select(F.col("query_id").alias("case_id"), F.col("id").alias("item_id"), "rank", F.greatest(F.lit(0), 3 - F.abs(F.col("own") - F.col("other"))).alias("score"))
 
 
 @query(f"""{_RANKED},
@@ -160,7 +175,7 @@ FROM j LEFT JOIN lone o USING (query_id, id) GROUP BY 1""")
 def fusion_comparison(t: Tables) -> DataFrame:
     """AGG-19: equal weights against a dense route that counts as three."""
     dense = _dense(t).select("query_id", F.lit(0).alias("route_no"), F.lit("dense").alias("kind"), "rank", "id")
-    sparse = _bm25(t, _routes(t), 20).select("query_id", "route_no", F.lit("sparse").alias("kind"), "rank", F.col("doc_id").alias("id"))
+    sparse = rt.bm25_topk(_routes(t), t.documents, 20).select("query_id", "route_no", F.lit("sparse").alias("kind"), "rank", F.col("doc_id").alias("id"))
     hits = rt.union_routes(dense, sparse)
     only = hits.groupBy("query_id", "id").agg(F.bool_and(F.col("kind") == "dense").alias("d")).where("d")
     best = lambda w: rt.topk(hits.groupBy("query_id", "id").agg(F.round(F.sum(F.when(F.col("kind") == "dense", w).otherwise(1.0) / (60 + F.col("rank"))), 12).alias("score")), ["query_id"], 10, "id")
