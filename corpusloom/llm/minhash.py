@@ -2,70 +2,123 @@
 
 Every permutation of the shingle hashes gives two signature values, its minimum and its maximum, so that a
 signature takes half as many hash evaluations. Bands of values name buckets; whoever shares a bucket with its head
-is compared on full sets. Documents with the same set are one class and are compared once.
+is compared on full sets, and what stays apart asks the next head, round by round. Documents with the same set are
+one class and are compared once.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import mix, prefix_sums, span_hashes
+from .hashing import mix
 from .suffixes import BLOB, _batch, _dealt, _spread, _unblob
-from .work import partitions, tidy, written
+from .work import BUCKETS, by_bucket, dealt, partitions, tidy, written
 
 BANDS, ROWS = 30, 5
 #: Fewer equal bytes of the 150 than this put a pair over six standard deviations under a similarity of 0.8.
 LEAST_EQUAL = 88
+#: Rounds of comparisons with heads go on while at least one of so many comparisons links.
+WORTH = 20
+#: Ids up to which a table of them is broadcast (8 bytes each) to pick texts; more are joined by shuffle.
+BROADCAST_IDS = 200_000
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _SEED = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MUL, _XOR = _SEED[0::2] | np.uint64(1), _SEED[1::2]
-
-
-def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, one after another, and where each text's begin (one more than texts)."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    space = _SPACE[data]
-    keep = ~space
-    keep[1:] |= ~space[:-1]  # the first blank after a word stays as its end
-    flat = _LOWER[data[keep]]
-    gap = space[keep]
-    flat[gap] = 0x20
-    end = np.flatnonzero(gap)
-    if len(end) and end[0] == 0:  # a blank that opens the data ends no word
-        end = end[1:]
-        start = np.concatenate(([1], end[:-1] + 1))
-    else:
-        start = np.concatenate(([0], end[:-1] + 1)) if len(end) else end
-    source = np.flatnonzero(keep)[start]  # where each word stood, for its text
-    edge = np.cumsum([0] + [len(t) + 1 for t in texts])
-    first = np.searchsorted(source, edge)  # the first word of each text
-    sums = prefix_sums(flat)
-    count = np.diff(first)
-    if len(start) == 0:
-        return np.empty(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+#: Bytes of a text that are split at once, and bytes of words whose digests a worker keeps.
+CUT, KEPT_WORDS = 1 << 20, 32 << 20
+
+
+class _Words(dict):
+    """The number of each word's xxh3-128 digest; digests are made once for each word and forgotten all together."""
+
+    def __init__(self) -> None:
+        self.lanes = np.empty((1024, 2), dtype=np.uint64)
+        self.fresh: list[bytes] = []
+        self.size = 0
+
+    def __missing__(self, word: bytes) -> int:
+        self.fresh.append(xxhash.xxh3_128_digest(word))
+        self.size += len(word) + 100
+        number = self[word] = len(self)
+        return number
+
+    def digests(self, text: bytes) -> np.ndarray:
+        """Two 64-bit values for each word of the text, compared without the case of A-Z."""
+        found, at = [], 0
+        while at < len(text):
+            if self.size > KEPT_WORDS:
+                self.__init__()
+                self.clear()
+            end = _BLANK.search(text, at + CUT)
+            end = end.end() if end else len(text)
+            split = text[at:end].lower().split()  # bytes are split at blanks and \x09 to \x0d, and only A-Z are lowered
+            at, have = end, len(self)
+            which = np.fromiter(map(self.__getitem__, split), dtype=np.int64, count=len(split))
+            if self.fresh:
+                if len(self) > len(self.lanes):
+                    self.lanes = np.concatenate((self.lanes, np.empty((max(len(self.lanes), len(self)), 2), dtype=np.uint64)))
+                self.lanes[have : len(self)] = np.frombuffer(b"".join(self.fresh), dtype="<u8").reshape(-1, 2)
+                self.fresh.clear()
+            found.append(self.lanes[which])
+        return np.concatenate(found) if found else np.empty((0, 2), dtype=np.uint64)
+
+
+_words = _Words()
+
+
+def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text, one text after another: 64-bit hashes (sorted in each text), 64 further bits of each, and where each text's begin (one more than texts).
+
+    A shingle's two hashes are chained from the two halves of its words' digests and from its number of words.
+    """
+    digests = [_words.digests(t) for t in texts]
+    count = np.array([len(d) for d in digests], dtype=np.int64)
     made = np.where(count >= words, count - words + 1, np.minimum(count, 1))
     bounds = np.concatenate(([0], np.cumsum(made)))
+    if bounds[-1] == 0:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
+    lanes = np.concatenate(digests)
+    first = np.concatenate(([0], np.cumsum(count)[:-1]))
     owner = np.repeat(np.arange(len(texts)), made)
     head = first[owner] + np.arange(bounds[-1]) - bounds[owner]
-    tail = head + np.minimum(words, count[owner]) - 1
-    h = span_hashes(sums, start[head], end[tail])
+    length = np.minimum(words, count[owner])
+    short = length < words
+    sides = []
+    for side in (0, 1):
+        own = np.ascontiguousarray(lanes[:, side])
+        h = length.astype(np.uint64)
+        for j in range(words):
+            new = mix((h ^ own[np.minimum(head + j, len(own) - 1)]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j + 1))
+            h = np.where(short & (length <= j), h, new) if short.any() else new
+        sides.append(h)
+    low, high = sides
+    order = np.arange(len(low))
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if b - a > 1:
-            h[a:b].sort()
-    fresh = np.ones(len(h), dtype=bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+            order[a:b] = a + np.argsort(low[a:b])
+    low, high = low[order], high[order]
+    fresh = np.ones(len(low), dtype=bool)
+    fresh[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (owner[1:] != owner[:-1])
     total = np.concatenate(([0], np.cumsum(fresh)))
-    return h[fresh], total[bounds]
+    return low[fresh], high[fresh], total[bounds]
+
+
+def in_common(x: tuple, y: tuple) -> int:
+    """How many shingles two sets (as shingles() gives them for one text each) have in common."""
+    if len(x[0]) == 0 or len(y[0]) == 0:
+        return 0
+    at = np.minimum(np.searchsorted(x[0], y[0]), len(x[0]) - 1)
+    return int(((x[0][at] == y[0]) & (x[1][at] == y[1])).sum())
 
 
 def signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -110,23 +163,21 @@ def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in _pieces(batch.column(1)):
-                h, bounds = shingles(texts, words)
+                h, more, bounds = shingles(texts, words)
                 n = np.diff(bounds)
                 some = np.flatnonzero(n)
                 sig = signatures(h, bounds)
                 bands = _bands(sig).view(np.int64)
-                at = bounds[:-1][some]
-                k = np.zeros((2, len(texts)), dtype=np.uint64)
-                if len(some):
-                    m = mix(h.copy())
-                    k[0, some], k[1, some] = np.add.reduceat(m, at), np.bitwise_xor.reduceat(mix(m + np.uint64(1)), at)
+                # a cryptographic digest of the whole set names its class
+                key = [hashlib.blake2b(h[i:j].tobytes() + more[i:j].tobytes(), digest_size=16).digest() for i, j in zip(bounds[:-1], bounds[1:])]
+                k = np.frombuffer(b"".join(key), dtype="<i8").reshape(-1, 2)
                 each: list = [None] * len(texts)
                 low: list = [None] * len(texts)
                 small = (sig & np.uint64(255)).astype(np.uint8)
                 for j, i in enumerate(some.tolist()):
                     each[i], low[i] = bands[j], small[j].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(k[0].view(np.int64)), pa.array(k[1].view(np.int64)), pa.array(each, pa.list_(pa.int64())), pa.array(low, pa.binary())],
+                    [batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1])), pa.array(each, pa.list_(pa.int64())), pa.array(low, pa.binary())],
                     ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
                 )
 
@@ -137,39 +188,41 @@ def _linked(words: int, percent: int):
     """Keeps the pairs whose full sets are near enough; the sets of the last few heads are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: OrderedDict[int, np.ndarray] = OrderedDict()
+        kept: OrderedDict[int, tuple] = OrderedDict()
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             good = []
             for i in range(batch.num_rows):
                 if a[i] not in kept:
-                    kept[a[i]] = shingles([batch.column(2)[i].as_py().encode()], words)[0]
+                    kept[a[i]] = shingles([batch.column(2)[i].as_py().encode()], words)
                     while len(kept) > 32:
                         kept.popitem(last=False)
                 kept.move_to_end(a[i])
-                x, y = kept[a[i]], shingles([batch.column(3)[i].as_py().encode()], words)[0]
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(good))
+                x, y = kept[a[i]], shingles([batch.column(3)[i].as_py().encode()], words)
+                both = in_common(x, y)
+                good.append(100 * both >= percent * (len(x[0]) + len(y[0]) - both))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those that the full texts confirm."""
+    """Of the written pairs (a, b), those that the full texts confirm."""
     texts = docs.select("doc_id", "text")
+    if 2 * pairs.count() <= BROADCAST_IDS:  # else every text moves
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(tidy(_linked(words, percent)), "a long, b long")
+    return written(both.select("a", "b", "x", "y").mapInArrow(tidy(_linked(words, percent)), "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b); the component is its smallest node.
 
-    Large-star and small-star steps alternate until the edges stay the same; each step is a grouped minimum and a
-    join, so that no task gathers the neighbours of a node.
+    Large-star and small-star steps alternate until every node points to one that points nowhere; each step is a
+    grouped minimum and a join, so that no task gathers the neighbours of a node.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -177,10 +230,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
         edges = written(small)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
+        ends = edges.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b"))
+        if ends.where("n > 1").isEmpty() and edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break
-        seen = tuple(state)
     return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
@@ -200,98 +252,136 @@ def _alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, equal int")
 
 
-#: A shingle that at most so many documents have is rare: the pairs that share it are counted one by one.
-RARE = 20
+#: A shingle that at most so many documents have is rare: the pairs that share it are counted one by one. The others
+#: are counted in so many classes.
+RARE, CLASSES = 20, 32
+#: Kinds of packed rows: shingles dealt by hash, counts dealt by document.
+_SHINGLES, _COUNTS = 0, 1
+#: In place of a second document, where a row tells how many frequent shingles of a class one has.
+_NONE = np.iinfo(np.int64).min
 
 
-def _owned(words: int, buckets: int):
-    """Shingle hashes of each document with its number and component, dealt by hash."""
+def _class_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(59)).astype(np.int64)
+
+
+def _counted(a: np.ndarray, b: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    """Packed counts of equal (a, b), dealt by a."""
+    pairs, n = np.unique(np.stack((a, b), axis=1), axis=0, return_counts=True)
+    return list(_dealt(_spread(pairs[:, 0], buckets), _COUNTS, pairs[:, 0], pairs[:, 1], n))
+
+
+def _owned(words: int, buckets: int, flush: int = 1 << 19):
+    """Shingle hashes of each document with its number and component, dealt by hash.
+
+    Of a shingle that more than RARE documents share within what is sent at once, only RARE + 1 rows travel, enough to
+    tell that it is frequent; the other documents' counts go straight to their documents.
+    """
+
+    def sent(parts: list[tuple]) -> pa.RecordBatch:
+        h, doc, component = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(h, kind="stable")
+        h, doc, component = h[order], doc[order], component[order]
+        head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        beyond = np.arange(len(h)) - np.repeat(head, np.diff(np.concatenate((head, [len(h)])))) > RARE
+        rows = list(_dealt(_spread(h[~beyond].view(np.int64), buckets), _SHINGLES, h[~beyond], doc[~beyond], component[~beyond]))
+        return _batch(rows + _counted(doc[beyond], _NONE + _class_of(h[beyond]), buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        have = 0
         for batch in batches:
             for a, b, texts in _pieces(batch.column(1)):
-                h, bounds = shingles(texts, words)
-                doc, component = (np.repeat(batch.column(i).slice(a, b - a).to_numpy(), np.diff(bounds)) for i in (0, 2))
-                yield _batch(list(_dealt(_spread(h.view(np.int64), buckets), 0, h, doc, component)))
+                h, _, bounds = shingles(texts, words)
+                parts.append((h, *(np.repeat(batch.column(i).slice(a, b - a).to_numpy(), np.diff(bounds)) for i in (0, 2))))
+                have += len(h)
+                if have >= flush:
+                    yield sent(parts)
+                    parts, have = [], 0
+        if have:
+            yield sent(parts)
 
     return run
 
 
-#: In place of a second document, where a row tells how many rare shingles one has.
-_NONE = np.iinfo(np.int64).min
-
-
 def _rare(buckets: int):
-    """How many rare shingles each document has, and how many two of different components share, dealt by document."""
+    """How many frequent shingles of each class each document has, and how many rare ones two documents of different components share, dealt by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for bucket, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                data.setdefault(bucket, []).append(x)
-        while data:
-            h, doc, component = _unblob(data.popitem()[1], "<u8", "<i8", "<i8")
+        for rows in by_bucket(batches):
+            h, doc, component = _unblob([x for r in rows for x in r.column(2).to_pylist()], "<u8", "<i8", "<i8")
+            del rows
             order = np.lexsort((doc, h))
             h, doc, component = h[order], doc[order], component[order]
             head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, dtype=np.int64)
             df = np.diff(np.concatenate((head, [len(h)])))
             few = np.repeat(df <= RARE, df)
+            first, second = [doc[~few]], [_NONE + _class_of(h[~few])]
             h, doc, component = h[few], doc[few], component[few]
-            found = [np.stack((doc, np.full(len(doc), _NONE)), axis=1)]
             for step in range(1, RARE):  # each with the one so many places on, if they have the shingle in common
                 both = (h[step:] == h[:-step]) & (component[step:] != component[:-step])
-                found.append(np.stack((doc[:-step][both], doc[step:][both]), axis=1))
-            pairs, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
-            yield _batch(list(_dealt(_spread(pairs[:, 0], buckets), 0, pairs[:, 0], pairs[:, 1], n)))
+                first.append(doc[:-step][both])
+                second.append(doc[step:][both])
+            yield _batch(_counted(np.concatenate(first), np.concatenate(second), buckets))
 
     return run
 
 
+_SUMMED = "a long, b long, n long, classes array<int>"
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row (a, b, n) for each document (b is null) and pair."""
-    data: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for bucket, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-            data.setdefault(bucket, []).append(x)
-    while data:
-        a, b, n = _unblob(data.popitem()[1], "<i8", "<i8", "<i8")
-        order = np.lexsort((b, a))
-        a, b, n = a[order], b[order], n[order]
+    """A row with the counts of the classes for each document (b is null), and one (a, b, n) for each pair."""
+    names = ["a", "b", "n", "classes"]
+    for rows in by_bucket(batches):
+        a, b, n = _unblob([x for r in rows for x in r.column(2).to_pylist()], "<i8", "<i8", "<i8")
+        del rows
+        own = b < _NONE + CLASSES
+        docs, row = np.unique(a[own], return_inverse=True)
+        counts = np.zeros((len(docs), CLASSES), dtype=np.int32)
+        np.add.at(counts, (row, b[own] - _NONE), n[own])
+        nothing = pa.nulls(len(docs), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), nothing, pa.array(counts.sum(axis=1), pa.int64()), pa.array(list(counts), pa.list_(pa.int32()))], names)
+        order = np.lexsort((b[~own], a[~own]))
+        a, b, n = a[~own][order], b[~own][order], n[~own][order]
         head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, dtype=np.int64)
         if len(head):
-            second = pa.array(b[head], pa.int64(), mask=b[head] == _NONE)
-            yield pa.RecordBatch.from_arrays([pa.array(a[head], pa.int64()), second, pa.array(np.add.reduceat(n, head), pa.int64())], ["a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[head], pa.int64()), pa.array(b[head], pa.int64()), pa.array(np.add.reduceat(n, head), pa.int64()), pa.nulls(len(head), pa.list_(pa.int32()))], names)
 
 
 def _partners(named: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs across the components of buckets that hold several, less those that can't be near.
 
-    Two documents of sizes n and s with c rare shingles in common and v, w frequent ones have at most min(v, w) + c
-    in common, and need p * (n + s) of them, where p = percent / (100 + percent). Pairs with a rare shingle in common
-    come from an index of the rare shingles, each of which has few documents. For pairs without one, c is 0: in most
-    families of edited copies that leaves those that weren't linked yet without any partner. Where partners are
-    left, the members outside a bucket's largest component ask for them in bins of size that satisfy both sides.
+    Two documents of sizes n and s need p * (n + s) shingles in common, where p = percent / (100 + percent). They have
+    at most c + the sum over classes of min(v, w) in common, with c rare shingles in common and v, w frequent ones in a
+    class. Pairs with a rare shingle in common come from an index of the rare shingles, each of which has few
+    documents. For pairs without one, c is 0: the members outside a bucket's largest component ask for them in bins of
+    size, and the classes leave little beyond the links themselves: in a family of edited copies the edits of two
+    members miss frequent shingles of different classes.
     """
-    spark = docs.sparkSession
-    buckets = partitions(spark)
-    members = named.select("doc_id", "component").distinct()
-    texts = docs.join(members, "doc_id").select("doc_id", "text", "component")
-    counted = texts.mapInArrow(tidy(_owned(words, buckets)), BLOB).repartitionById(buckets, "bucket").mapInArrow(tidy(_rare(buckets)), BLOB)
-    counted = written(counted.repartitionById(buckets, "bucket").mapInArrow(tidy(_summed), "a long, b long, n long"))
-    rare = counted.where("b is null").groupBy(F.col("a").alias("doc_id")).agg(F.sum("n").alias("u"))
+    buckets = BUCKETS * partitions(docs.sparkSession)
+    members = written(named.select("doc_id", "component").distinct())
+    small = members.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(members) if small else members, "doc_id").select("doc_id", "text", "component")
+    owned = written(texts.mapInArrow(tidy(_owned(words, buckets)), BLOB))
+    rare = dealt(owned.where(F.col("kind") == _SHINGLES)).mapInArrow(tidy(_rare(buckets)), BLOB)
+    counted = written(dealt(rare.unionByName(owned.where(F.col("kind") == _COUNTS))).mapInArrow(tidy(_summed), _SUMMED))
+    frequent = counted.where("b is null").select(F.col("a").alias("doc_id"), F.col("n").alias("v"), "classes")
     share = percent / (100.0 + percent)
-    sizes = members.join(reps.select("doc_id", F.col("n_shingles").alias("size")).distinct(), "doc_id").join(rare, "doc_id", "left")
-    frequent = F.col("size") - F.coalesce("u", F.lit(0))
-    sizes = written(sizes.select("doc_id", "size", frequent.alias("v"), F.floor(frequent / share - F.col("size") + 1e-6).alias("most"), F.ceil(F.col("size") * (percent / 100.0) - 1e-6).alias("fewest")))
-    end = lambda c: sizes.select(F.col("doc_id").alias(c), F.col("size").alias(f"size_{c}"), F.col("v").alias(f"v_{c}"))
-    shared = counted.where("b is not null").groupBy("a", "b").agg(F.sum("n").alias("c")).join(end("a"), "a").join(end("b"), "b")
-    shared = shared.where(F.least("v_a", "v_b") + F.col("c") >= share * (F.col("size_a") + F.col("size_b")) - 1e-6).select("a", "b")
+    sizes = members.join(reps.select("doc_id", F.col("n_shingles").alias("size")).distinct(), "doc_id").join(frequent, "doc_id", "left")
+    v = F.coalesce("v", F.lit(0))
+    classes = F.coalesce("classes", F.array_repeat(F.lit(0), CLASSES))
+    sizes = written(sizes.select("doc_id", "size", classes.alias("classes"), F.floor(v / share - F.col("size") + 1e-6).alias("most"), F.ceil(F.col("size") * (percent / 100.0) - 1e-6).alias("fewest")))
+    common = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: F.least(i, j)), F.lit(0), lambda n, k: n + k)
+    end = lambda c: sizes.select(F.col("doc_id").alias(c), F.col("size").alias(f"size_{c}"), F.col("classes").alias(f"classes_{c}"))
+    shared = counted.where("b is not null").join(end("a"), "a").join(end("b"), "b")
+    shared = shared.where(common("classes_a", "classes_b") + F.col("n") >= share * (F.col("size_a") + F.col("size_b")) - 1e-6).select("a", "b")
     rows = named.join(sizes.where("most >= fewest"), "doc_id")  # others have no partner without a rare shingle in common
     held = named.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
     bin_of = lambda c: F.floor(F.log(c) / F.log(F.lit(1.02))).cast("int")
     asking = rows.join(held, "bucket").where("component <> main").withColumn("bin", F.explode(F.sequence(bin_of(F.col("fewest")), bin_of(F.least(F.col("most"), F.floor(F.col("size") * (100.0 / percent) + 1e-6))))))
-    asked = rows.select("bucket", bin_of(F.col("size")).alias("bin"), F.col("doc_id").alias("other"), F.col("component").alias("theirs"), F.col("size").alias("s"), F.col("most").alias("m"))
-    near = (F.col("component") != F.col("theirs")) & (F.col("s") <= F.col("most")) & (F.col("size") <= F.col("m"))
+    asked = rows.select("bucket", bin_of(F.col("size")).alias("bin"), F.col("doc_id").alias("other"), F.col("component").alias("theirs"), F.col("size").alias("s"), F.col("most").alias("m"), F.col("classes").alias("held"))
+    near = (F.col("component") != F.col("theirs")) & (F.col("s") <= F.col("most")) & (F.col("size") <= F.col("m")) & (common("classes", "held") >= share * (F.col("size") + F.col("s")) - 1e-6)
     both = asking.join(asked, ["bucket", "bin"]).where(near)
     return both.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).unionByName(shared).distinct()
 
@@ -306,8 +396,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     An empty table gives an empty result.
 
     The banding finds a pair at exactly 0.8 with a probability of 1 - 7e-6, and nearer ones almost surely.
-    First each class is compared with the head (smallest id) of a bucket, the nearest head it has; then what is left
-    across components: other heads, and members of buckets that still hold several components.
+    First each class is compared with the head (smallest id) of a bucket, the nearest head it has; those that a head
+    doesn't link ask the next head of the bucket, as long as such rounds link many. Then comes what is left across
+    components: other heads, and members of buckets that still hold several components.
     They are made for a percent of 80 and more; a smaller one is refused.
     """
     if percent < 80:
@@ -315,31 +406,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(docs.mapInArrow(tidy(_sign(words)), SIGNED))
     keys = ["n_shingles", "k1", "k2"]
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep"))
     member = signed.select("doc_id", *keys)
-    reps = signed.join(classes.select(F.col("rep").alias("doc_id"), *keys), ["doc_id", *keys], "left_semi")
-    band = written(reps.select("doc_id", F.explode("bands").alias("bucket")).distinct())
-    head = band.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
-    crowded = written(band.join(head, "bucket"))  # members of buckets with several
-    pairs = crowded.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    alike = written(_alike(pairs, reps))
-    best = alike.groupBy("b").agg(F.max(F.struct("equal", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
-    links = written(_confirmed(best, docs, words, percent))
+    # of each class, the row with the smallest id
+    reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min(F.struct("doc_id", "sketch", "bands")).alias("x"))
+    reps = written(reps.select("x.doc_id", *keys, "x.sketch", "x.bands"))
+    classes = reps.select(F.col("doc_id").alias("rep"), *keys)
+    band = written(reps.select("doc_id", F.explode("bands").alias("bucket")))
+    several = band.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    crowded = written(band.join(several, "bucket").distinct())  # members of buckets with several
+    rest, alike, best, links = crowded, None, None, None
+    while True:
+        head = rest.groupBy("bucket").agg(F.min("doc_id").alias("a"))
+        pairs = rest.join(head, "bucket").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+        near = written(_alike(pairs if alike is None else pairs.join(alike, ["a", "b"], "left_anti"), reps))
+        nearest = written(near.groupBy("b").agg(F.max(F.struct("equal", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b"))
+        linked = _confirmed(nearest, docs, words, percent)
+        near = near.select("a", "b")
+        alike, best, links = (new if old is None else old.unionByName(new) for old, new in ((alike, near), (best, nearest), (links, linked)))
+        if linked.count() * WORTH < nearest.count() or linked.isEmpty():
+            break
+        # on with those that were no head of their bucket and that none has linked
+        rest = written(rest.join(head, "bucket").where("doc_id <> a").select("bucket", "doc_id").join(linked.select(F.col("b").alias("doc_id")), "doc_id", "left_anti"))
     found = written(components(links))
-    others = _across(alike.select("a", "b").join(best, ["a", "b"], "left_anti"), found)
+    others = _across(alike.join(best, ["a", "b"], "left_anti"), found)
     named = crowded.join(found, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     named = written(named.join(mixed, "bucket", "left_semi"))
-    cross = _alike(_partners(named, reps, docs, words, percent).join(alike.select("a", "b"), ["a", "b"], "left_anti"), reps)
-    rest = written(others.select("a", "b").unionByName(cross.select("a", "b")).distinct())
-    late = written(_confirmed(rest, docs, words, percent))
+    cross = _alike(_partners(named, reps, docs, words, percent).join(alike, ["a", "b"], "left_anti"), reps)
+    late = _confirmed(written(others.select("a", "b").unionByName(cross.select("a", "b")).distinct()), docs, words, percent)
     name = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     if not late.isEmpty():  # links between components
         between = late.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
         above = written(components(between)).select(F.col("node").alias("component"), F.col("component").alias("above"))
         singles = above.join(found.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("above").alias("component"))
         found = written(found.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component")).union(singles))
-    of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select(*keys, F.coalesce("component", "rep").alias("component_id"))
+    of_class = written(classes.join(found, F.col("rep") == F.col("node"), "left").select(*keys, F.coalesce("component", "rep").alias("component_id")))
     out = member.join(of_class, keys, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from corpusloom.llm import minhash
@@ -89,3 +90,60 @@ def test_different_texts_under_one_id_stay(spark):
 def test_a_percent_that_the_bands_would_miss_is_refused():
     with pytest.raises(ValueError):
         minhash.near_duplicates(None, percent=50)
+
+
+def edited_family(n, rng, length=150):
+    """Edited copies of one text and of a variant of it, each with words of its own; most miss a tenth of the shingles and more."""
+    base = [f"b{i}" for i in range(length)]
+    other = [w if i % 25 else f"v{i}" for i, w in enumerate(base)]
+    out = []
+    for k in range(n):
+        own = list(base if k % 3 else other)
+        for e in range(rng.randint(0, 6)):
+            own[rng.randrange(length)] = f"own{k}x{e}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_a_family_of_2000_edited_copies(spark):
+    texts = edited_family(2000, random.Random(8))
+    rows = [(7 * k % 2003, t) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 5, 80).collect()}
+    ids = np.array([d for d, _ in rows])
+    numbers, holds = {}, []
+    for _, t in rows:
+        w = t.split()
+        holds.append(np.unique([numbers.setdefault(x, len(numbers)) for x in zip(*(w[i:] for i in range(5)))]))
+    table = np.zeros((len(rows), len(numbers)), dtype=np.float32)
+    for i, x in enumerate(holds):
+        table[i, x] = 1
+    both, size = table @ table.T, table.sum(axis=1)
+    link = 100 * both >= 80 * (size[:, None] + size[None] - both)
+    label = ids.copy()
+    while (new := np.where(link, label[None], 1 << 40).min(axis=1)).tolist() != label.tolist():
+        label = new
+    assert got == dict(zip(ids.tolist(), label.tolist()))
+    assert 50 < len(set(label.tolist())) < 1900
+
+
+def thue_morse(k):
+    word = b"a"
+    for _ in range(k):
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    return word.decode(), word.translate(bytes.maketrans(b"ab", b"ba")).decode()
+
+
+def test_words_on_which_polynomial_hashes_collide_are_told_apart(spark):
+    rows = [(i, w) for i, w in enumerate([*thue_morse(10), *thue_morse(11)])]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
+def test_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CUT", 1000)
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    rows = [(1, " ".join(long)), (2, "  ".join(long[:190_000])), (3, " ".join(long[:120_000])), (4, "x" * 3_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 5, 80).collect()}
+    assert {d: x[:2] for d, x in brute(rows, 5, 80).items()} == got
