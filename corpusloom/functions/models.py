@@ -9,6 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 DIM = 64
@@ -55,7 +56,8 @@ def pair_score(score: Callable[[list[str], list[str]], list[float]]):
 
 
 def enriched(df: DataFrame, enrich: Callable[[dict], dict], schema: str) -> DataFrame:
-    """Rows with what `enrich` makes of each; a row that fails has status failed and the error."""
+    """Rows with what `enrich` makes of each; a row that fails has status failed and the error, and nulls elsewhere."""
+    names = T.StructType.fromDDL(schema).fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -65,6 +67,6 @@ def enriched(df: DataFrame, enrich: Callable[[dict], dict], schema: str) -> Data
                     rows.append(row | enrich(row) | {"status": "ok", "error": None})
                 except Exception as e:  # noqa: BLE001 - one bad row must not stop the others
                     rows.append(row | {"status": "failed", "error": str(e)})
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(",")])
+            yield pd.DataFrame([[row.get(c) for c in names] for row in rows], columns=names, dtype=object)
 
     return df.mapInPandas(run, schema)

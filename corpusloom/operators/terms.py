@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from math import acos, ceil, log, pi
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ids import alias_record_id
 from ..functions.text import code_category, cosine
-from .tables import small
+from .tables import is_small, small
 
 def load_vocabulary(rows: DataFrame, order: str) -> DataFrame:
     """code and name without nulls and blanks; the first row (by `order`) of each code."""
@@ -39,14 +43,55 @@ def link_exact(mentions: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return mentions.join(small(best), mentions["text"] == best["alias"]).select("mention_id", "text", "concept_id", "preferred_term", F.lit(1.0).alias("score"))
 
 
+#: Bits of a block key and the chance of missing a pair at the threshold.
+BITS, MISSED = 12, 0.001
+
+
+def _blocks(threshold: float):
+    """Block keys of vectors: signs of random projections, in as many tables as a pair at the threshold needs to meet."""
+    meet = (1 - acos(min(1.0, threshold)) / pi) ** BITS
+    tables = max(1, ceil(log(MISSED) / log(1 - meet))) if meet < 1 else 1
+
+    @F.pandas_udf("array<long>")
+    def keys(vectors: pd.Series) -> pd.Series:
+        out: list[list[int] | None] = []
+        for v in vectors:
+            if v is None:
+                out.append(None)
+                continue
+            planes = np.random.default_rng(len(v)).standard_normal((tables * BITS, len(v)))
+            bits = (planes @ np.asarray(v, dtype=np.float64) > 0).reshape(tables, BITS)
+            out.append((bits @ (1 << np.arange(BITS)) + (np.arange(tables) << BITS)).tolist())
+        return pd.Series(out)
+
+    return keys
+
+
 def link_nearest(mentions: DataFrame, vocabulary: DataFrame, threshold: float = 0.92) -> DataFrame:
-    """Mentions (mention_id, text, vector) with the concept of the nearest alias, if near enough."""
-    v = small(vocabulary.select("concept_id", "preferred_term", F.col("vector").alias("_v")))
-    pairs = mentions.crossJoin(v).withColumn("score", cosine(F.col("vector"), F.col("_v"))).where(F.col("score") >= threshold)
+    """Mentions (mention_id, text, vector) with the concept of the nearest alias, if near enough.
+
+    If one side is small, it is broadcast and all pairs are compared. Two large sides meet in blocks of random
+    projections: a pair at the threshold is missed with a chance of MISSED, nearer ones more rarely.
+    """
+    v = vocabulary.select("concept_id", "preferred_term", F.col("vector").alias("_v"))
+    if is_small(v):
+        pairs = mentions.crossJoin(F.broadcast(v))
+    elif is_small(mentions):
+        pairs = v.crossJoin(F.broadcast(mentions))
+    else:
+        pairs = blocked_pairs(mentions, v, threshold)
+    pairs = pairs.withColumn("score", cosine(F.col("vector"), F.col("_v"))).where(F.col("score") >= threshold)
     best = pairs.groupBy("mention_id", "text").agg(F.max(F.struct("score")).alias("_s"), F.min_by(F.struct("concept_id", "preferred_term"), F.struct(-F.col("score"), F.col("concept_id"))).alias("_b"))
     return best.select("mention_id", "text", "_b.concept_id", "_b.preferred_term", F.col("_s.score").alias("score"))
 
 
+def blocked_pairs(mentions: DataFrame, vocabulary: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of mentions (vector) and vocabulary (_v) that share a block; a pair may come more than once."""
+    keys = _blocks(threshold)
+    m = mentions.withColumn("_block", F.explode(keys(F.col("vector").cast("array<double>"))))
+    return m.join(vocabulary.withColumn("_block", F.explode(keys(F.col("_v").cast("array<double>")))), "_block").drop("_block")
+
+
 def link_entities(mentions: DataFrame, vocabulary: DataFrame, threshold: float = 0.92) -> DataFrame:
     """Exact links, else nearest ones, else none (score 0)."""
     exact = link_exact(mentions, vocabulary).withColumn("tier", F.lit(1))
@@ -83,7 +128,10 @@ def tfidf_keywords(docs: DataFrame, k: int = 30, sizes: tuple[int, int] = (2, 4)
     characters once trimmed.
     """
     words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))).alias("w")).select("doc_id", F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
-    grams = F.flatten(F.array(*[F.when(F.length("w") >= n, F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda i, n=n: F.substring("w", i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(sizes[0], sizes[1] + 1)]))
+    # a lambda of two arguments would get the place as the second
+    cut = lambda n: lambda i: F.substring("w", i, F.lit(n))
+    none = F.array().cast("array<string>")
+    grams = F.flatten(F.array(*[F.when(F.length("w") >= n, F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), cut(n))).otherwise(none) for n in range(sizes[0], sizes[1] + 1)]))
     tf = words.select("doc_id", F.explode(grams).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("tf"))
     top = tf.groupBy("g").agg(F.sum("tf").alias("_all"), F.count("*").alias("df")).orderBy(F.desc("_all"), "g").limit(features)
     n = docs.count()

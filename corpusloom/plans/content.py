@@ -44,10 +44,10 @@ def chunk_records(t: Tables) -> DataFrame:
     return rows.select("source_id", F.col("pos").cast("long").alias("pos"), ids.chunk_id(source, heading, F.col("relative_chunk_index")).alias("chunk_id"), "relative_chunk_index", ids.content_hash(F.col("text")).alias("content_hash"))
 
 
-@query(f"WITH {_LINES}, h AS (SELECT sha256(text) AS content_hash FROM lines) SELECT content_hash, count(*) AS n FROM h GROUP BY 1 HAVING count(*) > 1")
+@query(f"WITH {_LINES} SELECT source AS source_id, sha256(text) AS heading_path, count(*) AS n FROM lines GROUP BY 1, 2 HAVING count(*) > 1")
 def repeated_content(t: Tables) -> DataFrame:
-    """AGG-04, JN-16: contents that occur more than once."""
-    return lines(t).groupBy(ids.content_hash(F.col("text")).alias("content_hash")).agg(F.count("*").alias("n")).where("n > 1")
+    """AGG-04: contents that occur more than once in a source."""
+    return sc.heading_duplicates(lines(t).select(F.col("source").alias("source_id"), ids.content_hash(F.col("text")).alias("heading_path")))
 
 
 @query(f"WITH {_LINES} SELECT lang, min(len) AS min_len, round(quantile_cont(len, 0.5), 6) AS median_len, round(quantile_cont(len, 0.95), 6) AS p95_len, max(len) AS max_len, round(avg(CASE WHEN len > 600 THEN 1.0 ELSE 0.0 END), 6) AS over FROM lines GROUP BY 1")
@@ -67,7 +67,11 @@ def absorbed_sections(t: Tables) -> DataFrame:
     return out.select("source_id", F.col("pos").cast("long").alias("pos"), F.col("group").cast("long").alias("group"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LINES}, n AS (SELECT source_id, pos, text, len, row_number() OVER (PARTITION BY source_id ORDER BY pos) AS i, sum(len) OVER (PARTITION BY source_id) AS total, count(*) OVER (PARTITION BY source_id) AS m FROM lines),
+r AS (SELECT source_id, i, len::BIGINT AS size, 0::BIGINT AS child FROM n WHERE i = 1 UNION ALL
+  SELECT n.source_id, n.i, CASE WHEN n.total > 1200 AND size >= 200 AND abs(size + n.len - 600) > abs(size - 600) THEN n.len ELSE size + n.len END, CASE WHEN n.total > 1200 AND size >= 200 AND abs(size + n.len - 600) > abs(size - 600) THEN child + 1 ELSE child END FROM r JOIN n ON n.source_id = r.source_id AND n.i = r.i + 1),
+e AS (SELECT r.source_id, child AS last_child, size AS last_size FROM r JOIN n ON n.source_id = r.source_id AND n.i = r.i WHERE n.i = m)
+SELECT n.source_id, CASE WHEN child = last_child AND child > 0 AND last_size < 300 THEN child - 1 ELSE child END AS child, CAST(sum(n.len) AS BIGINT) AS len, sha256(string_agg(n.text, chr(10) || chr(10) ORDER BY n.pos)) AS text_hash FROM n JOIN r USING (source_id, i) JOIN e USING (source_id) GROUP BY 1, 2""")
 def child_chunks(t: Tables) -> DataFrame:
     """CHK-06, AGG-03: lines of a document grown to children."""
     rows = lines(t).select("source_id", F.col("source_id").alias("parent"), "pos", "text", "len")
@@ -75,6 +79,27 @@ def child_chunks(t: Tables) -> DataFrame:
     return out.select("source_id", "child", "len", F.sha2("text", 256).alias("text_hash"))
 
 
+@query(f"""WITH {_LINES}, s AS (SELECT *, last_value(CASE WHEN pos % 20 = 0 THEN pos END IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section, length(trim(text)) >= 4 AND NOT regexp_matches(trim(text), '^[0-9]') AS fit FROM lines),
+a AS (SELECT *, CASE WHEN sum(len) OVER (PARTITION BY source_id, section) > 2000 AND fit AND regexp_matches(trim(text), '^[A-ZÀ-Ý]') THEN 1 ELSE 0 END AS c FROM s WHERE section IS NOT NULL), p AS (SELECT *, sum(c) OVER (PARTITION BY source_id, section ORDER BY pos) AS part1 FROM a),
+b AS (SELECT *, CASE WHEN sum(len) OVER (PARTITION BY source_id, section, part1) > 300 AND fit AND regexp_matches(trim(text), '^[EIOA]') THEN 1 ELSE 0 END + CASE WHEN part1 <> coalesce(lag(part1) OVER (PARTITION BY source_id, section ORDER BY pos), 0) THEN 1 ELSE 0 END AS c2 FROM p)
+SELECT source_id, pos, section, CAST(sum(least(c2, 1)) OVER (PARTITION BY source_id, section ORDER BY pos) AS BIGINT) AS part FROM b""")
+def split_sections(t: Tables) -> DataFrame:
+    """WIN-09, CHK-04: lines with their section (every twentieth line starts one) and, in large ones, their part by two patterns."""
+    rows = lines(t)
+    placed = sc.assign_sections(rows, rows.where("pos % 20 = 0").select("source_id", "pos", F.col("pos").alias("section")))
+    out = sc.split_parents(placed, [("^[A-ZÀ-Ý]", 2000), ("^[EIOA]", 300)], "^[0-9]")
+    return out.select("source_id", F.col("pos").cast("long").alias("pos"), F.col("section").cast("long").alias("section"), F.col("part").cast("long").alias("part"))
+
+
+@query()
+def fuzzy_titles(t: Tables) -> DataFrame:
+    """JN-21: lines without their first letter, matched to the nearest line of their document (by matching blocks, which SQL has not)."""
+    rows = lines(t).where("length(text) < 60")
+    toc = rows.select("source_id", tx.strict_key(F.col("text")).alias("key"), "text", F.lit(1).alias("level"))
+    titles = rows.select("source_id", "pos", F.expr("substring(text, 2)").alias("text"), F.lit(None).cast("string").alias("match")).withColumn("key", tx.strict_key(F.col("text")))
+    return sc.fuzzy_titles(titles, toc, ".").select("source_id", "pos", F.col("match.toc_title").alias("toc_title"), F.round("match.ratio", 6).alias("ratio"))
+
+
 @query()
 def whole_chunking(t: Tables) -> DataFrame:
     """CHK-03..07, WIN-09: from lines to parents; a section starts every twentieth line."""
@@ -128,14 +153,14 @@ def unprocessed_customers(t: Tables) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS q, unnest(range(len(string_split(text, chr(10))))) AS i, source FROM documents),
-r AS (SELECT CAST(doc_id AS VARCHAR) AS id, 'original' AS vector_type, doc_id AS source_chunk_id FROM documents WHERE trim(text) <> ''
-UNION ALL SELECT doc_id || '_summary', 'summary', doc_id FROM documents WHERE trim(source) <> ''
-UNION ALL SELECT doc_id || '_q' || i, 'question', doc_id FROM v WHERE trim(q) <> '') SELECT vector_type, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM r GROUP BY 1""")
+r AS (SELECT CAST(doc_id AS VARCHAR) AS id, 'original' AS vector_type, doc_id AS source_chunk_id, text FROM documents WHERE trim(text) <> ''
+UNION ALL SELECT doc_id || '_summary', 'summary', doc_id, source FROM documents WHERE trim(source) <> ''
+UNION ALL SELECT doc_id || '_q' || i, 'question', doc_id, q FROM v WHERE trim(q) <> '') SELECT id, vector_type, CAST(source_chunk_id AS VARCHAR) AS source_chunk_id, sha256(text) AS text_hash FROM r""")
 def vector_records(t: Tables) -> DataFrame:
     """PRJ-06: records of each kind; a document's lines are its questions."""
     chunks = t.documents.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("source_id"), F.lit("child").alias("chunk_type"), F.col("text").alias("chunk_raw_text"), F.lit(None).cast("string").alias("medical_statement"), F.lit("").alias("title"), F.col("source").alias("summary"), F.split("text", "\n").alias("hypothetical_questions"))
     records, _ = bl.build_vector_records(chunks)
-    return records.groupBy("vector_type").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return records.select("id", "vector_type", "source_chunk_id", F.sha2("text", 256).alias("text_hash"))
 
 
 @query("SELECT p_partkey AS mention_id, min(v.p_partkey) AS concept_id FROM part JOIN (SELECT p_partkey, p_name FROM part) v USING (p_name) GROUP BY part.p_partkey".replace("p_partkey AS mention_id", "part.p_partkey AS mention_id"))
@@ -198,10 +223,14 @@ def information_gain(t: Tables) -> DataFrame:
     return out.select("query_id", "term", F.round("p", 6).alias("p"), F.round("gain", 6).alias("gain"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT item_id, ' ' || unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]+')) || ' ' AS w FROM benchmark),
+g AS (SELECT item_id, substr(w, CAST(i AS BIGINT), CAST(k AS BIGINT)) AS g FROM (SELECT item_id, w, k, unnest(range(1, length(w) - k + 2)) AS i FROM w CROSS JOIN (SELECT unnest(range(2, 5)) AS k) WHERE length(w) >= k)),
+tf AS (SELECT item_id, g, count(*) AS tf FROM g GROUP BY 1, 2), top AS (SELECT g, sum(tf) AS n, count(*) AS df FROM tf GROUP BY 1 ORDER BY n DESC, g LIMIT 500), d AS (SELECT count(*) AS docs FROM benchmark),
+x AS (SELECT item_id, g, tf * (ln((docs + 1) / (df + 1)) + 1) AS x FROM tf JOIN top USING (g) CROSS JOIN d), u AS (SELECT g, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS x FROM x)
+SELECT g, round(sum(x) / any_value(docs), 9) AS score FROM u CROSS JOIN d WHERE length(trim(g)) BETWEEN 2 AND 12 GROUP BY g ORDER BY sum(x) DESC, g LIMIT 30""")
 def keywords(t: Tables) -> DataFrame:
     """AGG-09: character n-grams with the highest mean TF-IDF over the benchmark."""
-    return tm.tfidf_keywords(t.benchmark.select(F.col("item_id").alias("doc_id"), "text"))
+    return tm.tfidf_keywords(t.benchmark.select(F.col("item_id").alias("doc_id"), "text")).withColumn("score", F.round("score", 9))
 
 
 @query(f"""WITH {_LINES}, r AS (SELECT source_id, pos, len, sum(len) OVER (PARTITION BY source_id ORDER BY pos) AS upto FROM lines)

@@ -126,10 +126,15 @@ def output_health(t: Tables) -> DataFrame:
     return out.withColumn("first_pass", F.round("first_pass", 6))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT 'user:' || user_id AS key, event_id, ts, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT key, event_id, ts, n, true AS accepted, NULL::INTEGER AS retry_after, [t] AS held FROM e WHERE n = 1 UNION ALL
+  SELECT key, event_id, ts, n, len(h) < 3, CASE WHEN len(h) >= 3 THEN greatest(1, CAST(floor(h[1] + 86400 - t) AS INTEGER) + 1) END, CASE WHEN len(h) < 3 THEN list_append(h, t) ELSE h END
+  FROM (SELECT e.*, list_filter(r.held, lambda x: x >= e.t - 86400) AS h FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1))
+SELECT key, event_id, ts, accepted, retry_after FROM r""")
 def throttled(t: Tables) -> DataFrame:
     """STR-01, STR-02: at most three events of a user accepted in any day."""
-    return sr.throttle(t.events.select(sr.throttle_key(F.col("user_id").cast("string"), F.lit("")).alias("key"), "event_id", "ts"), 3, 86_400.0)
+    out = sr.throttle(t.events.select(sr.throttle_key(F.col("user_id").cast("string"), F.lit("")).alias("key"), "event_id", "ts"), 3, 86_400.0)
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("""SELECT conv_id AS session_id, term, arg_min(role, turn) AS status, min(turn) AS since_round FROM (SELECT conv_id, turn, role, string_split(text, ' ')[1] AS term FROM conversations) GROUP BY 1, 2""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -157,25 +158,50 @@ def fold_dialogue(turns: DataFrame) -> DataFrame:
     return turns.groupBy("session_id", "term").agg(first.alias("_f")).select("session_id", "term", F.col("_f.status").alias("status"), F.col("_f.round").alias("since_round"))
 
 
+#: Buckets of keys in which an ingested table is kept: a micro-batch writes those anew that it touches.
+BUCKETS = 64
+
+
 def ingest_stream(stream: DataFrame, table: str, key: str, checkpoint: str, encode=None):
-    """Starts a stream that keeps a parquet table of the latest row for each key: keyed, hence safe to replay.
+    """Starts a stream that keeps a table of the latest row for each key: keyed, hence safe to replay.
 
-    Each micro-batch writes a new version of the table beside the last one and then names it; a failed row (encode
-    may set status) stays pending and doesn't stop the others.
+    A micro-batch writes the buckets of keys that it touches beside their old versions, and publishes them by the list
+    under table/published, which it writes last: readers (read_ingested) see a batch whole or not at all. A failed row
+    (encode may set status) stays pending and doesn't stop the others.
     """
     from ..operators.upsert import latest
 
     def batch(df: DataFrame, number: int) -> None:
-        rows = encode(df) if encode is not None else df
-        spark = rows.sparkSession
-        before = spark.read.parquet(f"{table}/v{number - 1}") if number and _there(spark, f"{table}/v{number - 1}") else None
-        own = rows.withColumn("_batch", F.lit(number))
-        every = own if before is None else before.withColumn("_batch", F.lit(-1)).unionByName(own, allowMissingColumns=True)
-        latest(every, [key], [F.col("_batch"), F.col("ts")]).drop("_batch").write.mode("overwrite").parquet(f"{table}/v{number}")
+        rows = (encode(df) if encode is not None else df).withColumn("bucket", F.pmod(F.hash(key), F.lit(BUCKETS))).persist()
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # BUCKETS at most
+        before = _published(rows.sparkSession, table, number)
+        every = rows.withColumn("_new", F.lit(1))
+        if before is not None:
+            old = before.where(F.col("bucket").isin(touched)).withColumn("_new", F.lit(0))
+            every = old.unionByName(every, allowMissingColumns=True)
+        latest(every, [key], [F.col("_new"), F.col("ts")]).drop("_new").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/data/version={number}")
+        rows.sparkSession.createDataFrame([(b, number) for b in touched], "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{table}/published/batch={number}")
+        rows.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
-def _there(spark, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+def _published(spark, table: str, before: int | None = None) -> DataFrame | None:
+    """Rows of the newest version of each bucket, of batches before a number if one is given; None without any."""
+    try:
+        named = spark.read.parquet(f"{table}/published")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    named = named if before is None else named.where(F.col("version") < before)
+    newest = named.groupBy("bucket").agg(F.max("version").alias("version"))
+    if newest.isEmpty():
+        return None
+    return spark.read.option("basePath", f"{table}/data").option("mergeSchema", "true").parquet(f"{table}/data").join(F.broadcast(newest), ["bucket", "version"]).drop("version")
+
+
+def read_ingested(spark, table: str) -> DataFrame | None:
+    """The published rows of an ingested table; None before its first batch."""
+    rows = _published(spark, table)
+    return None if rows is None else rows.drop("bucket")

@@ -314,7 +314,13 @@ def test_logs_and_ingest(spark, tmp_path):
         q = stream()
         q.processAllAvailable()
         q.stop()
-    assert sorted((r.id, r.v) for r in spark.read.parquet(str(dst / "v1")).collect()) == [(1, "two"), (2, "one"), (3, "two")]
+    assert sorted((r.id, r.v) for r in sr.read_ingested(spark, str(dst)).collect()) == [(1, "two"), (2, "one"), (3, "two")]
+    # a batch that isn't published yet isn't seen, and buckets that weren't touched weren't written again
+    spark.createDataFrame([(9, t, "x", 0)], f"{schema}, bucket int").write.partitionBy("bucket").parquet(str(dst / "data" / "version=7"))
+    assert sorted(r.id for r in sr.read_ingested(spark, str(dst)).collect()) == [1, 2, 3]
+    assert sr.read_ingested(spark, str(tmp_path / "nothing")) is None
+    second = spark.read.parquet(str(dst / "data" / "version=1")).collect()
+    assert {r.id for r in second} == {1, 3}
 
 
 def test_models(spark):
@@ -331,3 +337,56 @@ def test_json_lines(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"k": "a", "status": "ok"}\n{"k": "b", "status": "failed"}\n\n{broken\n')
     ok, failed, bad = read_jsonl(spark, str(tmp_path / "x.jsonl"), "k string, status string")
     assert [r.k for r in ok.collect()] == ["a"] and [r.k for r in failed.collect()] == ["b"] and [r.line for r in bad.collect()] == ["{broken"]
+
+
+def test_parsed_documents_and_manifest(spark, tmp_path):
+    from corpusloom.sources.documents import load_parsed_documents, write_manifest
+
+    for name, parts in (("a", ("x.md", "x_content_list.json", "x_middle.json", "x_model.json")), ("b", ("y.md",))):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        for part in parts:
+            (tmp_path / "in" / name / part).write_text('[[{"type": "title", "content": {"title_content": [{"type": "text", "content": "T"}]}}]]' if "content_list" in part else "body")
+    good, bad = load_parsed_documents(spark, str(tmp_path / "in"))
+    (row,) = good.collect()
+    assert row.folder.endswith("/a") and row.md == "body" and row.pages[0][0].content.title_content[0].content == "T"
+    assert [(r.folder[-1], r.missing) for r in bad.collect()] == [("b", ["content_list", "middle", "model"])]
+    write_manifest(spark.createDataFrame([("one", 1), ("two", 2)], "book_dir string, n int"), str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in spark.read.json(str(tmp_path / "out")).select("book_dir", "n").collect()) == [("one", 1), ("two", 2)]
+
+
+def test_large_vocabularies_meet_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from corpusloom.operators import terms as tm
+
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((60, 32))
+    m = v + rng.standard_normal(v.shape) * 0.2
+    vocabulary = spark.createDataFrame([(f"c{i:03}", f"t{i}", x.tolist()) for i, x in enumerate(v)], "concept_id string, preferred_term string, vector array<double>")
+    mentions = spark.createDataFrame([(i, "m", x.tolist()) for i, x in enumerate(m)], "mention_id int, text string, vector array<double>")
+    whole = sorted(tuple(r) for r in tm.link_nearest(mentions, vocabulary, 0.92).collect())
+    monkeypatch.setattr(tm, "is_small", lambda df: False)
+    assert sorted(tuple(r) for r in tm.link_nearest(mentions, vocabulary, 0.92).collect()) == whole and len(whole) > 50
+
+
+def test_upsert_needs_an_order_for_several_updates(spark):
+    import pytest
+
+    from corpusloom.operators import upsert as up
+
+    target = spark.createDataFrame([(1, "a", "t", "t")], "k int, v string, created_at string, updated_at string")
+    twice = spark.createDataFrame([(1, "b"), (1, "c")], "k int, v string")
+    with pytest.raises(Exception, match="several updates"):
+        up.upsert(target, twice, ["k"], F.lit("now")).collect()
+    assert up.upsert(target, twice, ["k"], F.lit("now"), [F.col("v")]).first().v == "c"
+
+
+def test_sequential_section_operators(spark):
+    from corpusloom.operators import sections as sc
+
+    flat = spark.createDataFrame([(1, 0, 0, "head one"), (1, 1, 0, "text"), (1, 2, 0, "head one"), (1, 3, 1, ""), (1, 4, 1, "last")], "source_id int, pos long, page long, text string")
+    parents = spark.createDataFrame([(1, 0, 0, "head one"), (1, 1, 0, "head one"), (1, 2, 1, ""), (1, 3, 9, "nowhere")], "source_id int, parent_idx long, page long, head string")
+    assert [(r.start, r.end) for r in sc.locate_parents(parents, flat).orderBy("parent_idx").collect()] == [(0, 2), (2, 4), (4, None), (None, None)]
+    sections = spark.createDataFrame([(1, 0, 1, "a", "A"), (1, 1, 2, "gone", "X"), (1, 2, 1, "b", "B"), (1, 3, 1, "a", "A2")], "source_id int, pos long, level int, title string, path string")
+    own = spark.createDataFrame([(1, 0, 1, "a"), (1, 1, 1, "a"), (1, 2, 1, "b"), (1, 3, 1, "a"), (1, 4, 1, "none")], "source_id int, pos long, level int, title string")
+    assert [r.section_path for r in sc.align_sections(own, sections).orderBy("pos").collect()] == ["A", "A", "B", "A2", None]
