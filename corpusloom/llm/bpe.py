@@ -177,10 +177,14 @@ def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if end[i]]
 
 
+#: Pre-tokens of more characters aren't kept.
+KEPT_CHARS = 64
+
+
 class Codec:
-    """Ranks, the bytes of every id in one array, and a cache of merged pre-tokens that is emptied at `most` entries."""
+    """Ranks, the bytes of every id in one array, and a cache of merged pre-tokens that is emptied at about `most` bytes."""
 
-    def __init__(self, ranks_file: bytes, most: int = 250_000):
+    def __init__(self, ranks_file: bytes, most: int = 32 << 20):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks_file.splitlines() if line)}
         size = max(self.ranks.values()) + 1
         words = [b""] * size
@@ -194,25 +198,32 @@ class Codec:
     def _empty(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.first = array("I"), array("q", [0])
+        self.size = 0
 
     def _learn(self, piece: str) -> int:
-        self.ids.extend(merged(piece.encode(), self.ranks))
+        ids = merged(piece.encode(), self.ranks)
+        self.ids.extend(ids)
         self.first.append(len(self.ids))
-        self.known[piece] = len(self.first) - 2
+        if len(piece) <= KEPT_CHARS:  # longer ones hardly occur again
+            self.known[piece] = len(self.first) - 2
+            self.size += 2 * len(piece) + 150
+        self.size += 4 * len(ids) + 8
         return len(self.first) - 2
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each text's begin (one more than texts)."""
         joined, begin, end, first = boundaries(texts)
-        if len(self.known) > self.most:
+        if self.size > self.most:
             self._empty()
         pieces = [joined[a:b] for a, b in zip(begin.tolist(), end.tolist())]
         known, learn = self.known.get, self._learn
         which = np.array([i if (i := known(p)) is not None else learn(p) for p in pieces], dtype=np.int64)
-        at = np.array(self.first, dtype=np.int64)
+        # views of the cache, which end before it grows again
+        at, every = np.frombuffer(self.first, dtype=np.int64), np.frombuffer(self.ids, dtype=np.uint32)
         n = at[which + 1] - at[which]
         total = np.concatenate(([0], np.cumsum(n)))
-        out = np.array(self.ids, dtype=np.uint32)[np.repeat(at[which] - total[:-1], n) + np.arange(total[-1])]
+        out = every[np.repeat(at[which] - total[:-1], n) + np.arange(total[-1])]
+        del at, every
         return out, total[first]
 
     def sizes(self, ids: np.ndarray) -> np.ndarray:
@@ -302,7 +313,7 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
 
     docs has doc_id and text; other columns are ignored. Null and empty texts have no tokens. Rows are handled one by
     one, repeated ones too. The vocabulary (a file of base64 tokens and ranks on the driver, a few MB at most) is
-    broadcast; the cache of merges in a worker holds 250,000 pre-tokens and then starts anew.
+    broadcast; the cache of merges in a worker grows to about 32 MB and then starts anew.
     """
     return _texts(docs).mapInArrow(tidy(_encoding(_shared(docs, ranks_path))), "doc_id long, ids array<int>, offsets array<long>")
 

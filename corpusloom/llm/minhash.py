@@ -35,7 +35,7 @@ _SEED = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779
 _MUL, _XOR = _SEED[0::2] | np.uint64(1), _SEED[1::2]
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
 #: Bytes of a text that are split at once, and bytes of words whose digests a worker keeps.
-CUT, KEPT_WORDS = 1 << 20, 32 << 20
+CUT, KEPT_WORDS = 1 << 20, 16 << 20
 
 
 class _Words(dict):

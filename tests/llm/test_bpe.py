@@ -58,4 +58,22 @@ def test_operator(spark, tools):
         assert len(r.offsets) == len(r.ids)
     back = sorted((r.doc_id or -1, r.text) for r in bpe.decode(bpe.encode(df, PATH), PATH).collect())
     assert back == sorted((d or -1, t or "") for d, t, _ in rows)
-    assert bpe.digests(df.limit(0), PATH).count() == 0
+    assert bpe.digests(df.limit(0), PATH).count() == 0 and bpe.encode(df.limit(0), PATH).count() == 0
+    own = spark.createDataFrame([(4, "some text", 1, "x", "y")], "doc_id long, text string, n_tokens int, ids_sha256 string, decoded_sha256 string")
+    assert [r.n_tokens for r in bpe.digests(own, PATH).collect()] == [len(other.encode_ordinary("some text"))]
+
+
+def test_cache_is_bounded_by_bytes_and_long_texts_are_whole(tools):
+    with open(PATH, "rb") as f:
+        codec = bpe.Codec(f.read(), most=200_000)
+    rng = random.Random(5)
+    sizes = []
+    for _ in range(20):
+        every = ["".join(rng.choice("abcdefghij") for _ in range(rng.choice([8, 500]))) + " " for _ in range(200)]
+        ids, first = codec.encode(every)
+        assert codec.decode(ids).decode() == "".join(every)
+        sizes.append(codec.size)
+    assert max(sizes) < 600_000
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300_000))
+    ids, _ = codec.encode([long])
+    assert ids.tolist() == tools[1].encode_ordinary(long)
