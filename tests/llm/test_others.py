@@ -415,6 +415,15 @@ def test_rules(spark):
     assert rules.judged(df.limit(0)).count() == 0
 
 
+def test_rules_of_long_texts_repeated_rows_and_clashing_names(spark):
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(3000)}" for _ in range(60_000)) + " a b c d e" * 5_000
+    rows = [(1, long, "en", "s", "x", 1, True), (2, "one two three", "en", "s", "x", 1, True), (2, "one two three", "en", "s", "x", 1, True), (3, "y" * 2_000_000, "en", "s", "x", 1, True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _words string, kept int, base_failed boolean")
+    got = sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rules.judged(df).collect())
+    assert got == sorted((r[0], *measures(r[1])) for r in rows)
+
+
 def test_thresholds_adapt_to_their_group(spark):
     rng = random.Random(7)
     text = lambda n, tail: " ".join("".join(rng.choice("abcdefghij") for _ in range(n + rng.randint(-1, 1))) + tail for _ in range(40))
