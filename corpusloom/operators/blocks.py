@@ -158,6 +158,21 @@ def with_child_index(children: DataFrame) -> DataFrame:
     return children.withColumn("relative_chunk_index", n.cast("string"))
 
 
+def build_chunk_records(parents: DataFrame, children: DataFrame) -> DataFrame:
+    """Chunk records of parents, which are never embedded, and of their children, which are to be.
+
+    parents: source_id, heading_path_id, text; children: the same and position. A child belongs to the parent of its
+    source and heading.
+    """
+    from ..functions import ids
+
+    parent_id = ids.chunk_id(F.col("source_id"), F.col("heading_path_id"), F.lit("parent"))
+    above = parents.select("source_id", "heading_path_id", F.lit(None).cast("string").alias("parent_chunk_id"), F.lit("parent").alias("relative_chunk_index"), "text", F.lit("parent").alias("chunk_type"), F.lit("skip").alias("embedding_status"))
+    below = with_child_index(children.withColumn("parent_chunk_id", parent_id)).withColumn("chunk_type", F.lit("child")).withColumn("embedding_status", F.lit("pending"))
+    both = above.unionByName(below.select(*above.columns))
+    return both.select(ids.chunk_id(F.col("source_id"), F.col("heading_path_id"), F.col("relative_chunk_index")).alias("chunk_id"), "source_id", "heading_path_id", "parent_chunk_id", "relative_chunk_index", "chunk_type", F.col("text").alias("chunk_raw_text"), ids.content_hash(F.col("text")).alias("content_hash"), "embedding_status")
+
+
 def heading_paths(parents: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """Paths of split parents: a part in the same section as the part before it takes its own head along."""
     same = F.lag("section_path").over(W.partitionBy("source_id").orderBy("position")).eqNullSafe(F.col("section_path")) & F.col("section_path").isNotNull()

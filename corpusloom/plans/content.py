@@ -44,6 +44,17 @@ def chunk_records(t: Tables) -> DataFrame:
     return rows.select("source_id", F.col("pos").cast("long").alias("pos"), ids.chunk_id(source, heading, F.col("relative_chunk_index")).alias("chunk_id"), "relative_chunk_index", ids.content_hash(F.col("text")).alias("content_hash"))
 
 
+@query(f"""WITH {_LINES}, h AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, {_HEADING} AS hp, text FROM documents), p AS (SELECT s, hp, sha256(s || ':' || hp || ':parent') AS id, text FROM h),
+c AS (SELECT s, hp, id AS parent, CAST(row_number() OVER (PARTITION BY source_id ORDER BY pos) - 1 AS VARCHAR) AS rel, l.text FROM lines l JOIN p ON s = CAST(source_id AS VARCHAR))
+SELECT id AS chunk_id, NULL AS parent_chunk_id, 'parent' AS chunk_type, sha256(text) AS content_hash, 'skip' AS embedding_status FROM p UNION ALL SELECT sha256(s || ':' || hp || ':' || rel), parent, 'child', sha256(text), 'pending' FROM c""")
+def chunk_store(t: Tables) -> DataFrame:
+    """PRJ-07, WIN-02, FN-02: records of documents as parents and their lines as children."""
+    own = [F.col("doc_id").cast("string").alias("source_id"), ids.heading_path_id(F.array("source", "lang")).alias("heading_path_id")]
+    children = lines(t).withColumn("doc_id", F.col("source_id")).select(*own, F.col("pos").alias("position"), "text")
+    out = bl.build_chunk_records(t.documents.select(*own, "text"), children)
+    return out.select("chunk_id", "parent_chunk_id", "chunk_type", "content_hash", "embedding_status")
+
+
 @query(f"WITH {_LINES} SELECT source AS source_id, sha256(text) AS heading_path, count(*) AS n FROM lines GROUP BY 1, 2 HAVING count(*) > 1")
 def repeated_content(t: Tables) -> DataFrame:
     """AGG-04: contents that occur more than once in a source."""
@@ -91,6 +102,20 @@ def split_sections(t: Tables) -> DataFrame:
     return out.select("source_id", F.col("pos").cast("long").alias("pos"), F.col("section").cast("long").alias("section"), F.col("part").cast("long").alias("part"))
 
 
+@query(f"""WITH RECURSIVE {_LINES}, n AS (SELECT source_id, pos, len, 1 + len % 3 AS level, row_number() OVER (PARTITION BY source_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY source_id) AS m FROM lines),
+r AS (SELECT DISTINCT source_id, 0::BIGINT AS i, NULL::BIGINT AS w, 0::BIGINT AS wsum, NULL::BIGINT AS wmin, NULL::BIGINT AS wl, NULL::BIGINT AS g, NULL::BIGINT AS gl, NULL::BIGINT AS own, NULL::BIGINT AS fb, NULL::BIGINT AS fg FROM n UNION ALL
+  SELECT source_id, i, CASE WHEN s1 >= 300 THEN NULL ELSE w1 END, s1, m1, l1, CASE WHEN s1 >= 300 THEN w1 ELSE g1 END, CASE WHEN s1 >= 300 THEN l1 ELSE gl1 END, w1, fb1, fg1 FROM (
+    SELECT *, CASE WHEN fresh THEN pos ELSE w END AS w1, CASE WHEN fresh THEN len ELSE wsum + len END AS s1, CASE WHEN fresh THEN level ELSE least(wmin, level) END AS m1, CASE WHEN fresh THEN level ELSE wl END AS l1,
+      CASE WHEN brk AND NOT joins THEN w ELSE g END AS g1, CASE WHEN brk AND NOT joins THEN wl ELSE gl END AS gl1, CASE WHEN brk THEN w END AS fb1, CASE WHEN brk THEN CASE WHEN joins THEN g ELSE w END END AS fg1
+    FROM (SELECT n.source_id, n.i, n.pos, n.len, n.level, r.w, r.wsum, r.wmin, r.wl, r.g, r.gl, r.w IS NOT NULL AND n.level > r.wmin AS brk, r.w IS NULL OR n.level > r.wmin AS fresh, r.g IS NOT NULL AND r.gl <= r.wmin AS joins FROM r JOIN n ON n.source_id = r.source_id AND n.i = r.i + 1))),
+f AS (SELECT source_id, fb AS b, fg AS g FROM r WHERE fb IS NOT NULL UNION ALL SELECT r.source_id, r.w, CASE WHEN r.g IS NOT NULL AND r.gl <= r.wmin THEN r.g ELSE r.w END FROM r JOIN n ON n.source_id = r.source_id AND n.i = r.i WHERE r.i = m AND r.w IS NOT NULL)
+SELECT n.source_id, n.pos, coalesce(f.g, r.own) AS "group" FROM n JOIN r ON r.source_id = n.source_id AND r.i = n.i LEFT JOIN f ON f.source_id = n.source_id AND f.b = r.own""")
+def merged_parents(t: Tables) -> DataFrame:
+    """CHK-05: short lines merged with a neighbour whose level is no deeper."""
+    rows = lines(t).select("source_id", "pos", (F.col("len") % 3 + 1).cast("int").alias("level"), F.col("len").cast("long").alias("len"))
+    return sc.merge_tiny(rows, 300).select("source_id", F.col("pos").cast("long").alias("pos"), "group")
+
+
 @query()
 def fuzzy_titles(t: Tables) -> DataFrame:
     """JN-21: lines without their first letter, matched to the nearest line of their document (by matching blocks, which SQL has not)."""

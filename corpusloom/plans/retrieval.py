@@ -38,10 +38,10 @@ _ROUTES = """queries AS (
   FROM (SELECT item_id, string_split(text, '.') AS parts, unnest(range(1, len(string_split(text, '.')) + 1)) AS i FROM benchmark) WHERE trim(parts[i]) <> '')"""
 
 
-def _routes(t: Tables) -> DataFrame:
-    """The sparse routes of an item: its sentences."""
-    parts = F.posexplode(F.split("text", "\\.")).alias("i", "text")
-    return t.benchmark.select(F.col("item_id").alias("query_id"), parts).where(F.trim("text") != "").select("query_id", (F.col("i") + 1).alias("route_no"), F.trim("text").alias("text"))
+def _sparse(t: Tables) -> DataFrame:
+    """The twenty best documents of each sentence of an item."""
+    queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.split("text", "\\.").alias("texts"))
+    return rt.sparse_routes(queries, t.documents, 20)
 
 
 def _asked(t: Tables) -> DataFrame:
@@ -56,7 +56,7 @@ def _dense(t: Tables) -> DataFrame:
 
 def _fused(t: Tables) -> DataFrame:
     dense = _dense(t).select("query_id", F.lit(0).alias("route_no"), F.lit("dense").alias("kind"), "rank", "id")
-    sparse = rt.bm25_topk(_routes(t), t.documents, 20).select("query_id", "route_no", F.lit("sparse").alias("kind"), "rank", F.col("doc_id").alias("id"))
+    sparse = _sparse(t).select("query_id", "route_no", F.lit("sparse").alias("kind"), "rank", F.col("doc_id").alias("id"))
     return rt.rrf_fuse(rt.union_routes(dense, sparse))
 
 
@@ -175,7 +175,7 @@ FROM j LEFT JOIN lone o USING (query_id, id) GROUP BY 1""")
 def fusion_comparison(t: Tables) -> DataFrame:
     """AGG-19: equal weights against a dense route that counts as three."""
     dense = _dense(t).select("query_id", F.lit(0).alias("route_no"), F.lit("dense").alias("kind"), "rank", "id")
-    sparse = rt.bm25_topk(_routes(t), t.documents, 20).select("query_id", "route_no", F.lit("sparse").alias("kind"), "rank", F.col("doc_id").alias("id"))
+    sparse = _sparse(t).select("query_id", "route_no", F.lit("sparse").alias("kind"), "rank", F.col("doc_id").alias("id"))
     hits = rt.union_routes(dense, sparse)
     only = hits.groupBy("query_id", "id").agg(F.bool_and(F.col("kind") == "dense").alias("d")).where("d")
     best = lambda w: rt.topk(hits.groupBy("query_id", "id").agg(F.round(F.sum(F.when(F.col("kind") == "dense", w).otherwise(1.0) / (60 + F.col("rank"))), 12).alias("score")), ["query_id"], 10, "id")

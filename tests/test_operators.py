@@ -390,3 +390,21 @@ def test_sequential_section_operators(spark):
     sections = spark.createDataFrame([(1, 0, 1, "a", "A"), (1, 1, 2, "gone", "X"), (1, 2, 1, "b", "B"), (1, 3, 1, "a", "A2")], "source_id int, pos long, level int, title string, path string")
     own = spark.createDataFrame([(1, 0, 1, "a"), (1, 1, 1, "a"), (1, 2, 1, "b"), (1, 3, 1, "a"), (1, 4, 1, "none")], "source_id int, pos long, level int, title string")
     assert [r.section_path for r in sc.align_sections(own, sections).orderBy("pos").collect()] == ["A", "A", "B", "A2", None]
+
+
+def test_fuzzy_titles_are_the_best_by_matching_blocks(spark):
+    from difflib import SequenceMatcher
+
+    from corpusloom.operators import sections as sc
+
+    keys = ["第一章总论", "第二章肺炎", "第三章肾脏疾病", "第四章肾脏病"]
+    toc = spark.createDataFrame([(1, k, k, 1) for k in keys], "source_id int, key string, text string, level int")
+    raw = ["第二章肺炎症", "第三章肾疾病", "第九章", "第四章 肾脏病", "附录"]
+    titles = spark.createDataFrame([(1, i, t, t.replace(" ", ""), None) for i, t in enumerate(raw)], "source_id int, pos int, text string, key string, match string")
+    got = {r.pos: (r.match.toc_title, r.match.ratio) for r in sc.fuzzy_titles(titles, toc, "^第.*章", 0.8).collect()}
+    want = {}
+    for i, t in enumerate(raw):
+        best = max((SequenceMatcher(None, t.replace(" ", ""), k).ratio(), k) for k in keys)
+        if t.startswith("第") and best[0] >= 0.8:
+            want[i] = (best[1], best[0])
+    assert got == want and want
