@@ -1,9 +1,11 @@
-"""Vectorised byte hashing shared by the operators: numpy only, no Spark."""
+"""Vectorised byte hashing shared by the operators."""
 
 from __future__ import annotations
 
 import numpy as np
 
+from .work import forgotten_after_task
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: One random-looking 64-bit value for each byte value, from a rule.
@@ -11,6 +13,9 @@ _TABLE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^
 _powers: dict[str, np.ndarray] = {}
 
 
+forgotten_after_task(_powers.clear)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit; works in place."""
     h ^= h >> np.uint64(32)

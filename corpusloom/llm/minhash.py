@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .hashing import mix
 from .suffixes import BLOB, _batch, _dealt, _spread, _unblob
-from .work import BUCKETS, by_bucket, dealt, partitions, tidy, written
+from .work import BUCKETS, by_bucket, dealt, forgotten_after_task, partitions, tidy, written
 
 BANDS, ROWS = 30, 5
 #: Fewer equal bytes of the 150 than this put a pair over six standard deviations under a similarity of 0.8.
@@ -57,8 +57,7 @@ class _Words(dict):
         found, at = [], 0
         while at < len(text):
             if self.size > KEPT_WORDS:
-                self.__init__()
-                self.clear()
+                self.forget()
             end = _BLANK.search(text, at + CUT)
             end = end.end() if end else len(text)
             split = text[at:end].lower().split()  # bytes are split at blanks and \x09 to \x0d, and only A-Z are lowered
@@ -73,7 +72,13 @@ class _Words(dict):
         return np.concatenate(found) if found else np.empty((0, 2), dtype=np.uint64)
 
 
+    def forget(self) -> None:
+        self.clear()
+        self.__init__()
+
+
 _words = _Words()
+forgotten_after_task(_words.forget)
 
 
 def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,7 +254,7 @@ def _alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
                 out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(equal, pa.int32())], ["a", "b", "equal"])
                 yield out.filter(pa.array(equal >= LEAST_EQUAL))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, equal int")
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long, equal int")
 
 
 #: A shingle that at most so many documents have is rare: the pairs that share it are counted one by one. The others
@@ -271,7 +276,7 @@ def _counted(a: np.ndarray, b: np.ndarray, buckets: int) -> list[tuple[int, int,
     return list(_dealt(_spread(pairs[:, 0], buckets), _COUNTS, pairs[:, 0], pairs[:, 1], n))
 
 
-def _owned(words: int, buckets: int, flush: int = 1 << 19):
+def _owned(words: int, buckets: int, flush: int = 1 << 18):
     """Shingle hashes of each document with its number and component, dealt by hash.
 
     Of a shingle that more than RARE documents share within what is sent at once, only RARE + 1 rows travel, enough to

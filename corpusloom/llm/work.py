@@ -76,6 +76,25 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch
         yield rows
 
 
+#: What a worker keeps between slices of a task and forgets when the task ends.
+_kept: list[Callable[[], None]] = []
+
+
+def forgotten_after_task(forget: Callable[[], None]) -> None:
+    """Registers a function that empties something that a module keeps in the worker."""
+    _kept.append(forget)
+
+
+def release() -> None:
+    """Empties what is registered and gives free memory back; idle workers stay, and each would keep its share."""
+    for forget in _kept:
+        forget()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run over slices of at most ROWS rows; when the task ends, its worker, which stays, gives free memory back."""
 
@@ -83,9 +102,6 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            release()
 
     return inner
