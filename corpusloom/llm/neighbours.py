@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 #: Projections; share of the windows in which a vector as near as the k-th found must lie at least, by their last width;
 #: standard deviations of its number of collisions that the threshold lies below the expected one; growth of a window
 #: from one virtual rehashing to the next.
-PROJECTIONS, INSIDE, BELOW, GROWTH = 128, 0.6, 1.2, 1.1
+PROJECTIONS, INSIDE, BELOW, GROWTH = 64, 0.6, 1.0, 1.1
 #: Vectors in a block and queries that meet it at once.
 BLOCK, QUERIES = 1 << 14, 1 << 11
+#: Queries whose collisions with a block are counted side by side.
+ASIDE = 512
 #: In spaces of fewer dimensions axes are drawn independently, else they are orthogonal in groups.
 FEW = 24
 
@@ -57,45 +59,71 @@ class Index:
         rest = np.sqrt(np.maximum(0.0, 1.0 - (self.scaled**2).sum(axis=1)))
         self.axes = _axes(vectors.shape[1] + 1, seed)
         places = self.axes @ np.concatenate((self.scaled, rest[:, None]), axis=1).T
-        self.order = np.argsort(places, axis=1).astype(np.int32)
+        self.order = np.argsort(places, axis=1)
         self.places = np.take_along_axis(places, self.order, axis=1)
 
+    def _edges(self, at: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each query's (column's) windows begin and end in the sorted arrays."""
+        left = np.array([p.searchsorted(x) for p, x in zip(self.places, at - width)])
+        right = np.array([p.searchsorted(x, side="right") for p, x in zip(self.places, at + width)])
+        return left, right
+
+    def _collide(self, counts: np.ndarray, *windows: tuple[np.ndarray, np.ndarray]) -> None:
+        """Adds one query's collisions in windows (one of each pair of edges for each array)."""
+        found = [o[a:b] for left, right in windows for o, a, b in zip(self.order, left.tolist(), right.tolist())]
+        counts += np.bincount(np.concatenate(found), minlength=len(counts)).astype(np.uint8)
+
     def search(self, queries: np.ndarray, k: int) -> Iterator[np.ndarray]:
         """Numbers of the vectors to verify for each query: at least k (all, if there are fewer)."""
+        begin = 0.0
+        for start in range(0, len(queries), ASIDE):
+            unit = _shrunk(queries[start : start + ASIDE])
+            found, begin = self._verified(unit, k, begin)
+            yield from found
+
+    def _verified(self, unit: np.ndarray, k: int, begin: float) -> tuple[list[np.ndarray], float]:
+        """The vectors to verify for each query, and the width at which the next queries may begin."""
         n, m = self.places.shape[1], PROJECTIONS
-        unit = _shrunk(queries)
+        some, least = min(n, 4 * k), m / 2
         at = self.axes[:, :-1] @ unit.T
-        some, begin = min(n, 4 * k), 0.05
-        for q in range(at.shape[1]):
-            counts, left, right = np.zeros(n, dtype=np.int64), None, None
-
-            def widen(width: float) -> None:
-                nonlocal counts, left, right
-                low = [p.searchsorted(x) for p, x in zip(self.places, at[:, q] - width)]
-                high = [p.searchsorted(x, side="right") for p, x in zip(self.places, at[:, q] + width)]
-                if left is None:
-                    gained = [o[a:b] for o, a, b in zip(self.order, low, high)]
-                else:
-                    gained = [o[a:b] for o, a, b in zip(self.order, low, left)] + [o[a:b] for o, a, b in zip(self.order, right, high)]
-                counts += np.bincount(np.concatenate(gained), minlength=n)
-                left, right = low, high
-
-            width, steps = begin, 0
-            widen(width)
-            while (counts >= m / 2).sum() < some:
-                width, steps = width * GROWTH, steps + 1
-                widen(width)
-            begin = width / GROWTH**2 if steps else width / GROWTH**4  # the next query starts a little below what this one needed
-            first = np.flatnonzero(counts >= m / 2)
-            close = self.scaled[first] @ unit[q]
-            far = sqrt(max(1e-12, 2 - 2 * float(np.sort(close)[::-1][min(k, len(close)) - 1])))
-            last = NormalDist().inv_cdf((1 + INSIDE) / 2) * far
-            if last > width:
-                width = last
-                widen(width)
-            share = erf(width / far / sqrt(2))
-            enough = m * share - BELOW * sqrt(m * share * (1 - share))
-            yield np.union1d(first, np.flatnonzero(counts >= enough))
+        if not begin:  # the first query of a block feels its way
+            begin, counts = 0.05, np.zeros(n, dtype=np.uint8)
+            while (counts >= least).sum() < some:
+                begin, counts = begin * GROWTH, np.zeros(n, dtype=np.uint8)
+                left, right = self._edges(at[:, :1], np.array([begin]))
+                self._collide(counts, (left[:, 0], right[:, 0]))
+        counts = np.zeros((len(unit), n), dtype=np.uint8)
+        width = np.full(len(unit), begin / GROWTH**0.5)
+        left, right = self._edges(at, width)
+        for q in range(len(unit)):
+            self._collide(counts[q], (left[:, q], right[:, q]))
+
+        def widen(which: np.ndarray) -> None:
+            low, high = self._edges(at[:, which], width[which])
+            for i, q in enumerate(which.tolist()):
+                self._collide(counts[q], (low[:, i], left[:, q]), (right[:, q], high[:, i]))
+            left[:, which], right[:, which] = low, high
+
+        few = np.arange(len(unit))
+        while len(few := few[[(counts[q] >= least).sum() < some for q in few]]):
+            width[few] *= GROWTH
+            widen(few)
+        begin = float(np.median(width))
+        first = [np.flatnonzero(counts[q] >= least) for q in range(len(unit))]
+        # how far the k-th best of the first is
+        best = [np.partition(self.scaled[x] @ unit[q], max(0, len(x) - k))[max(0, len(x) - k)] for q, x in enumerate(first)]
+        far = np.sqrt(np.maximum(1e-12, 2 - 2 * np.array(best)))
+        last = NormalDist().inv_cdf((1 + INSIDE) / 2) * far
+        wider = np.flatnonzero(last > width)
+        width[wider] = last[wider]
+        if len(wider):
+            widen(wider)
+        share = np.array([erf(x) for x in width / far / sqrt(2)])
+        enough = m * share - BELOW * np.sqrt(m * share * (1 - share))
+        over = counts >= enough[:, None]
+        for q, x in enumerate(first):
+            over[q, x] = True
+        return [np.flatnonzero(x) for x in over], begin
 
 
 def _search(k: int):
@@ -112,7 +140,11 @@ def _search(k: int):
             found = found[ids[found] != own]
             with np.errstate(all="ignore"):
                 score = vectors[found] @ q
-            best = np.lexsort((ids[found], np.nan_to_num(-score, nan=np.inf, posinf=np.inf, neginf=-np.inf)))[:k]
+            order = np.nan_to_num(-score, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+            if len(order) > k:  # only those not beyond the k-th are put in order
+                near = np.flatnonzero(order <= np.partition(order, k - 1)[k - 1])
+                found, score, order = found[near], score[near], order[near]
+            best = np.lexsort((ids[found], order))[:k]
             out.append((np.full(len(best), own), ids[found][best], score[best]))
         return pd.DataFrame(dict(zip(names, (np.concatenate(c) for c in zip(*out)))))
 
