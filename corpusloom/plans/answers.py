@@ -110,7 +110,7 @@ def previews(t: Tables) -> DataFrame:
 
 @query("""WITH p AS (SELECT page_id, url, regexp_replace(url, '^.*/', '') AS f, string_split(html, '<h1>')[2] AS h FROM pages), d AS (SELECT *, coalesce(string_split(h, '</h1>')[1], '') AS title FROM p)
 SELECT page_id, array_to_string(list_filter(list_transform(string_split(url || ' >  > ' || title, ' > '), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), '|') AS heading,
-trim(regexp_replace('第3节' || trim(regexp_replace(title, '[|\\s]+', ' ', 'g')), '[.·…]+\\s*$', '')) AS toc, length(regexp_replace(title, '\\s+', '', 'g')) AS key_len, CAST(len(string_split_regex('第1章a第2章b' || page_id, '第')) - 1 AS INTEGER) AS n_entries, '图1  ' || page_id AS caption FROM d""")
+trim(regexp_replace(regexp_replace('第3节' || trim(regexp_replace(title || ' ...... 12', '[|\\s]+', ' ', 'g')), '(\\s*([.·…]{2,}|…)\\s*\\(?\\d*\\)?|\\s+\\(?\\d+\\)?)+\\s*$', ''), '[.·…]+\\s*$', '')) AS toc, length(regexp_replace(title, '\\s+', '', 'g')) AS key_len, CAST(len(string_split_regex('第1章a第2章b' || page_id, '第')) - 1 AS INTEGER) AS n_entries, '图1  ' || page_id AS caption FROM d""")
 def heading_functions(t: Tables) -> DataFrame:
     """FN-04..07, FN-10: headings, contents lines, keys, glued entries and captions of pages."""
     title = F.coalesce(F.get(F.split(F.get(F.split("html", "<h1>"), 1), "</h1>"), 0), F.lit(""))
