@@ -37,8 +37,9 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, doc_id: str = "doc_id", tex
     Only the queries' terms are counted. Lengths and frequencies cover all documents with terms; `where` (a column of
     docs) keeps documents out of the result, not out of the statistics.
     """
-    words = docs.where(F.length(text) > 0).select(F.col(doc_id).alias("doc_id"), terms(F.col(text)).alias("t"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("_in")).where(F.size("t") > 0)
-    whole = words.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
+    words = docs.where(F.length(text) > 0).select(F.col(doc_id).alias("doc_id"), terms(F.col(text)).alias("t"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("_in"))
+    # no filter on the terms: it would move below them and split every text twice
+    whole = words.select(F.nullif(F.size("t"), F.lit(0)).alias("size")).agg(F.count("size").alias("n"), F.avg("size").alias("mean"))
     asked = queries.select("query_id", "route_no", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "route_no", "term").agg(F.count("*").alias("qtf"))
     # the queries' terms bound the terms that are counted: one count of them says what may be broadcast
     hint = F.broadcast if is_small(asked) else lambda df: df
