@@ -48,8 +48,9 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Buckets of packed rows for each task, which holds one of them in memory at a time.
-BUCKETS = 8
+#: Buckets of packed rows for each task, which holds one of them in memory at a time. Packed rows grow with tasks times
+#: buckets: more than one pays only where a task's share is too large for its memory.
+BUCKETS = 1
 
 
 def dealt(df: DataFrame, *order: str) -> DataFrame:
