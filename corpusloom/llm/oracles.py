@@ -65,4 +65,13 @@ lim AS (SELECT lang, source, max(CASE WHEN measure = 'word_length' THEN low - s
 SELECT x.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(word_length >= wf AND {" AND ".join(f"{k} <= {k}_to" for k in _MEASURES)}, true) AS kept
 FROM x LEFT JOIN lim ON x.lang IS NOT DISTINCT FROM lim.lang AND x.source IS NOT DISTINCT FROM lim.source"""
 
-ORACLES: dict[str, str] = {"op1_minhash_near_dedup": NEAR_DUPLICATES, "op4_warc_archive": ARCHIVE, "op5_source_mixing": MIXTURE, "op9_quality_rules": RULES}
+_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+URLS = rf"""
+WITH rules(verdict, rh, rp) AS (VALUES {", ".join(map(str, _RULES))}),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT row_number() OVER () AS id, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+fit AS (SELECT id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1),
+listed AS (SELECT DISTINCT host || path AS key FROM p WHERE regexp_extract(path, '/([0-9]{{1,18}})([^0-9]|$)', 1) IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host || path IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN fit USING (id)"""
+
+ORACLES: dict[str, str] = {"op1_minhash_near_dedup": NEAR_DUPLICATES, "op4_warc_archive": ARCHIVE, "op5_source_mixing": MIXTURE, "op9_quality_rules": RULES, "op13_url_filters": URLS}

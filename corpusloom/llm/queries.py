@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, neighbours, quality, rules, suffixes, toxicity, warc, webpages
+from . import bpe, minhash, mixing, neighbours, quality, rules, suffixes, toxicity, urlfilters, warc, webpages
 from .oracles import ORACLES
 from .work import shared_dir
 
@@ -64,6 +64,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webpages.main_text(_table(spark, sf_dir, "pages"))
 
 
+#: What op13 judges by before its list: (verdict, host, path).
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: host and path of the pages that show a document which labels mark as toxic (its doc_id is the number in the path)."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = urlfilters.url_parts(F.col("url"))
+    shown = pages.select(F.concat(host, path).alias("key"), F.regexp_extract(path, "/([0-9]{1,18})(?:[^0-9]|$)", 1).alias("number")).where("number <> ''").distinct()
+    toxic = _table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("number")).distinct()
+    return urlfilters.judged(pages, RULES, shown.join(toxic, "number", "left_semi")).drop("url")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_minhash_near_dedup, op2_suffix_array_dedup, op3_byte_level_bpe, op4_warc_archive, op5_source_mixing, op6_toxicity, op7_nearest_neighbours, op8_quality_classifier, op9_quality_rules, op10_html_extraction, pipeline]
+    own = [op1_minhash_near_dedup, op2_suffix_array_dedup, op3_byte_level_bpe, op4_warc_archive, op5_source_mixing, op6_toxicity, op7_nearest_neighbours, op8_quality_classifier, op9_quality_rules, op10_html_extraction, op13_url_filters, pipeline]
     return {q.__name__: q for q in own}
 
 

@@ -19,7 +19,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_rows(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = queries()[name](spark, SF)
     columns = sorted(df.columns)
