@@ -66,4 +66,4 @@ def test_a_list_too_long_for_a_level_is_joined(spark, monkeypatch):
     monkeypatch.setattr(urlfilters, "MOST_BITS", 1)
     assert sorted(urlfilters.judged(pages, [], keys).collect()) == want
     with pytest.raises(ValueError):
-        urlfilters.judged(pages, RULES, keys)
+        urlfilters.judged(pages, [("block", "h", "/1")], keys)
