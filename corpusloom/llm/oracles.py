@@ -65,6 +65,19 @@ lim AS (SELECT lang, source, max(CASE WHEN measure = 'word_length' THEN low - s
 SELECT x.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(word_length >= wf AND {" AND ".join(f"{k} <= {k}_to" for k in _MEASURES)}, true) AS kept
 FROM x LEFT JOIN lim ON x.lang IS NOT DISTINCT FROM lim.lang AND x.source IS NOT DISTINCT FROM lim.source"""
 
+COLLOCATIONS = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\n\x0B\f\r]')), '[^ \t]+') AS w FROM d),
+size AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY 1),
+grams AS (SELECT lang, k, array_to_string(w[i:i+k-1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces CROSS JOIN (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, count(*)::BIGINT AS a FROM grams GROUP BY ALL HAVING count(*) >= 10),
+parted AS MATERIALIZED (SELECT lang, phrase, k, a, j, array_to_string(w[1:j], ' ') AS lp, array_to_string(w[j+1:], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS j FROM f)),
+cuts AS MATERIALIZED (SELECT c.lang, c.phrase, c.k, c.a, j, l.a AS l, r.a AS r, (1000000::HUGEINT * c.a * c.a // (l.a::HUGEINT * r.a))::BIGINT AS score FROM parted c JOIN f l ON l.lang = c.lang AND l.phrase = c.lp JOIN f r ON r.lang = c.lang AND r.phrase = c.rp),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM f WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM f WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase AND b.k = 2 WHERE g.longer IS NULL OR 100 * g.longer < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN size USING (lang) QUALIFY rank <= 2000"""
+
 _RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 URLS = rf"""
 WITH rules(verdict, rh, rp) AS (VALUES {", ".join(map(str, _RULES))}),
@@ -74,4 +87,4 @@ fit AS (SELECT id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict,
 listed AS (SELECT DISTINCT host || path AS key FROM p WHERE regexp_extract(path, '/([0-9]{{1,18}})([^0-9]|$)', 1) IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host || path IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN fit USING (id)"""
 
-ORACLES: dict[str, str] = {"op1_minhash_near_dedup": NEAR_DUPLICATES, "op4_warc_archive": ARCHIVE, "op5_source_mixing": MIXTURE, "op9_quality_rules": RULES, "op13_url_filters": URLS}
+ORACLES: dict[str, str] = {"op1_minhash_near_dedup": NEAR_DUPLICATES, "op4_warc_archive": ARCHIVE, "op5_source_mixing": MIXTURE, "op9_quality_rules": RULES, "op12_phrase_collocations": COLLOCATIONS, "op13_url_filters": URLS}
