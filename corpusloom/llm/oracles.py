@@ -65,6 +65,14 @@ lim AS (SELECT lang, source, max(CASE WHEN measure = 'word_length' THEN low - s
 SELECT x.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(word_length >= wf AND {" AND ".join(f"{k} <= {k}_to" for k in _MEASURES)}, true) AS kept
 FROM x LEFT JOIN lim ON x.lang IS NOT DISTINCT FROM lim.lang AND x.source IS NOT DISTINCT FROM lim.source"""
 
+NEGATIVES = """
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS MATERIALIZED (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score QUALIFY rank <= 10"""
+
 COLLOCATIONS = rf"""
 WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text FROM documents),
 pieces AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\n\x0B\f\r]')), '[^ \t]+') AS w FROM d),
@@ -87,4 +95,4 @@ fit AS (SELECT id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict,
 listed AS (SELECT DISTINCT host || path AS key FROM p WHERE regexp_extract(path, '/([0-9]{{1,18}})([^0-9]|$)', 1) IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host || path IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN fit USING (id)"""
 
-ORACLES: dict[str, str] = {"op1_minhash_near_dedup": NEAR_DUPLICATES, "op4_warc_archive": ARCHIVE, "op5_source_mixing": MIXTURE, "op9_quality_rules": RULES, "op12_phrase_collocations": COLLOCATIONS, "op13_url_filters": URLS}
+ORACLES: dict[str, str] = {"op1_minhash_near_dedup": NEAR_DUPLICATES, "op4_warc_archive": ARCHIVE, "op5_source_mixing": MIXTURE, "op9_quality_rules": RULES, "op11_hard_negatives": NEGATIVES, "op12_phrase_collocations": COLLOCATIONS, "op13_url_filters": URLS}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, minhash, mixing, neighbours, quality, rules, suffixes, toxicity, urlfilters, warc, webpages
+from . import bpe, collocations, minhash, mixing, negatives, neighbours, quality, rules, suffixes, toxicity, urlfilters, warc, webpages
 from .oracles import ORACLES
 from .work import shared_dir
 
@@ -64,6 +64,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webpages.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), every=100, positives=5, negatives=10)
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"), least=10, share=50, top=2000)
 
@@ -88,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_minhash_near_dedup, op2_suffix_array_dedup, op3_byte_level_bpe, op4_warc_archive, op5_source_mixing, op6_toxicity, op7_nearest_neighbours, op8_quality_classifier, op9_quality_rules, op10_html_extraction, op12_phrase_collocations, op13_url_filters, pipeline]
+    own = [op1_minhash_near_dedup, op2_suffix_array_dedup, op3_byte_level_bpe, op4_warc_archive, op5_source_mixing, op6_toxicity, op7_nearest_neighbours, op8_quality_classifier, op9_quality_rules, op10_html_extraction, op11_hard_negatives, op12_phrase_collocations, op13_url_filters, pipeline]
     return {q.__name__: q for q in own}
 
 
