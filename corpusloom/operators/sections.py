@@ -150,17 +150,33 @@ def align_sections(parents: DataFrame, sections: DataFrame) -> DataFrame:
     return pairs.applyInPandas(_aligned, f"source_id {kind}, pos long, section_path string")
 
 
-def match_titles(titles: DataFrame, toc: DataFrame) -> DataFrame:
-    """Title blocks with the contents entry of their key. Of several, the one whose parent is the nearest earlier match."""
-    keyed = titles.withColumn("key", strict_key(F.col("text")))
-    entry = F.struct(F.col("pos").alias("toc_pos"), "level", F.col("text").alias("toc_title"), F.try_element_at("ancestors", F.lit(-1)).alias("parent"))
+def match_entries(rows: DataFrame, toc: DataFrame, levels: int = 4) -> DataFrame:
+    """rows (source_id, pos, key) with match: toc_pos, level, toc_title, parent and path (titles above, and its own) of a contents entry.
+
+    An entry that is the only one with its key matches. Of several, the first whose titles above are those of the place:
+    of each level the last match before, unless a higher one came after it; where none fits, the first. Entries of a key
+    are tried level by level, since what stands above a level depends on matches of higher levels only.
+    toc: source_id, pos, level (1 to `levels`), text, key, ancestors.
+    """
+    entry = F.struct(F.col("pos").alias("toc_pos"), "level", F.col("text").alias("toc_title"), F.try_element_at("ancestors", F.lit(-1)).alias("parent"), F.concat("ancestors", F.array("text")).alias("path"))
     of = toc.groupBy("source_id", "key").agg(F.array_sort(F.collect_list(entry)).alias("_of"))
-    both = keyed.join(of, ["source_id", "key"], "left")
-    sure = F.when(F.size("_of") == 1, F.get("_of", 0)["toc_title"])
-    above = F.last(sure, ignorenulls=True).over(_source().rowsBetween(W.unboundedPreceding, -1))
-    fits = F.filter("_of", lambda e: e["parent"].eqNullSafe(F.col("_above")))
-    pick = F.coalesce(F.get(fits, 0), F.get(F.col("_of"), 0))
-    return both.withColumn("_above", above).withColumn("match", pick).drop("_of", "_above")
+    both = rows.join(of, ["source_id", "key"], "left").withColumn("match", F.when(F.size("_of") == 1, F.get("_of", 0)))
+    before = _source().rowsBetween(W.unboundedPreceding, -1)
+    deepest = F.array_max(F.transform("_of", lambda e: e["level"]))
+    for level in range(1, levels + 1):
+        above = []
+        for i in range(1, level):
+            last = F.last(F.when(F.col("match.level") <= i, F.col("match")), ignorenulls=True).over(before)
+            above.append(F.when(last["level"] == i, last["toc_title"]))
+        both = both.withColumn("_above", F.array_compact(F.array(*above)) if above else F.array().cast("array<string>"))
+        fits = F.filter("_of", lambda e: (e["level"] == level) & (F.slice(e["path"], 1, F.size(e["path"]) - 1) == F.col("_above")))  # noqa: B023
+        both = both.withColumn("match", F.coalesce("match", F.get(fits, 0), F.when(deepest == level, F.get("_of", 0))))
+    return both.drop("_of", "_above")
+
+
+def match_titles(titles: DataFrame, toc: DataFrame, levels: int = 4) -> DataFrame:
+    """Title blocks (source_id, pos, text) with their key and contents entry, as in match_entries."""
+    return match_entries(titles.withColumn("key", strict_key(F.col("text"))), toc, levels)
 
 
 def fuzzy_titles(titles: DataFrame, toc: DataFrame, pattern: str, threshold: float = 0.85) -> DataFrame:
@@ -192,17 +208,24 @@ def header_fallback(headers: DataFrame) -> DataFrame:
 
 
 def choose_starts(candidates: DataFrame, blocks: DataFrame, least: int = 50) -> DataFrame:
-    """The true start of each key among candidates (source_id, pos, key, action).
+    """The true start of each section (source_id, level, path, pos) among candidates (source_id, pos, level, path, action).
 
-    A signal is strong if it was rebuilt, merged or fuzzy, or exact with at least `least` characters to the next
-    candidate; the last strong one wins, else the last that is no page header, else the last.
+    A section is told by its level and full path, so that equal names in different chapters each keep a start. A signal is
+    strong if it was rebuilt, merged or fuzzy, or exact with at least `least` characters to the next candidate; the last
+    strong one wins, else the last that is no page header, else the last.
     """
     upto = blocks.select("source_id", "pos", F.sum("len").over(_sofar()).alias("_upto"))
     rows = candidates.join(upto, ["source_id", "pos"], "left")
     rows = rows.withColumn("gap", F.coalesce(F.lead("_upto").over(_source()) - F.col("_upto"), F.lit(2**31)))
     strong = F.col("action").isin("rebuilt", "merged", "fuzzy") | ((F.col("action") == "exact") & (F.col("gap") >= least))
     weight = F.when(strong, 2).when(F.col("action") != "page_header", 1).otherwise(0)
-    return rows.groupBy("source_id", "key").agg(F.max(F.struct(weight.alias("weight"), "pos")).alias("_b")).select("source_id", "key", "_b.pos")
+    return rows.groupBy("source_id", "level", "path").agg(F.max(F.struct(weight.alias("weight"), "pos")).alias("_b")).select("source_id", "level", "path", "_b.pos")
+
+
+def section_starts(candidates: DataFrame, toc: DataFrame, blocks: DataFrame, levels: int = 4, least: int = 50) -> DataFrame:
+    """Starts of the sections of a contents table among candidates (source_id, pos, key, action): each place gets its entry, then each entry its place."""
+    placed = match_entries(candidates, toc, levels).where("match IS NOT NULL").select("source_id", "pos", "action", "match.level", "match.path")
+    return choose_starts(placed, blocks, least)
 
 
 def assign_sections(blocks: DataFrame, starts: DataFrame) -> DataFrame:

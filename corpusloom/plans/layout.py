@@ -144,18 +144,6 @@ def part_paths(t: Tables) -> DataFrame:
     return bl.heading_paths(rows, given).select("source_id", F.col("position").cast("long").alias("pos"), "heading_path")
 
 
-@query(f"""WITH {_LINES}, c AS (SELECT source_id, pos, len, left(text, 1) AS key, list_value('exact', 'merged', 'page_header', 'exact')[CAST(len % 4 AS INTEGER) + 1] AS action, sum(len) OVER (PARTITION BY source_id ORDER BY pos) AS upto FROM lines),
-g AS (SELECT *, coalesce(lead(upto) OVER (PARTITION BY source_id ORDER BY pos) - upto, 2147483648) AS gap FROM c),
-w AS (SELECT *, CASE WHEN action = 'merged' OR (action = 'exact' AND gap >= 50) THEN 2 WHEN action <> 'page_header' THEN 1 ELSE 0 END AS weight FROM g)
-SELECT source_id, key, arg_max(pos, weight * 1000000 + pos) AS pos FROM w GROUP BY 1, 2""")
-def section_starts(t: Tables) -> DataFrame:
-    """WIN-08: the true start of each key among its candidates."""
-    actions = F.array(*[F.lit(a) for a in ("exact", "merged", "page_header", "exact")])
-    rows = lines(t)
-    candidates = rows.select("source_id", "pos", F.substring("text", 1, 1).alias("key"), F.element_at(actions, (F.col("len") % 4 + 1).cast("int")).alias("action"))
-    return sc.choose_starts(candidates, rows).select("source_id", "key", F.col("pos").cast("long").alias("pos"))
-
-
 @query(f"""WITH {_LINES}, s AS (SELECT *, pos // 8 AS section FROM lines), m AS (SELECT *, min(CASE WHEN regexp_matches(trim(text), '^[DT]') THEN pos END) OVER (PARTITION BY source_id) AS stop, min(CASE WHEN regexp_matches(trim(text), '^[A-E]') THEN pos END) OVER (PARTITION BY source_id, section) AS rest FROM s)
 SELECT source_id, pos FROM m WHERE (stop IS NULL OR pos < stop) AND (rest IS NULL OR pos < rest)""")
 def truncated_bodies(t: Tables) -> DataFrame:
@@ -207,16 +195,48 @@ def contents_dictionary(t: Tables) -> DataFrame:
     return _toc(t).select("source_id", F.col("pos").cast("long").alias("pos"), "level", "key", F.array_join("ancestors", "|").alias("path"))
 
 
-@query(f"""WITH {_TOC}, b AS (SELECT source_id, pos, regexp_replace(text, '\\s+', '', 'g') AS key FROM titled),
-o AS (SELECT source_id, key, count(*) AS n, min(pos) AS p FROM dict GROUP BY 1, 2), k AS (SELECT b.*, n, CASE WHEN n = 1 THEN d.text END AS sure FROM b LEFT JOIN o USING (source_id, key) LEFT JOIN dict d ON d.source_id = b.source_id AND d.pos = o.p),
-v AS (SELECT *, last_value(sure IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM k)
-SELECT v.source_id, v.pos, coalesce(min(d.pos) FILTER (d.parent IS NOT DISTINCT FROM above), min(d.pos)) AS toc_pos FROM v LEFT JOIN dict d ON d.source_id = v.source_id AND d.key = v.key GROUP BY v.source_id, v.pos""")
+# contents with names that come back in many chapters, as read line by line: a place takes the entry whose path is the stack
+_NAMED = f"""{_LINES}, named AS (SELECT source_id, pos, len, CASE pos % 4 WHEN 1 THEN '第' || (pos // 4 + 1) || '章' WHEN 2 THEN '节' || left(text, 1) ELSE left(text, 1) END AS text FROM lines),
+toc AS (SELECT *, CASE pos % 4 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS level FROM named WHERE regexp_matches(text, '^(第[0-9]+章|节|[A-Za-z])$|^节[A-Za-z]$')),
+above AS (SELECT *, max(CASE WHEN level = 1 THEN pos END) OVER w AS p1, max(CASE WHEN level <= 2 THEN pos END) OVER w AS p2 FROM toc WINDOW w AS (PARTITION BY source_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+entries AS (SELECT a.source_id, a.pos, a.level, a.text, concat_ws('|', CASE WHEN a.level > 1 THEN x.text END, CASE WHEN a.level > 2 AND y.level = 2 THEN y.text END) AS path FROM above a LEFT JOIN toc x ON x.source_id = a.source_id AND x.pos = a.p1 LEFT JOIN toc y ON y.source_id = a.source_id AND y.pos = a.p2),
+cands AS MATERIALIZED (SELECT source_id, text, list({{'pos': pos, 'level': level, 'path': path}} ORDER BY pos) AS c FROM entries GROUP BY 1, 2),
+body AS MATERIALIZED (SELECT n.source_id, n.pos, n.len, n.text, c, row_number() OVER (PARTITION BY n.source_id ORDER BY n.pos) AS i FROM named n LEFT JOIN cands k ON k.source_id = n.source_id AND k.text = n.text WHERE n.pos % 9 <> 4),
+picked AS (SELECT source_id, 0::BIGINT AS i, NULL::BIGINT AS pos, [NULL, NULL, NULL]::VARCHAR[] AS stack, NULL::STRUCT(pos BIGINT, "level" INTEGER, path VARCHAR) AS hit FROM (SELECT DISTINCT source_id FROM body) UNION ALL
+  SELECT source_id, i, pos, CASE WHEN hit IS NULL THEN stack ELSE list_transform([1, 2, 3], lambda j: CASE WHEN j < hit.level THEN stack[j] WHEN j = hit.level THEN text END) END, hit FROM
+  (SELECT b.source_id, b.i, b.pos, b.text, p.stack, CASE WHEN len(c) = 1 THEN c[1] ELSE coalesce(list_filter(c, lambda e: e.path = concat_ws('|', CASE WHEN e.level > 1 THEN p.stack[1] END, CASE WHEN e.level > 2 THEN p.stack[2] END))[1], c[1]) END AS hit FROM picked p JOIN body b ON b.source_id = p.source_id AND b.i = p.i + 1))"""
+
+
+def _named(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines as titles with short names under numbered chapters; their contents table; and the body, in which some titles are lost."""
+    first = F.substring("text", 1, 1)
+    text = F.when(F.col("pos") % 4 == 1, F.concat(F.lit("第"), (F.floor(F.col("pos") / 4) + 1).cast("string"), F.lit("章"))).when(F.col("pos") % 4 == 2, F.concat(F.lit("节"), first)).otherwise(first)
+    rows = lines(t).select("source_id", "pos", "len", text.alias("text"))
+    toc = sc.contents_dictionary(rows.select("source_id", "pos", "text"), ["^第[0-9]+章$", "^节[A-Za-z]$", "^[A-Za-z]$"])
+    return rows, toc, rows.where("pos % 9 <> 4")
+
+
+@query(f"WITH RECURSIVE {_NAMED} SELECT source_id, pos, hit.pos AS toc_pos FROM picked WHERE i > 0")
 def matched_titles(t: Tables) -> DataFrame:
-    """JN-20: titles with their contents entry; of several, one below the last sure match."""
-    out = sc.match_titles(_titled(t).select("source_id", "pos", "text"), _toc(t))
+    """JN-20: titles with their contents entry; of several with one name, that of the chapter and section the title stands in."""
+    _, toc, body = _named(t)
+    out = sc.match_titles(body, toc, 3)
     return out.select("source_id", F.col("pos").cast("long").alias("pos"), F.col("match.toc_pos").cast("long").alias("toc_pos"))
 
 
+@query(f"""WITH RECURSIVE {_NAMED}, c AS (SELECT p.source_id, p.pos, e.level, concat_ws('|', nullif(e.path, ''), e.text) AS path, list_value('exact', 'merged', 'page_header', 'exact')[CAST(b.len % 4 AS INTEGER) + 1] AS action FROM picked p JOIN entries e ON e.source_id = p.source_id AND e.pos = p.hit.pos JOIN body b ON b.source_id = p.source_id AND b.pos = p.pos),
+u AS (SELECT source_id, pos, sum(len) OVER (PARTITION BY source_id ORDER BY pos) AS upto FROM named),
+g AS (SELECT c.*, coalesce(lead(upto) OVER (PARTITION BY c.source_id ORDER BY c.pos) - upto, 2147483648) AS gap FROM c JOIN u USING (source_id, pos)),
+w AS (SELECT *, CASE WHEN action = 'merged' OR (action = 'exact' AND gap >= 50) THEN 2 WHEN action <> 'page_header' THEN 1 ELSE 0 END AS weight FROM g)
+SELECT source_id, level, path, arg_max(pos, weight * 1000000 + pos) AS pos FROM w GROUP BY 1, 2, 3""")
+def section_starts(t: Tables) -> DataFrame:
+    """WIN-08: the true start of each section, by its level and full path, among the places that read like it."""
+    rows, toc, body = _named(t)
+    actions = F.array(*[F.lit(a) for a in ("exact", "merged", "page_header", "exact")])
+    candidates = body.select("source_id", "pos", tx.strict_key(F.col("text")).alias("key"), F.element_at(actions, (F.col("len") % 4 + 1).cast("int")).alias("action"))
+    return sc.section_starts(candidates, toc, rows, 3).select("source_id", "level", F.array_join("path", "|").alias("path"), F.col("pos").cast("long").alias("pos"))
+
+
 @query(f"""WITH {_TOC}, b AS (SELECT DISTINCT source_id, level, lower(key) AS key FROM dict), t AS (SELECT DISTINCT source_id, level, key FROM dict)
 SELECT source_id, level, key, CASE WHEN t.k IS NULL THEN 'body_only' ELSE 'contents_only' END AS side FROM (SELECT *, 1 AS k FROM t) t FULL JOIN (SELECT *, 1 AS k FROM b) b USING (source_id, level, key) WHERE t.k IS NULL OR b.k IS NULL""")
 def title_differences(t: Tables) -> DataFrame:

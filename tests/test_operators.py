@@ -1,6 +1,7 @@
 """Operators on small literal tables."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,7 +150,7 @@ def test_sections(spark):
     assert [r.text for r in sc.truncate_body(placed, "^END$", "^References$").orderBy("pos").collect()] == ["one", "text", "two", "more"]
     parents, children = sc.chunk_documents(blocks, starts, [("^x", 10)], "^$")
     assert sc.conservation(parents, children).count() == 0
-    cands = spark.createDataFrame([("a", 0, "k", "exact"), ("a", 1, "k", "exact"), ("a", 6, "k", "page_header")], "source_id string, pos int, key string, action string")
+    cands = spark.createDataFrame([("a", 0, 1, ["k"], "exact"), ("a", 1, 1, ["k"], "exact"), ("a", 6, 1, ["k"], "page_header")], "source_id string, pos int, level int, path array<string>, action string")
     assert sc.choose_starts(cands, blocks, least=5).first().pos == 1
     split = spark.createDataFrame([("a", 0, "第一章"), ("a", 1, "总论"), ("a", 2, "第二章 感染")], "source_id string, pos int, text string")
     assert [r.text for r in sc.merge_split_titles(split).orderBy("pos").collect()] == ["第一章 总论", "第二章 感染"]
@@ -408,3 +409,40 @@ def test_fuzzy_titles_are_the_best_by_matching_blocks(spark):
         if t.startswith("第") and best[0] >= 0.8:
             want[i] = (best[1], best[0])
     assert got == want and want
+
+
+def _contents(spark, titles):
+    """Contents of one source: (level, title) in order."""
+    rows = [("a", i, level, t) for i, (level, t) in enumerate(titles)]
+    return sc.with_ancestors(spark.createDataFrame(rows, "source_id string, pos int, level int, text string"), 4).withColumn("key", F.col("text"))
+
+
+def test_equal_names_go_to_the_chapter_they_stand_in(spark):
+    toc = _contents(spark, [(1, "Ch1"), (2, "Alpha"), (2, "Intro"), (1, "Ch2"), (2, "Beta"), (2, "Intro")])
+    body = spark.createDataFrame([("a", i, t) for i, t in enumerate(["Ch1", "Alpha", "Intro", "Ch2", "Beta", "Intro"])], "source_id string, pos int, text string")
+    assert [r.match.toc_pos for r in sc.match_titles(body, toc).orderBy("pos").collect()] == [0, 1, 2, 3, 4, 5]
+    three = _contents(spark, [(1, "Ch1"), (2, "Intro"), (1, "Ch2"), (2, "Intro"), (1, "Ch3"), (2, "Intro")])
+    places = spark.createDataFrame([("a", i, t, "exact") for i, t in enumerate(["Ch1", "Intro", "Ch2", "Intro", "Ch3", "Intro"])], "source_id string, pos int, key string, action string")
+    blocks = spark.createDataFrame([("a", i, 100) for i in range(6)], "source_id string, pos int, len int")
+    got = sorted((r.pos, r.level, list(r.path)) for r in sc.section_starts(places, three, blocks).collect())
+    assert got == [(0, 1, ["Ch1"]), (1, 2, ["Ch1", "Intro"]), (2, 1, ["Ch2"]), (3, 2, ["Ch2", "Intro"]), (4, 1, ["Ch3"]), (5, 2, ["Ch3", "Intro"])]
+
+
+def test_titles_against_a_stack_kept_line_by_line(spark):
+    rng = random.Random(7)
+    titles = [(rng.choice([1, 2, 2, 3, 3, 3, 4]), i) for i in range(120)]
+    titles = [(level, f"{level}-{i if level == 1 and i % 3 else rng.choice('abc')}") for level, i in titles]
+    toc = _contents(spark, titles)
+    known = [(r.pos, r.level, r.text, list(r.ancestors)) for r in toc.orderBy("pos").collect()]
+    lines = [t for _, t in titles if rng.random() < 0.8] + ["none", "2-a"]
+    stack, want = [None] * 4, []
+    for t in lines:
+        of = [e for e in known if e[2] == t]
+        hit = of[0] if of else None
+        if len(of) > 1:
+            hit = next((e for e in of if [x for x in stack[: e[1] - 1] if x] == e[3]), hit)
+        if hit:
+            stack = [*stack[: hit[1] - 1], hit[2], *[None] * (4 - hit[1])]
+        want.append(hit and hit[0])
+    body = spark.createDataFrame([("a", i, t) for i, t in enumerate(lines)], "source_id string, pos int, text string")
+    assert [r.match and r.match.toc_pos for r in sc.match_titles(body, toc).orderBy("pos").collect()] == want
