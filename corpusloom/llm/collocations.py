@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from .hashing import mix, prefix_sums, span_hashes
 from .work import partitions, release, written
 
-#: Bytes of text that a task counts at once, and bits of the filter that passes what may be frequent (8 MB).
-AT_ONCE, FILTER_BITS = 12 << 20, 1 << 26
+#: Bytes of text that a task counts at once, rows that it hands on at once, and bits of the filter that passes what may be
+#: frequent (8 MB).
+AT_ONCE, ROWS_OUT, FILTER_BITS = 6 << 20, 1 << 15, 1 << 26
 
 #: What a byte is: part of a word, blank, or end of a piece. A-Z become a-z.
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -145,8 +146,10 @@ def _counting(size: int, frequent: Broadcast | None) -> Callable[[Iterator[pa.Re
                         here &= _passes(bits, _paired(h[:-1], h[1:]))
                         at = np.flatnonzero(here[1:] & here[:-1])
                     parts, counts = _grouped(dictionary, *(ids[at + i] for i in range(size)))
-                phrase = (pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if size > 1 else parts[0]).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(counts), dtype=np.int32))), phrase, pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
+                for at in range(0, len(counts), ROWS_OUT):
+                    some = [p.slice(at, ROWS_OUT) for p in parts]
+                    phrase = (pc.binary_join_element_wise(*some, pa.scalar(b" ", pa.binary())) if size > 1 else some[0]).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(phrase)), phrase, pa.array(counts[at : at + ROWS_OUT], pa.int64())], ["lang", "phrase", "n"])
         finally:
             release()
 

@@ -42,7 +42,7 @@ def text(rng, words, n):
     return "".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\t", ", ", ".\n", "?"]) for _ in range(n))
 
 
-@pytest.mark.parametrize("at_once", [64, 12 << 20])
+@pytest.mark.parametrize("at_once", [64, 6 << 20])
 def test_phrases(spark, monkeypatch, at_once):
     rng = random.Random(5)
     words = ["a", "B", "the", "The", "é", "É", "a\x01", "!x", "…", "the-end", "日本"]
