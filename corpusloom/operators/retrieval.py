@@ -66,10 +66,15 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, doc_id: str = "doc_id
     return topk(scores, ["query_id", "route_no"], k, "doc_id")
 
 
+def text_routes(queries: DataFrame) -> DataFrame:
+    """Every text of every query (query_id, texts) as a route numbered from 1; blank texts are none."""
+    routes = queries.select("query_id", F.posexplode("texts").alias("route_no", "text")).where(F.trim("text") != "")
+    return routes.select("query_id", (F.col("route_no") + 1).alias("route_no"), F.trim("text").alias("text"))
+
+
 def sparse_routes(queries: DataFrame, docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text", where: Column | None = None) -> DataFrame:
     """The k best documents of every text of every query (query_id, texts), each an independent route numbered from 1; blank texts are none."""
-    routes = queries.select("query_id", F.posexplode("texts").alias("route_no", "text")).where(F.trim("text") != "")
-    return bm25_topk(routes.select("query_id", (F.col("route_no") + 1).alias("route_no"), F.trim("text").alias("text")), docs, k, doc_id, text, where)
+    return bm25_topk(text_routes(queries), docs, k, doc_id, text, where)
 
 
 def _products(shared, k: int, digits: int, apart: bool):

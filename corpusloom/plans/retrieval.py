@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import bm25
 from ..operators import evaluation as ev
 from ..operators import retrieval as rt
+from ..operators import upsert as up
+from ..sources.shared import shared_folder
 from .registry import Tables, query
 
 _TERMS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
@@ -25,12 +30,44 @@ sparse AS (
   SELECT query_id, route_no, doc_id, score, row_number() OVER (PARTITION BY query_id, route_no ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scores)""".format(terms=_TERMS.format("text"))
 
 
-@query(f"""WITH {_POSTINGS}, queries AS (SELECT item_id AS query_id, 0 AS route_no, text FROM benchmark), {_SCORES}
-SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM sparse WHERE rank <= 10""")
+_KEEP = {"keep": ["lang"], "near": ["lang"]}
+
+
+def _index(t: Tables) -> bm25.Index:
+    """The stored index of documents, built when it is first asked for."""
+    return bm25.stored_index(t.documents, f"{shared_folder(t.documents.sparkSession)}/corpusloom", **_KEEP)
+
+
+def _items(t: Tables) -> DataFrame:
+    return t.benchmark.select(F.col("item_id").alias("query_id"), F.lit(0).alias("route_no"), "text")
+
+
+_BM25 = f"""WITH {_POSTINGS}, queries AS (SELECT item_id AS query_id, 0 AS route_no, text FROM benchmark), {_SCORES}
+SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM sparse WHERE rank <= 10"""
+
+
+@query(_BM25)
 def bm25_topk(t: Tables) -> DataFrame:
-    """RNK-02: the ten best documents of each benchmark item."""
-    queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.lit(0).alias("route_no"), "text")
-    return rt.bm25_topk(queries, t.documents, 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    """RNK-02: the ten best documents of each benchmark item, from the stored index."""
+    return bm25.index_topk(_index(t), _items(t), 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(_BM25)
+def bm25_without_index(t: Tables) -> DataFrame:
+    """RNK-02: the same by splitting all texts for this batch."""
+    return rt.bm25_topk(_items(t), t.documents, 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(_BM25)
+def bm25_after_update(t: Tables) -> DataFrame:
+    """RNK-02, JN-15: an index of an older state of the documents that follows the plan to the present one."""
+    docs = t.documents.select("doc_id", "text", "lang")
+    other = docs.where("doc_id % 3 = 0").select((-F.col("doc_id") - 1).alias("doc_id"), "text", "lang")  # gone by now
+    old = docs.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" older words"))).otherwise(F.col("text"))).unionByName(other)
+    index = bm25.build_index(old, f"{shared_folder(docs.sparkSession)}/corpusloom/bm25-{uuid.uuid4().hex}", **_KEEP)
+    state = lambda rows: rows.select(F.col("doc_id").alias("chunk_id"), F.sha2("text", 256).alias("content_hash"), F.lit("child").alias("chunk_type"), F.lit("s").alias("source_id"), F.lit(None).cast("long").alias("parent_chunk_id"))
+    index = bm25.follow_plan(index, up.plan_incremental(state(old), state(docs)), docs, **_KEEP)
+    return bm25.index_topk(index, _items(t), 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 _ROUTES = """queries AS (
@@ -41,7 +78,7 @@ _ROUTES = """queries AS (
 def _sparse(t: Tables) -> DataFrame:
     """The twenty best documents of each sentence of an item."""
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.split("text", "\\.").alias("texts"))
-    return rt.sparse_routes(queries, t.documents, 20)
+    return bm25.index_topk(_index(t), rt.text_routes(queries), 20)
 
 
 def _asked(t: Tables) -> DataFrame:
@@ -97,8 +134,7 @@ kept AS (SELECT s.query_id, s.doc_id, s.score, row_number() OVER (PARTITION BY s
 SELECT query_id, doc_id, CAST(r AS INTEGER) AS rank FROM kept WHERE r <= 10""")
 def filtered_bm25(t: Tables) -> DataFrame:
     """FLT-12, RNK-02: the ten best English documents, by the statistics of all."""
-    queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.lit(0).alias("route_no"), "text")
-    return rt.bm25_topk(queries, t.documents, 10, where=F.col("lang") == "en").select("query_id", "doc_id", "rank")
+    return bm25.index_topk(_index(t), _items(t), 10, where=F.col("lang") == "en").select("query_id", "doc_id", "rank")
 
 
 @query(f"""{_FUSED}
