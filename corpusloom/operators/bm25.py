@@ -258,7 +258,7 @@ def index_topk(index: Index, queries: DataFrame, k: int, where: Column | None =
     spark = index.spark
     shared = spark.sparkContext.broadcast((keys, words, {t: i for i, t in enumerate(words)}, first, route, rows["weight"].to_numpy()))
     postings = index.table("postings").select("segment", "block", "term", "max_tf", "min_len", "postings")
-    read = postings.join(small(weighed.select("term").distinct()), "term", "left_semi").select(*postings.columns)
+    read = postings.join(F.broadcast(spark.createDataFrame([(w,) for w in words], "term string")), "term", "left_semi").select(*postings.columns)
     listed = where is not None or len(index.segments) > 1
     if listed:
         docs = _live(index, index.table("forward") if where is None else index.table("forward").where(where))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stateful import decided
+
 
 def throttle_key(user: Column, address: Column) -> Column:
     """The user if there is one, else the address."""
@@ -63,7 +66,10 @@ def bucket_quantile(buckets: DataFrame, q: float, keys: list[str]) -> DataFrame:
 
 
 def counter_rate(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Increase of counters between samples (keys, ts, value); after a reset the new value is the increase."""
+    """Increase of counters between samples (keys, ts, value); after a reset the new value is the increase.
+
+    Its twin on streams is stateful.counter_stream.
+    """
     before = F.lag("value").over(W.partitionBy(*keys).orderBy("ts"))
     at = F.col("ts").cast("timestamp").cast("double")
     seconds = at - F.lag(at).over(W.partitionBy(*keys).orderBy("ts"))
@@ -99,54 +105,32 @@ def loop_counts(rounds: DataFrame, most: dict[str, int]) -> DataFrame:
     return out.withColumn("capped", F.col("loops") >= F.try_element_at(table, F.col("kind")))
 
 
-def _admit(times: list[float], limit: int, window: float, held: list[float]) -> tuple[list[tuple[bool, int | None]], list[float]]:
-    """Decisions for events in time order: only accepted ones count, those older than the window are forgotten."""
-    out: list[tuple[bool, int | None]] = []
-    for t in times:
-        held = [x for x in held if x >= t - window]
-        if len(held) < limit:
-            held.append(t)
-            out.append((True, None))
-        else:
-            out.append((False, max(1, int(held[0] + window - t) + 1)))
-    return out, held
-
-
 _ADMITTED = "key string, event_id long, ts timestamp, accepted boolean, retry_after int"
 
 
 def throttle(events: DataFrame, limit: int, window_s: float) -> DataFrame:
-    """Admission of a table of events (key, event_id, ts): at most `limit` accepted in any trailing window."""
+    """Admission of a table of events (key, event_id, ts): at most `limit` accepted in any trailing window.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "event_id"])
-        done, _ = _admit((rows["ts"].astype("int64") / 1e9 if str(rows["ts"].dtype).startswith("datetime64[ns") else rows["ts"].astype("datetime64[ns]").astype("int64") / 1e9).tolist(), limit, window_s, [])
-        return rows[["key", "event_id", "ts"]].assign(accepted=[a for a, _ in done], retry_after=pd.array([r for _, r in done], dtype="Int32"))
-
-    return events.select("key", "event_id", "ts").groupBy("key").applyInPandas(run, _ADMITTED)
-
-
-def throttle_stream(events: DataFrame, limit: int, window_s: float, late: str = "10 minutes") -> DataFrame:
-    """The same for a stream: the state of a key is the times of its accepted events, and it goes once the watermark
-    has passed the window of the last one.
-
-    Events of a key are decided in the order of their times within a micro-batch; a late one sees the state as it is.
+    Where a key was idle for longer than the window nothing counts any more, so that what comes after is an island of its
+    own. Islands are dealt over tasks and read in the order of their events; of each only the accepted ones of a window
+    are in memory. Its twin on streams is stateful.throttle_stream.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        held = list(state.get[0]) if state.exists else []
-        done, held = _admit((rows["ts"].astype("datetime64[ns]").astype("int64") / 1e9).tolist(), limit, window_s, held)
-        state.update((held,))
-        state.setTimeoutTimestamp(max(int((held[-1] + window_s) * 1000), state.getCurrentWatermarkMs()) + 1)
-        yield rows[["key", "event_id", "ts"]].assign(accepted=[a for a, _ in done], retry_after=pd.array([r for _, r in done], dtype="Int32"))
-
-    rows = events.select("key", "event_id", "ts").withWatermark("ts", late)
-    return rows.groupBy("key").applyInPandasWithState(run, _ADMITTED, "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: deque = deque()
+        now = None
+        for frame in frames:
+            island = frame["key"].ne(frame["key"].shift()) | frame["island"].ne(frame["island"].shift())
+            for _, rows in frame.groupby(island.cumsum(), sort=False):
+                one = (rows["key"].iloc[0], rows["island"].iloc[0])
+                held, now = (held if one == now else deque()), one
+                yield decided(rows, limit, window_s, held)
+
+    order = W.partitionBy("key").orderBy("ts", "event_id")
+    at = F.unix_micros("ts")
+    rows = events.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts")).withColumn("idle", at - F.lag(at).over(order) > window_s * 1_000_000)
+    rows = rows.withColumn("island", F.count_if("idle").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return rows.select("key", "island", "event_id", "ts").repartition("key", "island").sortWithinPartitions("key", "island", "ts", "event_id").mapInPandas(run, _ADMITTED)
 
 
 def fold_dialogue(turns: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from corpusloom.operators import sections as sc
 from corpusloom.operators import terms as tm
 from corpusloom.operators import upsert as up
 from corpusloom.streaming import rates as sr
+from corpusloom.streaming import stateful as st
 
 
 def one(spark, column, **values):
@@ -283,7 +284,8 @@ def test_throttle_batch_and_stream_agree(spark, tmp_path):
     want = {0: (True, None), 1: (True, None), 2: (True, None), 3: (False, 58), 4: (True, None), 5: (True, None), 9: (True, None)}
     assert {r.event_id: (r.accepted, r.retry_after) for r in sr.throttle(df, 3, 60.0).collect()} == want
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = sr.throttle_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 3, 60.0)
+    st.use_rocksdb(spark)
+    stream = st.throttle_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 3, 60.0)
     q = stream.writeStream.format("memory").queryName("admitted").outputMode("append").trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert {r.event_id: (r.accepted, r.retry_after) for r in spark.table("admitted").collect()} == want
