@@ -14,12 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, question_index
+from ..functions.text import question_index
 from .tables import is_small
+from .tiles import BROADCAST_BYTES, nearest_rows
 
 K1, B, RRF_K = 1.2, 0.75, 60
-#: Rows of a query batch up to which it is broadcast.
-QUERY_ROWS = 20_000
 
 
 def terms(text: Column) -> Column:
@@ -109,21 +108,21 @@ def _products(shared, k: int, digits: int, apart: bool):
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None, digits: int = 9, apart: bool = False) -> DataFrame:
     """The k nearest vectors by cosine, exactly. queries: query_id, vector; vectors: id, vector and whatever `where` reads.
 
-    Ids are integers. Scores are rounded; ties go to the smaller id. With `apart` a query's own id is no answer. Up to
-    QUERY_ROWS queries are one matrix that every task multiplies with its batches of vectors; more queries are joined
-    to the vectors pair by pair.
+    Ids are integers. Scores are rounded; ties go to the smaller id. With `apart` a query's own id is no answer. Queries
+    of one length whose vectors take BROADCAST_BYTES at most are one matrix that every task multiplies with its batches
+    of vectors; else tiles of queries meet tiles of vectors.
     """
     rows = (vectors if where is None else vectors.where(where)).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where(F.exists("vector", lambda x: x.isNotNull()))
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("_q")).where("_q is not null")
-    few = asked.limit(QUERY_ROWS + 1).collect()
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    size = asked.agg(F.coalesce(8 * F.sum(F.size("vector").cast("long")), F.lit(0)), F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    if size[0] > BROADCAST_BYTES or size[1] != size[2]:
+        best = nearest_rows(asked, rows, k, ["id"], digits, ("query_id", "id") if apart else None)
+        return best.select("query_id", "id", "score", F.col("place").alias("rank"))
+    few = asked.collect()
     if not few:
         return rows.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    if len(few) <= QUERY_ROWS and len({len(r[1]) for r in few}) == 1:
-        shared = rows.sparkSession.sparkContext.broadcast((np.array([r[0] for r in few], dtype=np.int64), np.array([r[1] for r in few], dtype=np.float64)))
-        hits = rows.mapInArrow(_products(shared, k, digits, apart), "query_id long, id long, score double")
-    else:
-        hits = rows.crossJoin(asked).select("query_id", "id", F.round(cosine(F.col("vector"), F.col("_q")), digits).alias("score"))
-        hits = hits.where("query_id <> id") if apart else hits
+    shared = rows.sparkSession.sparkContext.broadcast((np.array([r[0] for r in few], dtype=np.int64), np.array([r[1] for r in few], dtype=np.float64)))
+    hits = rows.mapInArrow(_products(shared, k, digits, apart), "query_id long, id long, score double")
     return topk(hits, ["query_id"], k, "id")
 
 

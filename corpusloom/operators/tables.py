@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a table is broadcast.
-SMALL_ROWS = 100_000
+#: Rows and bytes up to which a table is broadcast.
+SMALL_ROWS, SMALL_BYTES = 100_000, 1 << 25
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """About what a row takes: characters of strings, eight bytes for each number and element."""
+    total = F.lit(0).cast("long")
+    for f in df.schema:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        size = F.octet_length(c) if kind in ("string", "binary") else 8 * F.size(c) if kind in ("array", "map") else F.lit(8)
+        total = total + F.coalesce(size.cast("long"), F.lit(8))
+    return total
 
 
 def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.sum(_row_bytes(df))).first()
+    return n <= rows and (size or 0) <= SMALL_BYTES
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import alias_record_id
 from ..functions.text import code_category, cosine
 from .tables import is_small, small
+from .tiles import nearest_rows
 
 def load_vocabulary(rows: DataFrame, order: str) -> DataFrame:
     """code and name without nulls and blanks; the first row (by `order`) of each code."""
@@ -70,17 +71,16 @@ def _blocks(threshold: float):
 def link_nearest(mentions: DataFrame, vocabulary: DataFrame, threshold: float = 0.92) -> DataFrame:
     """Mentions (mention_id, text, vector) with the concept of the nearest alias, if near enough.
 
-    If one side is small, it is broadcast and all pairs are compared. Two large sides meet in blocks of random
+    If one side is small, it is broadcast and multiplied with the other. Two large sides meet in blocks of random
     projections: a pair at the threshold is missed with a chance of MISSED, nearer ones more rarely.
     """
+    asked = mentions.select("mention_id", "text", "vector")
+    if is_small(vocabulary.select("vector")) or is_small(asked):
+        best = nearest_rows(asked, vocabulary.select("concept_id", "preferred_term", "vector"), 1, ["concept_id"], digits=12)
+        return best.where(F.col("score") >= threshold).select("mention_id", "text", "concept_id", "preferred_term", "score")
     v = vocabulary.select("concept_id", "preferred_term", F.col("vector").alias("_v"))
-    if is_small(v):
-        pairs = mentions.crossJoin(F.broadcast(v))
-    elif is_small(mentions):
-        pairs = v.crossJoin(F.broadcast(mentions))
-    else:
-        pairs = blocked_pairs(mentions, v, threshold)
-    pairs = pairs.withColumn("score", cosine(F.col("vector"), F.col("_v"))).where(F.col("score") >= threshold)
+    pairs = blocked_pairs(mentions, v, threshold)
+    pairs = pairs.withColumn("score", F.round(cosine(F.col("vector"), F.col("_v")), 12)).where(F.col("score") >= threshold)
     best = pairs.groupBy("mention_id", "text").agg(F.max(F.struct("score")).alias("_s"), F.min_by(F.struct("concept_id", "preferred_term"), F.struct(-F.col("score"), F.col("concept_id"))).alias("_b"))
     return best.select("mention_id", "text", "_b.concept_id", "_b.preferred_term", F.col("_s.score").alias("score"))
 
@@ -114,9 +114,8 @@ def expand_aliases(concepts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def alias_topk(queries: DataFrame, vocabulary: DataFrame, k: int, category: str | None = None) -> DataFrame:
     """The k best preferred terms of each query; of a term's aliases the best score counts, ties to the shorter, then the smaller id."""
     rows = vocabulary if category is None else vocabulary.where(F.col("category") == category)
-    pairs = rows.select("concept_id", "preferred_term", "alias", F.col("vector").alias("_v")).crossJoin(small(queries.select("query_id", "vector")))
-    pairs = pairs.select("query_id", "concept_id", "preferred_term", "alias", F.round(cosine(F.col("vector"), F.col("_v")), 6).alias("score"))
-    pool = pairs.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.length("alias"), "concept_id", "alias"))).where(F.col("_n") <= max(5 * k, 20))
+    aliases = rows.select("concept_id", "preferred_term", "alias", F.length("alias").alias("_chars"), "vector")
+    pool = nearest_rows(queries.select("query_id", "vector"), aliases, max(5 * k, 20), ["_chars", "concept_id", "alias"], digits=6).withColumnRenamed("place", "_n").drop("_chars")
     one = pool.withColumn("_t", F.row_number().over(W.partitionBy("query_id", "preferred_term").orderBy("_n"))).where("_t = 1")
     return one.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("_n"))).where(F.col("rank") <= k).drop("_n", "_t")
 
