@@ -31,7 +31,9 @@ DOUBTFUL, UNSEEN_DOUBTFUL = 0.5, 8.0
 #: Rows of low nodes up to which they are broadcast; more are joined by host.
 BROADCAST_ROWS = 50_000
 
-_TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>)""", re.S)
+_TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)(>|\Z))""", re.S)
+#: The same where quotes don't pair up to the end of the page: a tag ends at the next >.
+_UNQUOTED = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(>))""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']+))""")
 _RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "noscript", "template", "svg", "math"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -46,6 +48,15 @@ _ROLES = set("navigation banner contentinfo complementary search alert alertdial
 _NAMES = set(
     "nav navbar navigation menu breadcrumb breadcrumbs topbar masthead header footer sidebar aside ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies respond disqus discussion related recommended widget search toolbar pagination pager copyright legal skip".split()
 )
+#: Names of what readers wrote.
+_COMMENTS = set("comment comments reply replies respond disqus".split())
+#: What may stand before or after a name in a compound one, which then says the same: site-footer, comment-list, commentlist.
+_BEFORE = set("site page main global user users reader top bottom left right primary secondary mobile sticky fixed".split())
+_AFTER = set(
+    "list section area box block bar wrapper wrap container inner outer holder slot unit button buttons link links icon icons item items group panel thread form row column left right top bottom posts articles stories content template body".split()
+)
+#: Before the name of comments also what they are about.
+_ABOUT = _BEFORE | set("post entry article blog story news all new latest recent".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _WITHIN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 _ROOTS = {"article", "main"}
@@ -87,11 +98,28 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] for m in _ATTRIBUTE.finditer(text)} if "=" in text else {}
 
 
+@lru_cache(maxsize=10_000)
+def _says(name: str) -> str:
+    """The name among _NAMES that a class or id is: as it stands, or compound of names and of words that only place it; else ''."""
+    parts = [x for x in re.split(r"[-_]+", name) if x]
+    if len(parts) == 1:
+        if name in _NAMES:
+            return name
+        for i in range(2, len(name) - 1):  # written as one word
+            if name[:i] in _NAMES and name[i:] in _AFTER or name[i:] in _NAMES and name[:i] in _BEFORE and len(name) - i > 3:
+                return name[:i] if name[:i] in _NAMES else name[i:]
+        return ""
+    named = [x for x in parts if x in _NAMES]
+    about = any(x in _COMMENTS for x in named)
+    fits = all(x in _NAMES or (i < len(parts) - 1 and x in (_ABOUT if about else _BEFORE)) or (i and x in _AFTER) for i, x in enumerate(parts))
+    return next((x for x in named if x in _COMMENTS), named[-1]) if named and fits else ""
+
+
 def _no_article(tag: str, own: dict[str, str], raw: str, inside: bool) -> int:
-    """2 if an element's tag says that it is no part of an article, or it is hidden; 1 if its role or a whole name does."""
+    """2 if an element's tag says that it is no part of an article, or it is hidden; 3 if a name says that readers wrote it; 1 if its role or another name does."""
     if tag in _DROPPED or (tag == "header" and not inside):
         return 2
-    if tag in ("html", "body") or tag in _ROOTS:
+    if tag in ("html", "body", "main"):
         return 0
     if not raw:
         return int(tag in _SOFT)
@@ -102,7 +130,12 @@ def _no_article(tag: str, own: dict[str, str], raw: str, inside: bool) -> int:
     names = set(own.get("class", "").lower().split())
     if tag not in _HEADINGS:
         names.add(own.get("id", "").lower())
-    return int(tag in _SOFT or own.get("role", "").lower() in _ROLES or bool(names & (_NAMES - {"header"} if inside else _NAMES)))
+    said = {_says(x) for x in names} - {""}
+    if said & _COMMENTS:
+        return 3
+    if tag in _ROOTS:
+        return 0
+    return int(tag in _SOFT or own.get("role", "").lower() in _ROLES or bool(said - {"header"} if inside else said))
 
 
 @lru_cache(maxsize=10_000)
@@ -128,17 +161,22 @@ class Page:
         self.elements: list[_Element] = []
         self._looks: dict[int, int] = {}  # a hash of the styles of the children by path
         self._styles: dict[int, str] = {}  # the last style of each path
-        self._roots = 0  # outermost article and main elements
-        self._soft: list[list] = []  # elements that go for their role or name: the one around, whether it holds an article or main
+        self._within: list[int] = []  # of each outermost article and main element the innermost element that goes for its role or name, itself included
+        self._soft: list[tuple[int, int]] = []  # elements that go for their role or name: the one around, what says so
         self._stack = [_Open("", 0, -1, False, -1, -1, False)]
         self._opened: Counter = Counter()
         self._link = 0  # characters of the run in links
         self._run: list[str] = []
-        at = 0
-        while (m := _TOKEN.search(source, at)) is not None:
+        at, token = 0, _TOKEN
+        end = source.rfind(">") + 1  # no tag ends beyond, and what begins one there is text
+        while (m := token.search(source, at, end)) is not None:
+            if m[2] is not None and not m[4]:  # it ran to the end within quotes; from here on no tag is tried twice
+                token = _UNQUOTED
+                continue
             self._words(source[at : m.start()])
             at = m.end()
             if m[2] is None:
+                at = at if at < end or not m[0].startswith("<!--") or m[0].endswith("-->") else len(source)
                 continue
             tag = m[2].lower()
             if m[1]:
@@ -146,7 +184,7 @@ class Page:
             else:
                 self._start(tag, m[3])
                 if tag in _RAW and not _self_closed(tag, m[3]):
-                    close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
+                    close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at, end)
                     at = close.end() if close else len(source)
         self._words(source[at:])
         while len(self._stack) > 1:
@@ -157,22 +195,34 @@ class Page:
     def _settle(self) -> None:
         """Takes out the blocks of elements that go for their role or name.
 
-        One that holds an article, or most of the text of a page without any elsewhere, stays whatever its name.
+        The page's main article is the longest article or main element outside what readers wrote. What is around it, or
+        is itself it, stays whatever its name; so does what holds most of the text of a page without one. What readers
+        wrote goes with the articles in it, unless next to nothing else is there.
         """
         size = sum(len(x.text) for x in self.blocks)
         held = [0] * len(self._soft)
         for x in self.blocks:
             if x.soft >= 0:
                 held[x.soft] += len(x.text)
+        readers: list[bool] = []
+        for around, kind in self._soft:
+            readers.append(kind == 3 or (around >= 0 and readers[around]))
         for i in range(len(self._soft) - 1, -1, -1):  # inner ones come after outer ones
-            around = self._soft[i][0]
-            if around >= 0:
-                held[around] += held[i]
-                self._soft[around][1] |= self._soft[i][1]
-        rooted = any(x.root >= 0 and x.soft < 0 for x in self.blocks)
+            if self._soft[i][0] >= 0:
+                held[self._soft[i][0]] += held[i]
+        roots: Counter = Counter()
+        for x in self.blocks:
+            if x.root >= 0 and (x.soft < 0 or not readers[x.soft]):
+                roots[x.root] += len(x.text)
+        main = max(roots, key=lambda r: (roots[r], -r), default=-1)
+        holds = [False] * len(self._soft)
+        i = self._within[main] if main >= 0 else -1
+        while i >= 0:
+            holds[i], i = True, self._soft[i][0]
         gone: list[bool] = []
-        for i, (around, holds) in enumerate(self._soft):
-            gone.append((around >= 0 and gone[around]) or (not holds and (rooted or 2 * held[i] <= size)))
+        for i, (around, kind) in enumerate(self._soft):
+            least = 10 * held[i] <= 9 * size if kind == 3 else 2 * held[i] <= size
+            gone.append((around >= 0 and gone[around]) or (not holds[i] and (main >= 0 or least)))
         kept = [x.soft < 0 or not gone[x.soft] for x in self.blocks]
         before = [0, *accumulate(kept)]
         for e in self.elements:
@@ -222,14 +272,13 @@ class Page:
         mark = _no_article(tag, own, raw, top.root >= 0 or opens)
         dropped = top.dropped or mark == 2
         root, soft = top.root, top.soft
-        if not dropped and opens:
-            root, self._roots = self._roots, self._roots + 1
-            if soft >= 0:
-                self._soft[soft][1] = True
-        if not dropped and mark == 1:
+        if not dropped and mark:
             self._flush()
-            self._soft.append([soft, opens])
+            self._soft.append((soft, mark))
             soft = len(self._soft) - 1
+        if not dropped and opens:
+            root = len(self._within)
+            self._within.append(soft)
         if dropped and not top.dropped:
             self._flush()
         path, element = xxhash.xxh64_intdigest(style, seed=top.path), top.element
@@ -348,8 +397,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     white space in a block is one space, character references are decoded. A page's text is the page less excluded roles
     and less branches of low importance in the host's tree; if an article or main element holds at least as much of it as
     stands outside all of these, it is what they hold. If only branches of low importance hold text, they stay. An element
-    excluded by its role or name stays if it holds an article or main or, on a page without
-    article or main, most of the text. Null and empty
+    excluded by its role or name stays if it is or holds the page's main article or, on a page without article or main,
+    most of the text; what is named for comments goes with the articles in it. Null and empty
     pages have an empty text. Rows without url form the host "". Repeated rows get a row each.
     """
     low = written(style_tree(pages).where((F.col("importance") < F.when(F.col("doubtful"), DOUBTFUL).otherwise(LOW))).groupBy("host").agg(F.collect_set("node").alias("low"), F.count("*").alias("n")))

@@ -569,3 +569,33 @@ def test_very_long_page_and_repeated_rows(spark):
     got = webpages.main_text(df).collect()
     assert sorted((r.page_id, r.n_chars) for r in got) == sorted([(1, len(got[0].text if got[0].page_id == 1 else got[1].text))] * 2 + [(2, 3_000_000)])
     assert all(r.text.count("\n") == 29_999 for r in got if r.page_id == 1)
+
+
+COMPOUND = "comment-list user-comments commentlist comments-section cookie-banner ad-slot main-menu share-buttons site-footer site-header post-comments".split()
+
+
+@pytest.mark.parametrize("n", [1, 5, 30])
+def test_comments_and_compound_names_go(spark, n):
+    words = lambda i, k: " ".join(f"w{i}x{j}" for j in range(k))
+    said = lambda i, k: "".join(f"<article class='comment'><p>{words(1000 + i + j, 12)}</p></article>" for j in range(k))
+    body = lambda i: f"<article><h1>T{i}</h1><p>{words(i, 40)}</p></article>"
+    want = lambda i: f"T{i}\n{words(i, 40)}"
+    rows = [(i, f"http://a/{i}", f"<body>{body(i)}<section id='comments'>{said(i, 1 + i % 20)}</section></body>") for i in range(n)]
+    rows += [(1000 + i, f"http://b/{i}", "<body>" + body(i) + "".join(f"<div class='{c}'>{words(50 + i, 3)}</div>" for c in COMPOUND) + "</body>") for i in range(n)]
+    rows += [(2000 + i, f"http://c/{i}", f"<body><div class=text><p>{words(i, 40)}</p></div><div class='comment-list'>{said(i, 9)}</div></body>") for i in range(n)]
+    rows += [(3000 + i, f"http://d/{i}", f"<body><div class='comment-wrapper'>{body(i)}</div></body>") for i in range(n)]
+    rows += [(4000 + i, f"http://e/{i}", f"<body>{body(i)}<article class=comment>{words(i, 90)}</article><aside class=related><article>{words(7, 60)}</article></aside></body>") for i in range(n)]
+    got = extracted(spark, rows)
+    for i in range(n):
+        assert [got[k + i] for k in (0, 1000, 3000, 4000)] == [want(i)] * 4 and got[2000 + i] == words(i, 40)
+
+
+def test_tokens_are_found_in_linear_time():
+    for part in ("<x ", '<x "', "<x '\"", '<x ">" ', "<script></script ", "<!-", "<a b='>", "</", "<p title='", "<!x "):
+        for tail in ("", ">", '">'):
+            began = time.process_time()
+            webpages.Page(part * 300_000 + tail).text(set())
+            assert time.process_time() - began < 8, (part, tail)
+    page = webpages.Page('<p title="a > b">one</p><p title="odd>two</p><p>three</p>').text(set())
+    assert page == "one\ntwo\nthree"
+    assert webpages.Page("a < b <c").text(set()) == "a < b <c" and webpages.Page("x<!-- y > z").text(set()) == "x"
