@@ -141,6 +141,28 @@ def recover_content(media: DataFrame, second: DataFrame) -> DataFrame:
     return both.withColumn("content_source", F.when(F.coalesce(found, F.lit(False)), "second").when(missing, "none").otherwise("first")).withColumn("content", F.when(F.coalesce(found, F.lit(False)), F.col("_second")).otherwise(F.col("content"))).drop("_second")
 
 
+def nested_bodies(second: DataFrame, levels: int = 8) -> DataFrame:
+    """source_id, page_idx, chunk_kind, kind_ordinal and content: the first string in a nested block that reads like a body of its kind.
+
+    second: the keys and block, a text of JSON. A table's body holds `<table` or `<td>`, a chart's has a line end and four
+    `|` at least, a figure's speaks of mermaid or is a `graph TD` or `graph LR`. Strings are looked at in the order of
+    arrays and of the names in objects, down to `levels`. Blocks without any have no row, nor do broken ones.
+    """
+    keys = ["source_id", "page_idx", "chunk_kind", "kind_ordinal"]
+    rows = second.select(*keys, F.try_parse_json("block").alias("_v"))
+    places = [f"_p{i}" for i in range(levels)]
+    for i in range(levels):
+        inner = second.sparkSession.tvf.variant_explode_outer(F.col("_v").outer())
+        rows = rows.lateralJoin(inner).select(*keys, *places[:i], F.col("pos").alias(places[i]), F.coalesce("value", "_v").alias("_v"))
+    text = F.when(F.schema_of_variant("_v") == "STRING", F.try_variant_get("_v", "$", "string"))
+    rows = rows.select(*keys, F.struct(*places).alias("_at"), text.alias("content")).where(F.trim("content") != "")
+    has = lambda x: F.contains(F.col("content"), F.lit(x))
+    table, chart = has("<table") | has("<td>"), (F.regexp_count("content", F.lit(r"\|")) >= 4) & has("\n")
+    figure = F.contains(F.lower("content"), F.lit("mermaid")) | has("graph TD") | has("graph LR")
+    fits = F.when(F.col("chunk_kind") == "table", table).when(F.col("chunk_kind") == "chart", chart).when(F.col("chunk_kind") == "figure", figure)
+    return rows.where(fits).groupBy(*keys).agg(F.min_by("content", "_at").alias("content"))
+
+
 def assign_heading(media: DataFrame, ranges: DataFrame) -> DataFrame:
     """Media with the section whose range [start, end] holds their position, by one pass over both; outside ones are orphans.
 

@@ -179,10 +179,51 @@ def match_titles(titles: DataFrame, toc: DataFrame, levels: int = 4) -> DataFram
     return match_entries(titles.withColumn("key", strict_key(F.col("text"))), toc, levels)
 
 
+def _grams(key: Column, size: int) -> Column:
+    """Runs of `size` characters of a string, numbered where one repeats, in an order that is the same everywhere."""
+    n = F.length(key) - size + 1
+    runs = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(key, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    numbered = F.transform(runs, lambda x, i: F.concat(x, F.size(F.filter(F.slice(runs, F.lit(1), i), lambda y: y == x)).cast("string")))
+    return F.transform(F.array_sort(F.transform(numbered, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), lambda s: s["x"])
+
+
+def alike_titles(titles: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of titles (source_id, title_key) and entries (source_id, toc_key) of a source whose ratio reaches a threshold over 2/3.
+
+    m characters in matching blocks of two strings of n together give a ratio of 2m / n. So both hold m = threshold * n / 2
+    characters in common at least, and, since between two blocks a character is left over, which makes at most n - 2m + 1
+    blocks, 3m - n - 1 pairs of neighbouring characters. Each string is joined by the first of its pairs in a common order
+    that one of so many must be among, titles too short for that by single characters; what meets is counted exactly before
+    its blocks are matched. No pair is missed.
+    """
+    shortest = threshold / (2 - threshold)
+    least = {1: lambda n: threshold * n / 2, 2: lambda n: (1.5 * threshold - 1) * n - 1}
+    enough = 1
+    while least[2](enough + -(-enough * shortest // 1)) <= 1e-9:
+        enough += 1
+    one = titles.select("source_id", "title_key").distinct().where("title_key <> ''")
+    two = entries.select("source_id", "toc_key").distinct().where("toc_key <> ''")
+
+    def prefixed(rows: DataFrame, key: str, name: str, size: int) -> DataFrame:
+        n = F.length(key)
+        common = F.greatest(F.lit(1), F.ceil(least[size](n + F.ceil(n * shortest - 1e-9)) - 1e-9).cast("int"))
+        return rows.withColumn(name, _grams(F.col(key), size)).withColumn("_p", F.explode(F.slice(name, F.lit(1), F.greatest(F.size(name) - common + 1, F.lit(0)))))
+
+    def met(rows: DataFrame, size: int) -> DataFrame:
+        both = prefixed(rows, "title_key", "_a", size).join(prefixed(two, "toc_key", "_b", size), ["source_id", "_p"])
+        a, b = F.length("title_key"), F.length("toc_key")
+        near = F.least(a, b) >= F.greatest(a, b) * shortest - 1e-9
+        return both.where(near & (F.size(F.array_intersect("_a", "_b")) >= least[size](a + b) - 1e-9)).select("source_id", "title_key", "toc_key")
+
+    pairs = met(one.where(F.length("title_key") >= enough), 2).unionByName(met(one.where(F.length("title_key") < enough), 1)).distinct()
+    return pairs.withColumn("ratio", ratio(F.col("title_key"), F.col("toc_key"))).where(F.col("ratio") >= threshold)
+
+
 def fuzzy_titles(titles: DataFrame, toc: DataFrame, pattern: str, threshold: float = 0.85) -> DataFrame:
-    """The best entry of each unmatched title that looks like a chapter, if it is alike enough."""
+    """The best entry of each unmatched title that looks like a chapter, if it is alike enough (a threshold over 2/3)."""
     loose = titles.where(F.col("match").isNull() & F.rlike("text", F.lit(pattern))).select("source_id", "pos", F.col("key").alias("title_key"))
-    pairs = loose.join(toc.select("source_id", F.col("key").alias("toc_key"), F.col("text").alias("toc_title"), "level"), "source_id").withColumn("ratio", ratio(F.col("title_key"), F.col("toc_key"))).where(F.col("ratio") >= threshold)
+    entries = toc.select("source_id", F.col("key").alias("toc_key"), F.col("text").alias("toc_title"), "level")
+    pairs = loose.join(alike_titles(loose, entries, threshold), ["source_id", "title_key"]).join(entries, ["source_id", "toc_key"])
     return pairs.groupBy("source_id", "pos").agg(F.max_by(F.struct("toc_title", "level", "ratio"), F.struct("ratio", "toc_title")).alias("match"))
 
 

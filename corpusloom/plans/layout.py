@@ -161,6 +161,22 @@ def contents_pages(t: Tables) -> DataFrame:
     return sc.contents_pages(rows, "^[EI]").select("source_id", F.col("page").cast("long").alias("page"))
 
 
+@query(f"""WITH {_LINES}, k AS (SELECT source_id, pos, text, ['table', 'chart', 'figure'][CAST(pos % 3 AS INTEGER) + 1] AS chunk_kind FROM lines),
+s AS (SELECT source_id, pos, chunk_kind, unnest([1, 2, 3, 4]) AS place, unnest([text, '  ', CASE WHEN pos % 5 = 0 THEN text || chr(10) || text WHEN chunk_kind = 'table' THEN '<table><tr><td>' || text || '</td></tr></table>' WHEN chunk_kind = 'chart' THEN '|a|b|' || chr(10) || '|' || text || '|1|' ELSE 'graph TD ' || text END, chunk_kind]) AS said FROM k),
+f AS (SELECT *, CASE chunk_kind WHEN 'table' THEN contains(said, '<table') OR contains(said, '<td>') WHEN 'chart' THEN length(said) - length(replace(said, '|', '')) >= 4 AND contains(said, chr(10)) ELSE contains(lower(said), 'mermaid') OR contains(said, 'graph TD') OR contains(said, 'graph LR') END AS fits FROM s WHERE trim(said) <> '')
+SELECT k.source_id, k.pos, k.chunk_kind, CASE WHEN b.said IS NULL THEN 'none' ELSE 'second' END AS content_source, sha256(b.said) AS content_hash FROM k LEFT JOIN (SELECT source_id, pos, arg_min(said, place) AS said FROM f WHERE fits GROUP BY 1, 2) b USING (source_id, pos)""")
+def nested_bodies(t: Tables) -> DataFrame:
+    """JN-01: missing bodies of tables, charts and figures from strings somewhere in the nested block of a second source."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("table", "chart", "figure")]), (F.col("pos") % 3 + 1).cast("int"))
+    rows = lines(t).select("source_id", F.col("pos").alias("page_idx"), kind.alias("chunk_kind"), F.lit(0).alias("kind_ordinal"), "text")
+    body = F.when(F.col("page_idx") % 5 == 0, F.concat_ws("\n", "text", "text")).when(F.col("chunk_kind") == "table", F.concat(F.lit("<table><tr><td>"), "text", F.lit("</td></tr></table>"))).when(F.col("chunk_kind") == "chart", F.concat(F.lit("|a|b|\n|"), "text", F.lit("|1|"))).otherwise(F.concat(F.lit("graph TD "), "text"))
+    span = F.struct(F.lit("  ").alias("blank"), body.alias("body"), F.array(F.lit(1.5), F.lit(2.0)).alias("box"))
+    block = F.to_json(F.struct(F.array("text").alias("caption"), F.array(F.struct(F.array(span).alias("spans"))).alias("lines"), F.col("chunk_kind").alias("type")))
+    second = bl.nested_bodies(rows.withColumn("block", block))
+    out = bl.recover_content(rows.drop("text").withColumn("content", F.lit(" ")), second)
+    return out.select("source_id", F.col("page_idx").cast("long").alias("pos"), "chunk_kind", "content_source", F.when(F.col("content_source") == "second", F.sha2("content", 256)).alias("content_hash"))
+
+
 _TITLED = """titled AS (SELECT source_id, pos, CASE WHEN pos % 4 = 1 THEN '第' || (pos // 4 + 1) || '章' WHEN pos % 4 = 2 THEN '第' || (pos // 4 + 1) || '节 ' || left(text, 8) ELSE left(text, 8) END AS text, text AS line FROM lines)"""
 
 

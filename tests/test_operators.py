@@ -448,3 +448,33 @@ def test_titles_against_a_stack_kept_line_by_line(spark):
         want.append(hit and hit[0])
     body = spark.createDataFrame([("a", i, t) for i, t in enumerate(lines)], "source_id string, pos int, text string")
     assert [r.match and r.match.toc_pos for r in sc.match_titles(body, toc).orderBy("pos").collect()] == want
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.85, 0.95])
+def test_alike_titles_are_those_of_all_pairs(spark, threshold):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(int(threshold * 100))
+    names = ["".join(rng.choices("ab糖c", k=rng.randint(0, 14))) for _ in range(120)]
+    edited = []
+    for x in names:
+        x = list(x)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(x))
+            x[at : at + rng.randint(0, 1)] = rng.choices("ab糖c", k=rng.randint(0, 2))
+        edited.append("".join(x))
+    one = spark.createDataFrame([("s", x) for x in edited] + [("s", None), ("t", names[0])], "source_id string, title_key string")
+    two = spark.createDataFrame([("s", x) for x in names] + [("s", None)], "source_id string, toc_key string")
+    got = {(r.title_key, r.toc_key) for r in sc.alike_titles(one, two, threshold).collect()}
+    want = {(a, b) for a in set(edited) for b in set(names) if a and b and SequenceMatcher(None, a, b).ratio() >= threshold}
+    assert got == want and len(want) > 20
+
+
+def test_nested_bodies(spark):
+    import json
+
+    nested = {"a": [{"x": 1, "y": ["no", {"z": {"q": "<td>deep"}}]}], "b": "<table>later"}
+    rows = [("s", 0, "table", 0, json.dumps(nested)), ("s", 0, "chart", 0, json.dumps(["|a|b|", "|a|b|\n|1|2|", "x"])), ("s", 1, "figure", 0, json.dumps({"t": " Mermaid\ngraph"})), ("s", 2, "figure", 0, "broken {"), ("s", 3, "figure", 0, None), ("s", 4, "table", 0, json.dumps({"t": [None, 1, True, " "]}))]
+    df = spark.createDataFrame(rows, "source_id string, page_idx int, chunk_kind string, kind_ordinal int, block string")
+    assert {(r.page_idx, r.chunk_kind): r.content for r in bl.nested_bodies(df).collect()} == {(0, "table"): "<td>deep", (0, "chart"): "|a|b|\n|1|2|", (1, "figure"): " Mermaid\ngraph"}
+    assert {(r.page_idx, r.chunk_kind) for r in bl.nested_bodies(df, levels=3).collect()} == {(0, "table"), (0, "chart"), (1, "figure")}
