@@ -318,12 +318,37 @@ def test_logs_and_ingest(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert sorted((r.id, r.v) for r in sr.read_ingested(spark, str(dst)).collect()) == [(1, "two"), (2, "one"), (3, "two")]
-    # a batch that isn't published yet isn't seen, and buckets that weren't touched weren't written again
-    spark.createDataFrame([(9, t, "x", 0)], f"{schema}, bucket int").write.partitionBy("bucket").parquet(str(dst / "data" / "version=7"))
+    # what isn't published yet isn't seen
+    spark.createDataFrame([(9, t, "x", 7, 0)], f"{schema}, place int, bucket int").write.partitionBy("place", "bucket").mode("append").parquet(str(dst / "data"))
     assert sorted(r.id for r in sr.read_ingested(spark, str(dst)).collect()) == [1, 2, 3]
     assert sr.read_ingested(spark, str(tmp_path / "nothing")) is None
-    second = spark.read.parquet(str(dst / "data" / "version=1")).collect()
-    assert {r.id for r in second} == {1, 3}
+
+
+def test_a_lost_checkpoint_loses_no_rows_and_folders_stay_few(spark, tmp_path, monkeypatch):
+    t = dt.datetime(2024, 1, 1)
+    src, dst = tmp_path / "src", tmp_path / "dst"
+    schema = "id int, ts timestamp, v string"
+
+    def run(rows, check):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(str(src))
+        q = sr.ingest_stream(spark.readStream.schema(schema).parquet(str(src)), str(dst), "id", str(tmp_path / check)).start()
+        q.processAllAvailable()
+        q.stop()
+
+    run([(1, t, "a"), (2, t, "a")], "one")
+    run([(1, t, "b")], "two")
+    run([(1, t + dt.timedelta(days=1), "z")], "three")  # a new checkpoint each: batch numbers begin at 0 again
+    assert sorted((r.id, r.v) for r in sr.read_ingested(spark, str(dst)).collect()) == [(1, "z"), (2, "a")]
+    monkeypatch.setattr(sr, "PLACES", 3)
+    held = sr.read_ingested(spark, str(dst))
+    for i in range(10):
+        sr.publish(spark.createDataFrame([(1, t, f"v{i}")], schema), str(dst), "id")
+        if i == 0:
+            assert sorted((r.id, r.v) for r in held.collect()) == [(1, "z"), (2, "a")]  # a reader goes on with its snapshot
+    assert sorted((r.id, r.v) for r in sr.read_ingested(spark, str(dst)).collect()) == [(1, "v9"), (2, "a")]
+    assert len(list((dst / "data").glob("place=*/bucket=*"))) <= 3 * 2 + 2 and len(list((dst / "log").glob("at=*"))) <= 4
+    sr.publish(spark.createDataFrame([], schema), str(dst), "id")
+    assert sorted((r.id, r.v) for r in sr.read_ingested(spark, str(dst)).collect()) == [(1, "v9"), (2, "a")]
 
 
 def test_models(spark):
