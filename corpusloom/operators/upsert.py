@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .buckets import BUCKETS, change
+
 
 def latest(updates: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key: the last by order."""
@@ -40,6 +42,20 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], now: Column,
     return both.select(*[F.col(c) if c in keys else out[c].alias(c) for c in target.columns])
 
 
+def upsert_table(table: str, updates: DataFrame, keys: list[str], now: Column, order: list[Column] | None = None, buckets: int = BUCKETS) -> None:
+    """upsert into a table that is kept in buckets of its keys (buckets.read_table): only those with updates are read and written.
+
+    The first updates make the table, with their columns besides created_at and updated_at.
+    """
+
+    def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        if old is None:
+            old = new.limit(0).drop("created_at", "updated_at").select("*", now.alias("created_at"), now.alias("updated_at"))
+        return upsert(old, new, keys, now, order)
+
+    change(table, updates, keys, merge, buckets)
+
+
 def orphans(chunks: DataFrame) -> DataFrame:
     """Chunks whose parent isn't there."""
     parents = chunks.select(F.col("chunk_id").alias("parent_chunk_id"))

@@ -6,11 +6,12 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.buckets import change, read_table
+from ..operators.upsert import latest
 from .stateful import decided
 
 
@@ -142,12 +143,6 @@ def fold_dialogue(turns: DataFrame) -> DataFrame:
     return turns.groupBy("session_id", "term").agg(first.alias("_f")).select("session_id", "term", F.col("_f.status").alias("status"), F.col("_f.round").alias("since_round"))
 
 
-#: Buckets of keys in which an ingested table is kept: a micro-batch writes those anew that it touches. Places in turn for
-#: a bucket's versions and for entries of the log: a reader may go on with a snapshot while a bucket is written so many
-#: times less one.
-BUCKETS, PLACES = 64, 8
-
-
 def ingest_stream(stream: DataFrame, table: str, key: str, checkpoint: str, encode=None):
     """Starts a stream that keeps a table of the latest row for each key: keyed, hence safe to replay.
 
@@ -162,53 +157,17 @@ def ingest_stream(stream: DataFrame, table: str, key: str, checkpoint: str, enco
 
 
 def publish(rows: DataFrame, table: str, key: str) -> None:
-    """Puts rows (key, ts, ...) into an ingested table: the latest of each key, new ones before old ones.
+    """Puts rows (key, ts, ...) into an ingested table: the latest of each key, new ones before old ones."""
 
-    The buckets that the rows touch are written anew in their next place, beside the one that readers use, over a version
-    that no snapshot of late names. Then an entry of the log names the live place of every bucket under the table's next
-    version, so that readers (read_ingested) see the rows whole or not at all.
-    """
-    from ..operators.upsert import latest
-
-    spark = rows.sparkSession
-    rows = rows.withColumn("bucket", F.pmod(F.hash(key), F.lit(BUCKETS))).persist()
-    touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # BUCKETS at most
-    version, live = _snapshot(spark, table)
-    old = _read(spark, table, {b: live[b] for b in touched if b in live})
-    every = rows.withColumn("_new", F.lit(1))
-    if old is not None:
-        every = old.withColumn("_new", F.lit(0)).unionByName(every, allowMissingColumns=True)
-    live |= {b: (live.get(b, -1) + 1) % PLACES for b in touched}
-    if touched:
-        place = F.create_map(*[F.lit(x) for b in touched for x in (b, live[b])])[F.col("bucket")]
-        new = latest(every, [key], [F.col("_new"), F.col("ts")]).drop("_new").withColumn("place", place)
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("place", "bucket").parquet(f"{table}/data")
-        entry = spark.createDataFrame([(version + 1, b, p) for b, p in live.items()], "version long, bucket int, place int")
-        entry.coalesce(1).write.mode("overwrite").parquet(f"{table}/log/at={(version + 1) % PLACES}")
-    rows.unpersist()
-
-
-def _snapshot(spark, table: str) -> tuple[int, dict[int, int]]:
-    """The newest version in the log and the live place of each bucket; -1 and none before the first."""
-    try:
-        entries = spark.read.schema("version long, bucket int, place int").parquet(f"{table}/log").collect()  # PLACES times BUCKETS at most
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return -1, {}
-        raise
-    version = max((e.version for e in entries), default=-1)
-    return version, {e.bucket: e.place for e in entries if e.version == version}
-
-
-def _read(spark, table: str, live: dict[int, int]) -> DataFrame | None:
-    """The rows of some buckets at their places; no other folders are listed."""
-    if not live:
-        return None
-    folders = [f"{table}/data/place={p}/bucket={b}" for b, p in live.items()]
-    return spark.read.option("basePath", f"{table}/data").option("mergeSchema", "true").parquet(*folders).drop("place")
+    def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        every = new.withColumn("_new", F.lit(1))
+        if old is not None:
+            every = old.withColumn("_new", F.lit(0)).unionByName(every, allowMissingColumns=True)
+        return latest(every, [key], [F.col("_new"), F.col("ts")]).drop("_new")
+
+    change(table, rows, [key], merge)
 
 
 def read_ingested(spark, table: str) -> DataFrame | None:
     """The published rows of an ingested table; None before its first batch."""
-    rows = _read(spark, table, _snapshot(spark, table)[1])
-    return None if rows is None else rows.drop("bucket")
+    return read_table(spark, table)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import ids, models
 from corpusloom.functions import text as tx
 from corpusloom.operators import blocks as bl
+from corpusloom.operators import buckets as bk
 from corpusloom.operators import evaluation as ev
 from corpusloom.operators import profiles as pf
 from corpusloom.operators import retrieval as rt
@@ -339,7 +340,7 @@ def test_a_lost_checkpoint_loses_no_rows_and_folders_stay_few(spark, tmp_path, m
     run([(1, t, "b")], "two")
     run([(1, t + dt.timedelta(days=1), "z")], "three")  # a new checkpoint each: batch numbers begin at 0 again
     assert sorted((r.id, r.v) for r in sr.read_ingested(spark, str(dst)).collect()) == [(1, "z"), (2, "a")]
-    monkeypatch.setattr(sr, "PLACES", 3)
+    monkeypatch.setattr(bk, "PLACES", 3)
     held = sr.read_ingested(spark, str(dst))
     for i in range(10):
         sr.publish(spark.createDataFrame([(1, t, f"v{i}")], schema), str(dst), "id")
@@ -503,3 +504,18 @@ def test_nested_bodies(spark):
     df = spark.createDataFrame(rows, "source_id string, page_idx int, chunk_kind string, kind_ordinal int, block string")
     assert {(r.page_idx, r.chunk_kind): r.content for r in bl.nested_bodies(df).collect()} == {(0, "table"): "<td>deep", (0, "chart"): "|a|b|\n|1|2|", (1, "figure"): " Mermaid\ngraph"}
     assert {(r.page_idx, r.chunk_kind) for r in bl.nested_bodies(df, levels=3).collect()} == {(0, "table"), (0, "chart"), (1, "figure")}
+
+
+def test_upserts_write_only_the_buckets_they_touch(spark, tmp_path):
+    table, cols = str(tmp_path / "store"), "id int, v string"
+    up.upsert_table(table, spark.createDataFrame([(i, "a") for i in range(500)], cols), ["id"], F.lit("t0"), buckets=100)
+    before = bk.snapshot(spark, table)
+    changes = spark.createDataFrame([(3, "b"), (700, "n"), (4, "a"), (3, "c")], cols)
+    up.upsert_table(table, changes, ["id"], F.lit("t1"), [F.col("v")])
+    after = bk.snapshot(spark, table)
+    moved = {b for b in after.live if after.live[b] != before.live.get(b)}
+    assert len(moved) <= 3 and after.buckets == 100 and after.version == 1
+    got = {r.id: tuple(r)[1:] for r in bk.read_table(spark, table).select("id", "v", "created_at", "updated_at").collect()}
+    assert len(got) == 501 and got[3] == ("c", "t0", "t1") and got[700] == ("n", "t1", "t1") and got[4] == got[5] == ("a", "t0", "t0")
+    up.upsert_table(table, changes, ["id"], F.lit("t2"), [F.col("v")])
+    assert {r.id: tuple(r)[1:] for r in bk.read_table(spark, table).select("id", "v", "created_at", "updated_at").collect()} == got
