@@ -2,7 +2,7 @@
 
 
 def _load() -> None:
-    from . import answers, content, layout, operations, retrieval, selection  # noqa: F401
+    from . import answers, content, files, layout, operations, retrieval, selection  # noqa: F401
 
 
 def queries() -> dict:

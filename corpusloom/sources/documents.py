@@ -22,7 +22,11 @@ def load_parsed_documents(spark: SparkSession, root: str) -> tuple[DataFrame, Da
         part = F.when(F.endswith(F.col("path"), F.lit(suffix)), name).otherwise(part)
     rows = files.withColumn("part", part).where("part is not null").withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
     pick = [F.max(F.when(F.col("part") == name, F.col("body"))).alias(name) for name in PARTS]
-    whole = rows.groupBy("folder").agg(*pick)
+    return with_pages(rows.groupBy("folder").agg(*pick))
+
+
+def with_pages(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with all parts, and pages read from the content list; the folders that lack parts, and which."""
     missing = F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in PARTS]))
     whole = whole.withColumn("missing", missing)
     good = whole.where(F.size("missing") == 0).drop("missing").withColumn("pages", F.from_json("content_list", f"array<array<{BLOCK}>>"))
