@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .hashing import mix
 from .suffixes import BLOB, _batch, _dealt, _spread, _unblob
-from .work import BUCKETS, by_bucket, dealt, forgotten_after_task, partitions, tidy, written
+from .work import by_bucket, dealt, forgotten_after_task, tasks, tidy, written
 
 BANDS, ROWS = 30, 5
 #: Fewer equal bytes of the 150 than this put a pair over six standard deviations under a similarity of 0.8.
@@ -364,13 +364,13 @@ def _partners(named: DataFrame, reps: DataFrame, docs: DataFrame, words: int, pe
     size, and the classes leave little beyond the links themselves: in a family of edited copies the edits of two
     members miss frequent shingles of different classes.
     """
-    buckets = BUCKETS * partitions(docs.sparkSession)
+    buckets = tasks(docs)
     members = written(named.select("doc_id", "component").distinct())
     small = members.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(members) if small else members, "doc_id").select("doc_id", "text", "component")
     owned = written(texts.mapInArrow(tidy(_owned(words, buckets)), BLOB))
-    rare = dealt(owned.where(F.col("kind") == _SHINGLES)).mapInArrow(tidy(_rare(buckets)), BLOB)
-    counted = written(dealt(rare.unionByName(owned.where(F.col("kind") == _COUNTS))).mapInArrow(tidy(_summed), _SUMMED))
+    rare = dealt(owned.where(F.col("kind") == _SHINGLES), buckets).mapInArrow(tidy(_rare(buckets)), BLOB)
+    counted = written(dealt(rare.unionByName(owned.where(F.col("kind") == _COUNTS)), buckets).mapInArrow(tidy(_summed), _SUMMED))
     frequent = counted.where("b is null").select(F.col("a").alias("doc_id"), F.col("n").alias("v"), "classes")
     share = percent / (100.0 + percent)
     sizes = members.join(reps.select("doc_id", F.col("n_shingles").alias("size")).distinct(), "doc_id").join(frequent, "doc_id", "left")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import mix, prefix_sums, span_hashes
-from .work import BUCKETS, by_bucket, dealt, partitions, tidy, written
+from .work import by_bucket, dealt, tasks, tidy, written
 
 ANCHOR = 20
 #: Longer texts are cut into pieces of so many window starts.
@@ -463,9 +463,9 @@ def _packed(buckets: int):
 _MOVED = "bucket int, kind int, doc_id long, data binary"
 
 
-def _together(texts: DataFrame, blobs: DataFrame) -> DataFrame:
+def _together(texts: DataFrame, blobs: DataFrame, buckets: int) -> DataFrame:
     """Texts and what concerns them, bucket of documents by bucket, packed rows first."""
-    return dealt(blobs.select("bucket", "kind", F.lit(None).cast("long").alias("doc_id"), "data").unionByName(texts), "kind")
+    return dealt(blobs.select("bucket", "kind", F.lit(None).cast("long").alias("doc_id"), "data").unionByName(texts), buckets, "kind")
 
 
 def repeated_spans(docs: DataFrame, least: int = 100, digest: bool = False) -> DataFrame:
@@ -478,19 +478,18 @@ def repeated_spans(docs: DataFrame, least: int = 100, digest: bool = False) -> D
     takes no part and is kept whole. doc_id must be unique: rows that share one are judged as if each had all of
     its windows removed that the other holds. `least` must be at least 28 and at most 255 more than the anchor.
     """
-    spark = docs.sparkSession
     if not 28 <= least < 255 + ANCHOR:
         raise ValueError("least must be from 28 to 274")
-    buckets = BUCKETS * partitions(spark)
+    buckets = tasks(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     occurring = docs.where("doc_id is not null").mapInArrow(tidy(_occurrences(least, buckets)), BLOB)
-    found = written(dealt(occurring).mapInArrow(tidy(_compared(buckets)), BLOB))
+    found = written(dealt(occurring, buckets).mapInArrow(tidy(_compared(buckets)), BLOB))
     texts = docs.mapInArrow(tidy(_packed(buckets)), _MOVED)
-    wanted = _together(texts.where("doc_id is not null"), found.where(F.col("kind").isin(ASKED, CROWD)))
+    wanted = _together(texts.where("doc_id is not null"), found.where(F.col("kind").isin(ASKED, CROWD)), buckets)
     segments = wanted.mapInArrow(tidy(_cut_out(least, buckets)), BLOB)
-    more = dealt(segments).mapInArrow(tidy(_expanded(least, buckets)), BLOB)
+    more = dealt(segments, buckets).mapInArrow(tidy(_expanded(least, buckets)), BLOB)
     runs = found.where(F.col("kind") == REMOVED).unionByName(more)
-    return _together(texts, runs).mapInArrow(tidy(_removed(least, digest)), RESULT)
+    return _together(texts, runs, buckets).mapInArrow(tidy(_removed(least, digest)), RESULT)
 
 
 def without_repeats(docs: DataFrame, least: int = 100) -> DataFrame:

@@ -48,14 +48,18 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Buckets of packed rows for each task, which holds one of them in memory at a time. Packed rows grow with tasks times
-#: buckets: more than one pays only where a task's share is too large for its memory.
-BUCKETS = 1
+#: Bytes of text for each task of a deal, which holds what comes of its share in memory: some times as much.
+SHARE = 32 << 20
 
 
-def dealt(df: DataFrame, *order: str) -> DataFrame:
-    """df with the rows of each bucket (of BUCKETS for each task) one after another in one task, sorted by `order`."""
-    n = partitions(df.sparkSession)
+def tasks(docs: DataFrame, text: str = "text") -> int:
+    """Tasks of a deal of texts: the session's shuffle width, and more where a task's share would be larger than SHARE."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).first()[0]
+    return max(partitions(docs.sparkSession), -(-(size or 0) // SHARE))
+
+
+def dealt(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """df with the rows of each of n buckets one after another in a task of its own, sorted by `order`."""
     return df.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket", *order)
 
 

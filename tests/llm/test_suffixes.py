@@ -119,3 +119,14 @@ def test_without_repeats_keeps_columns(spark):
 
 def test_empty_table(spark):
     assert suffixes.repeated_spans(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_deal_has_as_many_tasks_as_its_bytes_need(spark, monkeypatch):
+    from corpusloom.llm import work
+
+    docs = spark.createDataFrame([(i, "é" * 500) for i in range(90)] + [(90, None)], "doc_id long, text string")
+    assert work.tasks(docs) == work.partitions(spark)
+    monkeypatch.setattr(work, "SHARE", 1000)
+    assert work.tasks(docs) == 90 and work.tasks(docs.limit(0)) == work.partitions(spark)
+    some = suffixes.repeated_spans(docs.limit(5)).select("doc_id", "n_bytes", "starts", "ends")
+    assert sorted((r.doc_id, r.starts, r.ends) for r in some.collect())[1:] == [(i, [0], [1000]) for i in range(1, 5)]
