@@ -154,6 +154,22 @@ def ordered_terms(linked: DataFrame, *keys: str) -> DataFrame:
     return linked.orderBy(*keys, F.col("linked").desc(), "text")
 
 
+def placed_terms(terms: DataFrame, prefix: int = 2) -> DataFrame:
+    """Every term (linked, text; text tells them apart) with its place in that order, from 1.
+
+    Terms that begin alike are numbered among themselves, after as many as all beginnings before theirs have; so no task
+    sees more than the terms of one beginning.
+    """
+    begin = F.substring("text", 1, prefix)
+    rows = terms.withColumn("_begin", begin)
+    own = F.row_number().over(W.partitionBy("linked", "_begin").orderBy("text"))
+    sizes = rows.groupBy("linked", "_begin").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy(F.desc("linked"), "_begin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col("linked").alias("_l"), F.col("_begin").alias("_b"), before.alias("_before"))
+    both = rows.withColumn("_own", own).join(offsets, F.col("linked").eqNullSafe(F.col("_l")) & F.col("_begin").eqNullSafe(F.col("_b")))
+    return both.withColumn("place", F.col("_before") + F.col("_own")).drop("_begin", "_own", "_l", "_b", "_before")
+
+
 def consume_evidence(items: DataFrame, findings: DataFrame) -> DataFrame:
     """Items as confirmed, denied or remaining by the findings (session_id, finding, positive); positive wins."""
     f = findings.groupBy("session_id", "finding").agg(F.max("positive").alias("positive"))

@@ -182,12 +182,11 @@ def link_tiers(t: Tables) -> DataFrame:
     return tm.link_stats(tm.link_entities(mentions, vocabulary, 0.3))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size > 25 THEN 1 ELSE 0 END = 1 AS linked, row_number() OVER (ORDER BY CASE WHEN p_size > 25 THEN 0 ELSE 1 END, p_name, p_partkey) AS place FROM (SELECT p_partkey, p_size, p_name || ' ' || p_partkey AS p_name FROM part) ORDER BY 3 LIMIT 100""")
+@query("""SELECT p_partkey, CASE WHEN p_size > 25 THEN 1 ELSE 0 END = 1 AS linked, row_number() OVER (ORDER BY CASE WHEN p_size > 25 THEN 0 ELSE 1 END, p_name, p_partkey) AS place FROM (SELECT p_partkey, p_size, p_name || ' ' || p_partkey AS p_name FROM part)""")
 def ordered_terms(t: Tables) -> DataFrame:
-    """RNK-09: the first hundred terms, linked ones first, then by text."""
+    """RNK-09: all terms with their places, linked ones first, then by text."""
     rows = t.part.select("p_partkey", (F.col("p_size") > 25).alias("linked"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("text"))
-    first = tm.ordered_terms(rows).limit(100)
-    return first.select("p_partkey", "linked", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.col("linked").desc(), "text")).cast("long").alias("place"))
+    return tm.placed_terms(rows).select("p_partkey", "linked", F.col("place").cast("long").alias("place"))
 
 
 @query(f"""WITH m AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 2 = 0), x AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 2 = 1)
