@@ -277,6 +277,7 @@ def stored_index(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str
     """The index of a table of files: the one in folder, if the files are still those that it was built from, else a new one."""
     m = F.col("_metadata")
     files = docs.select(F.struct(m["file_path"], m["file_size"], m["file_modification_time"]).alias("f")).distinct()
-    name = files.agg(F.sha2(F.to_json(F.sort_array(F.collect_list("f"))), 256)).first()[0]  # a row for each file
+    own = F.lit(f"1 {doc_id} {text} {[*keep]} {[*near]}")  # the layout, and what the index holds
+    name = files.agg(F.sha2(F.concat(own, F.to_json(F.sort_array(F.collect_list("f")))), 256)).first()[0]  # a row for each file
     path = f"{folder}/bm25-{name[:32]}"
     return open_index(docs.sparkSession, path) or build_index(docs, path, doc_id, text, keep, near)
