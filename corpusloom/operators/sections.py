@@ -352,36 +352,31 @@ def merge_tiny(parents: DataFrame, least: int = 500) -> DataFrame:
     return parents.groupBy("source_id").applyInPandas(lambda x: _merge_tiny(x, least), schema)
 
 
-def _children(rows: pd.DataFrame, sizes: Sizes) -> pd.DataFrame:
-    """The child of each block of one source's parents."""
-    rows = rows.sort_values(["parent", "pos"])
-    whole = rows.groupby("parent")["len"].transform("sum").tolist()
-    out, first, last, child, size = [], 0, object(), 0, 0
-
-    def close() -> None:
-        if child and size < sizes.tail:
-            out[first:] = [min(c, child - 1) for c in out[first:]]
-
-    for parent, n, total in zip(rows["parent"].tolist(), rows["len"].tolist(), whole):
-        if parent != last:
-            close()
-            first, last, child, size = len(out), parent, 0, 0
-        if total > sizes.whole and size >= max(1, sizes.least) and abs(size + n - sizes.target) > abs(size - sizes.target):
-            child, size = child + 1, 0
-        out.append(child)
-        size += n
-    close()
-    return rows.assign(child=out)
-
-
 def split_children(blocks: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """Blocks of each parent (source_id, parent, pos, len) with the number of their child; blocks are never split.
 
     A parent up to the whole size is one child. Else a child grows while that brings it nearer to the target, and
-    always while it is under the least size; a short last one joins the one before.
+    always while it is under the least size; a short last one joins the one before. A parent's blocks meet in one row.
     """
-    schema = blocks.withColumn("child", F.lit(0).cast("long")).schema
-    return blocks.groupBy("source_id").applyInPandas(lambda x: _children(x, sizes), schema)
+    others = [c for c in blocks.columns if c not in ("source_id", "parent", "pos", "len")]
+    rows = blocks.groupBy("source_id", "parent").agg(F.array_sort(F.collect_list(F.struct("pos", "len", *others))).alias("r"), F.sum("len").alias("total"))
+    n = F.size("r")
+
+    def grown(s: Column, x: Column) -> Column:
+        """The state after a block: where children begin, the size of the last one, and the number of blocks."""
+        size = x["len"].cast("long")
+        cut = (s["size"] >= max(1, sizes.least)) & (F.abs(s["size"] + size - sizes.target) > F.abs(s["size"] - sizes.target))
+        return F.struct(F.when(cut, F.concat(s["cuts"], F.array(s["i"]))).otherwise(s["cuts"]).alias("cuts"), F.when(cut, size).otherwise(s["size"] + size).alias("size"), (s["i"] + 1).alias("i"))
+
+    one = F.array(F.lit(0))
+    start = F.struct(one.alias("cuts"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("i"))
+    shorter = lambda s: F.when((F.size(s["cuts"]) > 1) & (s["size"] < sizes.tail), F.slice(s["cuts"], 1, F.size(s["cuts"]) - 1)).otherwise(s["cuts"])
+    cuts = F.when(F.col("total") > sizes.whole, F.aggregate("r", start, grown, shorter)).otherwise(one)
+    rows = rows.withColumn("cuts", cuts)
+    own = lambda c, j: F.slice("r", c + 1, F.coalesce(F.get("cuts", j + 1), n) - c)
+    children = rows.select("source_id", "parent", F.posexplode(F.transform("cuts", own)).alias("child", "own"))
+    found = children.select("source_id", "parent", F.col("child").cast("long").alias("child"), F.explode("own").alias("x"))
+    return found.select(*(F.col(f"x.{c}").alias(c) if c not in ("source_id", "parent") else F.col(c) for c in blocks.columns), "child")
 
 
 def assemble_text(blocks: DataFrame, keys: list[str]) -> DataFrame:
