@@ -125,7 +125,26 @@ def fuzzy_titles(t: Tables) -> DataFrame:
     return sc.fuzzy_titles(titles, toc, ".").select("source_id", "pos", F.col("match.toc_title").alias("toc_title"), F.round("match.ratio", 6).alias("ratio"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LINES}, placed AS (SELECT * FROM (SELECT source_id, pos, text, len, last_value(CASE WHEN pos % 20 = 0 THEN pos END IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM lines) WHERE section IS NOT NULL),
+secs AS (SELECT source_id, section, sum(len) AS len, (section // 20) % 3 + 1 AS level FROM placed GROUP BY 1, 2),
+shorts AS (SELECT *, len < 500 AND level IN (1, 2) AND level < max(level) OVER (PARTITION BY source_id) AND lead(section) OVER (PARTITION BY source_id ORDER BY section) IS NOT NULL AS short FROM secs),
+taken AS (SELECT *, min(CASE WHEN NOT short THEN section END) OVER (PARTITION BY source_id ORDER BY section ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS owner FROM shorts),
+owned AS (SELECT p.source_id, p.pos, p.text, p.len, t.owner, t.level FROM placed p JOIN taken t USING (source_id, section)),
+cut AS (SELECT *, CASE WHEN sum(len) OVER (PARTITION BY source_id, owner) > 2000 AND length(trim(text)) >= 4 AND regexp_matches(trim(text), '^[A-ZÀ-Ý]') AND NOT regexp_matches(trim(text), '^[0-9]+$') THEN 1 ELSE 0 END AS c FROM owned),
+parts AS MATERIALIZED (SELECT *, sum(c) OVER (PARTITION BY source_id, owner ORDER BY pos) AS part FROM cut),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY source_id) AS m FROM (SELECT source_id, owner, part, min(pos) AS pos, sum(len)::BIGINT AS len, min(level) AS level FROM parts GROUP BY 1, 2, 3)),
+r AS (SELECT DISTINCT source_id, 0::BIGINT AS i, NULL::BIGINT AS w, 0::BIGINT AS wsum, NULL::BIGINT AS wmin, NULL::BIGINT AS wl, NULL::BIGINT AS g, NULL::BIGINT AS gl, NULL::BIGINT AS own, NULL::BIGINT AS fb, NULL::BIGINT AS fg FROM n UNION ALL
+  SELECT source_id, i, CASE WHEN s1 >= 500 THEN NULL ELSE w1 END, s1, m1, l1, CASE WHEN s1 >= 500 THEN w1 ELSE g1 END, CASE WHEN s1 >= 500 THEN l1 ELSE gl1 END, w1, fb1, fg1 FROM (
+    SELECT *, CASE WHEN fresh THEN pos ELSE w END AS w1, CASE WHEN fresh THEN len ELSE wsum + len END AS s1, CASE WHEN fresh THEN level ELSE least(wmin, level) END AS m1, CASE WHEN fresh THEN level ELSE wl END AS l1,
+      CASE WHEN brk AND NOT joins THEN w ELSE g END AS g1, CASE WHEN brk AND NOT joins THEN wl ELSE gl END AS gl1, CASE WHEN brk THEN w END AS fb1, CASE WHEN brk THEN CASE WHEN joins THEN g ELSE w END END AS fg1
+    FROM (SELECT n.source_id, n.i, n.pos, n.len, n.level, r.w, r.wsum, r.wmin, r.wl, r.g, r.gl, r.w IS NOT NULL AND n.level > r.wmin AS brk, r.w IS NULL OR n.level > r.wmin AS fresh, r.g IS NOT NULL AND r.gl <= r.wmin AS joins FROM r JOIN n ON n.source_id = r.source_id AND n.i = r.i + 1))),
+f AS (SELECT source_id, fb AS b, fg AS g FROM r WHERE fb IS NOT NULL UNION ALL SELECT r.source_id, r.w, CASE WHEN r.g IS NOT NULL AND r.gl <= r.wmin THEN r.g ELSE r.w END FROM r JOIN n ON n.source_id = r.source_id AND n.i = r.i WHERE r.i = m AND r.w IS NOT NULL),
+parent AS (SELECT n.source_id, n.owner, n.part, coalesce(f.g, r.own) AS parent FROM n JOIN r ON r.source_id = n.source_id AND r.i = n.i LEFT JOIN f ON f.source_id = n.source_id AND f.b = r.own),
+b AS MATERIALIZED (SELECT source_id, parent, pos, len, row_number() OVER w AS i, sum(len) OVER (PARTITION BY source_id, parent) AS total, count(*) OVER (PARTITION BY source_id, parent) AS m FROM parts JOIN parent USING (source_id, owner, part) WINDOW w AS (PARTITION BY source_id, parent ORDER BY pos)),
+k AS (SELECT source_id, parent, i, len::BIGINT AS size, 0::BIGINT AS child FROM b WHERE i = 1 UNION ALL
+  SELECT b.source_id, b.parent, b.i, CASE WHEN b.total > 1200 AND size >= 200 AND abs(size + b.len - 600) > abs(size - 600) THEN b.len ELSE size + b.len END, CASE WHEN b.total > 1200 AND size >= 200 AND abs(size + b.len - 600) > abs(size - 600) THEN child + 1 ELSE child END FROM k JOIN b ON b.source_id = k.source_id AND b.parent = k.parent AND b.i = k.i + 1),
+e AS (SELECT source_id, parent, child + 1 - CASE WHEN child > 0 AND size < 300 THEN 1 ELSE 0 END AS children, total FROM k JOIN b USING (source_id, parent, i) WHERE i = m)
+SELECT source_id, count(*) AS parents, sum(total)::BIGINT AS parent_len, sum(children)::BIGINT AS children, sum(total)::BIGINT AS child_len FROM e GROUP BY 1""")
 def whole_chunking(t: Tables) -> DataFrame:
     """CHK-03..07, WIN-09: from lines to parents; a section starts every twentieth line."""
     starts = lines(t).where(F.col("pos") % 20 == 0).select("source_id", "pos", F.format_string("s%d", "pos").alias("section"), (F.col("pos") / 20 % 3 + 1).cast("int").alias("level"))
