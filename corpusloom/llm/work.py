@@ -49,7 +49,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 #: Bytes of text for each task of a deal, which holds what comes of its share in memory: some times as much.
-SHARE = 32 << 20
+SHARE = 8 << 20
 
 
 def tasks(docs: DataFrame, text: str = "text") -> int:
