@@ -27,3 +27,13 @@ def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to be small."""
     return F.broadcast(df) if is_small(df, rows) else df
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by its keys over the session's shuffle width, however few bytes it has: rows that shrink well may be many, or dear to work on."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def merge_joined(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by sorting. Spark weighs a side by its shuffled bytes, and repeated strings that take few there may not fit when broadcast."""
+    return dealt(a, *on).hint("merge").join(dealt(b, *on), on, how)
