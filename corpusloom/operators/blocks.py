@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import html_rows, norm_strong
+from .tables import merge_joined
 
 TEXT_TYPES = ("title", "paragraph", "list", "table", "chart", "equation_interline")
 
@@ -135,7 +136,7 @@ def with_ordinal(blocks: DataFrame, kind: str = "chunk_kind") -> DataFrame:
 def recover_content(media: DataFrame, second: DataFrame) -> DataFrame:
     """Missing bodies from a second source by page, kind and ordinal. second: source_id, page_idx, chunk_kind, kind_ordinal, content."""
     keys = ["source_id", "page_idx", "chunk_kind", "kind_ordinal"]
-    both = media.join(second.select(*keys, F.col("content").alias("_second")), keys, "left")
+    both = merge_joined(media, second.select(*keys, F.col("content").alias("_second")), keys, "left")
     missing = F.coalesce(F.trim("content"), F.lit("")) == ""
     found = missing & (F.trim("_second") != "")
     return both.withColumn("content_source", F.when(F.coalesce(found, F.lit(False)), "second").when(missing, "none").otherwise("first")).withColumn("content", F.when(F.coalesce(found, F.lit(False)), F.col("_second")).otherwise(F.col("content"))).drop("_second")
