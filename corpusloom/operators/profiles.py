@@ -55,6 +55,38 @@ def changes_near(feedback: DataFrame, changes: DataFrame, days: int) -> DataFram
     return f.join(c, "_day").where(near).drop("_day")
 
 
+def _hours(rows: DataFrame) -> DataFrame:
+    """rows with the hour of created_at since 1970 and its microseconds in the hour; those without time go."""
+    at = F.col("created_at")
+    if rows.schema["created_at"].dataType.typeName() == "timestamp":
+        hour, micros = F.floor(F.unix_micros(at) / 3_600_000_000), F.pmod(F.unix_micros(at), F.lit(3_600_000_000))
+    else:
+        hour, micros = F.date_diff(F.to_date(at), F.lit("1970-01-01").cast("date")) * 24 + F.hour(at), (F.minute(at) * 60 + F.date_part(F.lit("SECOND"), at)) * 1_000_000
+    return rows.where(at.isNotNull()).withColumn("_hour", hour.cast("long")).withColumn("_at", micros.cast("long"))
+
+
+def count_changes(feedback: DataFrame, changes: DataFrame, days: int) -> DataFrame:
+    """feedback_id, n_changes and first_change (the smallest id) of the feedback that changes_near gives pairs of, without the pairs.
+
+    Of the `days` (1 at least) days, the hours between are taken whole, from totals of the hours; the first and the last
+    hour by running counts.
+    """
+    f = _hours(feedback.select("feedback_id", "created_at"))
+    c = _hours(changes.select("change_id", F.col("created_at").cast(feedback.schema["created_at"].dataType).alias("created_at")))
+    none = F.lit(None).cast(changes.schema["change_id"].dataType)
+    # an hour is run through from its begin for the feedback in it, and from its end for that of `days` days later
+    ends = F.explode(F.array(F.lit(1), F.lit(-1))).alias("_turn")
+    marks = c.select("_hour", "_at", ends, F.lit(1).alias("_n"), "change_id", F.lit(None).cast(feedback.schema["feedback_id"].dataType).alias("feedback_id"), F.lit(False).alias("_asks"))
+    asks = f.select("_hour", "_at", ends, F.lit(0).alias("_n"), none.alias("change_id"), "feedback_id", F.lit(True).alias("_asks")).withColumn("_hour", F.when(F.col("_turn") == 1, F.col("_hour")).otherwise(F.col("_hour") - 24 * days))
+    run = W.partitionBy("_hour", "_turn").orderBy(F.col("_at") * F.col("_turn")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    edges = marks.unionByName(asks).select("feedback_id", "_asks", F.sum("_n").over(run).alias("n"), F.min("change_id").over(run).alias("first")).where("_asks").drop("_asks")
+    hours = c.groupBy("_hour").agg(F.count("*").alias("n"), F.min("change_id").alias("first"))
+    later = F.explode(F.sequence(F.col("_hour") + 1, F.col("_hour") + 24 * days - 1)).alias("_hour")
+    whole = hours.select(later, "n", "first").groupBy("_hour").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    both = edges.unionByName(f.join(whole, "_hour").select("feedback_id", "n", "first"))
+    return both.groupBy("feedback_id").agg(F.sum("n").alias("n_changes"), F.min("first").alias("first_change")).where("n_changes > 0")
+
+
 def config_changes(log: DataFrame) -> DataFrame:
     """Old and new value of every step of a key's log (config_key, ts, value); a null value is a delete."""
     return log.withColumn("old_value", F.lag("value").over(W.partitionBy("config_key").orderBy("ts"))).withColumnRenamed("value", "new_value")

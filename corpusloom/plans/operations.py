@@ -35,7 +35,7 @@ def changes_before(t: Tables) -> DataFrame:
     """JN-25: signups in the two days before each error."""
     f = t.events.where("event_type = 'error'").select(F.col("event_id").alias("feedback_id"), F.col("ts").alias("created_at"))
     c = t.events.where("event_type = 'signup'").select(F.col("event_id").alias("change_id"), F.col("ts").alias("created_at"))
-    return pf.changes_near(f, c, 2).groupBy("feedback_id").agg(F.count("*").alias("n_changes"), F.min("change_id").alias("first_change"))
+    return pf.count_changes(f, c, 2)
 
 
 @query("""WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS ms FROM events) SELECT 'k' AS stage, round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.95), 6) AS p95, count(*) AS slowest, count(*) AS n FROM e WHERE ms IS NOT NULL""")
