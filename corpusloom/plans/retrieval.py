@@ -177,8 +177,8 @@ def graded_metrics(t: Tables) -> DataFrame:
 @query(f"""{_RANKED}, judged AS (SELECT *, rank() OVER (PARTITION BY case_id ORDER BY score DESC) + (count(*) OVER (PARTITION BY case_id, score) - 1) / 2.0 AS j FROM ranked)
 SELECT case_id, round(corr(rank, j), 6) AS rho FROM judged GROUP BY 1""")
 def spearman_rho(t: Tables) -> DataFrame:
-    """AGG-15."""
-    return ev.spearman(_ranked(t), ["case_id"]).select("case_id", F.round("rho", 6).alias("rho"))
+    """AGG-15; NaN where all scores are equal, as in SQL."""
+    return ev.spearman(_ranked(t), ["case_id"]).select("case_id", F.coalesce(F.round("rho", 6), F.lit(float("nan"))).alias("rho"))
 
 
 @query(f"""{_RANKED}, d AS (SELECT case_id, k, avg(score) FILTER (rank <= k) AS avg_score, count(*) FILTER (rank <= k AND score >= 2) / k AS p2, coalesce(1 / min(rank) FILTER (score >= 2), 0) AS mrr FROM ranked CROSS JOIN (SELECT unnest([5.0, 20.0, 50.0]::DOUBLE[]) AS k) GROUP BY 1, 2)
