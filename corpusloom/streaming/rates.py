@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.buckets import change, read_table
 from ..operators.upsert import latest
-from .stateful import decided
+from .stateful import admit, admitted, seconds
 
 
 def throttle_key(user: Column, address: Column) -> Column:
@@ -130,11 +131,13 @@ def throttle(events: DataFrame, limit: int, window_s: float) -> DataFrame:
         held: deque = deque()
         now = None
         for frame in frames:
-            island = frame["key"].ne(frame["key"].shift()) | frame["island"].ne(frame["island"].shift())
-            for _, rows in frame.groupby(island.cumsum(), sort=False):
-                one = (rows["key"].iloc[0], rows["island"].iloc[0])
-                held, now = (held if one == now else deque()), one
-                yield decided(rows, limit, window_s, held)
+            times, done = seconds(frame["ts"]), []
+            keys, islands = frame["key"].to_numpy(), frame["island"].to_numpy()
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (islands[1:] != islands[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(frame)] if len(frame) else []):
+                held, now = (held if (keys[a], islands[a]) == now else deque()), (keys[a], islands[a])
+                done += admit(times[a:b], limit, window_s, held)
+            yield admitted(frame, done)
 
     order = W.partitionBy("key").orderBy("ts", "event_id")
     at = F.unix_micros("ts")

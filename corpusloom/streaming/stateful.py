@@ -36,7 +36,11 @@ def seconds(ts: pd.Series) -> list[float]:
 
 
 def decided(rows: pd.DataFrame, limit: int, window: float, held: deque) -> pd.DataFrame:
-    done = list(admit(seconds(rows["ts"]), limit, window, held))
+    return admitted(rows, list(admit(seconds(rows["ts"]), limit, window, held)))
+
+
+def admitted(rows: pd.DataFrame, done: list[tuple]) -> pd.DataFrame:
+    """rows with what admit has said of each."""
     return rows[["key", "event_id", "ts"]].assign(accepted=[a for a, _ in done], retry_after=pd.array([r for _, r in done], dtype="Int32"))
 
 
