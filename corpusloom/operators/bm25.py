@@ -1,7 +1,8 @@
 """A stored BM25 index: postings in blocks of documents with their maxima, in segments that follow the corpus.
 
 Texts are split once, when they are indexed. A segment holds, for each term and block of documents, the postings and what
-bounds their scores: the largest frequency and the smallest length. A batch of queries is one sparse matrix; a task goes
+bounds their scores: the largest frequency and the smallest length. The texts are shuffled once, by block, so that a task has
+whole blocks and makes their postings by itself. A batch of queries is one sparse matrix; a task goes
 through blocks one after another, and a route skips those whose bound lies below what its k best have reached so far.
 Changes add segments; what they replace is noted as gone, so that counts stay those of the present corpus.
 """
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 from .retrieval import B, K1, terms, topk
 from .tables import small
 
-#: Documents of a block, about; files over which the postings of one term may lie; terms that are multiplied at once; terms
-#: of all routes of a batch up to which they are broadcast.
-DOCS, SHARDS, TERMS, MOST_WEIGHTS = 1 << 10, 4, 1 << 11, 1_000_000
+#: Documents of a block, about; blocks of a task, at most about; terms that are multiplied at once; terms of all routes of a
+#: batch up to which they are broadcast; ids of a plan up to which they are.
+DOCS, BLOCKS, TERMS, MOST_WEIGHTS, MOST_IDS = 1 << 10, 8, 1 << 11, 1_000_000, 1_000_000
 
 
 @dataclass
@@ -54,11 +55,7 @@ class Index:
         """A table of all segments, with the segment's number."""
         out = None
         for s in self.segments:
-            reader = self.spark.read
-            if name == "postings":  # an empty partitioned table has no file to tell its schema
-                kind = reader.parquet(f"{self.path}/{s.folder}/forward").schema["doc_id"].dataType.simpleString()
-                reader = reader.schema(f"term string, block long, n long, max_tf int, min_len int, postings array<struct<doc_id: {kind}, tf: int, doc_len: int>>, bucket int")
-            rows = reader.parquet(f"{self.path}/{s.folder}/{name}").withColumn("segment", F.lit(s.number))
+            rows = self.spark.read.parquet(f"{self.path}/{s.folder}/{name}").withColumn("segment", F.lit(s.number))
             out = rows if out is None else out.unionByName(rows)
         return out
 
@@ -81,27 +78,60 @@ def _counted(words: Column) -> Column:
     return F.transform(F.array(sorted_), lambda x: F.transform(F.array(ends(x)), lambda e: F.transform(e, lambda at, i: F.struct(F.get(x, at).alias("term"), (at - F.coalesce(F.get(e, i - 1), F.lit(-1))).alias("tf")))))[0][0]
 
 
-def _spread(docs: DataFrame, width: int) -> DataFrame:
-    """docs over at least `width` tasks: texts in a few files would be split by a few."""
-    return docs if docs.rdd.getNumPartitions() >= width else docs.repartition(width)
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of each term in each block; what comes of a block in one run is one row for each of its terms."""
+
+    def grouped(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        doc, block, doc_len, lists = (rows[c].combine_chunks() for c in ("doc_id", "block", "doc_len", "terms"))
+        term, count = (lists.flatten().field(i) for i in (0, 1))
+        coded = term.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        of = np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy())[order]
+        n = np.bincount(codes, minlength=len(coded.dictionary))
+        starts = np.cumsum(n) - n
+        tf, length = count.to_numpy()[order], doc_len.take(pa.array(of)).to_numpy()
+        each = pa.StructArray.from_arrays([doc.take(pa.array(of)), pa.array(tf), pa.array(length)], ["doc_id", "tf", "doc_len"])
+        lists = pa.ListArray.from_arrays(pa.array([*starts, len(of)], pa.int32()), each)
+        columns = [coded.dictionary, pa.repeat(block[0], len(n)), pa.array(n, pa.int64()), pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(length, starts)), lists]
+        return pa.RecordBatch.from_arrays(columns, ["term", "block", "n", "max_tf", "min_len", "postings"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        cuts = np.flatnonzero(blocks[1:] != blocks[:-1]) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(blocks)]):
+            if a < b and held and held[0].column("block")[0].as_py() != blocks[a]:
+                yield grouped(held)
+                held = []
+            if a < b:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield grouped(held)
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    rows.write.option("compression", "zstd").parquet(path)
 
 
 def _write_segment(docs: DataFrame, gone: DataFrame | None, path: str, number: int, doc_id: str, text: str, keep: list[str], near: list[str], mode: str) -> None:
     spark = docs.sparkSession
     folder = f"{path}/segment-{uuid.uuid4().hex}"
     n_blocks = max(1, -(-docs.count() // DOCS))
-    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks // BLOCKS)
+    block = F.xxhash64(*near, F.pmod(F.xxhash64(doc_id), F.lit(n_blocks))).alias("block")
+    rows = docs.where(F.length(text) > 0).select(F.col(doc_id).alias("doc_id"), block, *keep, F.col(text).alias("_text")).repartition(width, "block").sortWithinPartitions("block")
     # what each document holds: texts are split here and nowhere else; no filter on the terms, it would split them twice
-    rows = _spread(docs.where(F.length(text) > 0), width).select(F.col(doc_id).alias("doc_id"), *dict.fromkeys([*keep, *near]), terms(F.col(text)).alias("t"))
-    block = F.xxhash64(*near, F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks))).alias("block")
-    rows.select("doc_id", block, *keep, F.nullif(F.size("t"), F.lit(0)).alias("doc_len"), _counted(F.col("t")).alias("terms")).write.parquet(f"{folder}/forward")
+    rows = rows.select("doc_id", "block", *keep, terms(F.col("_text")).alias("t"))
+    _write(rows.select("doc_id", "block", *keep, F.nullif(F.size("t"), F.lit(0)).alias("doc_len"), _counted(F.col("t")).alias("terms")), f"{folder}/forward")
     forward = spark.read.parquet(f"{folder}/forward")
-    each = forward.select("doc_id", "block", "doc_len", F.explode("terms").alias("p")).select("doc_id", "block", "doc_len", "p.term", "p.tf")
-    each = each.withColumn("bucket", F.pmod(F.hash("term"), F.lit(2 * width))).withColumn("shard", F.pmod("block", F.lit(SHARDS)))
-    grouped = each.repartition(2 * width, "bucket", "shard").groupBy("bucket", "shard", "term", "block")
-    blocks = grouped.agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), F.collect_list(F.struct("doc_id", "tf", "doc_len")).alias("postings")).drop("shard")
-    blocks.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
-    (forward.limit(0) if gone is None else gone).select("doc_id", "doc_len", F.transform("terms", lambda t: t["term"]).alias("terms")).write.parquet(f"{folder}/gone")
+    kind = forward.schema["doc_id"].dataType.simpleString()
+    whole = forward.where("doc_len is not null").select("doc_id", "block", "doc_len", "terms")
+    _write(whole.mapInArrow(_postings, f"term string, block long, n long, max_tf int, min_len int, postings array<struct<doc_id: {kind}, tf: int, doc_len: int>>"), f"{folder}/postings")
+    gone = forward.limit(0) if gone is None else gone
+    _write(gone.select("doc_id", "doc_len"), f"{folder}/gone")
+    _write(gone.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("n")), f"{folder}/gone_terms")
     size = lambda name: spark.read.parquet(f"{folder}/{name}").agg(F.count("doc_len"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
     new, less = size("forward"), size("gone")
     # the segment is live once this row is there
@@ -122,7 +152,8 @@ def follow_plan(index: Index, plan: DataFrame, docs: DataFrame, doc_id: str = "d
 
     docs holds the texts after it, under doc_id. What is changed or deleted is known from the index itself.
     """
-    of = lambda rows, name, *actions: rows.join(plan.where(F.col("action").isin(*actions)).select(F.col("chunk_id").alias(name)).distinct(), name, "left_semi")
+    # ids that may be broadcast spare a shuffle of all texts and terms
+    of = lambda rows, name, *actions: rows.join(small(plan.where(F.col("action").isin(*actions)).select(F.col("chunk_id").alias(name)).distinct(), MOST_IDS), name, "left_semi")
     number = max((s.number for s in index.segments), default=-1) + 1
     gone = of(_live(index, index.table("forward")), "doc_id", "changed", "deleted")
     _write_segment(of(docs, doc_id, "new", "changed"), gone, index.path, number, doc_id, text, list(keep), list(near), "append")
@@ -143,7 +174,7 @@ def _asked(index: Index, queries: DataFrame) -> DataFrame:
     vocabulary = small(asked.select("term").distinct())
     df = index.table("postings").select("term", F.col("n").cast("long").alias("n")).join(vocabulary, "term", "left_semi")
     if len(index.segments) > 1:
-        gone = index.table("gone").select(F.explode("terms").alias("term"), F.lit(-1).cast("long").alias("n"))
+        gone = index.table("gone_terms").select("term", (-F.col("n")).alias("n"))
         df = df.unionByName(gone.join(vocabulary, "term", "left_semi"))
     frequency = df.groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log(1 + (F.lit(index.docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -277,7 +308,7 @@ def stored_index(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str
     """The index of a table of files: the one in folder, if the files are still those that it was built from, else a new one."""
     m = F.col("_metadata")
     files = docs.select(F.struct(m["file_path"], m["file_size"], m["file_modification_time"]).alias("f")).distinct()
-    own = F.lit(f"1 {doc_id} {text} {[*keep]} {[*near]}")  # the layout, and what the index holds
+    own = F.lit(f"2 {doc_id} {text} {[*keep]} {[*near]}")  # the layout, and what the index holds
     name = files.agg(F.sha2(F.concat(own, F.to_json(F.sort_array(F.collect_list("f")))), 256)).first()[0]  # a row for each file
     path = f"{folder}/bm25-{name[:32]}"
     return open_index(docs.sparkSession, path) or build_index(docs, path, doc_id, text, keep, near)
