@@ -152,6 +152,10 @@ def follow_plan(index: Index, plan: DataFrame, docs: DataFrame, doc_id: str = "d
 
     docs holds the texts after it, under doc_id. What is changed or deleted is known from the index itself.
     """
+    # written once: it is asked several times, and comes of a join of all hashes
+    folder = f"{index.path}/plan-{uuid.uuid4().hex}"
+    _write(plan.where(F.col("action").isin("new", "changed", "deleted")).select("chunk_id", "action"), folder)
+    plan = index.spark.read.parquet(folder)
     # ids that may be broadcast spare a shuffle of all texts and terms
     of = lambda rows, name, *actions: rows.join(small(plan.where(F.col("action").isin(*actions)).select(F.col("chunk_id").alias(name)).distinct(), MOST_IDS), name, "left_semi")
     number = max((s.number for s in index.segments), default=-1) + 1
