@@ -198,8 +198,8 @@ def recall_at_20(t: Tables) -> DataFrame:
     """AGG-16: recall of the documents that share the source of the best hit."""
     best = rt.topk(_fused(t).withColumn("score", F.round("score", 12)), ["query_id"], 20, "id")
     of = t.documents.select(F.col("doc_id").alias("id"), "source")
-    gold = best.where("rank = 1").join(of, "id").select("query_id", "source").join(of, "source").select("query_id", "id")
-    return ev.recall_at_k(best, gold, 20).select("query_id", F.round("recall", 6).alias("recall"))
+    truth = best.where("rank = 1").join(of, "id").select("query_id", "source")
+    return ev.recall_of_group(best, truth, of, "source", 20).select("query_id", F.round("recall", 6).alias("recall"))
 
 
 @query(f"""{_FUSED}, lone AS (SELECT query_id, id FROM hits GROUP BY ALL HAVING bool_and(kind = 'dense')), plain AS (
