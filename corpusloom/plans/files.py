@@ -11,7 +11,7 @@ from ..operators import buckets
 from ..operators import retrieval as rt
 from ..operators import upsert as up
 from ..sources.documents import read_jsonl, write_manifest
-from ..sources.parsed import read_parsed, write_parsed
+from ..sources.parsed import read_all_parsed, write_parsed
 from ..sources.shared import shared_folder
 from .registry import Tables, query
 from .retrieval import _FUSED, _fused
@@ -32,12 +32,10 @@ def parse_results(t: Tables) -> DataFrame:
     kind = F.col("doc_id") % 7
     rows = docs.select(F.concat(F.lit("document-"), F.col("doc_id").cast("string")).alias("folder"), F.col("text").alias("md"), F.to_json(F.array(F.array(title))).alias("content_list"), F.when(kind != 5, "{}").alias("middle"), F.when(~kind.isin(3, 5), "{}").alias("model"))
     write_parsed(rows, path)
-    good, bad = read_parsed(t.documents.sparkSession, path, folders=50)
+    read = read_all_parsed(t.documents.sparkSession, path, folders=500)
     first = F.get(F.get(F.get("pages", F.lit(0)), F.lit(0))["content"]["title_content"], F.lit(0))["content"]
-    good = good.select("folder", F.sha2("md", 256).alias("md_hash"), F.lit("").alias("missing"), F.size("pages").alias("n_pages"), first.alias("title"))
-    lacking = bad.select("folder", F.array_join("missing", ",").alias("missing"))
-    names = rows.select("folder", F.sha2("md", 256).alias("md_hash"))
-    return good.unionByName(lacking.join(names, "folder").select("folder", "md_hash", "missing", F.lit(None).cast("int").alias("n_pages"), F.lit(None).cast("string").alias("title")))
+    whole = F.size("missing") == 0
+    return read.select("folder", F.sha2("md", 256).alias("md_hash"), F.array_join("missing", ",").alias("missing"), F.when(whole, F.size("pages")).alias("n_pages"), F.when(whole, first).alias("title"))
 
 
 @query("""SELECT doc_id, CASE doc_id % 10 WHEN 3 THEN 'broken' WHEN 4 THEN 'failed' ELSE 'ok' END AS state, CASE WHEN doc_id % 10 <> 3 THEN lang END AS lang FROM documents""")

@@ -25,12 +25,17 @@ def load_parsed_documents(spark: SparkSession, root: str) -> tuple[DataFrame, Da
     return with_pages(rows.groupBy("folder").agg(*pick))
 
 
+def with_missing(whole: DataFrame) -> DataFrame:
+    """Rows with the parts that they lack, and with pages read from the content list if they lack none."""
+    missing = F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in PARTS]))
+    pages = F.from_json("content_list", f"array<array<{BLOCK}>>")
+    return whole.withColumn("missing", missing).withColumn("pages", F.when(F.size("missing") == 0, pages))
+
+
 def with_pages(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with all parts, and pages read from the content list; the folders that lack parts, and which."""
-    missing = F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in PARTS]))
-    whole = whole.withColumn("missing", missing)
-    good = whole.where(F.size("missing") == 0).drop("missing").withColumn("pages", F.from_json("content_list", f"array<array<{BLOCK}>>"))
-    return good, whole.where(F.size("missing") > 0).select("folder", "missing")
+    whole = with_missing(whole)
+    return whole.where(F.size("missing") == 0).drop("missing"), whole.where(F.size("missing") > 0).select("folder", "missing")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -9,12 +9,16 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from .documents import PARTS, with_pages
+from .documents import PARTS, with_missing, with_pages
 
 
 @dataclass
 class _Folder(InputPartition):
-    folders: list[tuple[str, dict[str, str]]]
+    folders: list[tuple[str, bool]]
+
+
+def _part(path: str) -> str | None:
+    return next((k for k, suffix in PARTS.items() if path.endswith(suffix)), None)
 
 
 class _Reader(DataSourceReader):
@@ -22,20 +26,22 @@ class _Reader(DataSourceReader):
         self.path, self.each = path, each
 
     def partitions(self) -> list[InputPartition]:
-        """A partition for each document's folder (or for some of them); only names are looked at here."""
+        """A partition for each document's folder (or for some of them); the files in these are listed by the tasks."""
         system, root = fs.FileSystem.from_uri(self.path)
-        found: dict[str, dict[str, str]] = {}
-        for info in system.get_file_info(fs.FileSelector(root, recursive=True)):
-            folder, _, name = info.path.rpartition("/")
-            part = next((k for k, suffix in PARTS.items() if name.endswith(suffix)), None)
-            if info.is_file and part:
-                found.setdefault(folder, {})[part] = info.path
-        folders = sorted(found.items())
+        listed = lambda folder: system.get_file_info(fs.FileSelector(folder))
+        level, own = [root], []
+        while True:
+            infos = [i for folder in level for i in listed(folder)]
+            own += sorted({i.path.rpartition("/")[0] for i in infos if i.is_file and _part(i.path)})
+            level = sorted(i.path for i in infos if i.type == fs.FileType.Directory)
+            if not level or all(i.is_file for i in listed(level[0])):
+                break
+        folders = [*((f, False) for f in own), *((f, True) for f in level)]
         return [_Folder(folders[i : i + self.each]) for i in range(0, len(folders), self.each)] or [_Folder([])]
 
     def read(self, partition: _Folder) -> Iterator[tuple]:
         system, _ = fs.FileSystem.from_uri(self.path)
-        for folder, files in partition.folders:
+        for folder, files in (x for top, deep in partition.folders for x in self._found(system, top, deep)):
             bodies = []
             for part in PARTS:
                 if part in files:
@@ -46,6 +52,16 @@ class _Reader(DataSourceReader):
             yield (folder.rpartition("/")[2], *bodies)
 
 
+    @staticmethod
+    def _found(system: fs.FileSystem, top: str, deep: bool) -> list[tuple[str, dict[str, str]]]:
+        """Folders with their parts."""
+        found: dict[str, dict[str, str]] = {}
+        for info in system.get_file_info(fs.FileSelector(top, recursive=deep)):
+            if info.is_file and (part := _part(info.path)):
+                found.setdefault(info.path.rpartition("/")[0], {})[part] = info.path
+        return sorted(found.items())
+
+
 class _Writer(DataSourceWriter):
     def __init__(self, path: str):
         self.path = path
@@ -88,6 +104,12 @@ def read_parsed(spark: SparkSession, path: str, folders: int = 1) -> tuple[DataF
     return with_pages(spark.read.format("parsed_documents").option("folders", folders).load(path))
 
 
+def read_all_parsed(spark: SparkSession, path: str, folders: int = 1) -> DataFrame:
+    """All folders in one pass, with the parts that each lacks and the pages of those that lack none."""
+    spark.dataSource.register(ParsedDocuments)
+    return with_missing(spark.read.format("parsed_documents").option("folders", folders).load(path))
+
+
 def write_parsed(rows: DataFrame, path: str) -> None:
     """Writes rows (folder, md, content_list, middle, model) as a folder of files each; null parts are left out."""
     rows.sparkSession.dataSource.register(ParsedDocuments)
