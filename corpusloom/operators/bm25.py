@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ from .retrieval import B, K1, terms, topk
 from .tables import small
 
 #: Documents of a block, about; blocks of a task, at most about; terms that are multiplied at once; terms of all routes of a
-#: batch up to which they are broadcast; ids of a plan up to which they are.
-DOCS, BLOCKS, TERMS, MOST_WEIGHTS, MOST_IDS = 1 << 10, 8, 1 << 11, 1_000_000, 1_000_000
+#: batch up to which they are broadcast; ids of a plan up to which they are; terms of texts that are counted at once, about.
+DOCS, BLOCKS, TERMS, MOST_WEIGHTS, MOST_IDS, COUNTED = 1 << 10, 8, 1 << 11, 1_000_000, 1_000_000, 1 << 20
 
 
 @dataclass
@@ -71,11 +72,23 @@ def open_index(spark: SparkSession, path: str) -> Index | None:
     return Index(spark, path, sorted((Segment(r.number, r.folder, r.docs, r.length) for r in rows), key=lambda s: s.number))
 
 
-def _counted(words: Column) -> Column:
-    """(term, tf) of each different word of an array: runs in its sorted form."""
-    sorted_ = F.sort_array(words)
-    ends = lambda x: F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: ~F.get(x, i).eqNullSafe(F.get(x, i + 1)))
-    return F.transform(F.array(sorted_), lambda x: F.transform(F.array(ends(x)), lambda e: F.transform(e, lambda at, i: F.struct(F.get(x, at).alias("term"), (at - F.coalesce(F.get(e, i - 1), F.lit(-1))).alias("tf")))))[0][0]
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column, the terms of a text, becomes their number (null for none) and (term, tf) of each different one."""
+    for batch in batches:
+        whole = batch.columns[-1].value_lengths().to_numpy()
+        # as many rows at once as hold some number of terms
+        cuts = np.flatnonzero(np.diff(np.cumsum(whole) // COUNTED)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(whole)]):
+            *columns, lists = batch.slice(a, b - a).columns
+            coded, sizes = lists.flatten().dictionary_encode(), whole[a:b]
+            order = pc.sort_indices(coded.dictionary)
+            words, rank = coded.dictionary.take(order), np.argsort(order.to_numpy())
+            n = max(1, len(words))
+            at, tf = np.unique(np.repeat(np.arange(b - a), sizes) * n + rank[coded.indices.to_numpy()], return_counts=True)
+            each = pa.StructArray.from_arrays([words.take(pa.array(at % n)), pa.array(tf, pa.int32())], ["term", "tf"])
+            ends = np.searchsorted(at, np.arange(b - a + 1) * n)
+            columns += [pa.array(sizes, pa.int32(), mask=sizes == 0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "doc_len", "terms"])
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +137,8 @@ def _write_segment(docs: DataFrame, gone: DataFrame | None, path: str, number: i
     rows = docs.where(F.length(text) > 0).select(F.col(doc_id).alias("doc_id"), block, *keep, F.col(text).alias("_text")).repartition(width, "block").sortWithinPartitions("block")
     # what each document holds: texts are split here and nowhere else; no filter on the terms, it would split them twice
     rows = rows.select("doc_id", "block", *keep, terms(F.col("_text")).alias("t"))
-    _write(rows.select("doc_id", "block", *keep, F.nullif(F.size("t"), F.lit(0)).alias("doc_len"), _counted(F.col("t")).alias("terms")), f"{folder}/forward")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]), "doc_len int", "terms array<struct<term: string, tf: int>>"])
+    _write(rows.mapInArrow(_counted, schema), f"{folder}/forward")
     forward = spark.read.parquet(f"{folder}/forward")
     kind = forward.schema["doc_id"].dataType.simpleString()
     whole = forward.where("doc_len is not null").select("doc_id", "block", "doc_len", "terms")
