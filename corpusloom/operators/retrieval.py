@@ -6,20 +6,26 @@ text is joined to survivors only.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import question_index
+from ..sources.shared import shared_folder
 from .tables import is_small
 from .tiles import BROADCAST_BYTES, nearest_rows
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
+#: Documents that a batch of queries is multiplied with at once; elements of a matrix, at most.
+DOCS, CELLS = 1 << 10, BROADCAST_BYTES // 8
+
 
 def terms(text: Column) -> Column:
     """Lower-cased runs of letters and digits, then runs of Chinese characters as overlapping pairs (single ones alone)."""
@@ -30,16 +36,26 @@ def terms(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(r"\p{IsHan}")), F.concat(plain, F.flatten(F.transform(runs, pairs)))).otherwise(plain)
 
 
+def _words(docs: DataFrame, doc_id: str, text: str, where: Column | None) -> DataFrame:
+    """doc_id, the terms t of each text, and whether the document may be in the result."""
+    return docs.where(F.length(text) > 0).select(F.col(doc_id).alias("doc_id"), terms(F.col(text)).alias("t"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("_in"))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """How often each route of each query (query_id, route_no, text) has each of its terms."""
+    return queries.select("query_id", "route_no", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "route_no", "term").agg(F.count("*").alias("qtf"))
+
+
 def bm25_scores(queries: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", where: Column | None = None) -> DataFrame:
     """Score of the documents for every (query_id, route_no, text) that shares a term with them.
 
     Only the queries' terms are counted. Lengths and frequencies cover all documents with terms; `where` (a column of
     docs) keeps documents out of the result, not out of the statistics.
     """
-    words = docs.where(F.length(text) > 0).select(F.col(doc_id).alias("doc_id"), terms(F.col(text)).alias("t"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("_in"))
+    words = _words(docs, doc_id, text, where)
     # no filter on the terms: it would move below them and split every text twice
     whole = words.select(F.nullif(F.size("t"), F.lit(0)).alias("size")).agg(F.count("size").alias("n"), F.avg("size").alias("mean"))
-    asked = queries.select("query_id", "route_no", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "route_no", "term").agg(F.count("*").alias("qtf"))
+    asked = _asked(queries)
     # the queries' terms bound the terms that are counted: one count of them says what may be broadcast
     hint = F.broadcast if is_small(asked) else lambda df: df
     vocabulary = asked.select("term").distinct()
@@ -59,8 +75,111 @@ def topk(hits: DataFrame, keys: list[str], k: int, item: str) -> DataFrame:
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _within(shared):
+    """doc_id, _in, the number of terms of a text, and those of the queries among them by number with how often they occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(shared.value, pa.string())
+        for batch in batches:
+            lists = batch.column(2)
+            sizes = lists.value_lengths().to_numpy()
+            code = pc.index_in(lists.flatten(), value_set=words)
+            of = np.repeat(np.arange(len(sizes)), sizes)[code.is_valid().to_numpy(zero_copy_only=False)]
+            at, tf = np.unique(of * max(1, len(words)) + code.drop_null().to_numpy(), return_counts=True)
+            ends = pa.array(np.searchsorted(at, np.arange(len(sizes) + 1) * max(1, len(words))), pa.int32())
+            codes, counts = (pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (at % max(1, len(words)), tf))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), codes, counts], ["doc_id", "_in", "doc_len", "codes", "tf"])
+
+    return run
+
+
+def _frequencies(size: int):
+    """A task's documents with each code; those with terms at all come last, then their terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size + 2, dtype=np.int64)
+        for batch in batches:
+            length = batch.column(0).to_numpy()
+            n[:size] += np.bincount(batch.column(1).flatten().to_numpy(), minlength=size)
+            n[size:] += np.count_nonzero(length), length.sum(dtype=np.int64)
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found])], ["code", "n"])
+
+    return run
+
+
+def _scored(shared, k: int, digits: int, mean: float):
+    """The k best documents of each route in some documents after others, those left out that lie below what earlier ones gave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value  # a row for each term, a column for each route
+        routes = weights.shape[1]
+        step, width = (max(1, min(DOCS, CELLS // n)) for n in (routes, max(routes, DOCS)))
+        reached = np.full(routes, -np.inf)
+        for rows in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            rows = rows.take(pc.sort_indices(rows.column(0), null_placement="at_start"))  # ties go to the smaller id
+            ids, length, codes, tf = rows.columns
+            of = np.repeat(np.arange(len(ids)), codes.value_lengths().to_numpy())
+            tf, long = tf.flatten().to_numpy().astype(np.float64), length.to_numpy().astype(np.float64)[of]
+            impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * long / mean))
+            used, row = np.unique(codes.flatten().to_numpy(), return_inverse=True)
+            score = np.zeros((routes, len(ids)))
+            for begin in range(0, len(used), width):
+                some = (row >= begin) & (row < begin + width)
+                matrix = np.zeros((min(width, len(used) - begin), len(ids)))
+                matrix[row[some] - begin, of[some]] = impact[some]
+                score += weights[used[begin : begin + width]].T @ matrix
+            score = np.where(score > 0, np.round(score, digits), -np.inf)  # every weight is above 0
+            order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            best = np.take_along_axis(score, order, axis=1)
+            route, place = np.nonzero((best > -np.inf) & (best >= reached[:, None]))
+            if best.shape[1] == k:
+                reached = np.maximum(reached, best[:, -1])
+            yield pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), ids.take(pa.array(order[route, place])), pa.array(best[route, place])], ["route", "doc_id", "score"])
+
+    return run
+
+
+def _multiplied(asked: DataFrame, words: DataFrame, k: int, digits: int) -> DataFrame:
+    """The k best documents of each route: the queries' weights are one matrix that every task multiplies with its documents.
+
+    asked: query_id, route_no, term, qtf; words: doc_id, _in and the terms. Texts are split once: what they have of the
+    queries' terms is written to the shared folder, and read for the frequencies and for the scores.
+    """
+    spark = words.sparkSession
+    rows = asked.toArrow()
+    keys = sorted({*zip(rows["query_id"].to_pylist(), rows["route_no"].to_pylist())})
+    number = {key: i for i, key in enumerate(keys)}
+    coded = rows["term"].combine_chunks().dictionary_encode()
+    size = len(coded.dictionary)
+    kind = words.schema["doc_id"].dataType.simpleString()
+    folder = f"{shared_folder(spark)}/corpusloom/batch-{uuid.uuid4().hex}"
+    vocabulary = spark.sparkContext.broadcast(coded.dictionary.to_pylist())
+    words.select("doc_id", "_in", "t").mapInArrow(_within(vocabulary), f"doc_id {kind}, _in boolean, doc_len int, codes array<int>, tf array<int>").write.option("compression", "zstd").parquet(folder)
+    counted = spark.read.parquet(folder)
+    found = counted.select("doc_len", "codes").mapInArrow(_frequencies(size), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # a row for each term
+    n = np.zeros(size + 2)
+    n[[r.code for r in found]] = [r.n for r in found]
+    idf = np.log(1 + (n[size] - n[:size] + 0.5) / (n[:size] + 0.5))
+    weights = np.zeros((size, len(keys)))
+    code = coded.indices.to_numpy()
+    weights[code, [number[key] for key in zip(rows["query_id"].to_pylist(), rows["route_no"].to_pylist())]] = rows["qtf"].to_numpy() * idf[code]
+    shared = spark.sparkContext.broadcast(weights)
+    hits = counted.where("_in").select("doc_id", "doc_len", "codes", "tf").mapInArrow(_scored(shared, k, digits, n[size + 1] / max(1.0, n[size])), f"route long, doc_id {kind}, score double")
+    names = spark.createDataFrame([(*key, i) for i, key in enumerate(keys)], asked.select("query_id", "route_no").schema.add("route", "long"))
+    return topk(hits.join(F.broadcast(names), "route").select("query_id", "route_no", "doc_id", "score"), ["query_id", "route_no"], k, "doc_id")
+
+
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text", where: Column | None = None, digits: int = 9) -> DataFrame:
-    """The k best documents of every route of every query; scores are rounded, so that ties don't depend on the order of sums."""
+    """The k best documents of every route of every query; scores are rounded, so that ties don't depend on the order of sums.
+
+    Routes and terms whose matrix takes BROADCAST_BYTES at most are multiplied with the documents; more are joined to
+    their terms. doc_id is unique.
+    """
+    asked = _asked(queries)
+    n = asked.agg(F.count_distinct("term").alias("terms"), F.count_distinct(F.struct("query_id", "route_no")).alias("routes")).first()
+    if 0 < n.terms * n.routes <= CELLS:
+        return _multiplied(asked, _words(docs, doc_id, text, where), k, digits)
     scores = bm25_scores(queries, docs, doc_id, text, where).withColumn("score", F.round("score", digits))
     return topk(scores, ["query_id", "route_no"], k, "doc_id")
 
