@@ -6,7 +6,7 @@ a line's place and length.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -20,22 +20,30 @@ _KINDS = "list_value('title', 'paragraph', 'list', 'table', 'chart', 'equation_i
 
 
 def _pages(t: Tables) -> DataFrame:
-    """Raw documents (source_id, pages): each line a block whose content depends on its kind."""
+    """Raw documents (source_id, pages): each line a block whose content depends on its kind. A document's text makes its pages where it is read; doc_id is unique."""
     kinds = F.array(*[F.lit(k) for k in ("title", "paragraph", "list", "table", "chart", "equation_interline", "image")])
-    rows = lines(t).withColumn("kind", F.element_at(kinds, (F.col("pos") % 7 + 1).cast("int")))
     item = lambda *texts: F.array(*[F.struct(F.lit("text").alias("type"), x.alias("content")) for x in texts], F.struct(F.lit("image").alias("type"), F.lit("not read").alias("content")))
-    half = F.floor(F.col("len") / 2).cast("int")
-    first, second = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.col("len"))
     entry = lambda x: F.struct(F.lit("text").alias("item_type"), item(x).alias("item_content"))
-    fields = {
-        "title_content": item(F.col("text")), "paragraph_content": item(first, second), "list_type": F.when(F.col("pos") % 2 == 0, "ordered_list").otherwise("bullet"), "list_items": F.array(entry(first), entry(F.lit(" ")), entry(second)),
-        "table_caption": item(F.lit("Table")), "table_footnote": item(F.lit("")), "html": F.concat(F.lit("<table><tr><td>"), "text", F.lit("</td></tr></table>")), "table_type": None, "chart_caption": item(F.lit("Chart")), "chart_footnote": None,
-        "image_caption": None, "image_footnote": None, "content": F.col("text"), "math_content": F.col("text"), "image_source": None,
-    }
-    content = F.struct(*[(F.lit(None) if v is None else v).alias(k) for k, v in fields.items()])
-    block = F.struct(F.col("kind").alias("type"), F.lit(None).alias("sub_type"), F.lit(None).alias("bbox"), content.alias("content")).cast(BLOCK)
-    page = rows.select("source_id", "page", "pos", block.alias("block")).groupBy("source_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "block")), lambda a, b: a["pos"] - b["pos"]), lambda x: x["block"]).alias("blocks"))
-    return page.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "blocks")), lambda a, b: a["page"] - b["page"]), lambda x: x["blocks"]).alias("pages"))
+
+    def block(text: Column, pos: Column) -> Column:
+        half = F.floor(F.length(text) / 2).cast("int")
+        first, second = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+        fields = {
+            "title_content": item(text), "paragraph_content": item(first, second), "list_type": F.when(pos % 2 == 0, "ordered_list").otherwise("bullet"), "list_items": F.array(entry(first), entry(F.lit(" ")), entry(second)),
+            "table_caption": item(F.lit("Table")), "table_footnote": item(F.lit("")), "html": F.concat(F.lit("<table><tr><td>"), text, F.lit("</td></tr></table>")), "table_type": None, "chart_caption": item(F.lit("Chart")), "chart_footnote": None,
+            "image_caption": None, "image_footnote": None, "content": text, "math_content": text, "image_source": None,
+        }
+        content = F.struct(*[(F.lit(None) if v is None else v).alias(k) for k, v in fields.items()])
+        return F.struct(F.element_at(kinds, (pos % 7 + 1).cast("int")).alias("type"), F.lit(None).alias("sub_type"), F.lit(None).alias("bbox"), content.alias("content")).cast(BLOCK)
+
+    def page(all_: Column, at: Column) -> Column:
+        rows = F.transform(F.slice(all_, at + 1, F.lit(10)), lambda x, i: F.struct(x.alias("text"), (at + i).alias("pos")))
+        return F.transform(F.filter(rows, lambda r: F.trim(r["text"]) != ""), lambda r: block(r["text"], r["pos"]))
+
+    # exploded, so that conditions on the lines or pages don't make them once more
+    rows = t.documents.where("text is not null").select(F.col("doc_id").alias("source_id"), F.explode(F.array(F.split("text", "\n"))).alias("_lines"))
+    pages = F.transform(F.sequence(F.lit(0), F.size("_lines") - 1, F.lit(10)), lambda at: page(F.col("_lines"), at))
+    return rows.select("source_id", F.explode(F.array(F.filter(pages, lambda x: F.size(x) > 0))).alias("pages"))
 
 
 _PLACED = f"""{_LINES}, kinds AS (SELECT source_id, pos, text, len, {_KINDS} AS type, dense_rank() OVER (PARTITION BY source_id ORDER BY pos // 10) - 1 AS page_idx, row_number() OVER (PARTITION BY source_id, pos // 10 ORDER BY pos) - 1 AS block_idx FROM lines)"""
