@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import html_rows, norm_strong
-from .tables import merge_joined
+from .tables import dealt, merge_joined
 
 TEXT_TYPES = ("title", "paragraph", "list", "table", "chart", "equation_interline")
 
@@ -99,11 +99,13 @@ def filter_block_types(blocks: DataFrame, types: tuple[str, ...] = TEXT_TYPES) -
 
 def strip_snippets(docs: DataFrame, snippets: DataFrame, least: int = 20) -> DataFrame:
     """Documents without the snippets (of at least so many characters), replaced one after another in block order."""
-    of = snippets.where(F.length("snippet") >= least).groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_idx", "block_idx", "snippet"))), lambda x: x["snippet"]).alias("_s"))
-    both = docs.join(of, "source_id", "left")
+    of = dealt(snippets.where(F.length("snippet") >= least), "source_id").groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_idx", "block_idx", "snippet"))), lambda x: x["snippet"]).alias("_s"))
+    both = dealt(docs, "source_id").hint("merge").join(of, "source_id", "left")  # texts shrink well: few bytes of them may be many when broadcast
     clean = F.aggregate(F.coalesce("_s", F.array().cast("array<string>")), F.col("text"), lambda t, s: F.replace(t, s, F.lit("")))
-    left = F.size(F.filter(F.coalesce("_s", F.array().cast("array<string>")), lambda s: F.contains(clean, s)))
-    return both.withColumn("clean_text", clean).withColumn("leftovers", left).drop("_s")
+    left = lambda t: F.size(F.filter(F.coalesce("_s", F.array().cast("array<string>")), lambda s: F.contains(t, s)))
+    # the clean text is bound by name, or it would be made again for each snippet
+    done = F.transform(F.array(clean), lambda t: F.struct(t.alias("clean_text"), left(t).alias("leftovers")))[0]
+    return both.select(*[c for c in both.columns if c != "_s"], done.alias("_d")).select(*[c for c in both.columns if c != "_s"], "_d.clean_text", "_d.leftovers")
 
 
 def classify_media(blocks: DataFrame) -> DataFrame:
