@@ -87,6 +87,12 @@ def html_rows(c: Column) -> Column:
     return F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)))
 
 
+def html_first_row(c: Column) -> Column:
+    """The first of html_rows; empty if there is none."""
+    row = F.regexp_extract(c, r"(?is)<tr\b[^>]*>(.*?)</tr>", 1)
+    return F.regexp_extract_all(row, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1))
+
+
 def norm_light(c: Column) -> Column:
     """Cell text without tags, single blanks."""
     return squeezed(F.regexp_replace(c, r"(?s)<[^>]*>", ""))
@@ -97,6 +103,11 @@ def norm_strong(c: Column) -> Column:
     return F.regexp_replace(unescape(F.regexp_replace(c, r"(?s)<[^>]*>", "")), r"(?U)[\s$]+", "")
 
 
+def bare_strong(c: Column) -> Column:
+    """norm_strong of text without references, without the Python step."""
+    return F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]*>", ""), r"(?U)[\s$]+", "")
+
+
 def caption_text(c: Column) -> Column:
     return F.array_join(c, "  ")
 

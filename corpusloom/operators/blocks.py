@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import html_rows, norm_strong
+from ..functions.text import bare_strong, html_first_row, norm_strong
 from .tables import dealt, merge_joined
 
 TEXT_TYPES = ("title", "paragraph", "list", "table", "chart", "equation_interline")
@@ -215,16 +215,16 @@ def crosspage_siblings(tables: DataFrame, gap: int = 2) -> DataFrame:
     A table without caption that has the heading and the first row of the table before it, at most `gap` pages on, is
     its sibling. One heading and first row of one source is one group.
     """
-    first = F.array_join(F.transform(F.get(html_rows(F.col("content")), 0), lambda x: F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", ""), r"(?U)[\s$]+", "")), "\u0001")
+    first = F.array_join(F.transform(html_first_row(F.col("content")), lambda x: F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", ""), r"(?U)[\s$]+", "")), "\u0001")
     rows = tables.withColumn("header", F.coalesce(first, F.lit(""))).withColumn("has_caption", F.trim(F.array_join("caption", " ")) != "")
     group = W.partitionBy("source_id", "heading_path", "header").orderBy("page_idx", "block_idx")
     follows = (F.col("header") != "") & ~F.col("has_caption") & (F.col("page_idx") - F.lag("page_idx").over(group) <= gap)
     rows = rows.withColumn("_follows", F.coalesce(follows, F.lit(False)))
-    rows = rows.withColumn("_island", F.sum((~F.col("_follows")).cast("int")).over(group))
-    island = W.partitionBy("source_id", "heading_path", "header", "_island")
-    role = F.when(F.col("_follows"), "sibling").when(F.count("*").over(island) > 1, "anchor").otherwise("single")
-    first = F.min(F.struct("page_idx", "block_idx")).over(island)
-    return rows.withColumn("merge_role", role).withColumn("merge_group_id", F.format_string("p%d-b%d", first["page_idx"], first["block_idx"])).drop("has_caption", "_follows", "_island")
+    # an anchor is what a sibling comes after: rows are sorted once and told apart by their neighbours
+    begin = F.last(F.when(~F.col("_follows"), F.struct("page_idx", "block_idx")), ignorenulls=True).over(group.rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = rows.withColumn("_next", F.coalesce(F.lead("_follows").over(group), F.lit(False))).withColumn("_begin", begin)
+    role = F.when(F.col("_follows"), "sibling").when(F.col("_next"), "anchor").otherwise("single")
+    return rows.withColumn("merge_role", role).withColumn("merge_group_id", F.format_string("p%d-b%d", "_begin.page_idx", "_begin.block_idx")).drop("has_caption", "_follows", "_next", "_begin")
 
 
 def resolve_anchor(tables: DataFrame) -> DataFrame:
@@ -234,21 +234,25 @@ def resolve_anchor(tables: DataFrame) -> DataFrame:
     return tables.withColumn("anchor", F.when(F.col("merge_role") == "sibling", F.last(F.when(F.col("merge_role") != "sibling", key), ignorenulls=True).over(order)))
 
 
-def table_rows(tables: DataFrame) -> DataFrame:
-    """One row for each table row with its strong key: cells without tags, references and white space."""
+def table_rows(tables: DataFrame, once: bool = False) -> DataFrame:
+    """One row for each table row with its strong key: cells without tags, references and white space. With `once` only the first of rows that a table repeats."""
     raw = F.regexp_extract_all("content", F.lit(r"(?is)<tr\b[^>]*>.*?</tr>"), F.lit(0))
-    rows = tables.select("source_id", "merge_group_id", "merge_role", "page_idx", "block_idx", F.posexplode(raw).alias("row_idx", "raw"))
-    cells = F.regexp_replace(F.regexp_replace("raw", r"(?is)</t[dh]>", "\u0001"), r"(?s)<[^>]*>", "")
-    return rows.withColumn("row_key", norm_strong(cells))
+    raw = F.array_distinct(raw) if once else raw
+    own = ["source_id", "merge_group_id", "merge_role", "page_idx", "block_idx"]
+    cells = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?is)</t[dh]>", "\u0001"), r"(?s)<[^>]*>", "")
+    # references are decoded in Python; tables without any don't go there, and their keys are made once, before rows are filtered
+    coded = F.contains(F.col("content"), F.lit("&"))
+    plain = tables.where(~coded).select(*own, F.posexplode(F.transform(raw, lambda x: F.struct(x.alias("raw"), bare_strong(cells(x)).alias("row_key")))).alias("row_idx", "_r")).select(*own, "row_idx", "_r.raw", "_r.row_key")
+    return plain.unionByName(tables.where(coded).select(*own, F.posexplode(raw).alias("row_idx", "raw")).withColumn("row_key", norm_strong(cells(F.col("raw")))))
 
 
 def table_extension(tables: DataFrame) -> DataFrame:
     """What siblings add to their anchor: rows it doesn't have, in order, as they are. One row for each group."""
-    rows = table_rows(tables).where(F.regexp_replace("row_key", "\u0001", "") != "")
-    keys = ["source_id", "merge_group_id", "row_key"]
-    extra = rows.where("merge_role = 'sibling'").join(rows.where("merge_role = 'anchor'").select(*keys).distinct(), keys, "left_anti")
-    once = extra.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("page_idx", "block_idx", "row_idx"))).where("_n = 1")
-    return once.groupBy("source_id", "merge_group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_idx", "block_idx", "row_idx", "raw"))), lambda x: x["raw"]), "").alias("extension"))
+    keys = ["source_id", "merge_group_id"]
+    rows = table_rows(tables.where(F.col("merge_role").isin("sibling", "anchor")), once=True).where(F.regexp_replace("row_key", "\u0001", "") != "")
+    first = F.min(F.struct("page_idx", "block_idx", "row_idx", "raw")).alias("_first")
+    extra = rows.groupBy(*keys, "row_key").agg(first, F.bool_or(F.col("merge_role") == "anchor").alias("_own")).where("not _own")
+    return extra.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_first")), lambda x: x["raw"]), "").alias("extension"))
 
 
 def merge_panels(media: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..operators import blocks as bl
 from ..operators import sections as sc
 from ..sources.documents import BLOCK
+from ..sources.shared import stored
 from .content import _LINES, lines
 from .registry import Tables, query
 
@@ -138,7 +139,7 @@ SELECT m.source_id, m.block_idx, CASE merge_role WHEN 'sibling' THEN 'merged_int
 CASE WHEN merge_role = 'anchor' THEN count(*) OVER (PARTITION BY m.source_id, m.merge_group_id) ELSE 1 END AS n_images FROM merged m LEFT JOIN e ON e.source_id = m.source_id AND e.merge_group_id = m.merge_group_id LEFT JOIN b ON l_orderkey = m.block_idx""")
 def media_work(t: Tables) -> DataFrame:
     """WIN-06, PRJ-15: siblings' new rows at the end of their anchor, and what is left to do."""
-    merged = bl.crosspage_siblings(_tables(t)).withColumn("image_path", F.col("block_idx").cast("string"))
+    merged = stored(bl.crosspage_siblings(_tables(t)).withColumn("image_path", F.col("block_idx").cast("string")))
     out = bl.route_media_work(merged, bl.table_extension(merged))
     return out.select("source_id", "block_idx", "work", F.length("content").cast("long").alias("content_len"), F.size("image_paths").cast("long").alias("n_images"))
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
 
@@ -20,3 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not _local:
         _local.append("file://" + tempfile.mkdtemp(prefix="corpusloom-"))
     return _local[0]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back: what asks for it more than once makes it once."""
+    path = f"{shared_folder(df.sparkSession)}/corpusloom/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
