@@ -2,8 +2,10 @@
 
 Every window of `least` bytes has an anchor: the smallest hashed 20-byte string in it. Equal windows have equal
 anchors, so windows can only repeat among the stretches around one anchor; anchors are dealt to buckets, and equal
-stretches (whole copies) fall together by a 128-bit cryptographic digest of their bytes. What remains, different
-stretches around a common anchor, is laid end to end in small texts whose transform is expanded breadth first:
+stretches (whole copies) fall together by a 128-bit cryptographic digest of their bytes. The windows of a stretch fall
+into parts by the place of the anchor in them; a part whose core, what all its windows hold, is in no other stretch
+around the anchor can share no window and is left out. What remains is laid end to end in small texts whose transform
+is expanded breadth first:
 intervals of ever longer strings give the common prefixes by increasing value, up to the threshold. Suffixes that are
 still together share a window.
 """
@@ -25,16 +27,20 @@ from .work import by_bucket, dealt, tasks, tidy, written
 ANCHOR = 20
 #: Longer texts are cut into pieces of so many window starts.
 PIECE = 1 << 19
+#: Bytes of texts whose anchors are looked for at once, if they are no longer.
+SLICE = 1 << 17
 #: An anchor with more different stretches than this is dealt by single windows instead.
 CROWDED = 2000
+#: Parts into which the windows of a stretch fall by the place of the anchor in them.
+PARTS = 4
 #: Bytes of text that are expanded at once.
 AT_ONCE = 1 << 19
 
 _U = np.uint64
 
 
-def anchors(b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the windows of b: anchor hash, first window start, number of windows and place of the anchor, by anchor."""
+def anchors(b: np.ndarray, least: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the windows of texts of these sizes (`least` or more) end to end: anchor hash, first window start, number of windows and place of the anchor, by anchor."""
     n = len(b)
     m = n - ANCHOR + 1
     v = np.ndarray((n - 7,), dtype="<u8", buffer=b, strides=(1,))
@@ -54,9 +60,32 @@ def anchors(b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         s *= 2
     if span > s:
         w = np.minimum(w[: s - span], w[span - s :])
-    at = (m - 1) - (w & _U(0xFFFFFFFF)).astype(np.int64)
+    windows = sizes - (least - 1)
+    inside = np.arange(int(windows.sum())) + np.repeat(np.arange(len(sizes)) * (least - 1), windows)  # windows of one text
+    at = (m - 1) - (w[inside] & _U(0xFFFFFFFF)).astype(np.int64)
     low = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return h[at[low]], low, np.diff(np.concatenate((low, [len(at)]))), at[low]
+    return h[at[low]], inside[low], np.diff(np.concatenate((low, [len(at)]))), at[low]
+
+
+def _part_width(least: int) -> int:
+    return -(-(least - ANCHOR + 1) // PARTS)
+
+
+def cores(b: np.ndarray, low: np.ndarray, n: np.ndarray, place: np.ndarray, least: int) -> list[np.ndarray]:
+    """For each part, hashes of the bytes that all its windows hold around the anchor; 0 where a stretch has none of them.
+
+    The anchor's place in a window follows from the window's bytes, so that equal windows are of the same part. An equal
+    hash of different bytes costs time, and no result.
+    """
+    span, width = least - ANCHOR, _part_width(least)
+    sums, top = prefix_sums(b), place - low
+    out = []
+    for least_at in range(0, PARTS * width, width):
+        most_at = min(span, least_at + width - 1)
+        has = (top >= least_at) & (top - n < most_at)
+        h = span_hashes(sums, np.where(has, place - least_at, 0), np.where(has, place + least - most_at, 0))
+        out.append(np.where(has, (h >> _U(32)) | _U(1), 0).astype(np.uint32))
+    return out
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -67,7 +96,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     key = padded[:n].copy()
     for j in range(1, 7):  # seven bytes fit beside each other
         key = (key << _U(8)) | padded[j : n + j]
-    order, have = np.argsort(key, kind="stable"), 7
+    order, have = np.argsort(key), 7
     place = np.arange(n)
     rank = np.zeros(n + 1, dtype=np.int64)  # where a suffix's group begins; the empty suffix comes before all
     rank[n] = -1
@@ -82,7 +111,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
             return order
         suffix = order[place]
         key = (rank[suffix].astype(np.uint64) << _U(32)) | (rank[np.minimum(suffix + have, n)] + 1).astype(np.uint64)
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         order[place] = suffix[by]
         key = key[by]
         have *= 2
@@ -99,23 +128,23 @@ def common_windows(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
     n = len(text)
     order = suffix_order(text)
     before = text[order - 1]  # the transform; the first suffix has the last end before it
-    forward = np.empty(n, dtype=np.int64)  # where each suffix's predecessor stands
-    forward[np.argsort(before, kind="stable")] = np.arange(n)
+    forward = np.empty(n, dtype=np.int32)  # where each suffix's predecessor stands
+    forward[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)
     first = text[order]
     common = np.full(n + 1, -1, dtype=np.int16)
     common[0] = common[n] = 0
-    low, high = np.array([0]), np.array([n])
+    low, high = np.array([0], dtype=np.int32), np.array([n], dtype=np.int32)
     owner = np.zeros(n + 1, dtype=np.int32)
     for level in range(least):
         size = high - low
         total = int(size.sum())
         ids = np.repeat(np.arange(1, len(low) + 1, dtype=np.int32), size)
-        place = np.arange(total) + np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size)
+        place = np.arange(total, dtype=np.int32) + np.repeat(low - (np.cumsum(size, dtype=np.int32) - size), size)
         to = forward[place]
         if total * 4 > n:
             owner[:n] = 0
             owner[to] = ids
-            to = np.flatnonzero(owner[:n])
+            to = np.flatnonzero(owner[:n]).astype(np.int32)
             ids = owner[to]
         else:
             by = np.argsort(to)
@@ -180,32 +209,55 @@ def _spread(ids: np.ndarray, buckets: int) -> np.ndarray:
 
 
 STRETCHES, REMOVED, ASKED, CROWD, TEXT = 0, 1, 2, 3, 4
-_OCCURS = ("<u8", "<u8", "<u8", "<i8", "<i8", "<u1")  # anchor, digest of the stretch, document, first window, windows
+_OCCURS = ("<u8", "<u8", "<u8", "<i8", "<i8", "<u1", "<u1", *["<u4"] * PARTS)  # anchor, digest of the stretch, document, first window, windows, place of the anchor in the first, cores
 _RUN = ("<i8", "<i8", "<u1")  # document, first window, windows
 _WANT = ("<i8", "<i8", "<u1", "<u8")  # and the anchor
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[int, int, bytes]]:
+    """Texts that have a window, long ones in pieces: document, place of the piece and its bytes."""
+    for batch in batches:
+        for doc, x in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+            whole = x.as_py() or b""
+            for at in range(0, max(0, len(whole) - least + 1), PIECE):
+                yield doc, at, whole[at : at + PIECE + least - 1]
+
+
+def _stretches(pieces: list[tuple[int, int, bytes]], least: int) -> list[np.ndarray]:
+    """The columns of _OCCURS of some pieces, by one pass over them all."""
+    docs, places, texts = zip(*pieces)
+    sizes = np.array([len(x) for x in texts])
+    data = b"".join(texts)
+    b = np.frombuffer(data, dtype=np.uint8)
+    h, low, n, place = anchors(b, least, sizes)
+    view = memoryview(data)
+    digest = b"".join([hashlib.blake2b(view[i:j], digest_size=16).digest() for i, j in zip(low.tolist(), (low + n + least - 1).tolist())])
+    stretch = np.frombuffer(digest, dtype="<u8").reshape(-1, 2)
+    begin = np.cumsum(sizes) - sizes
+    of = np.searchsorted(begin, low, side="right") - 1
+    top = place - low
+    return [h, stretch[:, 0] + top.astype(np.uint64), stretch[:, 1], np.array(docs, dtype=np.int64)[of], low - begin[of] + np.array(places)[of], n.astype(np.uint8), top.astype(np.uint8), *cores(b, low, n, place, least)]
+
+
 def _occurrences(least: int, buckets: int, flush: int = 1 << 19):
     """Anchors of all windows, dealt by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: list[tuple[int, int, bytes]] = []
         parts: list[list[np.ndarray]] = []
-        have = 0
-        for batch in batches:
-            for doc, x in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                whole = np.frombuffer(x.as_py() or b"", dtype=np.uint8)
-                for at in range(0, max(0, len(whole) - least + 1), PIECE):
-                    b = np.ascontiguousarray(whole[at : at + PIECE + least - 1])
-                    h, low, n, place = anchors(b, least)
-                    view = memoryview(b)
-                    digest = b"".join([hashlib.blake2b(view[i:j], digest_size=16).digest() for i, j in zip(low.tolist(), (low + n + least - 1).tolist())])
-                    stretch = np.frombuffer(digest, dtype="<u8").reshape(-1, 2)
-                    parts.append([h, stretch[:, 0] + (place - low).astype(np.uint64), stretch[:, 1], np.full(len(h), doc, dtype=np.int64), low + at, n.astype(np.uint8)])
-                    have += len(h)
-                    if have >= flush:
-                        c = [np.concatenate(p) for p in zip(*parts)]
-                        yield _batch(list(_dealt(_spread(c[0].view(np.int64), buckets), STRETCHES, *c)))
-                        parts, have = [], 0
+        size = have = 0
+        for piece in _pieces(batches, least):
+            pieces.append(piece)
+            size += len(piece[2])
+            if size >= SLICE:
+                parts.append(_stretches(pieces, least))
+                pieces, size, have = [], 0, have + len(parts[-1][0])
+                if have >= flush:
+                    c = [np.concatenate(p) for p in zip(*parts)]
+                    yield _batch(list(_dealt(_spread(c[0].view(np.int64), buckets), STRETCHES, *c)))
+                    parts, have = [], 0
+        if pieces:
+            parts.append(_stretches(pieces, least))
         if parts:
             c = [np.concatenate(p) for p in zip(*parts)]
             yield _batch(list(_dealt(_spread(c[0].view(np.int64), buckets), STRETCHES, *c)))
@@ -213,8 +265,50 @@ def _occurrences(least: int, buckets: int, flush: int = 1 << 19):
     return run
 
 
-def _compared(buckets: int):
-    """Per anchor: later copies of a stretch are removed whole; first ones are asked for where stretches differ."""
+def _met(group: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """Where a core is also in another row of its group."""
+    order = np.lexsort((core, group))
+    g, c = group[order], core[order]
+    same = (g[1:] == g[:-1]) & (c[1:] == c[:-1]) & (c[1:] > 0)
+    out = np.zeros(len(group), dtype=bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
+
+
+def _sizes(ids: np.ndarray) -> np.ndarray:
+    """How many rows have the id of each row."""
+    _, which, n = np.unique(ids, return_inverse=True, return_counts=True)
+    return n[which]
+
+
+def _parts(anchor: np.ndarray, doc: np.ndarray, low: np.ndarray, n: np.ndarray, top: np.ndarray, core: np.ndarray, least: int) -> Iterator[tuple[int, tuple]]:
+    """Of different stretches, the runs of windows whose cores are met again, under their anchor; where these are many, part by part under anchor and core."""
+    width = _part_width(least)
+    held = np.stack([_met(anchor, c) for c in core])
+    some = held.any(axis=0)
+    anchor, doc, low, n, top, core, held = anchor[some], doc[some], low[some], n[some].astype(np.int64), top[some].astype(np.int64), core[:, some], held[:, some]
+    many = _sizes(anchor) > CROWDED
+
+    def run(pick: np.ndarray, a: int, b: int) -> tuple:
+        most, least_ = np.minimum(top[pick], (b + 1) * width - 1), np.maximum(top[pick] - n[pick] + 1, a * width)
+        return doc[pick], low[pick] + top[pick] - most, (most - least_ + 1).astype(np.uint8)
+
+    edge = np.zeros((1, held.shape[1]), dtype=bool)
+    around = np.concatenate((edge, held, edge))
+    for a in range(PARTS):
+        for b in range(a, PARTS):
+            pick = np.flatnonzero(~many & held[a : b + 1].all(axis=0) & ~around[a] & ~around[b + 2])
+            yield ASKED, (*run(pick, a, b), anchor[pick])
+        pick = np.flatnonzero(many & held[a])
+        key = mix(anchor[pick] ^ mix(core[a, pick].astype(np.uint64) * _U(PARTS) + _U(a)))
+        crowd = _sizes(key) > CROWDED
+        own = (*run(pick, a, a), key)
+        yield ASKED, tuple(c[~crowd] for c in own)
+        yield CROWD, tuple(c[crowd] for c in own)
+
+
+def _compared(buckets: int, least: int = 100):
+    """Per anchor: later copies of a stretch are removed whole; of first ones, what may be in a different stretch is asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_bucket(batches):
@@ -226,17 +320,18 @@ def _compared(buckets: int):
             same = s[1:] == s[:-1]
             again = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
             columns = [c[again] for c in columns]
-            anchor, stretch, more, doc, low, n = columns
-            order = np.lexsort((low, doc, more, stretch, anchor))
-            anchor, stretch, more, doc, low, n = (c[order] for c in columns)
+            order = np.lexsort((columns[4], columns[3], columns[2], columns[1], columns[0]))
+            anchor, stretch, more, doc, low, n, top, *core = (c[order] for c in columns)
             if len(anchor) == 0:
                 continue
-            new_anchor = np.concatenate(([True], anchor[1:] != anchor[:-1]))
-            first = new_anchor | np.concatenate(([True], (stretch[1:] != stretch[:-1]) | (more[1:] != more[:-1])))
-            different = np.bincount(np.cumsum(new_anchor) - 1, weights=first)[np.cumsum(new_anchor) - 1]
+            first = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (stretch[1:] != stretch[:-1]) | (more[1:] != more[:-1])))
             out = list(_dealt(_spread(doc[~first], buckets), REMOVED, doc[~first], low[~first], n[~first]))
-            for kind, pick in ((ASKED, first & (different > 1) & (different <= CROWDED)), (CROWD, first & (different > CROWDED))):
-                out += _dealt(_spread(doc[pick], buckets), kind, doc[pick], low[pick], n[pick], anchor[pick])
+            wanted: dict[int, list[tuple]] = {ASKED: [], CROWD: []}
+            for kind, own in _parts(*(c[first] for c in (anchor, doc, low, n, top)), np.stack([c[first] for c in core]), least):
+                wanted[kind].append(own)
+            for kind, owns in wanted.items():
+                own = [np.concatenate(c) for c in zip(*owns)]
+                out += _dealt(_spread(own[0], buckets), kind, *own)
             yield _batch(out)
 
     return run
@@ -282,6 +377,7 @@ def _cut_out(least: int, buckets: int, flush: int = 8 << 20):
                 if table is None:
                     a, c = _unblob(asked, *_WANT), _unblob(crowd, *_WANT)
                     cols = [np.concatenate((p, q)) for p, q in zip(a, c)] + [np.concatenate((np.zeros(len(a[0]), bool), np.ones(len(c[0]), bool)))]
+                    cols.append(_spread(cols[3].view(np.int64), buckets))
                     order = np.argsort(cols[0], kind="stable")
                     table = tuple(p[order] for p in cols)
                     asked, crowd = [], []
@@ -290,8 +386,7 @@ def _cut_out(least: int, buckets: int, flush: int = 8 << 20):
                     continue
                 text = zstandard.decompress(x.as_py())
                 removed = []
-                to = _spread(table[3][lo:hi].view(np.int64), buckets).tolist()
-                for target, s, n, h, many in zip(to, *(c[lo:hi].tolist() for c in table[1:])):
+                for s, n, h, many, target in zip(*(c[lo:hi].tolist() for c in table[1:])):
                     if not many:
                         piece = text[s : s + n + least - 1]
                         parts.append((target, doc, s, n, h, len(piece), piece))
@@ -483,7 +578,7 @@ def repeated_spans(docs: DataFrame, least: int = 100, digest: bool = False) -> D
     buckets = tasks(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     occurring = docs.where("doc_id is not null").mapInArrow(tidy(_occurrences(least, buckets)), BLOB)
-    found = written(dealt(occurring, buckets).mapInArrow(tidy(_compared(buckets)), BLOB))
+    found = written(dealt(occurring, buckets).mapInArrow(tidy(_compared(buckets, least)), BLOB))
     texts = docs.mapInArrow(tidy(_packed(buckets)), _MOVED)
     wanted = _together(texts.where("doc_id is not null"), found.where(F.col("kind").isin(ASKED, CROWD)), buckets)
     segments = wanted.mapInArrow(tidy(_cut_out(least, buckets)), BLOB)
