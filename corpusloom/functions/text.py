@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -34,8 +35,28 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def matched_share(a: str, b: str) -> float:
+    """Share of characters in matching blocks of two strings, as SequenceMatcher has it, and without it where b holds a.
+
+    Then a is the longest block, if it is found. In a b of 200 characters and more blocks are looked for by characters
+    that are no more than a hundredth of it, and spread from the first of the longest runs of these: that one must stand
+    in b first where a does.
+    """
+    at = b.find(a) if a else -1
+    if at >= 0:
+        whole = 2.0 * len(a) / (len(a) + len(b))
+        if len(b) < 200:
+            return whole
+        often = {c for c, n in Counter(b).items() if n > len(b) // 100 + 1}
+        run = "" if "\0" in a else max("".join(["\0" if c in often else c for c in a]).split("\0"), key=len)
+        if run and b.find(run) == at + a.find(run):
+            return whole
+    return SequenceMatcher(None, a, b).ratio()
+
+
 def half_width(c: Column) -> Column:
-    return F.translate(c, FULL_WIDTH, HALF_WIDTH)
+    """Full-width forms as half-width ones; a text without any isn't taken apart."""
+    return F.when(F.rlike(c, F.lit("[\uff01-\uff5e\u3000]")), F.translate(c, FULL_WIDTH, HALF_WIDTH)).otherwise(c)
 
 
 def squeezed(c: Column) -> Column:
