@@ -25,13 +25,13 @@ def _folder(t: Tables) -> str:
 @query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 SELECT 'document-' || doc_id AS folder, sha256(text) AS md_hash, CASE WHEN doc_id % 7 = 3 THEN 'model' WHEN doc_id % 7 = 5 THEN 'middle,model' ELSE '' END AS missing, CASE WHEN doc_id % 7 NOT IN (3, 5) THEN 1 END AS n_pages, CASE WHEN doc_id % 7 NOT IN (3, 5) THEN left(text, 40) END AS title FROM d""")
 def parse_results(t: Tables) -> DataFrame:
-    """SRC-01: parse results, four files for each document, of which some lack a part."""
+    """SRC-01: parse results, four files for each document, of which some lack a part, in archives of 500 documents."""
     path = _folder(t)
     docs = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     title = F.struct(F.lit("title").alias("type"), F.struct(F.array(F.struct(F.lit("text").alias("type"), F.substring("text", 1, 40).alias("content"))).alias("title_content")).alias("content"))
     kind = F.col("doc_id") % 7
     rows = docs.select(F.concat(F.lit("document-"), F.col("doc_id").cast("string")).alias("folder"), F.col("text").alias("md"), F.to_json(F.array(F.array(title))).alias("content_list"), F.when(kind != 5, "{}").alias("middle"), F.when(~kind.isin(3, 5), "{}").alias("model"))
-    write_parsed(rows, path)
+    write_parsed(rows, path, archived=500)
     read = read_all_parsed(t.documents.sparkSession, path, folders=500)
     first = F.get(F.get(F.get("pages", F.lit(0)), F.lit(0))["content"]["title_content"], F.lit(0))["content"]
     whole = F.size("missing") == 0
